@@ -13,9 +13,18 @@ from glyphstat.functions.numeric import log_ratio, relative_difference
 from glyphstat.operators.merge import merge_outer
 from glyphstat.operators.quantiles import describe, quantiles
 
-SHARE = F.col("count") / F.col("total")
-REFERENCE_SHARE = F.col("ref_count") / F.col("ref_total")
-ABSENT = F.col("count") == 0
+
+
+def _share() -> Column:
+    return F.col("count") / F.col("total")
+
+
+def _reference_share() -> Column:
+    return F.col("ref_count") / F.col("ref_total")
+
+
+def _absent() -> Column:
+    return F.col("count") == 0
 
 
 def comparison(
@@ -48,18 +57,18 @@ def vocab_gap(cells: DataFrame, list_keys: bool = False) -> DataFrame:
     as token types; ``absent_keys`` gives them as rows for any vocabulary.
     """
     columns = [
-        F.count_if(ABSENT).alias("missing"),
-        (F.count_if(ABSENT) / F.count(F.lit(1))).alias("missing_share"),
-        (F.sum(F.when(ABSENT, F.col("ref_count")).otherwise(0)) / F.max("ref_total")).alias("used_share"),
+        F.count_if(_absent()).alias("missing"),
+        (F.count_if(_absent()) / F.count(F.lit(1))).alias("missing_share"),
+        (F.sum(F.when(_absent(), F.col("ref_count")).otherwise(0)) / F.max("ref_total")).alias("used_share"),
     ]
     if list_keys:
-        absent = F.collect_list(F.when(ABSENT, F.col("key")))
+        absent = F.collect_list(F.when(_absent(), F.col("key")))
         columns.append(F.array_join(F.array_sort(absent), ", ").alias("tokens"))
     return cells.groupBy("dataset").agg(*columns).orderBy("used_share", "dataset")
 
 
 def absent_keys(cells: DataFrame) -> DataFrame:
-    return cells.filter(ABSENT).select("dataset", "key", REFERENCE_SHARE.alias("ref_share"))
+    return cells.filter(_absent()).select("dataset", "key", _reference_share().alias("ref_share"))
 
 
 def out_of_reference_mass(cells: DataFrame, reference: str, decimals: int = 3) -> DataFrame:
@@ -148,7 +157,7 @@ def pct_diff_topk(diff: DataFrame, k: int) -> DataFrame:
 
 def shares(cells: DataFrame) -> DataFrame:
     """Share of every key in every corpus next to its share of the reference."""
-    return cells.select("key", "dataset", SHARE.alias("share"), REFERENCE_SHARE.alias("ref_share"))
+    return cells.select("key", "dataset", _share().alias("share"), _reference_share().alias("ref_share"))
 
 
 def frequent(shares_: DataFrame, min_share: float = 1e-4) -> DataFrame:
@@ -200,5 +209,5 @@ def presence_matrix(wide: DataFrame, datasets: list[str], reference: str) -> Dat
 
 def absent_reference_mass(cells: DataFrame, reference: str) -> DataFrame:
     """Percentage of the reference's tokens whose key a corpus lacks."""
-    lost = F.sum(F.when(ABSENT, F.col("ref_count")).otherwise(0)) / F.max("ref_total")
+    lost = F.sum(F.when(_absent(), F.col("ref_count")).otherwise(0)) / F.max("ref_total")
     return _others(cells, reference).groupBy("dataset").agg((lost * 100).alias("pct"))

@@ -14,9 +14,9 @@ _INFINITE = 1_000_000
 
 
 def _coarse(value: Column) -> Column:
-    """A bucket that never decreases with the value: sixteenths of an octave."""
+    """A bucket that never decreases with the value: 1/256 of an octave."""
     size = F.when(F.abs(value) == INF, F.lit(_INFINITE)).otherwise(
-        F.floor(F.log2(F.abs(value)) * 16).cast("int") + _INFINITE // 2
+        F.floor(F.log2(F.abs(value)) * 256).cast("int") + _INFINITE // 2
     )
     return F.when(value == 0, F.lit(0)).when(value > 0, size).otherwise(-size)
 

@@ -25,7 +25,9 @@ def _parts(counts: DataFrame, max_entries: int) -> DataFrame:
         .select(*FILE, F.ceil(F.col("_entries") / max_entries * 2).alias("_parts"))
     )
     part = F.pmod(F.xxhash64("kind", "key"), F.coalesce("_parts", F.lit(1)))
-    return counts.join(large, FILE, "left").withColumn("part", part.cast("int")).drop("_parts")
+    split = counts.join(large, FILE, "left").withColumn("part", part.cast("int")).drop("_parts")
+    # Without this the parts of a large file would stay together in the join's partition.
+    return split.repartition(*FILE, "part")
 
 
 def file_records(

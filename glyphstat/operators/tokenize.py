@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from glyphstat.functions.lexing import EOF_TEXT, Profile
 from glyphstat.functions.text import escape_dump, token_uuid
@@ -56,7 +57,8 @@ def document_pairs(docs: DataFrame, profile: Profile, all_pairs: bool = False) -
     )
 
 
-_POSITIONS = "struct<char_start:array<int>, line:array<int>, line_char:array<int>>"
+_INTS = T.ArrayType(T.IntegerType())
+_POSITIONS = T.StructType([T.StructField(n, _INTS) for n in ("char_start", "line", "line_char")])
 
 
 @F.pandas_udf(_POSITIONS)

@@ -113,7 +113,8 @@ def cpp_pattern(possessive: bool = True) -> str:
     )
 
     escape = r"\\(?:['\"?\\abfnrtv]|\r\n?|\n|[0-7]|x[0-9a-fA-F]+)" rf"|{universal}"
-    cut_escape = r"\\(?:x|u[0-9a-fA-F]{0,3}|U[0-9a-fA-F]{0,7})?"
+    cut_universal = r"u[0-9a-fA-F]{0,3}|U[0-9a-fA-F]{0,7}"
+    cut_escape = rf"\\(?:x|{cut_universal})?"
     string_body = rf"(?:[^\"\\\r\n]|{escape})*{p}"
     char_body = rf"(?:[^'\\\r\n]|{escape})+{p}"
     raw = r"R\"[^\r\n(]*\([^\r\n)]*\)[^\r\n\"]*\""
@@ -136,7 +137,7 @@ def cpp_pattern(possessive: bool = True) -> str:
     error = (
         rf"\"{string_body}(?:{cut_escape})?{stop}"
         rf"|'(?:{char_body})?(?:{cut_escape})?{stop}"
-        rf"|{cut_escape}{stop}|(?s:.)"
+        rf"|\\(?:{cut_universal})?{stop}|(?s:.)"
     )
     skip = rf"(?:[ \t\r\n]+{p}|//[^\r\n]*{p}|/\*(?s:.*?)\*/)*{p}"
     return rf"{skip}(?:({token})|{error}|\z)"

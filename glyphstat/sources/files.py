@@ -13,7 +13,8 @@ CHUNK_ROWS = 99_999
 def scan(spark: SparkSession, root: str, pattern: str = "*.c*") -> DataFrame:
     """(path, modificationTime, length, content) of all matching files below ``root``.
 
-    The default pattern takes every extension that begins with c, such as .cc and .css.
+    The default pattern takes every extension that begins with c, such as .cc and .css. Spark's file
+    sources do not list files of zero bytes.
     """
     return (
         spark.read.format("binaryFile")

@@ -42,30 +42,52 @@ def p_large(d: Column, n: Column, m: Column) -> Column:
     return _tail(z + 1 / (6 * F.sqrt(size)) + (z - 1) / (4 * size))
 
 
+@lru_cache(maxsize=64)
+def _log_factorials(n: int) -> np.ndarray:
+    return np.concatenate(([0.0], np.cumsum(np.log(np.arange(1, n + 1)))))
+
+
 @lru_cache(maxsize=100_000)
 def exceedance(n: int, m: int, h: int) -> float:
     """P(max |i*m - j*n| >= h) over all orderings of n and m equal observations.
 
-    A random ordering is a walk over (i, j) that steps in i with probability (n-i)/(remaining).
-    The walk is followed inside the band and what leaves it is added up.
+    An ordering is a lattice path over (i, j). Row by row, paths inside the band are counted by a
+    running sum and each first step out of the band adds the share of paths that take it, so small
+    probabilities are sums of positive terms.
     """
     if h <= 0:
         return 1.0
-    total = n + m
-    low, alive, lost = 0, np.ones(1), 0.0
-    for t in range(total):
-        i = np.arange(low, low + len(alive))
-        step = np.zeros(len(alive) + 1)
-        step[:-1] = alive * (m - (t - i)) / (total - t)
-        step[1:] += alive * (n - i) / (total - t)
-        # Inside the band: |i * total - (t + 1) * n| < h.
-        first = max(((t + 1) * n - h) // total + 1, low)
-        last = min(-((-(t + 1) * n - h) // total) - 1, low + len(alive))
-        inside = step[first - low : last - low + 1]
-        lost += step[: first - low].sum() + step[last - low + 1 :].sum()
-        if not len(inside):
-            return 1.0
-        low, alive = first, inside
+    n, m = min(n, m), max(n, m)
+    log_f = _log_factorials(n + m)
+    log_all = log_f[n + m] - log_f[n] - log_f[m]
+
+    def finishing(i: int, j: np.ndarray | int):
+        """Log share of one path to (i, j) among all orderings, times its completions."""
+        return log_f[n - i + m - j] - log_f[n - i] - log_f[m - j] - log_all
+
+    low, scale, lost = 0, 0.0, 0.0
+    paths = None
+    for i in range(n + 1):
+        first = max((i * m - h) // n + 1, 0)
+        last = min(-((-i * m - h) // n) - 1, m)
+        if paths is None:
+            paths = np.ones(last + 1)
+        else:
+            gone = paths[: first - low]
+            if len(gone):
+                lost += (gone * np.exp(scale + finishing(i, np.arange(low, low + len(gone))))).sum()
+            if first > last:
+                return float(min(lost, 1.0))
+            entering = np.zeros(last - first + 1)
+            kept = paths[first - low :]
+            entering[: len(kept)] = kept
+            paths = np.cumsum(entering)
+            if paths[-1] > 1e200:
+                scale += np.log(paths[-1])
+                paths = paths / paths[-1]
+        low = first
+        if last < m and paths[-1] > 0:
+            lost += paths[-1] * np.exp(scale + finishing(i, last + 1))
     return float(min(lost, 1.0))
 
 

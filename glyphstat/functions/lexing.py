@@ -24,6 +24,8 @@ class Profile:
     pattern: str
     classify: Callable[[Column], Column]
     channel: Callable[[Column], Column]
+    # Whether a token can contain line breaks or tabs, which token tables show escaped.
+    multiline: bool = False
 
 
 def _starts_between(text: Column, first: str, last: str) -> Column:
@@ -187,6 +189,6 @@ def _cpp_channel(text: Column) -> Column:
     return F.when(text.startswith("#"), F.lit(1))
 
 
-CPP14 = Profile("cpp14", cpp_pattern(), _cpp_type, _cpp_channel)
+CPP14 = Profile("cpp14", cpp_pattern(), _cpp_type, _cpp_channel, multiline=True)
 
 PROFILES = {profile.name: profile for profile in (WORDS, CPP14)}

@@ -99,19 +99,24 @@ def token_keys(
 
 
 def document_keys(docs: DataFrame, profile: Profile, kind: str, pandas_na: bool = True) -> DataFrame:
-    """``token_keys`` straight from documents, without building the token table or a shuffle."""
+    """``token_keys`` straight from documents, without building the token table or a shuffle.
+
+    Rows also carry their document's length as ``num_tokens``.
+    """
     if kind.startswith("token_"):
         tokens = document_tokens(docs, profile)
-        return tokens.select(*FILE, fill_unknown(F.col(kind), pandas_na).alias("key"))
+        return tokens.select(*FILE, "num_tokens", fill_unknown(F.col(kind), pandas_na).alias("key"))
     column = kind.removeprefix("bigram_")
     left, right = (
         fill_unknown(F.col(f"{side}_{column}"), pandas_na) for side in ("left", "right")
     )
-    return document_pairs(docs, profile).select(*FILE, bigram_key(left, right).alias("key"))
+    return document_pairs(docs, profile).select(*FILE, "num_tokens", bigram_key(left, right).alias("key"))
 
 
-def file_key_counts(keys: DataFrame) -> DataFrame:
-    return keys.groupBy(*FILE, "key").agg(F.count(F.lit(1)).alias("n"))
+def file_key_counts(keys: DataFrame, with_length: bool = False) -> DataFrame:
+    """(dataset, file_name, key, n), with ``num_tokens`` where the occurrences carry it."""
+    length = ["num_tokens"] if with_length else []
+    return keys.groupBy(*FILE, *length, "key").agg(F.count(F.lit(1)).alias("n"))
 
 
 def file_counts(tokens: DataFrame, pandas_na: bool = True, block: int = BLOCK_TOKENS) -> DataFrame:
@@ -150,8 +155,8 @@ def file_lengths(tokens: DataFrame) -> DataFrame:
 
 def document_lengths(docs: DataFrame, profile: Profile) -> DataFrame:
     """Tokens per document, one document per file: no row is exploded or moved."""
-    sized = docs.select(*FILE, F.size(lexemes(F.col("text"), profile)).cast("bigint").alias("num_tokens"))
-    return sized.filter(F.col("num_tokens") > 0)
+    size = F.size(lexemes(F.col("text"), profile)).cast("bigint")
+    return docs.filter(F.col("text").isNotNull()).select(*FILE, size.alias("num_tokens"))
 
 
 def length_histogram(lengths: DataFrame) -> DataFrame:
@@ -167,11 +172,12 @@ def count_histogram(counts: DataFrame) -> DataFrame:
     )
 
 
-def ratio_histogram(counts: DataFrame, lengths: DataFrame, decimals: int = 4) -> DataFrame:
-    """Number of files per share of a key in its file; ``num`` is in units of 10^-decimals."""
+def ratio_histogram(counts: DataFrame, lengths: DataFrame | None = None, decimals: int = 4) -> DataFrame:
+    """Number of files per share of a key in its file; ``num`` is in units of 10^-decimals.
+
+    ``lengths`` is needed for counts without ``num_tokens``.
+    """
+    if lengths is not None:
+        counts = counts.join(lengths, FILE)
     bucket = scaled(F.col("n") / F.col("num_tokens"), decimals)
-    return (
-        counts.join(lengths, FILE)
-        .groupBy("dataset", "key", bucket.alias("num"))
-        .agg(F.count(F.lit(1)).alias("n_files"))
-    )
+    return counts.groupBy("dataset", "key", bucket.alias("num")).agg(F.count(F.lit(1)).alias("n_files"))

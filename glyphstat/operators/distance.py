@@ -104,9 +104,10 @@ def kernel_density(
         F.min("_x").alias("low"), F.max("_x").alias("high"),
     )
     if support is not None:
-        low = support.select(F.min(x)).scalar()
-        high = support.select(F.max(x)).scalar()
-        moments = moments.withColumns({"low": low, "high": high})
+        ends = support.agg(F.struct(F.min(x).alias("low"), F.max(x).alias("high")).alias("e")).scalar()
+        moments = moments.withColumn("_ends", ends).withColumns(
+            {"low": F.col("_ends.low"), "high": F.col("_ends.high")}
+        )
     w, w2 = F.col("w"), F.col("w2")
     if frequency:
         size, variance = w, ratio(F.col("spread"), w - 1)
@@ -159,6 +160,9 @@ def ks_test(
         ]
     )
     tests = per_key.select("key", "n_ref", F.inline(cells)).filter((F.col("n") > 0) & (F.col("n_ref") > 0))
+    if exact:
+        # The exact distribution is the only costly step here: keep it from being coalesced.
+        tests = tests.repartition(4 * tests.sparkSession.sparkContext.defaultParallelism, "key", "dataset")
     p_value = (p_exact if exact else p_series)(F.col("statistic"), F.col("n"), F.col("n_ref"))
     return tests.select("key", "dataset", "n", "n_ref", "statistic", p_value.alias("p_value"))
 

@@ -20,38 +20,43 @@ def lexemes(text: Column, profile: Profile) -> Column:
     return F.concat(F.array_remove(found, ""), F.array(F.lit(EOF_TEXT)))
 
 
+def shown(raw: Column, profile: Profile) -> Column:
+    """A lexeme as token tables hold it."""
+    return escape_dump(raw) if profile.multiline else raw
+
+
+def _listed(docs: DataFrame, profile: Profile) -> DataFrame:
+    listed = docs.select("dataset", "file_name", lexemes(F.col("text"), profile).alias("t"))
+    return listed.withColumn("num_tokens", F.size("t").cast("bigint"))
+
+
 def document_tokens(docs: DataFrame, profile: Profile) -> DataFrame:
-    """(dataset, file_name, token_num, token_text, token_type): what counting needs."""
-    rows = docs.select(
-        "dataset", "file_name", F.posexplode(lexemes(F.col("text"), profile)).alias("token_num", "raw")
+    """(dataset, file_name, num_tokens, token_num, token_text, token_type): what counting needs."""
+    rows = _listed(docs, profile).select(
+        "dataset", "file_name", "num_tokens", F.posexplode("t").alias("token_num", "raw")
     )
     return rows.select(
-        "dataset", "file_name", "token_num",
-        escape_dump(F.col("raw")).alias("token_text"),
+        "dataset", "file_name", "num_tokens", "token_num",
+        shown(F.col("raw"), profile).alias("token_text"),
         profile.classify(F.col("raw")).alias("token_type"),
     )
 
 
 def document_pairs(docs: DataFrame, profile: Profile, all_pairs: bool = False) -> DataFrame:
-    """Adjacent tokens of every document: (dataset, file_name, left/right text and type).
+    """Adjacent tokens of every document: (dataset, file_name, num_tokens, left/right text and type).
 
     The pair that ends in the last token is left out unless ``all_pairs`` is set.
     """
-    listed = docs.select("dataset", "file_name", lexemes(F.col("text"), profile).alias("t"))
-    n_pairs = F.size("t") - (1 if all_pairs else 2)
-    listed = listed.withColumn("n", F.greatest(n_pairs, F.lit(0)))
-    pairs = listed.select(
-        "dataset", "file_name",
+    n = F.greatest(F.size("t") - (1 if all_pairs else 2), F.lit(0))
+    pairs = _listed(docs, profile).select(
+        "dataset", "file_name", "num_tokens",
         F.explode(
-            F.arrays_zip(
-                F.slice("t", F.lit(1), F.col("n")).alias("l"),
-                F.slice("t", F.lit(2), F.col("n")).alias("r"),
-            )
+            F.arrays_zip(F.slice("t", F.lit(1), n).alias("l"), F.slice("t", F.lit(2), n).alias("r"))
         ).alias("p"),
     )
     return pairs.select(
-        "dataset", "file_name",
-        escape_dump(F.col("p.l")).alias("left_text"), escape_dump(F.col("p.r")).alias("right_text"),
+        "dataset", "file_name", "num_tokens",
+        shown(F.col("p.l"), profile).alias("left_text"), shown(F.col("p.r"), profile).alias("right_text"),
         profile.classify(F.col("p.l")).alias("left_type"),
         profile.classify(F.col("p.r")).alias("right_type"),
     )
@@ -136,7 +141,7 @@ def tokenize(docs: DataFrame, profile: Profile) -> DataFrame:
         "dataset", "file_name", "token_num",
         F.col("m.start").alias("char_start"),
         (F.col("m.start") + width - 1).alias("char_end"),
-        escape_dump(raw).alias("token_text"),
+        shown(raw, profile).alias("token_text"),
         profile.classify(raw).alias("token_type"),
         profile.channel(raw).alias("channel"),
         F.col("m.line").alias("line"),

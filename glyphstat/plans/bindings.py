@@ -11,6 +11,7 @@ from glyphstat.operators.counts import (
     document_keys,
     document_lengths,
     file_key_counts,
+    length_histogram,
     number_rows,
     ratio_histogram,
 )
@@ -65,8 +66,8 @@ def histogram(spark: SparkSession, sf_dir: str, kind: str, profile: Profile = WO
     return corpus_histogram(document_keys(documents(spark, sf_dir), profile, kind))
 
 
-def counts(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
-    return file_key_counts(document_keys(documents(spark, sf_dir), WORDS, kind))
+def counts(spark: SparkSession, sf_dir: str, kind: str, with_length: bool = False) -> DataFrame:
+    return file_key_counts(document_keys(documents(spark, sf_dir), WORDS, kind), with_length)
 
 
 def counts_histogram(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
@@ -74,5 +75,8 @@ def counts_histogram(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
 
 
 def ratios_histogram(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
-    lengths = document_lengths(documents(spark, sf_dir), WORDS)
-    return ratio_histogram(counts(spark, sf_dir, kind), lengths)
+    return ratio_histogram(counts(spark, sf_dir, kind, with_length=True))
+
+
+def lengths_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return length_histogram(document_lengths(documents(spark, sf_dir), WORDS))

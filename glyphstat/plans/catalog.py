@@ -26,7 +26,7 @@ from glyphstat.plans import bindings as b
 from glyphstat.sources import files, metrics, repos
 from glyphstat.sources import records as record_files
 from glyphstat.sources import tokens as token_files
-from glyphstat.sources.scratch import scratch_path
+from glyphstat.sources.scratch import materialize, scratch_path
 from glyphstat.streaming.arrivals import tokenize_available
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -54,7 +54,7 @@ def query(function: Query) -> Query:
 
 @query
 def tokenize_documents(spark, sf_dir):
-    return document_tokens(b.documents(spark, sf_dir), WORDS)
+    return document_tokens(b.documents(spark, sf_dir), WORDS).drop("num_tokens")
 
 
 @query
@@ -139,10 +139,9 @@ def event_file_lengths(spark, sf_dir):
 
 
 def _event_tokens(spark, sf_dir):
-    """Events with the columns a record needs; the id is derived as for every token."""
-    return b.events(spark, sf_dir).withColumn(
-        "uuid", token_files.token_uuid(F.col("dataset"), F.col("file_name"), F.col("token_num"))
-    )
+    """Events as a stored token table; the id is derived as for every token."""
+    uuid = token_files.token_uuid(F.col("dataset"), F.col("file_name"), F.col("token_num"))
+    return materialize(b.events(spark, sf_dir).withColumn("uuid", uuid), "event-tokens")
 
 
 def _listed(column: str):
@@ -220,7 +219,7 @@ def histogram_without_prefix(spark, sf_dir):
 
 @query
 def tokens_per_file_histogram(spark, sf_dir):
-    return length_histogram(document_lengths(b.documents(spark, sf_dir), WORDS))
+    return b.lengths_histogram(spark, sf_dir)
 
 
 @query
@@ -261,7 +260,7 @@ def merge_min_count(spark, sf_dir):
 @query
 def merge_pair_null_keys(spark, sf_dir):
     # Digits have no letter class: their null key has to meet the other side's null key.
-    hist = b.histogram(spark, sf_dir, "token_type")
+    hist = materialize(b.histogram(spark, sf_dir, "token_type"), "histogram")
     named = hist.withColumn("key", F.when(F.col("key").rlike("^[A-Z]"), F.col("key")))
     summed = named.groupBy("dataset", "key").agg(F.sum("count").alias("count"))
     left, right = (
@@ -284,8 +283,9 @@ def melted(spark, sf_dir):
 
 @query
 def merged_describe(spark, sf_dir):
-    datasets = b.languages(spark, sf_dir)
-    wide = merge.merge_outer(b.histogram(spark, sf_dir, "token_text"), datasets)
+    hist = materialize(b.histogram(spark, sf_dir, "token_text"), "histogram")
+    datasets = merge.datasets_of(hist)
+    wide = merge.merge_outer(hist, datasets)
     return compare.describe(merge.melt(wide, datasets, ["key"]), ["dataset"], "count")
 
 
@@ -296,12 +296,13 @@ def distinct_keys(spark, sf_dir):
 
 @query
 def missing_keys(spark, sf_dir):
-    return merge.missing_keys(b.histogram(spark, sf_dir, "token_text"), b.DOCS_REFERENCE, "de")
+    hist = materialize(b.histogram(spark, sf_dir, "token_text"), "histogram")
+    return merge.missing_keys(hist, b.DOCS_REFERENCE, "de")
 
 
 @query
 def relation_profile(spark, sf_dir):
-    tokens = document_tokens(b.documents(spark, sf_dir), WORDS)
+    tokens = materialize(document_tokens(b.documents(spark, sf_dir), WORDS), "tokens")
     return quality.profile(tokens, ["dataset", "file_name", "token_text", "token_type"])
 
 
@@ -309,9 +310,9 @@ def relation_profile(spark, sf_dir):
 
 
 def _cells(spark, sf_dir, kind):
-    return compare.comparison(
-        b.histogram(spark, sf_dir, kind), b.languages(spark, sf_dir), b.DOCS_REFERENCE
-    )
+    """The comparison grid over stored corpus histograms, which it reads more than once."""
+    hist = materialize(b.histogram(spark, sf_dir, kind), "histogram")
+    return compare.comparison(hist, merge.datasets_of(hist), b.DOCS_REFERENCE)
 
 
 def _shares(spark, sf_dir, kind):
@@ -443,7 +444,7 @@ def absent_reference_mass(spark, sf_dir):
 
 
 def _log_lengths(spark, sf_dir):
-    lengths = length_histogram(document_lengths(b.documents(spark, sf_dir), WORDS))
+    lengths = materialize(b.lengths_histogram(spark, sf_dir), "lengths")
     return distance.log_length_histogram(lengths)
 
 
@@ -461,7 +462,7 @@ def length_kde(spark, sf_dir):
 @query
 def key_kde_samples(spark, sf_dir):
     # Every key's density over its own range, files counted as samples.
-    hist = tfidf.tfidf_histogram(b.counts_histogram(spark, sf_dir, "token_type"))
+    hist = tfidf.tfidf_histogram(_stored_counts(spark, sf_dir, "token_type"))
     hist = hist.withColumn("x", F.col("num").cast("double"))
     return distance.kernel_density(
         hist, ["dataset", "key"], "x", "n_files", frequency=True, cut=0, grid_size=20
@@ -473,9 +474,17 @@ def energy_distance_matrix(spark, sf_dir):
     return distance.energy_distances(_log_lengths(spark, sf_dir), b.languages(spark, sf_dir))
 
 
+def _stored_ratios(spark, sf_dir, kind):
+    return materialize(b.ratios_histogram(spark, sf_dir, kind), "ratios")
+
+
+def _stored_counts(spark, sf_dir, kind):
+    return materialize(b.counts_histogram(spark, sf_dir, kind), "counts")
+
+
 def _ks(spark, sf_dir, kind, exact):
-    hist = b.ratios_histogram(spark, sf_dir, kind)
-    return distance.ks_test(hist, b.languages(spark, sf_dir), b.DOCS_REFERENCE, exact)
+    hist = _stored_ratios(spark, sf_dir, kind)
+    return distance.ks_test(hist, merge.datasets_of(hist), b.DOCS_REFERENCE, exact)
 
 
 @query
@@ -511,7 +520,7 @@ def bucket_diff(spark, sf_dir):
 
 @query
 def tfidf_histogram(spark, sf_dir):
-    return tfidf.tfidf_histogram(b.counts_histogram(spark, sf_dir, "token_text"))
+    return tfidf.tfidf_histogram(_stored_counts(spark, sf_dir, "token_text"))
 
 
 @query
@@ -523,13 +532,13 @@ def tfidf_histogram_true_counts(spark, sf_dir):
 
 @query
 def tfidf_ks(spark, sf_dir):
-    hist = tfidf.tfidf_histogram(b.counts_histogram(spark, sf_dir, "token_type"))
-    return distance.ks_test(hist, b.languages(spark, sf_dir), b.DOCS_REFERENCE, exact=False)
+    hist = tfidf.tfidf_histogram(_stored_counts(spark, sf_dir, "token_type"))
+    return distance.ks_test(hist, merge.datasets_of(hist), b.DOCS_REFERENCE, exact=False)
 
 
 @query
 def key_density(spark, sf_dir):
-    hist = b.ratios_histogram(spark, sf_dir, "token_type")
+    hist = _stored_ratios(spark, sf_dir, "token_type")
     return distance.key_density(hist, ["de", "en"], b.DOCS_REFERENCE, ".", 0.2, exact=False)
 
 
@@ -545,9 +554,10 @@ def _with_broken_lines(spark, sf_dir):
     cut = F.when(
         F.col("toxic") & (F.col("token_num") == 0), F.regexp_replace("value", r"\]$", "")
     ).otherwise(F.col("value"))
-    return lines.join(toxic, "file_name", "left").select(
+    broken = lines.join(toxic, "file_name", "left").select(
         F.concat_ws("/", "dataset", "file_name").alias("path"), "dataset", "file_name", cut.alias("value")
     )
+    return materialize(broken, "dump-lines")
 
 
 @query
@@ -607,7 +617,7 @@ def packaged_files(spark, sf_dir):
 
 @query
 def constraint_report(spark, sf_dir):
-    return quality.constraint_report(tokenize(b.documents(spark, sf_dir), WORDS))
+    return quality.constraint_report(materialize(tokenize(b.documents(spark, sf_dir), WORDS), "tokens"))
 
 
 def _paths(spark, sf_dir):
@@ -635,7 +645,7 @@ def pending_files(spark, sf_dir):
 @query
 def idempotent_append(spark, sf_dir):
     path = scratch_path(spark, "token-table")
-    tokens = tokenize(b.documents(spark, sf_dir), WORDS)
+    tokens = materialize(tokenize(b.documents(spark, sf_dir), WORDS), "tokens")
     labelled = b.table(spark, sf_dir, "labels").select(F.col("doc_id").cast("string").alias("file_name"))
     incremental.append_tokens(spark, tokens.join(labelled, "file_name", "left_semi"), path)
     incremental.append_tokens(spark, tokens, path)

@@ -1,13 +1,17 @@
 """Token dumps and token tables."""
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glyphstat.functions.text import token_uuid
 from glyphstat.schemas import TOKENS
 
 # Fixed value: the printed form of a token.
-DUMP_LINE = r"\[@(\d+),(\d+):(-?\d+)='(.*)',<(.+)>,(?:channel=(\d+),)?(\d+):(\d+)\]"
+DUMP_LINE = r"(?s)\[@(\d+),(\d+):(-?\d+)='(.*)',<(.+)>,(?:channel=(\d+),)?(\d+):(\d+)\]"
+
+# Groups of the pattern with the token text, group 4, last.
+_ORDER = (1, 2, 3, 5, 6, 7, 8, 4)
+_SEPARATOR = "\x01"
 
 
 def read_dump(spark: SparkSession, path: str, dataset: str, pattern: str = "*.tokens") -> DataFrame:
@@ -25,20 +29,21 @@ def parse_dump(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Dump lines to (tokens, rejects). One unreadable line rejects its whole file."""
     line = F.trim("value")
     bad = lines.filter(~line.rlike(DUMP_LINE)).select("path").distinct()
-    good = lines.join(bad, "path", "left_anti")
-
-    def field(i: int):
-        return F.regexp_extract(line, DUMP_LINE, i)
+    # One match per line; the text comes last because only it can contain the separator.
+    joined = F.regexp_replace(line, f"(?s)^.*?{DUMP_LINE}.*$", _SEPARATOR.join(f"${i}" for i in _ORDER))
+    fields = F.split(joined, _SEPARATOR, len(_ORDER))
+    good = lines.join(bad, "path", "left_anti").withColumn("f", fields)
 
-    def number(i: int):
-        return F.nullif(field(i), F.lit("")).try_cast("int")
+    def number(i: int) -> Column:
+        return F.nullif(F.col("f")[i], F.lit("")).try_cast("int")
 
+    num, start, end, kind, channel, row, column, text = range(len(_ORDER))
     tokens = good.select(
-        token_uuid(F.col("dataset"), F.col("file_name"), number(1)).alias("uuid"),
-        "dataset", "file_name", number(1).alias("token_num"), number(2).alias("char_start"),
-        number(3).alias("char_end"), field(4).alias("token_text"),
-        F.translate(field(5), "'", "").alias("token_type"), number(6).alias("channel"),
-        number(7).alias("line"), number(8).alias("line_char"),
+        token_uuid(F.col("dataset"), F.col("file_name"), number(num)).alias("uuid"),
+        "dataset", "file_name", number(num).alias("token_num"), number(start).alias("char_start"),
+        number(end).alias("char_end"), F.col("f")[text].alias("token_text"),
+        F.translate(F.col("f")[kind], "'", "").alias("token_type"), number(channel).alias("channel"),
+        number(row).alias("line"), number(column).alias("line_char"),
     )
     return tokens, bad.select("path", F.lit("unparsable").alias("reason"))
 

@@ -10,10 +10,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glyphstat.functions.numeric import log_ratio, relative_difference
-from glyphstat.operators.merge import merge_outer
+from glyphstat.operators.merge import MAX_DATASETS, merge_outer
 from glyphstat.operators.quantiles import describe, quantiles
 
 
+# Keys a comma-separated list may name.
+MAX_LISTED = 100_000
+
 
 def _share() -> Column:
     return F.col("count") / F.col("total")
@@ -31,6 +34,8 @@ def comparison(
     hist: DataFrame, datasets: list[str], reference: str, min_count: int = 0
 ) -> DataFrame:
     """(key, dataset, count, ref_count, total, peak, ref_total, ref_peak), zeros included."""
+    if len(datasets) > MAX_DATASETS:
+        raise ValueError(f"more than {MAX_DATASETS} corpora")
     wide = merge_outer(hist, datasets, min_count=min_count)
     cells = F.explode(
         F.array(*[F.struct(F.lit(d).alias("dataset"), F.col(d).alias("count")) for d in datasets])
@@ -42,7 +47,7 @@ def comparison(
         F.sum("count").alias("total"), F.max("count").alias("peak"),
         F.sum("ref_count").alias("ref_total"), F.max("ref_count").alias("ref_peak"),
     )
-    # One row per corpus, and corpora are listed by name in the caller.
+    # One row per corpus, at most MAX_DATASETS.
     return grid.join(F.broadcast(totals), "dataset")
 
 
@@ -53,9 +58,11 @@ def _others(cells: DataFrame, reference: str) -> DataFrame:
 def vocab_gap(cells: DataFrame, list_keys: bool = False) -> DataFrame:
     """Keys each corpus lacks: how many, their part of the vocabulary and of the reference.
 
-    ``list_keys`` adds their comma-separated list and is meant for vocabularies of a fixed size such
-    as token types; ``absent_keys`` gives them as rows for any vocabulary.
+    ``list_keys`` adds their comma-separated list and fails on more than ``MAX_LISTED`` keys; it is
+    meant for vocabularies such as token types. ``absent_keys`` gives them as rows for any vocabulary.
     """
+    if list_keys and cells.select("key").distinct().limit(MAX_LISTED + 1).count() > MAX_LISTED:
+        raise ValueError(f"more than {MAX_LISTED} keys to list")
     columns = [
         F.count_if(_absent()).alias("missing"),
         (F.count_if(_absent()) / F.count(F.lit(1))).alias("missing_share"),
@@ -160,6 +167,12 @@ def shares(cells: DataFrame) -> DataFrame:
     return cells.select("key", "dataset", _share().alias("share"), _reference_share().alias("ref_share"))
 
 
+def reference_frequency(cells: DataFrame, reference: str) -> DataFrame:
+    """Share of every key in the reference, most frequent first."""
+    mine = cells.filter(F.col("dataset") == reference)
+    return mine.select("key", _share().alias("share")).orderBy(F.desc("share"), "key")
+
+
 def frequent(shares_: DataFrame, min_share: float = 1e-4) -> DataFrame:
     """Rows of keys whose share exceeds ``min_share`` in any corpus."""
     top = F.max("share").over(Window.partitionBy("key"))

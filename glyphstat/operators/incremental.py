@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from glyphstat.functions.text import path_stem
 from glyphstat.operators.counts import FILE
+from glyphstat.operators.merge import anti_join
 from glyphstat.schemas import MANIFEST, REJECTS, TOKENS
+from glyphstat.sources.scratch import materialize
 
 
 def manifest(paths: DataFrame, source_root: str, target_root: str, extension: str) -> DataFrame:
@@ -46,10 +48,12 @@ def load_rejects(spark: SparkSession, path: str) -> DataFrame:
 def new_files_only(tokens: DataFrame, existing: DataFrame) -> DataFrame:
     """Tokens of files the existing table does not have yet.
 
-    Each file has exactly one first token, so its rows identify the loaded files without a distinct.
+    Each file has exactly one first token, so first tokens identify files without a distinct. Only
+    they are joined; the files to leave out are few in a regular load and then broadcast.
     """
-    loaded = existing.filter(F.col("token_num") == 0).select(*FILE)
-    return tokens.join(loaded, FILE, "left_anti")
+    first = F.col("token_num") == 0
+    repeated = tokens.filter(first).select(*FILE).join(existing.filter(first).select(*FILE), FILE, "left_semi")
+    return anti_join(tokens, materialize(repeated, "loaded-files"), FILE)
 
 
 def append_tokens(spark: SparkSession, tokens: DataFrame, path: str) -> None:

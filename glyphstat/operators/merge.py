@@ -38,6 +38,16 @@ def melt(wide: DataFrame, datasets: list[str], ids: list[str], value: str = "cou
     return wide.unpivot(ids, datasets, "dataset", value)
 
 
+def arrange(wide: DataFrame, first: list[str]) -> DataFrame:
+    """The named columns first, the others in alphabetical order."""
+    return wide.select(*first, *sorted(c for c in wide.columns if c not in first))
+
+
+def row_totals(long: DataFrame, value: str) -> DataFrame:
+    """Sum and mean of each key's values over the corpora."""
+    return long.groupBy("key").agg(F.sum(value).alias("total"), F.avg(value).alias("mean"))
+
+
 def outer_join_pair(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     """Full outer join of two tables on one key column where a null key matches a null key."""
     other = right.withColumnRenamed(key, "_key")
@@ -45,6 +55,15 @@ def outer_join_pair(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     return joined.withColumn(key, F.coalesce(key, "_key")).drop("_key")
 
 
+def anti_join(large: DataFrame, small: DataFrame, on: list[str], limit: int = 500_000) -> DataFrame:
+    """Rows of ``large`` without a match, without moving them while ``small`` has few rows.
+
+    ``small`` is counted here, up to the limit, and best stored.
+    """
+    fits = small.limit(limit + 1).count() <= limit
+    return large.join(F.broadcast(small) if fits else small, on, "left_anti")
+
+
 def missing_keys(hist: DataFrame, dataset: str, other: str) -> DataFrame:
     """Keys of one corpus that another one lacks."""
     mine = hist.filter(F.col("dataset") == dataset).select("key")

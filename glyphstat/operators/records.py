@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glyphstat.operators.counts import BLOCK_TOKENS, FILE, file_counts
+from glyphstat.operators.counts import FILE
 from glyphstat.schemas import KINDS
 
 # Counted keys one record may hold; a file with more is written as several parts.
@@ -24,17 +24,21 @@ def _parts(counts: DataFrame, max_entries: int) -> DataFrame:
         .filter(F.col("_entries") > max_entries)
         .select(*FILE, F.ceil(F.col("_entries") / max_entries * 2).alias("_parts"))
     )
+    if large.isEmpty():
+        return counts.withColumn("part", F.lit(0))
     part = F.pmod(F.xxhash64("kind", "key"), F.coalesce("_parts", F.lit(1)))
     split = counts.join(large, FILE, "left").withColumn("part", part.cast("int")).drop("_parts")
     # Without this the parts of a large file would stay together in the join's partition.
     return split.repartition(*FILE, "part")
 
 
-def file_records(
-    tokens: DataFrame, pandas_na: bool = True, max_entries: int = MAX_ENTRIES, block: int = BLOCK_TOKENS
-) -> DataFrame:
-    """Records as maps. Parts of a large file share its id and length and split its keys."""
-    counts = _parts(file_counts(tokens, pandas_na, block), max_entries)
+def file_records(counts: DataFrame, heads: DataFrame, max_entries: int = MAX_ENTRIES) -> DataFrame:
+    """Records as maps, from counts of all kinds and the files' heads.
+
+    Parts of a large file share its id and length and split its keys. ``counts`` is read twice and
+    best stored.
+    """
+    counts = _parts(counts, max_entries)
     maps = [
         F.map_from_entries(
             F.collect_list(F.when(F.col("kind") == kind, F.struct("key", "n")))
@@ -42,7 +46,7 @@ def file_records(
         for kind in KINDS
     ]
     nested = counts.groupBy(*FILE, "part").agg(*maps)
-    return nested.join(file_heads(tokens), FILE).select(
+    return nested.join(heads, FILE).select(
         "id", F.col("file_name").alias("filename"), "dataset", "num_tokens", "part", *KINDS
     )
 

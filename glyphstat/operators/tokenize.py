@@ -14,10 +14,14 @@ from glyphstat.functions.lexing import EOF_TEXT, Profile
 from glyphstat.functions.text import escape_dump, token_uuid
 
 
-def lexemes(text: Column, profile: Profile) -> Column:
-    """All tokens of a text in order, closed by the end-of-file token."""
-    found = F.regexp_extract_all(text, F.lit(profile.pattern), F.lit(1))
-    return F.concat(F.array_remove(found, ""), F.array(F.lit(EOF_TEXT)))
+def found_tokens(text: Column, profile: Profile) -> Column:
+    """All tokens of a text in order, without the end-of-file token."""
+    return F.array_remove(F.regexp_extract_all(text, F.lit(profile.pattern), F.lit(1)), "")
+
+
+def n_tokens(found: Column) -> Column:
+    """Number of tokens with the end-of-file token."""
+    return (F.size(found) + 1).cast("bigint")
 
 
 def shown(raw: Column, profile: Profile) -> Column:
@@ -26,14 +30,22 @@ def shown(raw: Column, profile: Profile) -> Column:
 
 
 def _listed(docs: DataFrame, profile: Profile) -> DataFrame:
-    listed = docs.select("dataset", "file_name", lexemes(F.col("text"), profile).alias("t"))
-    return listed.withColumn("num_tokens", F.size("t").cast("bigint"))
+    listed = docs.filter(F.col("text").isNotNull()).select(
+        "dataset", "file_name", found_tokens(F.col("text"), profile).alias("found")
+    )
+    return listed.withColumn("num_tokens", n_tokens(F.col("found")))
+
+
+def _with_eof() -> Column:
+    # Appended inside the generator: exploding a plain column would make the optimizer add a filter
+    # on its size, which runs the lexer a second time.
+    return F.concat("found", F.array(F.lit(EOF_TEXT)))
 
 
 def document_tokens(docs: DataFrame, profile: Profile) -> DataFrame:
     """(dataset, file_name, num_tokens, token_num, token_text, token_type): what counting needs."""
     rows = _listed(docs, profile).select(
-        "dataset", "file_name", "num_tokens", F.posexplode("t").alias("token_num", "raw")
+        "dataset", "file_name", "num_tokens", F.posexplode(_with_eof()).alias("token_num", "raw")
     )
     return rows.select(
         "dataset", "file_name", "num_tokens", "token_num",
@@ -47,11 +59,13 @@ def document_pairs(docs: DataFrame, profile: Profile, all_pairs: bool = False) -
 
     The pair that ends in the last token is left out unless ``all_pairs`` is set.
     """
-    n = F.greatest(F.size("t") - (1 if all_pairs else 2), F.lit(0))
+    n = F.greatest(F.size("found") - (0 if all_pairs else 1), F.lit(0))
     pairs = _listed(docs, profile).select(
         "dataset", "file_name", "num_tokens",
         F.explode(
-            F.arrays_zip(F.slice("t", F.lit(1), n).alias("l"), F.slice("t", F.lit(2), n).alias("r"))
+            F.arrays_zip(
+                F.slice("found", F.lit(1), n).alias("l"), F.slice(_with_eof(), F.lit(2), n).alias("r")
+            )
         ).alias("p"),
     )
     return pairs.select(

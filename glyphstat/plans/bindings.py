@@ -8,9 +8,9 @@ from glyphstat.operators.counts import (
     FILE,
     corpus_histogram,
     count_histogram,
+    document_file_counts,
     document_keys,
     document_lengths,
-    file_key_counts,
     length_histogram,
     number_rows,
     ratio_histogram,
@@ -27,12 +27,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+def stored_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as files of the corpus of their language."""
-    docs = table(spark, sf_dir, "documents").select(
+    return table(spark, sf_dir, "documents").select(
         F.col("lang").alias("dataset"), F.col("doc_id").cast("string").alias("file_name"), "text"
     )
-    return spread_input(docs, "file_name")
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread_input(stored_documents(spark, sf_dir), "file_name")
 
 
 def languages(spark: SparkSession, sf_dir: str) -> list[str]:
@@ -66,8 +69,8 @@ def histogram(spark: SparkSession, sf_dir: str, kind: str, profile: Profile = WO
     return corpus_histogram(document_keys(documents(spark, sf_dir), profile, kind))
 
 
-def counts(spark: SparkSession, sf_dir: str, kind: str, with_length: bool = False) -> DataFrame:
-    return file_key_counts(document_keys(documents(spark, sf_dir), WORDS, kind), with_length)
+def counts(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
+    return document_file_counts(stored_documents(spark, sf_dir), WORDS, kind)
 
 
 def counts_histogram(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
@@ -75,7 +78,7 @@ def counts_histogram(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
 
 
 def ratios_histogram(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
-    return ratio_histogram(counts(spark, sf_dir, kind, with_length=True))
+    return ratio_histogram(counts(spark, sf_dir, kind))
 
 
 def lengths_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -104,7 +104,7 @@ def file_token_counts(spark, sf_dir):
 
 @query
 def file_value_counts(spark, sf_dir):
-    return b.counts(spark, sf_dir, "token_text")
+    return b.counts(spark, sf_dir, "token_text").drop("num_tokens")
 
 
 @query
@@ -144,6 +144,12 @@ def _event_tokens(spark, sf_dir):
     return materialize(b.events(spark, sf_dir).withColumn("uuid", uuid), "event-tokens")
 
 
+def _event_records(spark, sf_dir, **limits):
+    tokens = _event_tokens(spark, sf_dir)
+    counts = materialize(file_counts(tokens), "file-counts")
+    return records.file_records(counts, records.file_heads(tokens), **limits)
+
+
 def _listed(column: str):
     entries = F.array_sort(F.map_entries(column))
     shown = F.transform(entries, lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string")))
@@ -152,7 +158,7 @@ def _listed(column: str):
 
 @query
 def file_metric_record(spark, sf_dir):
-    made = records.file_records(_event_tokens(spark, sf_dir))
+    made = _event_records(spark, sf_dir)
     kinds = ["token_text", "token_type", "bigram_text", "bigram_type"]
     return made.select("id", "filename", "dataset", "num_tokens", *[_listed(k) for k in kinds])
 
@@ -160,7 +166,7 @@ def file_metric_record(spark, sf_dir):
 @query
 def file_record_parts(spark, sf_dir):
     # A small limit, so that files have several parts; the counts must not change.
-    made = records.file_records(_event_tokens(spark, sf_dir), max_entries=8)
+    made = _event_records(spark, sf_dir, max_entries=8)
     return records.record_counts(made, "bigram_type").groupBy("dataset", "file_name").agg(
         F.count(F.lit(1)).alias("n_keys"), F.sum("n").alias("n_pairs")
     )
@@ -168,7 +174,7 @@ def file_record_parts(spark, sf_dir):
 
 @query
 def index_documents(spark, sf_dir):
-    made = records.index_documents(records.file_records(_event_tokens(spark, sf_dir)))
+    made = records.index_documents(_event_records(spark, sf_dir))
     return made.select(
         "id", "filename", "dataset", "num_tokens",
         F.to_json("token_type").alias("token_type"), F.to_json("bigram_type").alias("bigram_type"),
@@ -278,6 +284,7 @@ def merge_survivors(spark, sf_dir):
 def melted(spark, sf_dir):
     datasets = b.languages(spark, sf_dir)
     wide = merge.merge_outer(b.histogram(spark, sf_dir, "token_type"), datasets)
+    wide = merge.arrange(wide, ["key", b.DOCS_REFERENCE])
     return merge.melt(wide, datasets, ["key"])
 
 
@@ -394,6 +401,16 @@ def share(spark, sf_dir):
     return _shares(spark, sf_dir, "token_text")
 
 
+@query
+def reference_frequency(spark, sf_dir):
+    return compare.reference_frequency(_cells(spark, sf_dir, "token_type"), b.DOCS_REFERENCE)
+
+
+@query
+def share_totals(spark, sf_dir):
+    return merge.row_totals(_shares(spark, sf_dir, "bigram_type"), "share")
+
+
 @query
 def frequent_shares(spark, sf_dir):
     return compare.frequent(_shares(spark, sf_dir, "bigram_type"))
@@ -562,12 +579,14 @@ def _with_broken_lines(spark, sf_dir):
 
 @query
 def token_dump_parse(spark, sf_dir):
-    return token_files.parse_dump(_with_broken_lines(spark, sf_dir))[0].drop("uuid")
+    lines = _with_broken_lines(spark, sf_dir)
+    rejects = materialize(token_files.unreadable_files(lines), "rejects")
+    return token_files.parse_dump(lines, rejects).drop("uuid")
 
 
 @query
 def reject_files(spark, sf_dir):
-    return token_files.parse_dump(_with_broken_lines(spark, sf_dir))[1]
+    return token_files.unreadable_files(_with_broken_lines(spark, sf_dir))
 
 
 @query
@@ -580,7 +599,7 @@ def token_csv_round_trip(spark, sf_dir):
 @query
 def record_json_round_trip(spark, sf_dir):
     path = scratch_path(spark, "records")
-    record_files.write(records.file_records(_event_tokens(spark, sf_dir)), path)
+    record_files.write(_event_records(spark, sf_dir), path)
     read, _ = record_files.read(spark, path)
     return length_histogram(records.record_lengths(read))
 
@@ -588,7 +607,7 @@ def record_json_round_trip(spark, sf_dir):
 @query
 def record_json_bigrams(spark, sf_dir):
     path = scratch_path(spark, "records")
-    record_files.write(records.file_records(_event_tokens(spark, sf_dir)), path)
+    record_files.write(_event_records(spark, sf_dir), path)
     read, _ = record_files.read(spark, path)
     return histogram_of_counts(records.record_counts(read, "bigram_text"))
 

@@ -418,6 +418,14 @@ _oracle("pct_diff_topk_bigrams", _cells("bigram_type"), _topk(100))
 _SHARES = "SELECT key, dataset, round(share, 9) AS share, round(ref_share, 9) AS ref_share FROM shares"
 _FREQUENT = "(SELECT key FROM shares GROUP BY key HAVING max(share) > 1e-4)"
 _oracle("share", _cells("token_text"), _SHARES)
+_oracle(
+    "reference_frequency", _cells("token_type"),
+    "SELECT key, round(share, 9) AS share FROM shares WHERE dataset = 'en'",
+)
+_oracle(
+    "share_totals", _cells("bigram_type"),
+    "SELECT key, round(sum(share), 9) AS total, round(avg(share), 9) AS mean FROM shares GROUP BY key",
+)
 _oracle("frequent_shares", _cells("bigram_type"), f"{_SHARES} WHERE key IN {_FREQUENT}")
 _oracle("log_ratio", _cells("token_text"), "SELECT key, dataset, round(log_ratio, 9) AS log_ratio FROM logs")
 _RANGE = "SELECT round(min(log_ratio), 9) AS y_min, round(max(log_ratio), 9) AS y_max FROM logs"

@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glyphstat.functions.text import token_uuid
+from glyphstat.operators.merge import anti_join
 from glyphstat.schemas import TOKENS
 
 # Fixed value: the printed form of a token.
@@ -25,27 +26,30 @@ def read_dump(spark: SparkSession, path: str, dataset: str, pattern: str = "*.to
     )
 
 
-def parse_dump(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Dump lines to (tokens, rejects). One unreadable line rejects its whole file."""
-    line = F.trim("value")
-    bad = lines.filter(~line.rlike(DUMP_LINE)).select("path").distinct()
+def unreadable_files(lines: DataFrame) -> DataFrame:
+    """(path, reason) of the files with a line that is no token."""
+    bad = lines.filter(~F.col("value").rlike(DUMP_LINE)).select("path").distinct()
+    return bad.select("path", F.lit("unparsable").alias("reason"))
+
+
+def parse_dump(lines: DataFrame, rejects: DataFrame) -> DataFrame:
+    """Dump lines to tokens. One unreadable line has put its whole file into ``rejects``."""
     # One match per line; the text comes last because only it can contain the separator.
-    joined = F.regexp_replace(line, f"(?s)^.*?{DUMP_LINE}.*$", _SEPARATOR.join(f"${i}" for i in _ORDER))
+    joined = F.regexp_replace("value", f"(?s)^.*?{DUMP_LINE}.*$", _SEPARATOR.join(f"${i}" for i in _ORDER))
     fields = F.split(joined, _SEPARATOR, len(_ORDER))
-    good = lines.join(bad, "path", "left_anti").withColumn("f", fields)
+    good = anti_join(lines, rejects.select("path"), ["path"]).withColumn("f", fields)
 
     def number(i: int) -> Column:
         return F.nullif(F.col("f")[i], F.lit("")).try_cast("int")
 
     num, start, end, kind, channel, row, column, text = range(len(_ORDER))
-    tokens = good.select(
+    return good.select(
         token_uuid(F.col("dataset"), F.col("file_name"), number(num)).alias("uuid"),
         "dataset", "file_name", number(num).alias("token_num"), number(start).alias("char_start"),
         number(end).alias("char_end"), F.col("f")[text].alias("token_text"),
         F.translate(F.col("f")[kind], "'", "").alias("token_type"), number(channel).alias("channel"),
         number(row).alias("line"), number(column).alias("line_char"),
     )
-    return tokens, bad.select("path", F.lit("unparsable").alias("reason"))
 
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:

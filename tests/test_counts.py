@@ -137,7 +137,7 @@ def test_excluded_prefix_concerns_one_corpus(spark):
 @pytest.mark.parametrize("limit", [3, 1_000_000])
 def test_records_hold_every_count(spark, files, tmp_path, limit):
     tokens = table(spark, files)
-    made = records.file_records(tokens, max_entries=limit)
+    made = records.file_records(file_counts(tokens), records.file_heads(tokens), max_entries=limit)
     record_files.write(made, str(tmp_path / "r"), max_lines=2)
     read, rejects = record_files.read(spark, str(tmp_path / "r"))
     assert rejects.count() == 0
@@ -155,7 +155,8 @@ def test_records_hold_every_count(spark, files, tmp_path, limit):
 
 
 def test_index_documents_reject_shared_ids(spark, files, tmp_path):
-    made = records.index_documents(records.file_records(table(spark, files)))
+    tokens = table(spark, files)
+    made = records.index_documents(records.file_records(file_counts(tokens), records.file_heads(tokens)))
     record_files.write_index(made, str(tmp_path / "ok"))
     assert record_files.read_index(spark, str(tmp_path / "ok")).count() == len(files)
     with pytest.raises(ValueError, match="duplicate"):

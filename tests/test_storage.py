@@ -88,12 +88,14 @@ def test_dump_round_trip_and_rejects(spark, tmp_path):
         (folder / f"{name}.tokens").write_text("\n".join(mine) + "\n", encoding="utf-8")
     (folder / "bad.tokens").write_text("[@0,0:0='a',<Identifier>,1:0]\nbroken\n[@1,1:0='<EOF>',<EOF>,1:1]\n")
     (folder / "blank.tokens").write_text("[@0,0:0='a',<Identifier>,1:0]\n\n")
-    parsed, rejects = token_files.parse_dump(token_files.read_dump(spark, str(folder), "D"))
+    dumped = token_files.read_dump(spark, str(folder), "D")
+    rejects = token_files.unreadable_files(dumped)
+    parsed = token_files.parse_dump(dumped, rejects)
     assert [r["path"].rsplit("/", 1)[1] for r in rejects.orderBy("path").collect()] == ["bad.tokens", "blank.tokens"]
     columns = [c for c in made.columns if c not in ("uuid", "file_name")]
     assert content(parsed, *columns) == content(made, *columns)
     line = spark.createDataFrame([("p", "D", "f", "  [@2,5:9='#if X',<Directive>,channel=1,7:0] ")], "path string, dataset string, file_name string, value string")
-    row = token_files.parse_dump(line)[0].first()
+    row = token_files.parse_dump(line, rejects).first()
     assert (row["token_text"], row["token_type"], row["channel"], row["line"], row["line_char"]) == ("#if X", "Directive", 1, 7, 0)
 
 

@@ -41,18 +41,19 @@ def number_rows(df: DataFrame, order: list[str], bucket: Column) -> DataFrame:
     tasks as it has buckets.
     """
     df = df.withColumn("_bucket", bucket)
+    keys = [*FILE, "_bucket"]
     in_order = Window.partitionBy(*FILE).orderBy("_bucket")
     offsets = (
-        df.groupBy(*FILE, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
-        .select(*FILE, "_bucket", (F.sum("_n").over(in_order) - F.col("_n")).alias("_before"))
-    )
-    within = Window.partitionBy(*FILE, "_bucket").orderBy(*order)
-    ranked = df.withColumn("_rank", F.row_number().over(within))
-    return (
-        ranked.join(offsets, [*FILE, "_bucket"])
-        .withColumn("token_num", F.col("_before") + F.col("_rank") - 1)
-        .drop("_bucket", "_before", "_rank")
+        df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+        .withColumn("_before", F.sum("_n").over(in_order) - F.col("_n"))
+        .select("_before", *[F.col(k).alias(f"_of_{k}") for k in keys])
     )
+    ranked = df.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+    # Rows without a bucket come first and have to find their offset too.
+    same = [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys]
+    return ranked.join(offsets, same).withColumn(
+        "token_num", F.col("_before") + F.col("_rank") - 1
+    ).drop("_rank", "_before", "_bucket", *[f"_of_{k}" for k in keys])
 
 
 def with_next(tokens: DataFrame, block: int = BLOCK_TOKENS, all_pairs: bool = False) -> DataFrame:

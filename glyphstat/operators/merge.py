@@ -55,13 +55,17 @@ def outer_join_pair(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     return joined.withColumn(key, F.coalesce(key, "_key")).drop("_key")
 
 
-def anti_join(large: DataFrame, small: DataFrame, on: list[str], limit: int = 500_000) -> DataFrame:
-    """Rows of ``large`` without a match, without moving them while ``small`` has few rows.
+def broadcast_if_small(side: DataFrame, limit: int = 500_000) -> DataFrame:
+    """A join side marked for broadcast if it has at most ``limit`` rows.
 
-    ``small`` is counted here, up to the limit, and best stored.
+    The side is counted here, up to the limit, and best stored.
     """
-    fits = small.limit(limit + 1).count() <= limit
-    return large.join(F.broadcast(small) if fits else small, on, "left_anti")
+    return F.broadcast(side) if side.limit(limit + 1).count() <= limit else side
+
+
+def anti_join(large: DataFrame, small: DataFrame, on: list[str]) -> DataFrame:
+    """Rows of ``large`` without a match, not moved while ``small`` has few rows."""
+    return large.join(broadcast_if_small(small), on, "left_anti")
 
 
 def missing_keys(hist: DataFrame, dataset: str, other: str) -> DataFrame:

@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glyphstat.operators.counts import FILE
+from glyphstat.operators.merge import broadcast_if_small
 from glyphstat.schemas import KINDS
 
 # Counted keys one record may hold; a file with more is written as several parts.
@@ -27,8 +28,8 @@ def _parts(counts: DataFrame, max_entries: int) -> DataFrame:
     if large.isEmpty():
         return counts.withColumn("part", F.lit(0))
     part = F.pmod(F.xxhash64("kind", "key"), F.coalesce("_parts", F.lit(1)))
-    split = counts.join(large, FILE, "left").withColumn("part", part.cast("int")).drop("_parts")
-    # Without this the parts of a large file would stay together in the join's partition.
+    split = counts.join(broadcast_if_small(large), FILE, "left").withColumn("part", part.cast("int")).drop("_parts")
+    # Parts of a large file must not stay together in one partition.
     return split.repartition(*FILE, "part")
 
 

@@ -60,7 +60,10 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("event_type").alias("token_text"), F.col("event_type").alias("token_type"),
         "ts", "event_id",
     )
-    return number_rows(rows, ["ts", "event_id"], F.date_trunc("minute", "ts")).select(
+    # Minutes since the epoch, without a time zone in between.
+    day = F.unix_date(F.to_date("ts"))
+    minute = (day * 24 + F.hour("ts")) * 60 + F.minute("ts")
+    return number_rows(rows, ["ts", "event_id"], minute).select(
         *FILE, "token_num", "token_text", "token_type"
     )
 

@@ -7,10 +7,13 @@ from pyspark.sql import types as T
 from glyphstat.functions.text import path_stem
 
 
-def write(hist: DataFrame, path: str, sort: str = "count") -> None:
-    """A folder per corpus whose files are sorted, and ordered among each other, by ``sort``."""
+def write(hist: DataFrame, path: str, sort: tuple[str, ...] = ("count", "key")) -> None:
+    """A folder per corpus whose files are sorted, and ordered among each other, by ``sort``.
+
+    ``sort`` ends in a unique column, as rows that tie cannot be split over files.
+    """
     (
-        hist.repartitionByRange("dataset", sort).sortWithinPartitions("dataset", sort)
+        hist.repartitionByRange("dataset", *sort).sortWithinPartitions("dataset", *sort)
         .write.partitionBy("dataset").option("header", True).option("escape", '"').csv(path)
     )
 

@@ -2,19 +2,25 @@
 
 import tempfile
 import uuid
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+@lru_cache
+def _local_dir(application: str) -> str:
+    return tempfile.mkdtemp(prefix="glyphstat-")
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors can reach; a local one only where the session names none."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
-        "spark.checkpoint.dir"
-    )
-    if not named:
-        named = tempfile.mkdtemp(prefix="glyphstat-")
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named
+    """The folder all executors can reach; a temporary one only in local mode without a setting."""
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+    if named:
+        return named
+    if not context.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return _local_dir(context.applicationId)
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

@@ -88,9 +88,12 @@ def test_spellings_of_missing_are_kept_on_request(spark, files):
 def test_numbering_does_not_depend_on_buckets(spark):
     rng = random.Random(5)
     times = [rng.randrange(10_000) for _ in range(2000)]
-    rows = [("A", "hot" if i % 3 else "cold", t, i) for i, t in enumerate(times)]
+    rows = [("A", "hot" if i % 3 else "cold", t if i % 50 else None, i) for i, t in enumerate(times)]
     frame = spark.createDataFrame(rows, "dataset string, file_name string, t int, i int")
-    order = {f: sorted((t, i) for _, g, t, i in rows if g == f) for f in ("hot", "cold")}
+    order = {
+        f: sorted(((t, i) for _, g, t, i in rows if g == f), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+        for f in ("hot", "cold")
+    }
     for width in (1, 60, 100_000):
         numbered = number_rows(frame, ["t", "i"], F.floor(F.col("t") / width)).collect()
         assert len(numbered) == len(rows)

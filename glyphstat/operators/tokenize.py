@@ -81,57 +81,32 @@ _POSITIONS = T.StructType([T.StructField(n, _INTS) for n in ("char_start", "line
 
 
 @F.pandas_udf(_POSITIONS)
-def _positions(
-    whole: pd.Series, token: pd.Series, whole_lines: pd.Series, token_lines: pd.Series,
-    whole_tail: pd.Series, skip_tail: pd.Series,
-) -> pd.DataFrame:
-    """Running sums over each document's matches; only integers cross to Python."""
+def _positions(match_size: pd.Series, token_size: pd.Series, line_size: pd.Series) -> pd.DataFrame:
+    """Running sums over each document's matches and lines; only lengths cross to Python."""
     starts, lines, columns = [], [], []
-    for size, tok, nl, tok_nl, tail, skipped in zip(
-        whole, token, whole_lines, token_lines, whole_tail, skip_tail, strict=True
-    ):
-        if size is None:
-            starts.append(None), lines.append(None), columns.append(None)
-            continue
-        end = np.cumsum(size)
-        start = end - tok
-        n_lines = np.cumsum(nl)
-        # First character of the line that is current at the end of each match.
-        line_start = np.maximum.accumulate(np.where(nl > 0, end - tail, 0))
-        before = np.concatenate(([0], line_start[:-1]))
+    for matches, tokens, line_sizes in zip(match_size, token_size, line_size, strict=True):
+        start = np.cumsum(matches) - tokens
+        line_start = np.concatenate(([0], np.cumsum(line_sizes[:-1] + 1)))
+        line = np.searchsorted(line_start, start, side="right")
         starts.append(start)
-        lines.append(1 + n_lines - tok_nl)
-        columns.append(np.where(nl > tok_nl, skipped, start - before))
+        lines.append(line)
+        columns.append(start - line_start[line - 1])
     return pd.DataFrame({"char_start": starts, "line": lines, "line_char": columns})
 
 
-def _breaks(text: Column) -> Column:
-    return F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))
-
-
-def _tail(text: Column) -> Column:
-    return F.length(F.substring_index(text, "\n", -1))
-
-
 def tokenize(docs: DataFrame, profile: Profile) -> DataFrame:
     """The full token table, with character span, line and column of every token."""
     pattern = F.lit(profile.pattern)
     text = F.col("text")
-    # A closing empty match stands for the end of the text, so every document has one.
-    matches = docs.select(
-        "dataset", "file_name", F.length(text).alias("size"), _breaks(text).alias("breaks"),
-        _tail(text).alias("tail"),
+    # The matches tile the text; a token is the end of its match.
+    matches = docs.filter(text.isNotNull()).select(
+        "dataset", "file_name", F.length(text).alias("size"),
+        F.transform(F.split(text, "\n"), F.length).alias("lines"),
         F.regexp_extract_all(text, pattern, F.lit(0)).alias("w"),
         F.regexp_extract_all(text, pattern, F.lit(1)).alias("t"),
     )
-    skipped = F.zip_with("w", "t", lambda w, t: F.substr(w, F.lit(1), F.length(w) - F.length(t)))
     placed = matches.select(
-        "*",
-        _positions(
-            F.transform("w", F.length), F.transform("t", F.length),
-            F.transform("w", _breaks), F.transform("t", _breaks),
-            F.transform("w", _tail), F.transform(skipped, _tail),
-        ).alias("p"),
+        "*", _positions(F.transform("w", F.length), F.transform("t", F.length), "lines").alias("p")
     )
     found = F.filter(
         F.arrays_zip(
@@ -142,7 +117,7 @@ def tokenize(docs: DataFrame, profile: Profile) -> DataFrame:
     )
     eof = F.struct(
         F.lit(EOF_TEXT).alias("raw"), F.col("size").alias("start"),
-        (F.col("breaks") + 1).alias("line"), F.col("tail").alias("line_char"),
+        F.size("lines").alias("line"), F.element_at("lines", -1).alias("line_char"),
     )
     rows = placed.select(
         "dataset", "file_name",

@@ -5,7 +5,7 @@ from pathlib import Path
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from glyphstat.llm import bpe, quality_forest
+from glyphstat.llm import bpe, quality_forest, superminhash
 
 BPE_FILE = "byte_bpe_50k.json"
 
@@ -18,6 +18,10 @@ def bpe_vocabulary() -> str:
     return Path(public_tokenizers.path(BPE_FILE)).read_text()
 
 
+def op4_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return superminhash.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
+
+
 def op7_quality_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     statistics = quality_forest.stats(table(spark, sf_dir, "documents"))
     forest = quality_forest.fit_labelled(statistics, table(spark, sf_dir, "labels"))
@@ -29,6 +33,7 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op4_superminhash": op4_superminhash,
     "op7_quality_forest": op7_quality_forest,
     "op9_bpe": op9_bpe,
 }

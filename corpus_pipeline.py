@@ -4,8 +4,9 @@ import os
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from glyphstat.llm import bpe, quality_forest
+from glyphstat.llm import bpe, line_dedup, mixing, quality_forest, superminhash
 from glyphstat.llm.queries import bpe_vocabulary, table
 
 
@@ -15,6 +16,33 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality_forest.keep_good(docs, forest)
 
 
+def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Delete blocks of lines that stand in an earlier document; drop documents that lose every word."""
+    found = line_dedup.without_common_blocks(docs)
+    stays = (F.col("n_removed") == 0) | F.col("kept_text").rlike(mixing.WORD)
+    names = docs.columns
+    changed = F.col("n_removed") > 0
+    return found.filter(stays).select(
+        *(
+            F.col("kept_text").alias("text") if name == "text"
+            else F.when(changed, F.length("kept_text").cast("long")).otherwise(F.col(name)).alias(name) if name == "n_chars"
+            else F.col(name)
+            for name in names
+        )
+    )
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep one document of each group of near copies."""
+    kept = superminhash.near_duplicates(docs).filter("NOT kept").select(F.col("doc_id").alias("gone_id")).distinct()
+    return docs.join(kept, F.col("doc_id").cast("long") == F.col("gone_id"), "left_anti")
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeat and cut documents until every source has its target of words."""
+    return mixing.mixed(docs)
+
+
 def bpe_round_trip(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every text, and the text that they decode to."""
     return bpe.round_trip(docs, bpe_vocabulary(), ["doc_id", "lang", "source"])
@@ -22,6 +50,9 @@ def bpe_round_trip(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 STAGES = [
     ("quality_rules", quality_rules),
+    ("line_dedup", line_dedup_stage),
+    ("near_dedup", near_dedup),
+    ("mix_sources", mix_sources),
     ("bpe_round_trip", bpe_round_trip),
 ]
 

@@ -4,8 +4,9 @@ from pathlib import Path
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from glyphstat.llm import bpe, quality_forest, superminhash
+from glyphstat.llm import bpe, line_dedup, mixing, quality_forest, superminhash
 
 BPE_FILE = "byte_bpe_50k.json"
 
@@ -18,6 +19,10 @@ def bpe_vocabulary() -> str:
     return Path(public_tokenizers.path(BPE_FILE)).read_text()
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_sizes(table(spark, sf_dir, "documents"))
+
+
 def op4_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return superminhash.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
@@ -28,12 +33,20 @@ def op7_quality_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_forest.judge(statistics, forest)
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.without_common_blocks(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    text = F.coalesce("kept_text", F.lit("")).cast("binary")
+    return found.select("doc_id", "n_lines", "n_removed", F.sha2(text, 256).alias("kept_sha256"))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(table(spark, sf_dir, "documents"), bpe_vocabulary())
 
 
 QUERIES = {
+    "op3_mixing": op3_mixing,
     "op4_superminhash": op4_superminhash,
     "op7_quality_forest": op7_quality_forest,
+    "op8_line_dedup": op8_line_dedup,
     "op9_bpe": op9_bpe,
 }

@@ -19,6 +19,7 @@ import heapq
 import json
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -36,9 +37,10 @@ _SPACE = regex.compile(r"\s+")
 
 # Characters of text that are looked at together, and pretokens that are remembered.
 PIECE_CHARS = 1 << 16
-MAX_CACHED = 300_000
+MAX_CACHED = 800_000
 
 _NO_MERGE = 1 << 60
+_NO_RANK = 1 << 30
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -62,12 +64,17 @@ class Bpe:
         pairs = [p.split(" ") if isinstance(p, str) else p for p in spec["model"]["merges"]]
         self.rank_of = {(vocab[left], vocab[right]): rank for rank, (left, right) in enumerate(pairs)}
         self.made = [vocab[left + right] for left, right in pairs]
+        self.byte_table, self.made_table = np.array(self.byte_ids, np.int64), np.array(self.made, np.int64)
+        keys = np.array([(left << 32) + right for left, right in self.rank_of], np.int64)
+        self.pair_ranks = np.argsort(keys)
+        self.pair_keys = keys[self.pair_ranks]
         self.max_token = max(map(len, self.bytes_of.values()))
         self.lookahead = self._lookahead()
         self.pattern = regex.compile(PATTERN)
         self.marks = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) or r"(?!)")
         self.text_of = {i: str(i) for i in self.bytes_of}
         self.cache: dict[str, tuple[int, ...]] = {}
+        self.chunk_cache: dict[str, tuple[int, ...]] = {}
 
     def _lookahead(self) -> int:
         """Bytes right of a token that can take part in deciding it."""
@@ -116,6 +123,66 @@ class Bpe:
                 heapq.heappush(heap, (r, before[i], i))
         return [token for token, there in zip(ids, alive, strict=True) if there]
 
+    def merge_many(self, words: list[bytes]) -> list[tuple[int, ...]]:
+        """Ids of many short pretokens: one merge in every unfinished word at a time."""
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        ids = self.byte_table[np.frombuffer(b"".join(words), np.uint8)]
+        word = np.repeat(np.arange(len(words)), sizes)
+        rank = self._ranks(ids, word, np.arange(len(ids)))
+        done_word, done_ids = [], []
+        while len(ids):
+            start = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
+            # The least rank of each word, and the leftmost place that has it.
+            best = np.minimum.reduceat((rank << 32) + np.arange(len(ids)), start)
+            found, at = best >> 32, best & 0xFFFFFFFF
+            open_ = found < _NO_RANK
+            ids[at[open_]] = self.made_table[found[open_]]
+            stays = np.repeat(open_, np.diff(np.append(start, len(ids))))
+            done_word.append(word[~stays])
+            done_ids.append(ids[~stays])
+            stays[at[open_] + 1] = False
+            place = np.cumsum(stays) - 1
+            ids, word, rank, at = ids[stays], word[stays], rank[stays], place[at[open_]]
+            changed = np.concatenate([at, at[at > 0] - 1])
+            rank[changed] = self._ranks(ids, word, changed)
+        done = np.concatenate([np.zeros(0, np.int64), *done_word])
+        order = np.argsort(done, kind="stable")
+        flat = np.concatenate([np.zeros(0, np.int64), *done_ids])[order].tolist()
+        ends = np.cumsum(np.bincount(done, minlength=len(words))).tolist()
+        return [tuple(flat[i:j]) for i, j in zip([0, *ends], ends, strict=False)]
+
+    def _ranks(self, ids: np.ndarray, word: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Ranks of the pairs that begin at these places."""
+        out = np.full(len(at), _NO_RANK, np.int64)
+        pairs = np.flatnonzero(at + 1 < len(ids))
+        pairs = pairs[word[at[pairs]] == word[at[pairs] + 1]]
+        keys = (ids[at[pairs]] << 32) + ids[at[pairs] + 1]
+        near = np.minimum(np.searchsorted(self.pair_keys, keys), len(self.pair_keys) - 1)
+        known = self.pair_keys[near] == keys if len(self.pair_keys) else np.zeros(len(keys), bool)
+        out[pairs[known]] = self.pair_ranks[near[known]]
+        return out
+
+    def prime(self, texts: list[str]) -> None:
+        """Encode together what the texts hold between spaces and is not remembered yet."""
+        seen = self.chunk_cache
+        new = [c for c in set().union(*(t.split(" ") for t in texts)) if c not in seen and 0 < len(c) <= 32]
+        new = [c for c in new if not (c[0].isspace() or c[-1].isspace())]
+        if len(seen) + len(new) > MAX_CACHED:
+            seen.clear()
+        if len(self.cache) + len(new) > MAX_CACHED:
+            self.cache.clear()
+        # Letters alone, or before a single mark, need no pattern.
+        split = [
+            [" " + c] if c.isalpha() else [" " + c[:-1], c[-1]] if c[-1] in ".," and c[:-1].isalpha()
+            else self.pattern.findall(" " + c)
+            for c in new
+        ]
+        words = list({w for tokens in split for w in tokens if w not in self.cache})
+        self.cache.update(zip(words, self.merge_many([w.encode() for w in words]), strict=True))
+        cache = self.cache
+        for chunk, tokens in zip(new, split, strict=True):
+            seen[chunk] = cache[tokens[0]] if len(tokens) == 1 else tuple(i for w in tokens for i in cache[w])
+
     def pretoken(self, text: str) -> tuple[int, ...]:
         """Ids of a whole pretoken, remembered if it is short."""
         ids = self.cache.get(text)
@@ -132,6 +199,43 @@ class Bpe:
                 ids = (*run.feed(data), *run.close())
         return ids
 
+    def ids(self, text: str) -> list[int]:
+        """Ids of a text, or of a part of one between two stable cuts."""
+        # A space between two other characters always begins a pretoken, so what lies between such
+        # spaces has its own ids. Other white space next to a space needs the whole pattern.
+        get, out = self.chunk_cache.get, []
+        first, *rest = text.split(" ")
+        if first:
+            if rest and first[-1].isspace():
+                return self._by_pattern(text)
+            out += self._by_pattern(first)
+        for at, chunk in enumerate(rest, 1):
+            ids = get(chunk)
+            if ids is None:
+                if not chunk or chunk[0].isspace() or (chunk[-1].isspace() and at < len(rest)):
+                    return self._by_pattern(text)
+                ids = tuple(self._by_pattern(" " + chunk))
+                if len(chunk) <= 32 and not chunk[-1].isspace():
+                    if len(self.chunk_cache) >= MAX_CACHED:
+                        self.chunk_cache.clear()
+                    self.chunk_cache[chunk] = ids
+            out += ids
+        return out
+
+    def _by_pattern(self, text: str) -> list[int]:
+        out: list[int] = []
+        for token in self.pattern.findall(text):
+            out += self.pretoken(token)
+        return out
+
+
+def stable_cut(text: str) -> int:
+    """The last place where a space between two other characters begins a pretoken, or 0."""
+    at = text.rfind(" ", 1, len(text) - 1)
+    while at > 0 and (text[at - 1].isspace() or text[at + 1].isspace()):
+        at = text.rfind(" ", 1, at)
+    return max(at, 0)
+
 
 class Run:
     """The ids of one pretoken whose bytes arrive in pieces."""
@@ -184,16 +288,16 @@ class Encoder:
                 return
             yield from self.run.close()
             self.run = None
-        tokens = self.bpe.pattern.findall(text, at)
-        if not last:
-            # The last two pretokens may still grow or be cut differently.
-            held = tokens[-2:]
-            del tokens[-2:]
-            self.tail = "".join(held)
-        cache, pretoken = self.bpe.cache, self.bpe.pretoken
-        for token in tokens:
-            ids = cache.get(token)
-            yield from pretoken(token) if ids is None else ids
+        text = text[at:]
+        cut = len(text) if last else stable_cut(text)
+        yield from self.bpe.ids(text[:cut])
+        self.tail = text[cut:]
+        if len(self.tail) > PIECE_CHARS:
+            # No such space for long: settle all but the last two pretokens, which may still change.
+            tokens = self.bpe.pattern.findall(self.tail)
+            for token in tokens[:-2]:
+                yield from self.bpe.pretoken(token)
+            self.tail = "".join(tokens[-2:])
         if len(self.tail) > PIECE_CHARS:
             yield from self._open_run()
 
@@ -225,9 +329,7 @@ def encode(bpe: Bpe, text: str) -> list[int]:
     for mark in [*bpe.marks.finditer(text), None]:
         end = mark.start() if mark else len(text)
         if end - start <= PIECE_CHARS:
-            get, pretoken = bpe.cache.get, bpe.pretoken
-            for token in bpe.pattern.findall(text, start, end):
-                ids += get(token) or pretoken(token)
+            ids += bpe.ids(text[start:end])
         else:
             ids += encode_pieces(bpe, (text[i : min(i + PIECE_CHARS, end)] for i in range(start, end, PIECE_CHARS)))
         if mark:
@@ -271,7 +373,9 @@ def round_trip(docs: DataFrame, vocabulary: str, keep: list[str]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(shared.value)
         for batch in chunks(batches):
-            ids = [encode(bpe, text or "") for text in batch.column("text").to_pylist()]
+            texts = [text or "" for text in batch.column("text").to_pylist()]
+            bpe.prime(texts)
+            ids = [encode(bpe, text) for text in texts]
             arrays = [
                 *(batch.column(name) for name in keep), pa.array(ids, pa.list_(pa.int32())),
                 pa.array([decode(bpe, x) for x in ids], pa.string()),
@@ -287,15 +391,17 @@ def round_trip_digests(docs: DataFrame, vocabulary: str) -> DataFrame:
     """``(doc_id, n_tokens, ids_sha256, decoded_sha256)``: what :func:`round_trip` returns, as digests."""
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
-    def digest(text: str | None) -> tuple[int, str, str]:
-        bpe = loaded(shared.value)
-        ids = encode(bpe, text or "")
+    def digest(bpe: Bpe, text: str) -> tuple[int, str, str]:
+        ids = encode(bpe, text)
         joined = ",".join(map(bpe.text_of.__getitem__, ids)).encode()
         return len(ids), hashlib.sha256(joined).hexdigest(), hashlib.sha256(decode(bpe, ids).encode()).hexdigest()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = loaded(shared.value)
         for batch in chunks(batches):
-            n, ids, decoded = zip(*map(digest, batch.column("text").to_pylist()), strict=True)
+            texts = [text or "" for text in batch.column("text").to_pylist()]
+            bpe.prime(texts)
+            n, ids, decoded = zip(*(digest(bpe, text) for text in texts), strict=True)
             arrays = [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids), pa.array(decoded)]
             yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 

@@ -6,10 +6,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphstat.llm import bpe, line_dedup, mixing, quality_forest, superminhash
+from glyphstat.llm import bpe, line_dedup, mixing, quality_forest, superminhash, topk, toxicity, url_filters
 
 BPE_FILE = "byte_bpe_50k.json"
 
+URL_RULES = [
+    ("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"),
+    ("block", "net", "/es/"), ("block", "net", "/fr/"),
+]
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -27,6 +32,15 @@ def op4_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return superminhash.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
 
+def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op7_quality_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     statistics = quality_forest.stats(table(spark, sf_dir, "documents"))
     forest = quality_forest.fit_labelled(statistics, table(spark, sf_dir, "labels"))
@@ -43,10 +57,19 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(table(spark, sf_dir, "documents"), bpe_vocabulary())
 
 
+def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    judged = url_filters.judge(pages.select("page_id", "url"), url_filters.links(pages.select("url", "html")), URL_RULES)
+    return judged.select("page.page_id", "host", "path", "rule", "verdict")
+
+
 QUERIES = {
     "op3_mixing": op3_mixing,
     "op4_superminhash": op4_superminhash,
+    "op5_topk": op5_topk,
+    "op6_toxicity": op6_toxicity,
     "op7_quality_forest": op7_quality_forest,
     "op8_line_dedup": op8_line_dedup,
     "op9_bpe": op9_bpe,
+    "op10_url_filters": op10_url_filters,
 }

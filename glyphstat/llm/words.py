@@ -18,6 +18,8 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _SEPARATOR = np.zeros(256, bool)
 _SEPARATOR[[9, 10, 11, 12, 13, 32]] = True
+_PUNCTUATION = _SEPARATOR.copy()
+_PUNCTUATION[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -63,24 +65,27 @@ def span_hashes(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.nd
 class Words:
     """The words of some texts (bytes; None is a text without words)."""
 
-    def __init__(self, texts: list):
+    def __init__(self, texts: list, punctuation: bool = False):
+        """With ``punctuation`` ASCII punctuation separates words too."""
         self.n = len(texts)
         self.raw = b"\n".join([t or b"" for t in texts]) + b"\n"
         data = np.frombuffer(self.raw, np.uint8)
         lengths = np.fromiter((len(t or b"") for t in texts), np.int64, self.n)
         self.text_start = np.concatenate([[0], np.cumsum(lengths + 1)])
-        inside = ~_SEPARATOR[data]
+        inside = ~(_PUNCTUATION if punctuation else _SEPARATOR)[data]
         edges = np.flatnonzero(np.diff(np.concatenate([[False], inside, [False]]).view(np.int8)))
         self.start, self.end = edges[0::2], edges[1::2]
         self.first = np.searchsorted(self.start, self.text_start)  # of each text, and the end
         self.doc = np.repeat(np.arange(self.n), np.diff(self.first))
         self.data = data
 
-    def hashes(self, lower: bool = False) -> np.ndarray:
+    def hashes(self, lower: bool = False, first_bytes: int | None = None) -> np.ndarray:
+        """A hash per word, with A-Z as a-z if ``lower``, of its first bytes only if so many are given."""
         data = self.data
         if lower:
             data = np.where((data >= 65) & (data <= 90), data + np.uint8(32), data)
-        return span_hashes(prefix_hashes(_BYTE[data]), self.start, self.end)
+        end = self.end if first_bytes is None else np.minimum(self.end, self.start + first_bytes)
+        return span_hashes(prefix_hashes(_BYTE[data]), self.start, end)
 
     def windows(self, hashes: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
         """Hash of the ``width`` words from each word on, and whether they end in the same text."""

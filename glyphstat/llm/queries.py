@@ -6,7 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphstat.llm import bpe, line_dedup, mixing, quality_forest, superminhash, topk, toxicity, url_filters
+from glyphstat.llm import (
+    bpe, line_dedup, mixing, phrase_dedup, quality_forest, suffix_dedup, superminhash, topk, toxicity, url_filters,
+)
 
 BPE_FILE = "byte_bpe_50k.json"
 
@@ -24,6 +26,14 @@ def bpe_vocabulary() -> str:
     return Path(public_tokenizers.path(BPE_FILE)).read_text()
 
 
+def op1_phrase_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrase_dedup.without_repeats(table(spark, sf_dir, "documents"), digests=True)
+
+
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.without_repeats(table(spark, sf_dir, "documents"), digests=True)
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sizes(table(spark, sf_dir, "documents"))
 
@@ -64,6 +74,8 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_phrase_dedup": op1_phrase_dedup,
+    "op2_suffix_dedup": op2_suffix_dedup,
     "op3_mixing": op3_mixing,
     "op4_superminhash": op4_superminhash,
     "op5_topk": op5_topk,

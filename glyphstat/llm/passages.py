@@ -11,20 +11,23 @@ the number of blocks and not by the number of documents that share a passage.
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-# Bytes of text per block, and bytes of gathered stretches per shard.
+# Bytes of text per block, and per shard of the stretches that are compared.
 BLOCK_BYTES = 4_000_000
 SHARD_BYTES = 2_000_000
 
 _LAST = (1 << 63) - 1
 
 
-def dealt(docs: DataFrame, block_bytes: int) -> DataFrame:
+def text_bytes(docs: DataFrame) -> int:
+    return docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+
+
+def dealt(docs: DataFrame, n_blocks: int) -> DataFrame:
     """``(doc_id, at, fp, text, block)``: documents in order of (at, fp), a missing id last."""
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n_blocks = max(1, -(-size // block_bytes))
     return docs.select(
         F.col("doc_id").cast("long"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("at"),
         F.xxhash64("text").alias("fp"), "text",
@@ -122,11 +125,33 @@ def stretch_table(block: int, docs: Block, doc, hashes, start, n, texts: list) -
     )
 
 
-def in_shards(stretches: DataFrame, shard_bytes: int):
-    """Stretches around one anchor, and so all equal windows, meet in one shard."""
-    size = stretches.agg(F.sum(F.octet_length("stretch"))).first()[0] or 0
-    shard = F.pmod(F.xxhash64("h"), F.lit(max(1, -(-size // shard_bytes))))
-    return stretches.filter("stretch IS NOT NULL").withColumn("shard", shard).groupBy("shard")
+def in_shards(stretches: DataFrame, n_shards: int):
+    """Stretches around one anchor, and so all equal windows, meet in one shard.
+
+    Rows without a stretch are marks already; they are spread evenly and only pass through.
+    """
+    key = F.when(F.col("stretch").isNotNull(), F.xxhash64("h")).otherwise(F.xxhash64("at", "start"))
+    return stretches.withColumn("shard", F.pmod(key, F.lit(n_shards))).groupBy("shard")
+
+
+def settled(table: pa.Table) -> tuple[pa.Table, pa.Table]:
+    """The rows of a shard with a stretch, and the others as marks."""
+    marked = pc.is_null(table.column("stretch"))
+    return table.filter(pc.invert(marked)), table.filter(marked).select(["block", "at", "fp", "start", "n"])
+
+
+def repeated(docs: DataFrame, steps, block_bytes: int, shard_bytes: int):
+    """Documents in blocks next to the marks of what is removed from them.
+
+    ``steps`` are the functions that make a block's anchors, a block's stretches and a shard's marks.
+    All is one plan, in which the texts are moved once and read three times.
+    """
+    size = text_bytes(docs)
+    blocks = dealt(docs, max(1, -(-size // block_bytes))).groupBy("block")
+    anchors = recurring(blocks.applyInArrow(steps[0], ANCHORS))
+    stretches = blocks.cogroup(anchors.groupBy("block")).applyInArrow(steps[1], STRETCHES)
+    marks = in_shards(stretches, max(1, -(-size // shard_bytes))).applyInArrow(steps[2], MARKS)
+    return blocks.cogroup(marks.groupBy("block"))
 
 
 def runs(flags: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -18,7 +18,6 @@ from pyspark.sql import DataFrame
 
 from glyphstat.llm import passages
 from glyphstat.llm.passages import Block
-from glyphstat.llm.storage import cut
 from glyphstat.llm.words import Words, covered, prefix_hashes, sha256, span_hashes
 
 WINDOW = 20
@@ -115,6 +114,7 @@ def repeated_windows(stretches: list[bytes], order: np.ndarray) -> np.ndarray:
 
 def shard_marks(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     """Marks of the shard's windows that stand earlier."""
+    table, marked = passages.settled(table)
     at, fp, start, n, block = (table.column(c).to_numpy() for c in ("at", "fp", "start", "n", "block"))
     order = np.lexsort((start, fp, at))
     at, fp, start, n, block = at[order], fp[order], start[order], n[order], block[order]
@@ -129,10 +129,11 @@ def shard_marks(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     flags = repeated_windows([texts[i] for i in once], np.arange(bounds[-1]))
     owner, offset, length = passages.runs(flags, bounds)
     rows = np.concatenate([copies, once[owner]])
-    return passages.mark_table(
+    found = passages.mark_table(
         block[rows], at[rows], fp[rows], np.concatenate([start[copies], start[once[owner]] + offset]),
         np.concatenate([n[copies], length]),
     )
+    return pa.concat_tables([marked, found])
 
 
 def block_result(key: tuple[pa.Scalar, ...], table: pa.Table, marks: pa.Table) -> pa.Table:
@@ -171,13 +172,7 @@ def without_repeats(
     block_bytes: int = passages.BLOCK_BYTES, shard_bytes: int = passages.SHARD_BYTES,
 ) -> DataFrame:
     """``(doc_id, n_words, n_removed, kept)``, or ``kept_sha256`` in place of ``kept`` with ``digests``."""
-    dealt = passages.dealt(docs, block_bytes)
-    blocks = dealt.groupBy("block")
-    anchors = passages.recurring(blocks.applyInArrow(block_anchors, passages.ANCHORS))
-    stretches = cut(blocks.cogroup(anchors.groupBy("block")).applyInArrow(block_stretches, passages.STRETCHES))
-    found = passages.in_shards(stretches, shard_bytes).applyInArrow(shard_marks, passages.MARKS)
-    marks = found.union(stretches.filter("stretch IS NULL").select("block", "at", "fp", "start", "n"))
-    pairs = blocks.cogroup(marks.groupBy("block"))
+    pairs = passages.repeated(docs, (block_anchors, block_stretches, shard_marks), block_bytes, shard_bytes)
     if digests:
         return pairs.applyInArrow(_digested, "doc_id long, n_words long, n_removed long, kept_sha256 string")
     return pairs.applyInArrow(block_result, "doc_id long, n_words long, n_removed long, kept binary")

@@ -20,7 +20,6 @@ from pyspark.sql import DataFrame
 
 from glyphstat.llm import passages
 from glyphstat.llm.passages import Block
-from glyphstat.llm.storage import cut
 from glyphstat.llm.words import _BYTE as BYTE_VALUES
 from glyphstat.llm.words import mix, prefix_hashes, sha256, span_hashes
 
@@ -176,6 +175,7 @@ def repeated_windows(stretches: list[bytes], anchors: np.ndarray) -> tuple[np.nd
 
 def shard_marks(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     """Marks of the shard's windows that stand in another place too."""
+    table, marked = passages.settled(table)
     at, fp, start, n, block, h = (table.column(c).to_numpy() for c in ("at", "fp", "start", "n", "block", "h"))
     texts = table.column("stretch").to_pylist()
     place: dict[bytes, int] = {}
@@ -188,10 +188,11 @@ def shard_marks(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     # Equal stretches are removed whole, so what is left are stretches of one place.
     single = ~whole[first[owner]]
     rows = np.concatenate([np.flatnonzero(whole), first[owner[single]]])
-    return passages.mark_table(
+    found = passages.mark_table(
         block[rows], at[rows], fp[rows], np.concatenate([start[whole], start[first[owner[single]]] + offset[single]]),
         np.concatenate([n[whole], length[single]]),
     )
+    return pa.concat_tables([marked, found])
 
 
 def anchor_places(stretches: list[bytes], h: np.ndarray) -> np.ndarray:
@@ -245,13 +246,7 @@ def without_repeats(
     block_bytes: int = passages.BLOCK_BYTES, shard_bytes: int = passages.SHARD_BYTES,
 ) -> DataFrame:
     """``(doc_id, n_bytes, n_removed, n_spans, kept)``, or ``kept_sha256`` in place of ``kept``."""
-    dealt = passages.dealt(docs, block_bytes)
-    blocks = dealt.groupBy("block")
-    anchors = passages.recurring(blocks.applyInArrow(block_anchors, passages.ANCHORS))
-    stretches = cut(blocks.cogroup(anchors.groupBy("block")).applyInArrow(block_stretches, passages.STRETCHES))
-    found = passages.in_shards(stretches, shard_bytes).applyInArrow(shard_marks, passages.MARKS)
-    marks = found.union(stretches.filter("stretch IS NULL").select("block", "at", "fp", "start", "n"))
-    pairs = blocks.cogroup(marks.groupBy("block"))
+    pairs = passages.repeated(docs, (block_anchors, block_stretches, shard_marks), block_bytes, shard_bytes)
     kept = "kept_sha256 string" if digests else "kept binary"
     return pairs.applyInArrow(
         _digested if digests else block_result, f"doc_id long, n_bytes long, n_removed long, n_spans long, {kept}"

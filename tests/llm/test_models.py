@@ -26,7 +26,7 @@ def mix_rows():
     for k, source in enumerate(["b", "a", "é", None, "Z", "hot"]):
         for i in range(200 if source == "hot" else 12 * (k + 1)):
             rows.append((1000 * k + i, source, " ".join(["w"] * rng.randint(0, 90)), 5, "x"))
-    return [*rows, (1, "a", None, 5, "x"), (None, "a", "one two", 5, "x"), (3, "empty", "", 5, "x"), rows[3]]
+    return [*rows, (91, "a", None, 5, "x"), (None, "a", "one two", 5, "x"), (93, "empty", "", 5, "x"), rows[3]]
 
 
 def brute_targets(sizes: dict) -> dict:

@@ -1,15 +1,7 @@
 """Significance of the two-sample Kolmogorov-Smirnov statistic."""
 
-from functools import lru_cache
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
-
-# Sample size up to which the exact distribution is used.
-EXACT_LIMIT = 10_000
 
 _TERMS = 25
 
@@ -25,82 +17,7 @@ def _tail(z: Column) -> Column:
     return F.when(z < 0.2, F.lit(1.0)).otherwise(F.least(F.greatest(series, F.lit(0.0)), F.lit(1.0)))
 
 
-def _effective(n: Column, m: Column) -> Column:
-    # Divide first: the product of two large counts would not fit a BIGINT.
-    return n / (n + m) * m
-
-
 def p_series(d: Column, n: Column, m: Column) -> Column:
     """Limiting p-value."""
-    return _tail(d * F.sqrt(_effective(n, m)))
-
-
-def p_large(d: Column, n: Column, m: Column) -> Column:
-    """Limiting p-value with the finite-size terms of order 1/sqrt(N) and 1/N."""
-    size = F.greatest(F.rint(_effective(n, m)), F.lit(1.0))
-    z = d * F.sqrt(size)
-    return _tail(z + 1 / (6 * F.sqrt(size)) + (z - 1) / (4 * size))
-
-
-@lru_cache(maxsize=64)
-def _log_factorials(n: int) -> np.ndarray:
-    return np.concatenate(([0.0], np.cumsum(np.log(np.arange(1, n + 1)))))
-
-
-@lru_cache(maxsize=100_000)
-def exceedance(n: int, m: int, h: int) -> float:
-    """P(max |i*m - j*n| >= h) over all orderings of n and m equal observations.
-
-    An ordering is a lattice path over (i, j). Row by row, paths inside the band are counted by a
-    running sum and each first step out of the band adds the share of paths that take it, so small
-    probabilities are sums of positive terms.
-    """
-    if h <= 0:
-        return 1.0
-    n, m = min(n, m), max(n, m)
-    log_f = _log_factorials(n + m)
-    log_all = log_f[n + m] - log_f[n] - log_f[m]
-
-    def finishing(i: int, j: np.ndarray | int):
-        """Log share of one path to (i, j) among all orderings, times its completions."""
-        return log_f[n - i + m - j] - log_f[n - i] - log_f[m - j] - log_all
-
-    low, scale, lost = 0, 0.0, 0.0
-    paths = None
-    for i in range(n + 1):
-        first = max((i * m - h) // n + 1, 0)
-        last = min(-((-i * m - h) // n) - 1, m)
-        if paths is None:
-            paths = np.ones(last + 1)
-        else:
-            gone = paths[: first - low]
-            if len(gone):
-                lost += (gone * np.exp(scale + finishing(i, np.arange(low, low + len(gone))))).sum()
-            if first > last:
-                return float(min(lost, 1.0))
-            entering = np.zeros(last - first + 1)
-            kept = paths[first - low :]
-            entering[: len(kept)] = kept
-            paths = np.cumsum(entering)
-            if paths[-1] > 1e200:
-                scale += np.log(paths[-1])
-                paths = paths / paths[-1]
-        low = first
-        if last < m and paths[-1] > 0:
-            lost += paths[-1] * np.exp(scale + finishing(i, last + 1))
-    return float(min(lost, 1.0))
-
-
-@F.pandas_udf(DoubleType())
-def _exceedance(n: pd.Series, m: pd.Series, h: pd.Series) -> pd.Series:
-    return pd.Series([exceedance(*map(int, row)) for row in zip(n, m, h, strict=True)], dtype=float)
-
-
-def p_exact(d: Column, n: Column, m: Column) -> Column:
-    """Exact p-value for samples of at most ``EXACT_LIMIT``; the finite-size series beyond."""
-    small = F.greatest(n, m) <= EXACT_LIMIT
-    one = F.lit(1).cast("bigint")
-    # Rows that need no walk get the smallest one.
-    h = F.when(small, F.rint(d * n * m).cast("bigint")).otherwise(one)
-    exact = _exceedance(F.when(small, n).otherwise(one), F.when(small, m).otherwise(one), h)
-    return F.when(small, exact).otherwise(p_large(d, n, m))
+    # Divide first: the product of two large counts would not fit a BIGINT.
+    return _tail(d * F.sqrt(n / (n + m) * m))

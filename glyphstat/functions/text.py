@@ -25,9 +25,9 @@ def bigram_key(left: Column, right: Column) -> Column:
     return F.concat_ws(BIGRAM_SEPARATOR, left, right)
 
 
-def token_uuid(dataset: Column, file_name: Column, token_num: Column) -> Column:
+def token_uuid(dataset: Column, path: Column, token_num: Column) -> Column:
     """A 36-character id that is the same on every attempt of a task."""
-    digest = F.md5(F.concat_ws("|", dataset, file_name, token_num.cast("string")))
+    digest = F.md5(F.concat_ws("|", dataset, path, token_num.cast("string")))
     cuts = [(1, 8), (9, 4), (13, 4), (17, 4), (21, 12)]
     return F.concat_ws("-", *[F.substring(digest, start, size) for start, size in cuts])
 
@@ -44,6 +44,16 @@ def escape_dump(text: Column) -> Column:
     return text
 
 
+def base_name(path: Column) -> Column:
+    return F.element_at(F.split(path, "/"), -1)
+
+
+def decoded_path(uri: Column) -> Column:
+    """A path as it is listed: without a file scheme, percent escapes decoded, plus signs kept."""
+    plain = F.regexp_replace(uri, r"^file:/+", "/")
+    return F.url_decode(F.replace(plain, F.lit("+"), F.lit("%2B")))
+
+
 def path_stem(name: Column) -> Column:
     """File name without its last extension; a leading dot does not start an extension."""
     return F.regexp_replace(name, r"(?<=.)\.[^.]+$", "")

@@ -14,8 +14,6 @@ from glyphstat.operators.merge import MAX_DATASETS, merge_outer
 from glyphstat.operators.quantiles import describe, quantiles
 
 
-# Keys a comma-separated list may name.
-MAX_LISTED = 100_000
 
 
 def _share() -> Column:
@@ -55,21 +53,19 @@ def _others(cells: DataFrame, reference: str) -> DataFrame:
     return cells.filter(F.col("dataset") != reference)
 
 
-def vocab_gap(cells: DataFrame, list_keys: bool = False) -> DataFrame:
+def vocab_gap(cells: DataFrame, listed: list[str] | None = None) -> DataFrame:
     """Keys each corpus lacks: how many, their part of the vocabulary and of the reference.
 
-    ``list_keys`` adds their comma-separated list and fails on more than ``MAX_LISTED`` keys; it is
-    meant for vocabularies such as token types. ``absent_keys`` gives them as rows for any vocabulary.
+    ``listed`` adds those of the given keys that are absent, separated by commas; ``absent_keys`` gives
+    all of them as rows.
     """
-    if list_keys and cells.select("key").distinct().limit(MAX_LISTED + 1).count() > MAX_LISTED:
-        raise ValueError(f"more than {MAX_LISTED} keys to list")
     columns = [
         F.count_if(_absent()).alias("missing"),
         (F.count_if(_absent()) / F.count(F.lit(1))).alias("missing_share"),
         (F.sum(F.when(_absent(), F.col("ref_count")).otherwise(0)) / F.max("ref_total")).alias("used_share"),
     ]
-    if list_keys:
-        absent = F.collect_list(F.when(_absent(), F.col("key")))
+    if listed is not None:
+        absent = F.collect_list(F.when(_absent() & F.col("key").isin(listed), F.col("key")))
         columns.append(F.array_join(F.array_sort(absent), ", ").alias("tokens"))
     return cells.groupBy("dataset").agg(*columns).orderBy("used_share", "dataset")
 

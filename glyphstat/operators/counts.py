@@ -1,7 +1,7 @@
 """Occurrences, counts per file and histograms over files.
 
-The relations build on each other: occurrences ``(dataset, file_name, key)`` are counted per file
-``(dataset, file_name, key, n)`` or per corpus ``(dataset, key, count)``, and counts per file are
+A file is its path within a corpus; base names repeat. The relations build on each other: occurrences
+``(dataset, path, key)`` are counted per file ``(dataset, path, key, n)`` or per corpus ``(dataset, key, count)``, and counts per file are
 counted again into the number of files per count ``(dataset, key, num, n_files)``. Every step is a
 hash aggregation with a map-side part, so a key or file that dominates the data costs one partial
 row per task.
@@ -12,11 +12,19 @@ from pyspark.sql import functions as F
 
 from glyphstat.functions.lexing import Profile
 from glyphstat.functions.numeric import scaled
-from glyphstat.functions.text import bigram_key, fill_unknown
-from glyphstat.operators.tokenize import document_pairs, document_tokens, found_tokens, n_tokens
+from glyphstat.functions.text import base_name, bigram_key, fill_unknown
+from glyphstat.operators.tokenize import (
+    document_pairs,
+    document_tokens,
+    found_tokens,
+    listed_tokens,
+    n_tokens,
+    shown,
+    with_eof,
+)
 from glyphstat.schemas import KINDS
 
-FILE = ["dataset", "file_name"]
+FILE = ["dataset", "path"]
 
 # Rows of one file that share a task when neighbours are paired.
 BLOCK_TOKENS = 100_000
@@ -24,7 +32,7 @@ BLOCK_TOKENS = 100_000
 
 def exclude_files(df: DataFrame, dataset: str, prefix: str) -> DataFrame:
     """Drop one corpus' files whose name starts with ``prefix``."""
-    return df.filter(~((F.col("dataset") == dataset) & F.col("file_name").startswith(prefix)))
+    return df.filter(~((F.col("dataset") == dataset) & base_name(F.col("path")).startswith(prefix)))
 
 
 def _filled(tokens: DataFrame, pandas_na: bool) -> DataFrame:
@@ -90,7 +98,7 @@ def with_next(tokens: DataFrame, block: int = BLOCK_TOKENS, all_pairs: bool = Fa
 def token_keys(
     tokens: DataFrame, kind: str, pandas_na: bool = True, block: int = BLOCK_TOKENS, all_pairs: bool = False
 ) -> DataFrame:
-    """(dataset, file_name, key): one row per occurrence of a text, type or pair of them."""
+    """(dataset, path, key): one row per occurrence of a text, type or pair of them."""
     tokens = _filled(tokens, pandas_na)
     if kind.startswith("token_"):
         return tokens.select(*FILE, F.col(kind).alias("key"))
@@ -114,14 +122,32 @@ def document_keys(docs: DataFrame, profile: Profile, kind: str, pandas_na: bool
     return document_pairs(docs, profile).select(*FILE, "num_tokens", bigram_key(left, right).alias("key"))
 
 
+def listed_keys(docs: DataFrame, profile: Profile, kind: str, pandas_na: bool = True) -> DataFrame:
+    """(dataset, path, num_tokens, keys): the occurrences of ``document_keys`` as one array per document."""
+    listed = listed_tokens(docs, profile)
+    column = kind.removeprefix("token_").removeprefix("bigram_")
+
+    def value(raw: Column) -> Column:
+        made = shown(raw, profile) if column == "text" else profile.classify(raw)
+        return fill_unknown(made, pandas_na)
+
+    keys = F.transform(with_eof(), value)
+    if kind.startswith("bigram_"):
+        n = F.greatest(F.size("found") - 1, F.lit(0))
+        pairs = F.arrays_zip(F.slice("values", F.lit(1), n).alias("l"), F.slice("values", F.lit(2), n).alias("r"))
+        listed = listed.withColumn("values", keys)
+        keys = F.transform(pairs, lambda p: bigram_key(p["l"], p["r"]))
+    return listed.select(*FILE, "num_tokens", keys.alias("keys"))
+
+
 def file_key_counts(keys: DataFrame, with_length: bool = False) -> DataFrame:
-    """(dataset, file_name, key, n), with ``num_tokens`` where the occurrences carry it."""
+    """(dataset, path, key, n), with ``num_tokens`` where the occurrences carry it."""
     length = ["num_tokens"] if with_length else []
     return keys.groupBy(*FILE, *length, "key").agg(F.count(F.lit(1)).alias("n"))
 
 
 def file_counts(tokens: DataFrame, pandas_na: bool = True, block: int = BLOCK_TOKENS) -> DataFrame:
-    """All four kinds of counts of every file in one pass: (dataset, file_name, kind, key, n)."""
+    """All four kinds of counts of every file in one pass: (dataset, path, kind, key, n)."""
     wide = with_next(_filled(tokens, pandas_na), block)
     keys = {
         "token_text": F.col("token_text"),
@@ -144,13 +170,25 @@ def file_counts(tokens: DataFrame, pandas_na: bool = True, block: int = BLOCK_TO
 def document_file_counts(
     docs: DataFrame, profile: Profile, kind: str, pandas_na: bool = True
 ) -> DataFrame:
-    """(dataset, file_name, num_tokens, key, n) straight from documents.
+    """(dataset, path, num_tokens, key, n) straight from documents, one document per file.
 
-    Documents are placed by file before they are lexed. The counts then need no shuffle, and a text
-    is several times smaller than its counts.
+    A document's keys are counted inside its row: they are sorted, and the distances between the
+    places where the sorted key changes are the counts. Nothing is moved.
     """
-    placed = docs.repartition("file_name")
-    return file_key_counts(document_keys(placed, profile, kind, pandas_na), with_length=True)
+    sorted_ = listed_keys(docs, profile, kind, pandas_na).withColumn("keys", F.array_sort("keys"))
+    starts = F.filter(
+        F.sequence(F.lit(1), F.size("keys")),
+        lambda i: (i == 1) | (F.element_at("keys", i) != F.element_at("keys", F.greatest(i - 1, F.lit(1)))),
+    )
+    placed = sorted_.filter(F.size("keys") > 0).withColumn("starts", starts)
+    counted = F.transform(
+        "starts",
+        lambda p, j: F.struct(
+            F.element_at("keys", p).alias("key"),
+            (F.coalesce(F.get("starts", j + 1), F.size("keys") + 1) - p).cast("bigint").alias("n"),
+        ),
+    )
+    return placed.select(*FILE, "num_tokens", F.inline(counted))
 
 
 def corpus_histogram(keys: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from glyphstat.functions.kolmogorov import p_exact, p_series
+from glyphstat.functions.kolmogorov import p_series
 from glyphstat.functions.numeric import ratio, relative_difference, scaled, unscaled
 from glyphstat.operators.merge import merge_outer
 from glyphstat.operators.quantiles import describe
@@ -134,13 +134,11 @@ def kernel_density(
     )
 
 
-def ks_test(
-    hist: DataFrame, datasets: list[str], reference: str, exact: bool = True
-) -> DataFrame:
+def ks_test(hist: DataFrame, datasets: list[str], reference: str) -> DataFrame:
     """Two-sample Kolmogorov-Smirnov test of every (key, corpus) against the reference.
 
     (key, dataset, n, n_ref, statistic, p_value), without keys that either sample lacks. The p-value
-    is exact for samples up to 10,000 files or, with ``exact=False``, always the limiting one.
+    is that of the limiting distribution, for samples of every size.
     """
     aligned = _aligned(hist, datasets, "n_files", ["key"], "num")
     ref = datasets.index(reference)
@@ -160,10 +158,7 @@ def ks_test(
         ]
     )
     tests = per_key.select("key", "n_ref", F.inline(cells)).filter((F.col("n") > 0) & (F.col("n_ref") > 0))
-    if exact:
-        # The exact distribution is the only costly step here: keep it from being coalesced.
-        tests = tests.repartition(4 * tests.sparkSession.sparkContext.defaultParallelism, "key", "dataset")
-    p_value = (p_exact if exact else p_series)(F.col("statistic"), F.col("n"), F.col("n_ref"))
+    p_value = p_series(F.col("statistic"), F.col("n"), F.col("n_ref"))
     return tests.select("key", "dataset", "n", "n_ref", "statistic", p_value.alias("p_value"))
 
 
@@ -198,7 +193,7 @@ def bucket_difference(hist: DataFrame, dataset: str, reference: str, inf_as_null
 
 def key_density(
     hist: DataFrame, datasets: list[str], reference: str, key: str, max_x: float,
-    decimals: int = 4, exact: bool = True,
+    decimals: int = 4,
 ) -> DataFrame:
     """Density of one key's share per file in the chosen corpora, with each corpus' statistic.
 
@@ -209,5 +204,5 @@ def key_density(
     curves = kernel_density(chosen, ["dataset"], "x", "n_files", support=valued)
     compared = datasets if reference in datasets else [*datasets, reference]
     one_key = hist.filter((F.col("key") == key) & F.col("dataset").isin(compared))
-    tests = ks_test(one_key, compared, reference, exact).select("dataset", "statistic")
+    tests = ks_test(one_key, compared, reference).select("dataset", "statistic")
     return curves.filter(F.col("x").between(0, max_x)).join(tests, "dataset", "left")

@@ -4,11 +4,9 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphstat.functions.text import path_stem
+from glyphstat.functions.text import decoded_path, path_stem
 from glyphstat.operators.counts import FILE
-from glyphstat.operators.merge import anti_join
 from glyphstat.schemas import MANIFEST, REJECTS, TOKENS
-from glyphstat.sources.scratch import materialize
 
 
 def manifest(paths: DataFrame, source_root: str, target_root: str, extension: str) -> DataFrame:
@@ -29,6 +27,12 @@ def pending(files: DataFrame, done: DataFrame, failed: DataFrame) -> DataFrame:
     ).select("src_file", "dst_file")
 
 
+def finished(spark: SparkSession, target_root: str, pattern: str) -> DataFrame:
+    """(dst_file): the targets that exist below ``target_root``, so a re-run needs no list of its own."""
+    found = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True)
+    return found.load(target_root).select(decoded_path(F.col("path")).alias("dst_file"))
+
+
 def save_manifest(files: DataFrame, path: str) -> None:
     files.write.mode("overwrite").parquet(path)
 
@@ -49,11 +53,11 @@ def new_files_only(tokens: DataFrame, existing: DataFrame) -> DataFrame:
     """Tokens of files the existing table does not have yet.
 
     Each file has exactly one first token, so first tokens identify files without a distinct. Only
-    they are joined; the files to leave out are few in a regular load and then broadcast.
+    they are joined.
     """
     first = F.col("token_num") == 0
     repeated = tokens.filter(first).select(*FILE).join(existing.filter(first).select(*FILE), FILE, "left_semi")
-    return anti_join(tokens, materialize(repeated, "loaded-files"), FILE)
+    return tokens.join(repeated, FILE, "left_anti")
 
 
 def append_tokens(spark: SparkSession, tokens: DataFrame, path: str) -> None:

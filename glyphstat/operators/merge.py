@@ -55,23 +55,11 @@ def outer_join_pair(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     return joined.withColumn(key, F.coalesce(key, "_key")).drop("_key")
 
 
-def broadcast_if_small(side: DataFrame, limit: int = 500_000) -> DataFrame:
-    """A join side marked for broadcast if it has at most ``limit`` rows.
-
-    The side is counted here, up to the limit, and best stored.
-    """
-    return F.broadcast(side) if side.limit(limit + 1).count() <= limit else side
-
-
-def anti_join(large: DataFrame, small: DataFrame, on: list[str]) -> DataFrame:
-    """Rows of ``large`` without a match, not moved while ``small`` has few rows."""
-    return large.join(broadcast_if_small(small), on, "left_anti")
-
-
-def missing_keys(hist: DataFrame, dataset: str, other: str) -> DataFrame:
-    """Keys of one corpus that another one lacks."""
-    mine = hist.filter(F.col("dataset") == dataset).select("key")
-    return mine.join(hist.filter(F.col("dataset") == other).select("key"), "key", "left_anti")
+def missing_keys(hist: DataFrame, dataset: str, others: list[str]) -> DataFrame:
+    """(dataset, key): the keys of one corpus that each of the others lacks."""
+    holders = hist.groupBy("key").agg(F.collect_set("dataset").alias("holders"))
+    lacking = F.array_except(F.array(*map(F.lit, others)), F.col("holders"))
+    return holders.filter(F.array_contains("holders", dataset)).select(F.explode(lacking).alias("dataset"), "key")
 
 
 def column_order(wide: DataFrame, datasets: list[str]) -> list[str]:
@@ -81,8 +69,8 @@ def column_order(wide: DataFrame, datasets: list[str]) -> list[str]:
 
 
 def pivot_buckets(hist: DataFrame, keys: list[str]) -> DataFrame:
-    """Buckets as rows and the given keys as columns, for export of a bounded vocabulary."""
+    """Buckets of every corpus as rows and the given keys as columns, for export of a bounded vocabulary."""
     return (
         hist.filter(F.col("key").isin(keys))
-        .groupBy("num").pivot("key", keys).agg(F.sum("n_files")).na.fill(0)
+        .groupBy("dataset", "num").pivot("key", keys).agg(F.sum("n_files")).na.fill(0)
     )

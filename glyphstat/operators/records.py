@@ -3,52 +3,37 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from glyphstat.functions.text import base_name
 from glyphstat.operators.counts import FILE
-from glyphstat.operators.merge import broadcast_if_small
 from glyphstat.schemas import KINDS
 
-# Counted keys one record may hold; a file with more is written as several parts.
-MAX_ENTRIES = 1_000_000
-
 
 def file_heads(tokens: DataFrame) -> DataFrame:
-    """(dataset, file_name, id, num_tokens); the id is the first token's."""
+    """(dataset, path, id, num_tokens); the id is the first token's."""
     return tokens.groupBy(*FILE).agg(
         F.min_by("uuid", "token_num").alias("id"), F.count(F.lit(1)).alias("num_tokens")
     )
 
 
-def _parts(counts: DataFrame, max_entries: int) -> DataFrame:
-    """Counts with the number of the record part each belongs to."""
-    large = (
-        counts.groupBy(*FILE).agg(F.count(F.lit(1)).alias("_entries"))
-        .filter(F.col("_entries") > max_entries)
-        .select(*FILE, F.ceil(F.col("_entries") / max_entries * 2).alias("_parts"))
-    )
-    if large.isEmpty():
-        return counts.withColumn("part", F.lit(0))
-    part = F.pmod(F.xxhash64("kind", "key"), F.coalesce("_parts", F.lit(1)))
-    split = counts.join(broadcast_if_small(large), FILE, "left").withColumn("part", part.cast("int")).drop("_parts")
-    # Parts of a large file must not stay together in one partition.
-    return split.repartition(*FILE, "part")
-
-
-def file_records(counts: DataFrame, heads: DataFrame, max_entries: int = MAX_ENTRIES) -> DataFrame:
+def file_records(counts: DataFrame, heads: DataFrame, n_parts: int = 1) -> DataFrame:
     """Records as maps, from counts of all kinds and the files' heads.
 
-    Parts of a large file share its id and length and split its keys. ``counts`` is read twice and
-    best stored.
+    Every file has ``n_parts`` records, whatever its size: they share its id and length and split
+    its keys by hash, and a part without keys has empty maps.
     """
-    counts = _parts(counts, max_entries)
+    part = F.pmod(F.xxhash64("kind", "key"), F.lit(n_parts)).cast("int")
     maps = [
         F.map_from_entries(
             F.collect_list(F.when(F.col("kind") == kind, F.struct("key", "n")))
         ).alias(kind)
         for kind in KINDS
     ]
-    nested = counts.groupBy(*FILE, "part").agg(*maps)
-    return nested.join(heads, FILE).select(
-        "id", F.col("file_name").alias("filename"), "dataset", "num_tokens", "part", *KINDS
+    nested = counts.withColumn("part", part).groupBy(*FILE, "part").agg(*maps)
+    parts = heads.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(n_parts - 1))))
+    empty = F.from_json(F.lit("{}"), "map<string, bigint>")
+    return parts.join(nested, [*FILE, "part"], "left").select(
+        "id", "path", base_name(F.col("path")).alias("filename"), "dataset", "num_tokens", "part",
+        *[F.coalesce(kind, empty).alias(kind) for kind in KINDS],
     )
 
 
@@ -62,7 +47,7 @@ def index_documents(records: DataFrame) -> DataFrame:
         ).alias(kind)
         for kind in KINDS
     ]
-    return records.select("id", "filename", "dataset", "num_tokens", "part", *lists)
+    return records.select("id", "path", "filename", "dataset", "num_tokens", "part", *lists)
 
 
 def duplicate_ids(records: DataFrame) -> DataFrame:
@@ -75,13 +60,13 @@ def duplicate_ids(records: DataFrame) -> DataFrame:
 
 
 def record_counts(records: DataFrame, kind: str) -> DataFrame:
-    """Records back to counts per file (dataset, file_name, key, n)."""
+    """Records back to counts per file (dataset, path, key, n)."""
     return records.select(
-        "dataset", F.col("filename").alias("file_name"), F.explode(kind).alias("key", "n")
+        "dataset", "path", F.explode(kind).alias("key", "n")
     )
 
 
 def record_lengths(records: DataFrame) -> DataFrame:
     return records.filter(F.col("part") == 0).select(
-        "dataset", F.col("filename").alias("file_name"), "num_tokens"
+        "dataset", "path", "num_tokens"
     )

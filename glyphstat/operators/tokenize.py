@@ -1,6 +1,6 @@
 """Documents to tokens.
 
-Documents are rows ``(dataset, file_name, text)``. Everything here is a narrow transformation: a
+Documents are rows ``(dataset, path, text)``. Everything here is a narrow transformation: a
 document's lexemes are one array, so numbering, pairing and positions need no shuffle.
 """
 
@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from glyphstat.functions.lexing import EOF_TEXT, Profile
-from glyphstat.functions.text import escape_dump, token_uuid
+from glyphstat.functions.text import base_name, escape_dump, token_uuid
 
 
 def found_tokens(text: Column, profile: Profile) -> Column:
@@ -29,47 +29,47 @@ def shown(raw: Column, profile: Profile) -> Column:
     return escape_dump(raw) if profile.multiline else raw
 
 
-def _listed(docs: DataFrame, profile: Profile) -> DataFrame:
+def listed_tokens(docs: DataFrame, profile: Profile) -> DataFrame:
     listed = docs.filter(F.col("text").isNotNull()).select(
-        "dataset", "file_name", found_tokens(F.col("text"), profile).alias("found")
+        "dataset", "path", found_tokens(F.col("text"), profile).alias("found")
     )
     return listed.withColumn("num_tokens", n_tokens(F.col("found")))
 
 
-def _with_eof() -> Column:
+def with_eof() -> Column:
     # Appended inside the generator: exploding a plain column would make the optimizer add a filter
     # on its size, which runs the lexer a second time.
     return F.concat("found", F.array(F.lit(EOF_TEXT)))
 
 
 def document_tokens(docs: DataFrame, profile: Profile) -> DataFrame:
-    """(dataset, file_name, num_tokens, token_num, token_text, token_type): what counting needs."""
-    rows = _listed(docs, profile).select(
-        "dataset", "file_name", "num_tokens", F.posexplode(_with_eof()).alias("token_num", "raw")
+    """(dataset, path, num_tokens, token_num, token_text, token_type): what counting needs."""
+    rows = listed_tokens(docs, profile).select(
+        "dataset", "path", "num_tokens", F.posexplode(with_eof()).alias("token_num", "raw")
     )
     return rows.select(
-        "dataset", "file_name", "num_tokens", "token_num",
+        "dataset", "path", "num_tokens", "token_num",
         shown(F.col("raw"), profile).alias("token_text"),
         profile.classify(F.col("raw")).alias("token_type"),
     )
 
 
 def document_pairs(docs: DataFrame, profile: Profile, all_pairs: bool = False) -> DataFrame:
-    """Adjacent tokens of every document: (dataset, file_name, num_tokens, left/right text and type).
+    """Adjacent tokens of every document: (dataset, path, num_tokens, left/right text and type).
 
     The pair that ends in the last token is left out unless ``all_pairs`` is set.
     """
     n = F.greatest(F.size("found") - (0 if all_pairs else 1), F.lit(0))
-    pairs = _listed(docs, profile).select(
-        "dataset", "file_name", "num_tokens",
+    pairs = listed_tokens(docs, profile).select(
+        "dataset", "path", "num_tokens",
         F.explode(
             F.arrays_zip(
-                F.slice("found", F.lit(1), n).alias("l"), F.slice(_with_eof(), F.lit(2), n).alias("r")
+                F.slice("found", F.lit(1), n).alias("l"), F.slice(with_eof(), F.lit(2), n).alias("r")
             )
         ).alias("p"),
     )
     return pairs.select(
-        "dataset", "file_name", "num_tokens",
+        "dataset", "path", "num_tokens",
         shown(F.col("p.l"), profile).alias("left_text"), shown(F.col("p.r"), profile).alias("right_text"),
         profile.classify(F.col("p.l")).alias("left_type"),
         profile.classify(F.col("p.r")).alias("right_type"),
@@ -100,7 +100,7 @@ def tokenize(docs: DataFrame, profile: Profile) -> DataFrame:
     text = F.col("text")
     # The matches tile the text; a token is the end of its match.
     matches = docs.filter(text.isNotNull()).select(
-        "dataset", "file_name", F.length(text).alias("size"),
+        "dataset", "path", F.length(text).alias("size"),
         F.transform(F.split(text, "\n"), F.length).alias("lines"),
         F.regexp_extract_all(text, pattern, F.lit(0)).alias("w"),
         F.regexp_extract_all(text, pattern, F.lit(1)).alias("t"),
@@ -120,14 +120,14 @@ def tokenize(docs: DataFrame, profile: Profile) -> DataFrame:
         F.size("lines").alias("line"), F.element_at("lines", -1).alias("line_char"),
     )
     rows = placed.select(
-        "dataset", "file_name",
+        "dataset", "path",
         F.posexplode(F.concat(found, F.array(eof))).alias("token_num", "m"),
     )
     raw = F.col("m.raw")
     width = F.when(raw == EOF_TEXT, 0).otherwise(F.length(raw))
     return rows.select(
-        token_uuid(F.col("dataset"), F.col("file_name"), F.col("token_num")).alias("uuid"),
-        "dataset", "file_name", "token_num",
+        token_uuid(F.col("dataset"), F.col("path"), F.col("token_num")).alias("uuid"),
+        "dataset", "path", base_name(F.col("path")).alias("file_name"), "token_num",
         F.col("m.start").alias("char_start"),
         (F.col("m.start") + width - 1).alias("char_end"),
         shown(raw, profile).alias("token_text"),
@@ -143,7 +143,7 @@ def unrecognized(docs: DataFrame, profile: Profile) -> DataFrame:
     pattern = F.lit(profile.pattern)
     text = F.col("text")
     pieces = docs.select(
-        "dataset", "file_name",
+        "dataset", "path",
         F.explode(
             F.arrays_zip(
                 F.regexp_extract_all(text, pattern, F.lit(0)).alias("w"),
@@ -154,7 +154,7 @@ def unrecognized(docs: DataFrame, profile: Profile) -> DataFrame:
     lost = F.regexp_replace("m.w", r"^(?:[ \t\r\n\f]++|//[^\r\n]*+|/\*(?s:.*?)\*/)*+", "")
     return (
         pieces.filter(F.col("m.t") == "")
-        .groupBy("dataset", "file_name")
+        .groupBy("dataset", "path")
         .agg(F.sum(F.length(lost)).alias("lost_chars"))
         .filter(F.col("lost_chars") > 0)
     )
@@ -174,11 +174,15 @@ def render_dump(tokens: DataFrame) -> DataFrame:
         "token_text", F.lit("',<"), quoted, F.lit(">,"), channel, "line", F.lit(":"), "line_char",
         F.lit("]"),
     )
-    return tokens.select("dataset", "file_name", "token_num", line.alias("value"))
+    return tokens.select("dataset", "path", "token_num", line.alias("value"))
 
 
-def split_by_size(docs: DataFrame, max_chars: int) -> tuple[DataFrame, DataFrame]:
-    """Documents up to a length, and a reject table naming the longer ones."""
-    too_long = F.length("text") > max_chars
-    rejects = docs.filter(too_long).select(F.col("file_name").alias("path"), F.lit("timeout").alias("reason"))
-    return docs.filter(~too_long), rejects
+def flag_oversized(docs: DataFrame, max_chars: int) -> DataFrame:
+    """Documents with ``oversized``, whether they are longer than ``max_chars``; none is left out."""
+    return docs.withColumn("oversized", F.coalesce(F.length("text") > max_chars, F.lit(False)))
+
+
+def rejected_documents(docs: DataFrame, max_chars: int) -> DataFrame:
+    """(path, reason) of documents that cannot be lexed (no text) or are longer than ``max_chars``."""
+    reason = F.when(F.col("text").isNull(), "unreadable").when(F.col("oversized"), "oversized")
+    return flag_oversized(docs, max_chars).select("path", reason.alias("reason")).filter("reason IS NOT NULL")

@@ -1,6 +1,6 @@
 """The given tables as corpora of token sequences."""
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glyphstat.functions.lexing import WORDS, Profile
@@ -16,9 +16,9 @@ from glyphstat.operators.counts import (
     ratio_histogram,
 )
 from glyphstat.operators.merge import datasets_of
-from glyphstat.sources.files import spread_input
 
 DOCS_REFERENCE = "en"
+LISTED_TYPES = ["#", "$", "%", "&", "(", ")", "*", "+", ",", "-", ".", "/", ":", "|", "FloatingLiteral", "IntegerLiteral"]
 EVENTS_REFERENCE = "W0"
 EVENTS_DATASETS = ["W0", "W1", "W2", "W3", "W4"]
 
@@ -27,15 +27,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def stored_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as files of the corpus of their language."""
-    return table(spark, sf_dir, "documents").select(
-        F.col("lang").alias("dataset"), F.col("doc_id").cast("string").alias("file_name"), "text"
-    )
+def document_path() -> Column:
+    return F.concat_ws("/", "lang", "source", F.col("doc_id").cast("string"), F.lit("main.c"))
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread_input(stored_documents(spark, sf_dir), "file_name")
+    """Documents as files of the corpus of their language, all of one base name."""
+    return table(spark, sf_dir, "documents").select(F.col("lang").alias("dataset"), document_path().alias("path"), "text")
+
+
+def paths_of(spark: SparkSession, sf_dir: str, chosen: DataFrame) -> DataFrame:
+    """(path): the documents whose id is in ``chosen``."""
+    docs = table(spark, sf_dir, "documents").join(chosen.select("doc_id"), "doc_id", "left_semi")
+    return docs.select(document_path().alias("path"))
 
 
 def languages(spark: SparkSession, sf_dir: str) -> list[str]:
@@ -45,18 +49,17 @@ def languages(spark: SparkSession, sf_dir: str) -> list[str]:
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw pages as files, one corpus per top-level domain."""
     domain = F.regexp_extract("url", r"^https?://[^/]*\.([a-z]+)(?:[:/]|$)", 1)
-    rows = table(spark, sf_dir, "pages").select(
-        domain.alias("dataset"), F.col("page_id").cast("string").alias("file_name"),
+    return table(spark, sf_dir, "pages").select(
+        domain.alias("dataset"), F.concat(F.col("page_id").cast("string"), F.lit("/index.html")).alias("path"),
         F.col("html").alias("text"),
     )
-    return spread_input(rows, "file_name")
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as tokens: one corpus per week of the month, one file per user, ordered by time."""
     week = F.floor((F.dayofmonth("ts") - 1) / 7).cast("string")
     rows = table(spark, sf_dir, "events").select(
-        F.concat(F.lit("W"), week).alias("dataset"), F.col("user_id").cast("string").alias("file_name"),
+        F.concat(F.lit("W"), week).alias("dataset"), F.concat(F.col("user_id").cast("string"), F.lit("/events.log")).alias("path"),
         F.col("event_type").alias("token_text"), F.col("event_type").alias("token_type"),
         "ts", "event_id",
     )
@@ -73,7 +76,7 @@ def histogram(spark: SparkSession, sf_dir: str, kind: str, profile: Profile = WO
 
 
 def counts(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
-    return document_file_counts(stored_documents(spark, sf_dir), WORDS, kind)
+    return document_file_counts(documents(spark, sf_dir), WORDS, kind)
 
 
 def counts_histogram(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:

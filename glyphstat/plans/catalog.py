@@ -21,11 +21,12 @@ from glyphstat.operators.counts import (
     length_histogram,
     token_keys,
 )
-from glyphstat.operators.tokenize import document_tokens, render_dump, split_by_size, tokenize, unrecognized
+from glyphstat.operators.tokenize import document_tokens, rejected_documents, render_dump, tokenize, unrecognized
 from glyphstat.plans import bindings as b
 from glyphstat.sources import files, metrics, repos
 from glyphstat.sources import records as record_files
 from glyphstat.sources import tokens as token_files
+from glyphstat.schemas import KINDS
 from glyphstat.sources.scratch import materialize, scratch_path
 from glyphstat.streaming.arrivals import tokenize_available
 
@@ -79,7 +80,7 @@ def unrecognized_chars(spark, sf_dir):
 
 @query
 def oversized_documents(spark, sf_dir):
-    return split_by_size(b.documents(spark, sf_dir), 10_000)[1]
+    return rejected_documents(b.documents(spark, sf_dir), 10_000)
 
 
 @query
@@ -87,7 +88,7 @@ def tokenize_arrivals(spark, sf_dir):
     source = b.table(spark, sf_dir, "documents")
     stream = spark.readStream.schema(source.schema).option("pathGlobFilter", "documents.parquet").parquet(sf_dir)
     docs = stream.select(
-        F.col("lang").alias("dataset"), F.col("doc_id").cast("string").alias("file_name"), "text"
+        F.col("lang").alias("dataset"), b.document_path().alias("path"), "text"
     )
     out = scratch_path(spark, "arrived-tokens")
     tokenize_available(docs, WORDS, out, scratch_path(spark, "arrivals-checkpoint")).awaitTermination()
@@ -140,7 +141,7 @@ def event_file_lengths(spark, sf_dir):
 
 def _event_tokens(spark, sf_dir):
     """Events as a stored token table; the id is derived as for every token."""
-    uuid = token_files.token_uuid(F.col("dataset"), F.col("file_name"), F.col("token_num"))
+    uuid = token_files.token_uuid(F.col("dataset"), F.col("path"), F.col("token_num"))
     return materialize(b.events(spark, sf_dir).withColumn("uuid", uuid), "event-tokens")
 
 
@@ -160,24 +161,28 @@ def _listed(column: str):
 def file_metric_record(spark, sf_dir):
     made = _event_records(spark, sf_dir)
     kinds = ["token_text", "token_type", "bigram_text", "bigram_type"]
-    return made.select("id", "filename", "dataset", "num_tokens", *[_listed(k) for k in kinds])
+    return made.select("id", "path", "filename", "dataset", "num_tokens", *[_listed(k) for k in kinds])
 
 
 @query
 def file_record_parts(spark, sf_dir):
-    # A small limit, so that files have several parts; the counts must not change.
-    made = _event_records(spark, sf_dir, max_entries=8)
-    return records.record_counts(made, "bigram_type").groupBy("dataset", "file_name").agg(
+    # Several parts per file; the counts must not change.
+    made = _event_records(spark, sf_dir, n_parts=3)
+    return records.record_counts(made, "bigram_type").groupBy("dataset", "path").agg(
         F.count(F.lit(1)).alias("n_keys"), F.sum("n").alias("n_pairs")
     )
 
 
+@query
+def record_lengths(spark, sf_dir):
+    return records.record_lengths(_event_records(spark, sf_dir, n_parts=3))
+
+
 @query
 def index_documents(spark, sf_dir):
     made = records.index_documents(_event_records(spark, sf_dir))
     return made.select(
-        "id", "filename", "dataset", "num_tokens",
-        F.to_json("token_type").alias("token_type"), F.to_json("bigram_type").alias("bigram_type"),
+        "id", "path", "filename", "dataset", "num_tokens", *[F.to_json(kind).alias(kind) for kind in KINDS],
     )
 
 
@@ -186,7 +191,7 @@ def duplicate_document_ids(spark, sf_dir):
     # Two corpora loaded under one name make every user they share a duplicate.
     tokens = _event_tokens(spark, sf_dir)
     ids = tokens.filter(F.col("token_num") == 0).select(
-        F.md5("file_name").alias("id"), F.lit(0).alias("part")
+        F.md5("path").alias("id"), F.lit(0).alias("part")
     )
     return records.duplicate_ids(ids)
 
@@ -219,7 +224,9 @@ def event_bigram_histogram(spark, sf_dir):
 
 @query
 def histogram_without_prefix(spark, sf_dir):
-    docs = exclude_files(b.documents(spark, sf_dir), "fr", "1")
+    # Named by their numbers here, so that a prefix of the name chooses some.
+    named = F.concat_ws("/", "dataset", F.split("path", "/")[2])
+    docs = exclude_files(b.documents(spark, sf_dir).withColumn("path", named), "fr", "1")
     return corpus_histogram(document_keys(docs, WORDS, "token_type"))
 
 
@@ -240,7 +247,7 @@ def by_file_ratio_histogram(spark, sf_dir):
 
 @query
 def by_file_pivot(spark, sf_dir):
-    hist = b.counts_histogram(spark, sf_dir, "token_type").filter(F.col("dataset") == b.DOCS_REFERENCE)
+    hist = b.counts_histogram(spark, sf_dir, "token_type")
     return merge.pivot_buckets(hist, ["Identifier", "IntegerLiteral", "FloatingLiteral", "EOF"])
 
 
@@ -303,14 +310,14 @@ def distinct_keys(spark, sf_dir):
 
 @query
 def missing_keys(spark, sf_dir):
-    hist = materialize(b.histogram(spark, sf_dir, "token_text"), "histogram")
-    return merge.missing_keys(hist, b.DOCS_REFERENCE, "de")
+    hist = b.histogram(spark, sf_dir, "token_text")
+    return merge.missing_keys(hist, b.DOCS_REFERENCE, [d for d in b.languages(spark, sf_dir) if d != b.DOCS_REFERENCE])
 
 
 @query
 def relation_profile(spark, sf_dir):
     tokens = materialize(document_tokens(b.documents(spark, sf_dir), WORDS), "tokens")
-    return quality.profile(tokens, ["dataset", "file_name", "token_text", "token_type"])
+    return quality.profile(tokens, ["dataset", "path", "token_text", "token_type"])
 
 
 # ---------------------------------------------------------------- comparison
@@ -343,7 +350,7 @@ def vocab_gap(spark, sf_dir):
 
 @query
 def vocab_gap_types(spark, sf_dir):
-    return compare.vocab_gap(_cells(spark, sf_dir, "token_type"), list_keys=True)
+    return compare.vocab_gap(_cells(spark, sf_dir, "token_type"), listed=b.LISTED_TYPES)
 
 
 @query
@@ -499,34 +506,29 @@ def _stored_counts(spark, sf_dir, kind):
     return materialize(b.counts_histogram(spark, sf_dir, kind), "counts")
 
 
-def _ks(spark, sf_dir, kind, exact):
+def _ks(spark, sf_dir, kind):
     hist = _stored_ratios(spark, sf_dir, kind)
-    return distance.ks_test(hist, merge.datasets_of(hist), b.DOCS_REFERENCE, exact)
+    return distance.ks_test(hist, merge.datasets_of(hist), b.DOCS_REFERENCE)
 
 
 @query
 def ks_by_key(spark, sf_dir):
-    return _ks(spark, sf_dir, "token_text", exact=False)
-
-
-@query
-def ks_by_key_exact(spark, sf_dir):
-    return _ks(spark, sf_dir, "token_text", exact=True)
+    return _ks(spark, sf_dir, "token_text")
 
 
 @query
 def ks_summary(spark, sf_dir):
-    return distance.ks_pass_counts(_ks(spark, sf_dir, "token_type", exact=False))
+    return distance.ks_pass_counts(_ks(spark, sf_dir, "token_type"))
 
 
 @query
 def ks_mean_by_key(spark, sf_dir):
-    return distance.ks_mean_by_key(_ks(spark, sf_dir, "token_type", exact=False))
+    return distance.ks_mean_by_key(_ks(spark, sf_dir, "token_type"))
 
 
 @query
 def ks_describe(spark, sf_dir):
-    return distance.ks_describe(_ks(spark, sf_dir, "token_text", exact=False))
+    return distance.ks_describe(_ks(spark, sf_dir, "token_text"))
 
 
 @query
@@ -550,13 +552,13 @@ def tfidf_histogram_true_counts(spark, sf_dir):
 @query
 def tfidf_ks(spark, sf_dir):
     hist = tfidf.tfidf_histogram(_stored_counts(spark, sf_dir, "token_type"))
-    return distance.ks_test(hist, merge.datasets_of(hist), b.DOCS_REFERENCE, exact=False)
+    return distance.ks_test(hist, merge.datasets_of(hist), b.DOCS_REFERENCE)
 
 
 @query
 def key_density(spark, sf_dir):
     hist = _stored_ratios(spark, sf_dir, "token_type")
-    return distance.key_density(hist, ["de", "en"], b.DOCS_REFERENCE, ".", 0.2, exact=False)
+    return distance.key_density(hist, ["de", "en"], b.DOCS_REFERENCE, ".", 0.2)
 
 
 # ---------------------------------------------------------------- storage, quality, re-runs
@@ -565,15 +567,12 @@ def key_density(spark, sf_dir):
 def _with_broken_lines(spark, sf_dir):
     """Dump lines of all documents; those of toxic documents end in the middle."""
     lines = render_dump(tokenize(b.documents(spark, sf_dir), WORDS))
-    toxic = b.table(spark, sf_dir, "labels").filter("toxic = 1").select(
-        F.col("doc_id").cast("string").alias("file_name"), F.lit(True).alias("toxic")
-    ).distinct()
+    labels = b.table(spark, sf_dir, "labels").filter("toxic = 1")
+    toxic = b.paths_of(spark, sf_dir, labels).select("path", F.lit(True).alias("toxic")).distinct()
     cut = F.when(
         F.col("toxic") & (F.col("token_num") == 0), F.regexp_replace("value", r"\]$", "")
     ).otherwise(F.col("value"))
-    broken = lines.join(toxic, "file_name", "left").select(
-        F.concat_ws("/", "dataset", "file_name").alias("path"), "dataset", "file_name", cut.alias("value")
-    )
+    broken = lines.join(toxic, "path", "left").select("path", "dataset", cut.alias("value"))
     return materialize(broken, "dump-lines")
 
 
@@ -665,8 +664,8 @@ def pending_files(spark, sf_dir):
 def idempotent_append(spark, sf_dir):
     path = scratch_path(spark, "token-table")
     tokens = materialize(tokenize(b.documents(spark, sf_dir), WORDS), "tokens")
-    labelled = b.table(spark, sf_dir, "labels").select(F.col("doc_id").cast("string").alias("file_name"))
-    incremental.append_tokens(spark, tokens.join(labelled, "file_name", "left_semi"), path)
+    labelled = b.paths_of(spark, sf_dir, b.table(spark, sf_dir, "labels"))
+    incremental.append_tokens(spark, tokens.join(labelled, "path", "left_semi"), path)
     incremental.append_tokens(spark, tokens, path)
     incremental.append_tokens(spark, tokens, path)
     return token_files.read(spark, path).groupBy("dataset").agg(

@@ -18,8 +18,8 @@ def _unk(column: str) -> str:
     return f"CASE WHEN {column} IS NULL OR {column} IN {_in(PANDAS_NA)} THEN '<<UNK>>' ELSE {column} END"
 
 
-def _uuid(dataset: str, file_name: str, num: str) -> str:
-    digest = f"md5(concat_ws('|', {dataset}, {file_name}, CAST({num} AS VARCHAR)))"
+def _uuid(dataset: str, path: str, num: str) -> str:
+    digest = f"md5(concat_ws('|', {dataset}, {path}, CAST({num} AS VARCHAR)))"
     return (
         f"concat_ws('-', substr({digest}, 1, 8), substr({digest}, 9, 4), substr({digest}, 13, 4), "
         f"substr({digest}, 17, 4), substr({digest}, 21, 12))"
@@ -33,25 +33,27 @@ _WORDS_TYPE = r"""CASE WHEN raw = '<EOF>' THEN 'EOF'
   WHEN regexp_matches(raw, '^[0-9]+$') THEN 'IntegerLiteral'
   WHEN regexp_matches(raw, '^[0-9]') THEN 'FloatingLiteral' ELSE raw END"""
 
+_DOC_PATH = "concat_ws('/', lang, source, CAST(doc_id AS VARCHAR), 'main.c') AS path"
+
 _DOCS = f"""
-docs AS (SELECT lang AS dataset, CAST(doc_id AS VARCHAR) AS file_name, text FROM documents),
-lex AS (SELECT dataset, file_name,
+docs AS (SELECT lang AS dataset, concat_ws('/', lang, source, CAST(doc_id AS VARCHAR), 'main.c') AS path, text FROM documents),
+lex AS (SELECT dataset, path,
   list_append(regexp_extract_all(text, {_text(WORDS_TOKEN)}), '<EOF>') AS t FROM docs),
-raws AS (SELECT dataset, file_name, len(t) AS num_tokens, unnest(t) AS raw,
+raws AS (SELECT dataset, path, len(t) AS num_tokens, unnest(t) AS raw,
   unnest(range(len(t))) AS num FROM lex),
-tok AS (SELECT dataset, file_name, num_tokens, CAST(num AS INTEGER) AS token_num, raw AS token_text,
+tok AS (SELECT dataset, path, num_tokens, CAST(num AS INTEGER) AS token_num, raw AS token_text,
   {_WORDS_TYPE} AS token_type FROM raws),
-pairs AS (SELECT * FROM (SELECT dataset, file_name, token_text, token_type,
+pairs AS (SELECT * FROM (SELECT dataset, path, token_text, token_type,
   lead(token_text) OVER w AS next_text, lead(token_type) OVER w AS next_type,
   lead(token_text, 2) OVER w AS third
   FROM (SELECT * REPLACE ({_unk('token_text')} AS token_text, {_unk('token_type')} AS token_type) FROM tok)
-  WINDOW w AS (PARTITION BY dataset, file_name ORDER BY token_num)) WHERE third IS NOT NULL)"""
+  WINDOW w AS (PARTITION BY dataset, path ORDER BY token_num)) WHERE third IS NOT NULL)"""
 
 _KEYS = {
-    "token_text": f"SELECT dataset, file_name, num_tokens, {_unk('token_text')} AS key FROM tok",
-    "token_type": f"SELECT dataset, file_name, num_tokens, {_unk('token_type')} AS key FROM tok",
-    "bigram_text": "SELECT dataset, file_name, token_text || '<<>>' || next_text AS key FROM pairs",
-    "bigram_type": "SELECT dataset, file_name, token_type || '<<>>' || next_type AS key FROM pairs",
+    "token_text": f"SELECT dataset, path, num_tokens, {_unk('token_text')} AS key FROM tok",
+    "token_type": f"SELECT dataset, path, num_tokens, {_unk('token_type')} AS key FROM tok",
+    "bigram_text": "SELECT dataset, path, token_text || '<<>>' || next_text AS key FROM pairs",
+    "bigram_type": "SELECT dataset, path, token_type || '<<>>' || next_type AS key FROM pairs",
 }
 
 
@@ -80,7 +82,7 @@ finite AS (SELECT key, dataset, CASE WHEN diff <> 'inf'::DOUBLE THEN diff END AS
 
 def _files(kind: str) -> str:
     return f"""{_DOCS}, keys AS ({_KEYS[kind]}),
-counts AS (SELECT dataset, file_name, num_tokens, key, count(*) AS n FROM keys GROUP BY ALL),
+counts AS (SELECT dataset, path, num_tokens, key, count(*) AS n FROM keys GROUP BY ALL),
 by_count AS (SELECT dataset, key, n AS num, count(*) AS n_files FROM counts GROUP BY ALL),
 by_ratio AS (SELECT dataset, key,
   CAST(round_even(CAST(n AS DOUBLE) / num_tokens * 10000, 0) AS BIGINT) AS num, count(*) AS n_files
@@ -88,19 +90,19 @@ by_ratio AS (SELECT dataset, key,
 
 
 _EVENTS = f"""
-ev AS (SELECT 'W' || CAST((day(ts) - 1) // 7 AS VARCHAR) AS dataset, CAST(user_id AS VARCHAR) AS file_name,
+ev AS (SELECT 'W' || CAST((day(ts) - 1) // 7 AS VARCHAR) AS dataset, user_id || '/events.log' AS path,
   event_type, ts, event_id FROM events),
-tok AS (SELECT dataset, file_name, event_type AS token_text, event_type AS token_type,
-  row_number() OVER (PARTITION BY dataset, file_name ORDER BY ts, event_id) - 1 AS token_num FROM ev),
-pairs AS (SELECT *, token_type || '<<>>' || next_type AS key FROM (SELECT dataset, file_name, token_type,
+tok AS (SELECT dataset, path, event_type AS token_text, event_type AS token_type,
+  row_number() OVER (PARTITION BY dataset, path ORDER BY ts, event_id) - 1 AS token_num FROM ev),
+pairs AS (SELECT *, token_type || '<<>>' || next_type AS key FROM (SELECT dataset, path, token_type,
   lead(token_type) OVER w AS next_type, lead(token_type, 2) OVER w AS third FROM tok
-  WINDOW w AS (PARTITION BY dataset, file_name ORDER BY token_num)))"""
+  WINDOW w AS (PARTITION BY dataset, path ORDER BY token_num)))"""
 
 _EVENT_COUNTS = f"""{_EVENTS},
-kinds AS (SELECT dataset, file_name, unnest(['token_text', 'token_type']) AS kind, token_type AS key FROM tok
-  UNION ALL SELECT dataset, file_name, unnest(['bigram_text', 'bigram_type']), key FROM pairs
+kinds AS (SELECT dataset, path, unnest(['token_text', 'token_type']) AS kind, token_type AS key FROM tok
+  UNION ALL SELECT dataset, path, unnest(['bigram_text', 'bigram_type']), key FROM pairs
   WHERE third IS NOT NULL),
-counts AS (SELECT dataset, file_name, kind, key, count(*) AS n FROM kinds GROUP BY ALL)"""
+counts AS (SELECT dataset, path, kind, key, count(*) AS n FROM kinds GROUP BY ALL)"""
 
 
 def _oracle(name: str, ctes: str, select: str) -> None:
@@ -109,7 +111,7 @@ def _oracle(name: str, ctes: str, select: str) -> None:
 
 # ---------------------------------------------------------------- tokens
 
-_oracle("tokenize_documents", _DOCS, "SELECT dataset, file_name, token_num, token_text, token_type FROM tok")
+_oracle("tokenize_documents", _DOCS, "SELECT dataset, path, token_num, token_text, token_type FROM tok")
 
 _BLANK = r"[ \t\r\n\f]*"
 
@@ -117,26 +119,26 @@ _BLANK = r"[ \t\r\n\f]*"
 def _located(match: str, source: str) -> str:
     # The start of the current line is the end of the last line break before the token.
     return f"""docs AS ({source}),
-m AS (SELECT dataset, file_name, regexp_extract_all(text, {match}, 0) AS w,
+m AS (SELECT dataset, path, regexp_extract_all(text, {match}, 0) AS w,
   regexp_extract_all(text, {match}, 1) AS t FROM docs),
-u AS (SELECT dataset, file_name, unnest(w) AS w, coalesce(unnest(t), '') AS raw, unnest(range(len(w))) AS i FROM m),
+u AS (SELECT dataset, path, unnest(w) AS w, coalesce(unnest(t), '') AS raw, unnest(range(len(w))) AS i FROM m),
 v AS (SELECT *, substr(w, 1, length(w) - length(raw)) AS skipped,
   sum(length(w)) OVER x AS upto,
   sum(length(w) - length(replace(w, chr(10), ''))) OVER x AS breaks
-  FROM u WINDOW x AS (PARTITION BY dataset, file_name ORDER BY i)),
+  FROM u WINDOW x AS (PARTITION BY dataset, path ORDER BY i)),
 z AS (SELECT *, upto - length(raw) AS char_start,
   breaks - (length(raw) - length(replace(raw, chr(10), ''))) + 1 AS line,
   max(CASE WHEN contains(w, chr(10)) THEN upto - (strpos(reverse(w), chr(10)) - 1) END) OVER
-    (PARTITION BY dataset, file_name ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS earlier,
+    (PARTITION BY dataset, path ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS earlier,
   CASE WHEN contains(skipped, chr(10)) THEN strpos(reverse(skipped), chr(10)) - 1 END AS own
   FROM v),
-placed AS (SELECT dataset, file_name, i, raw, char_start, line,
+placed AS (SELECT dataset, path, i, raw, char_start, line,
   coalesce(own, char_start - coalesce(earlier, 0)) AS line_char FROM z WHERE raw <> ''
   UNION ALL
-  SELECT dataset, file_name, 1000000000, '<EOF>', length(text),
+  SELECT dataset, path, 1000000000, '<EOF>', length(text),
   1 + length(text) - length(replace(text, chr(10), '')),
   CASE WHEN contains(text, chr(10)) THEN strpos(reverse(text), chr(10)) - 1 ELSE length(text) END FROM docs),
-numbered AS (SELECT *, row_number() OVER (PARTITION BY dataset, file_name ORDER BY i) - 1 AS token_num
+numbered AS (SELECT *, row_number() OVER (PARTITION BY dataset, path ORDER BY i) - 1 AS token_num
   FROM placed)"""
 
 
@@ -145,17 +147,17 @@ def _shown(raw: str) -> str:
 
 
 def _token_columns(type_case: str, channel: str) -> str:
-    return f"""dataset, file_name, CAST(token_num AS INTEGER) AS token_num,
+    return f"""dataset, path, regexp_extract(path, '[^/]*$') AS file_name, CAST(token_num AS INTEGER) AS token_num,
   CAST(char_start AS INTEGER) AS char_start,
   CAST(char_start + CASE WHEN raw = '<EOF>' THEN 0 ELSE length(raw) END - 1 AS INTEGER) AS char_end,
   {_shown('raw')} AS token_text, {type_case} AS token_type, {channel} AS channel,
   CAST(line AS INTEGER) AS line, CAST(line_char AS INTEGER) AS line_char"""
 
 
-_DOCS_SOURCE = "SELECT lang AS dataset, CAST(doc_id AS VARCHAR) AS file_name, text FROM documents"
+_DOCS_SOURCE = "SELECT lang AS dataset, concat_ws('/', lang, source, CAST(doc_id AS VARCHAR), 'main.c') AS path, text FROM documents"
 _PAGES_SOURCE = (
     "SELECT regexp_extract(url, '^https?://[^/]*\\.([a-z]+)(?:[:/]|$)', 1) AS dataset, "
-    "CAST(page_id AS VARCHAR) AS file_name, html AS text FROM pages"
+    "page_id || '/index.html' AS path, html AS text FROM pages"
 )
 _WORDS_MATCH = _text(rf"{_BLANK}(?:({WORDS_TOKEN})|\z)")
 _CPP_MATCH = _text(cpp_pattern(possessive=False))
@@ -181,7 +183,7 @@ _NO_CHANNEL = "CAST(NULL AS INTEGER)"
 
 _oracle(
     "token_positions", _located(_WORDS_MATCH, _DOCS_SOURCE),
-    f"SELECT {_uuid('dataset', 'file_name', 'token_num')} AS uuid, "
+    f"SELECT {_uuid('dataset', 'path', 'token_num')} AS uuid, "
     f"{_token_columns(_WORDS_TYPE, _NO_CHANNEL)} FROM numbered",
 )
 _oracle(
@@ -194,13 +196,13 @@ _oracle(
 )
 _oracle(
     "unrecognized_chars", _located(_CPP_MATCH, _DOCS_SOURCE),
-    r"""SELECT dataset, file_name, CAST(sum(length(regexp_replace(w,
+    r"""SELECT dataset, path, CAST(sum(length(regexp_replace(w,
   '^([ \t\r\n\f]+|//[^\r\n]*|/\*(?s:.*?)\*/)*', ''))) AS BIGINT) AS lost_chars
-FROM u WHERE raw = '' GROUP BY dataset, file_name HAVING lost_chars > 0""",
+FROM u WHERE raw = '' GROUP BY dataset, path HAVING lost_chars > 0""",
 )
 _oracle(
     "oversized_documents", "",
-    "SELECT CAST(doc_id AS VARCHAR) AS path, 'timeout' AS reason FROM documents WHERE length(text) > 10000",
+    f"SELECT {_DOC_PATH}, 'oversized' AS reason FROM documents WHERE length(text) > 10000",
 )
 
 # ---------------------------------------------------------------- counts
@@ -208,24 +210,24 @@ _oracle(
 _HIST_SELECT = "SELECT dataset, key, count FROM hist"
 
 _oracle("tokenize_arrivals", _hist("token_type"), _HIST_SELECT)
-_oracle("file_token_counts", _DOCS, "SELECT dataset, file_name, count(*) AS num_tokens FROM tok GROUP BY ALL")
-_oracle("file_value_counts", _files("token_text"), "SELECT dataset, file_name, key, n FROM counts")
+_oracle("file_token_counts", _DOCS, "SELECT dataset, path, count(*) AS num_tokens FROM tok GROUP BY ALL")
+_oracle("file_value_counts", _files("token_text"), "SELECT dataset, path, key, n FROM counts")
 _oracle(
     "event_value_counts", _EVENTS,
-    "SELECT dataset, file_name, token_type AS key, count(*) AS n FROM tok GROUP BY ALL",
+    "SELECT dataset, path, token_type AS key, count(*) AS n FROM tok GROUP BY ALL",
 )
 _oracle(
     "file_bigram_counts", _EVENTS,
-    "SELECT dataset, file_name, key, count(*) AS n FROM pairs WHERE third IS NOT NULL GROUP BY ALL",
+    "SELECT dataset, path, key, count(*) AS n FROM pairs WHERE third IS NOT NULL GROUP BY ALL",
 )
 _oracle(
     "file_bigram_counts_all_pairs", _EVENTS,
-    "SELECT dataset, file_name, key, count(*) AS n FROM pairs WHERE next_type IS NOT NULL GROUP BY ALL",
+    "SELECT dataset, path, key, count(*) AS n FROM pairs WHERE next_type IS NOT NULL GROUP BY ALL",
 )
 _oracle("file_counts_all_kinds", _EVENT_COUNTS, "SELECT * FROM counts")
-_oracle("event_positions", _EVENTS, "SELECT dataset, file_name, token_num, token_text, token_type FROM tok")
+_oracle("event_positions", _EVENTS, "SELECT dataset, path, token_num, token_text, token_type FROM tok")
 _oracle(
-    "event_file_lengths", _EVENTS, "SELECT dataset, file_name, count(*) AS num_tokens FROM tok GROUP BY ALL"
+    "event_file_lengths", _EVENTS, "SELECT dataset, path, count(*) AS num_tokens FROM tok GROUP BY ALL"
 )
 
 
@@ -233,35 +235,36 @@ def _entries(kind: str, item: str, separator: str) -> str:
     return f"coalesce(string_agg({item}, '{separator}' ORDER BY key) FILTER (kind = '{kind}'), '')"
 
 
-_EVENT_ID = _uuid("dataset", "file_name", "0")
+_EVENT_ID = _uuid("dataset", "path", "0")
 _NUM_TOKENS = "CAST(sum(n) FILTER (kind = 'token_type') AS BIGINT) AS num_tokens"
 _PAIR, _OBJECT = "key || '=' || n", """'{"key":"' || key || '","val":' || n || '}'"""
 
 _oracle(
     "file_metric_record", _EVENT_COUNTS,
-    f"SELECT {_EVENT_ID} AS id, file_name AS filename, dataset, {_NUM_TOKENS}, "
+    f"SELECT {_EVENT_ID} AS id, path, 'events.log' AS filename, dataset, {_NUM_TOKENS}, "
     + ", ".join(
         f"{_entries(kind, _PAIR, ';')} AS {kind}"
         for kind in ("token_text", "token_type", "bigram_text", "bigram_type")
     )
-    + " FROM counts GROUP BY dataset, file_name",
+    + " FROM counts GROUP BY dataset, path",
 )
 _oracle(
     "file_record_parts", _EVENT_COUNTS,
-    "SELECT dataset, file_name, count(*) AS n_keys, CAST(sum(n) AS BIGINT) AS n_pairs FROM counts "
-    "WHERE kind = 'bigram_type' GROUP BY dataset, file_name",
+    "SELECT dataset, path, count(*) AS n_keys, CAST(sum(n) AS BIGINT) AS n_pairs FROM counts "
+    "WHERE kind = 'bigram_type' GROUP BY dataset, path",
 )
+_oracle("record_lengths", _EVENTS, "SELECT dataset, path, count(*) AS num_tokens FROM tok GROUP BY ALL")
 _oracle(
     "index_documents", _EVENT_COUNTS,
-    f"SELECT {_EVENT_ID} AS id, file_name AS filename, dataset, {_NUM_TOKENS}, "
+    f"SELECT {_EVENT_ID} AS id, path, 'events.log' AS filename, dataset, {_NUM_TOKENS}, "
     + ", ".join(
-        f"'[' || {_entries(kind, _OBJECT, ',')} || ']' AS {kind}" for kind in ("token_type", "bigram_type")
+        f"'[' || {_entries(kind, _OBJECT, ',')} || ']' AS {kind}" for kind in ("token_text", "token_type", "bigram_text", "bigram_type")
     )
-    + " FROM counts GROUP BY dataset, file_name",
+    + " FROM counts GROUP BY dataset, path",
 )
 _oracle(
     "duplicate_document_ids", _EVENTS,
-    "SELECT md5(file_name) AS id, count(*) AS files FROM tok WHERE token_num = 0 GROUP BY 1 HAVING count(*) > 1",
+    "SELECT md5(path) AS id, count(*) AS files FROM tok WHERE token_num = 0 GROUP BY 1 HAVING count(*) > 1",
 )
 _oracle("dataset_histogram_type", _hist("token_type"), _HIST_SELECT)
 _oracle("dataset_histogram_text", _hist("token_text"), _HIST_SELECT)
@@ -274,7 +277,7 @@ _oracle(
 _oracle(
     "histogram_without_prefix", _DOCS,
     f"SELECT dataset, {_unk('token_type')} AS key, count(*) AS count FROM tok "
-    "WHERE NOT (dataset = 'fr' AND starts_with(file_name, '1')) GROUP BY ALL",
+    "WHERE NOT (dataset = 'fr' AND starts_with(split_part(path, '/', 3), '1')) GROUP BY ALL",
 )
 _LENGTHS = f"""{_DOCS},
 lengths AS (SELECT dataset, len(t) AS tokens_count, count(*) AS file_count FROM lex GROUP BY ALL),
@@ -287,9 +290,9 @@ _oracle("by_file_ratio_histogram", _files("token_text"), "SELECT * FROM by_ratio
 _PIVOT_KEYS = ("Identifier", "IntegerLiteral", "FloatingLiteral", "EOF")
 _oracle(
     "by_file_pivot", _files("token_type"),
-    "SELECT num, "
+    "SELECT dataset, num, "
     + ", ".join(f"CAST(coalesce(sum(n_files) FILTER (key = '{k}'), 0) AS BIGINT) AS \"{k}\"" for k in _PIVOT_KEYS)
-    + f" FROM by_count WHERE dataset = 'en' AND key IN {_in(_PIVOT_KEYS)} GROUP BY num",
+    + f" FROM by_count WHERE key IN {_in(_PIVOT_KEYS)} GROUP BY dataset, num",
 )
 _oracle(
     "cumulative_shares", _files("token_type"),
@@ -347,13 +350,14 @@ _oracle(
 _oracle("distinct_keys", _hist("token_type"), "SELECT DISTINCT key FROM hist")
 _oracle(
     "missing_keys", _hist("token_text"),
-    "SELECT key FROM hist WHERE dataset = 'en' EXCEPT SELECT key FROM hist WHERE dataset = 'de'",
+    "SELECT d.dataset, h.key FROM hist h, (SELECT DISTINCT dataset FROM hist WHERE dataset <> 'en') d "
+    "WHERE h.dataset = 'en' EXCEPT SELECT dataset, key FROM hist",
 )
 _oracle(
     "relation_profile", _DOCS,
     " UNION ALL ".join(
         f"SELECT '{c}' AS column_name, count(*) AS n_rows, count(DISTINCT {c}) AS n_distinct FROM tok"
-        for c in ("dataset", "file_name", "token_text", "token_type")
+        for c in ("dataset", "path", "token_text", "token_type")
     ),
 )
 
@@ -363,9 +367,10 @@ _GAP = """dataset, count(*) FILTER (count = 0) AS missing,
   round(count(*) FILTER (count = 0) / count(*), 9) AS missing_share,
   round(sum(CASE WHEN count = 0 THEN ref_count ELSE 0 END) / max(ref_total), 9) AS used_share"""
 _oracle("vocab_gap", _cells("token_text"), f"SELECT {_GAP} FROM cells GROUP BY dataset")
+_LISTED = ["#", "$", "%", "&", "(", ")", "*", "+", ",", "-", ".", "/", ":", "|", "FloatingLiteral", "IntegerLiteral"]
 _oracle(
     "vocab_gap_types", _cells("token_type"),
-    f"SELECT {_GAP}, coalesce(string_agg(key, ', ' ORDER BY key) FILTER (count = 0), '') AS tokens "
+    f"SELECT {_GAP}, coalesce(string_agg(key, ', ' ORDER BY key) FILTER (count = 0 AND key IN {_in(_LISTED)}), '') AS tokens "
     "FROM cells GROUP BY dataset",
 )
 _oracle(
@@ -591,14 +596,14 @@ FROM curve c LEFT JOIN ks k ON k.dataset = c.dataset AND k.key = '.' WHERE x BET
 
 # ---------------------------------------------------------------- storage, quality, re-runs
 
-_GOOD = "CAST(file_name AS BIGINT) NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)"
+_GOOD = "CAST(split_part(path, '/', 3) AS BIGINT) NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)"
 _oracle(
     "token_dump_parse", _located(_WORDS_MATCH, _DOCS_SOURCE),
     f"SELECT {_token_columns(_WORDS_TYPE, _NO_CHANNEL)} FROM numbered WHERE {_GOOD}",
 )
 _oracle(
     "reject_files", "",
-    "SELECT DISTINCT lang || '/' || doc_id AS path, 'unparsable' AS reason FROM documents "
+    f"SELECT DISTINCT {_DOC_PATH}, 'unparsable' AS reason FROM documents "
     "WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)",
 )
 _oracle(
@@ -609,7 +614,7 @@ shown AS (SELECT dataset, {_shown('raw')} AS token_text FROM numbered)""",
 _oracle(
     "record_json_round_trip", _EVENTS,
     "SELECT dataset, n AS tokens_count, count(*) AS file_count FROM "
-    "(SELECT dataset, file_name, count(*) AS n FROM tok GROUP BY ALL) GROUP BY ALL",
+    "(SELECT dataset, path, count(*) AS n FROM tok GROUP BY ALL) GROUP BY ALL",
 )
 _oracle(
     "record_json_bigrams", _EVENTS,
@@ -623,14 +628,14 @@ _oracle(
 FROM documents GROUP BY 1""",
 )
 _RULES = [("not_null", c, f"count(*) FILTER ({c} IS NULL)") for c in (
-    "uuid", "dataset", "file_name", "token_num", "char_start", "char_end", "token_text", "token_type",
+    "uuid", "dataset", "path", "file_name", "token_num", "char_start", "char_end", "token_text", "token_type",
     "line", "line_char",
 )] + [("max_length", c, f"count(*) FILTER (length({c}) > {n})") for c, n in (
     ("uuid", 36), ("dataset", 4), ("file_name", 255), ("token_type", 255),
 )] + [("unique", "uuid", "count(uuid) - count(DISTINCT uuid)")]
 _oracle(
     "constraint_report", f"""{_located(_WORDS_MATCH, _DOCS_SOURCE)},
-full_rows AS (SELECT {_uuid('dataset', 'file_name', 'token_num')} AS uuid,
+full_rows AS (SELECT {_uuid('dataset', 'path', 'token_num')} AS uuid,
   {_token_columns(_WORDS_TYPE, _NO_CHANNEL)} FROM numbered)""",
     " UNION ALL ".join(
         f"SELECT '{rule}' AS rule, '{column}' AS column_name, {sql} AS violations FROM full_rows"

@@ -26,7 +26,7 @@ FILES = _struct(
 )
 
 TOKENS = _struct(
-    ("uuid", _S, False), ("dataset", _S, False), ("file_name", _S, False),
+    ("uuid", _S, False), ("dataset", _S, False), ("path", _S, False), ("file_name", _S, False),
     ("token_num", _I, False), ("char_start", _I, False), ("char_end", _I, False),
     ("token_text", _S, False), ("token_type", _S, False), ("channel", _I, True),
     ("line", _I, False), ("line_char", _I, False),
@@ -41,14 +41,14 @@ KINDS = ("token_text", "token_type", "bigram_text", "bigram_type")
 _COUNTS = T.MapType(_S, _L)
 
 RECORD = _struct(
-    ("id", _S, True), ("filename", _S, True), ("dataset", _S, True), ("num_tokens", _L, True),
+    ("id", _S, True), ("path", _S, True), ("filename", _S, True), ("dataset", _S, True), ("num_tokens", _L, True),
     ("part", _I, True), *[(kind, _COUNTS, True) for kind in KINDS],
 )
 
 _ENTRIES = T.ArrayType(_struct(("key", _S, True), ("val", _L, True)))
 
 INDEX_DOCUMENT = _struct(
-    ("id", _S, True), ("filename", _S, True), ("dataset", _S, True), ("num_tokens", _L, True),
+    ("id", _S, True), ("path", _S, True), ("filename", _S, True), ("dataset", _S, True), ("num_tokens", _L, True),
     ("part", _I, True), *[(kind, _ENTRIES, True) for kind in KINDS],
 )
 

@@ -56,8 +56,3 @@ def write_packaged(files: DataFrame, path: str, chunk: int = CHUNK_ROWS) -> None
 def read_packaged(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(FILES).parquet(path)
 
-
-def spread_input(df: DataFrame, *keys: str) -> DataFrame:
-    """Split a small scan over the cluster; a large one already has more splits than cores."""
-    wanted = 4 * df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= wanted else df.repartition(wanted, *keys)

@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from glyphstat.functions.text import path_stem
+from glyphstat.functions.text import base_name, decoded_path, path_stem
 
 
 def write(hist: DataFrame, path: str, sort: tuple[str, ...] = ("count", "key")) -> None:
@@ -35,6 +35,6 @@ def read(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
 def read_named_files(spark: SparkSession, path: str, schema: T.StructType, metric: str) -> DataFrame:
     """One ``<corpus>.csv`` per corpus; ``<metric>.csv`` is the merged table and left out."""
     rows = _reader(spark, schema).option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").csv(path)
-    return rows.withColumn("dataset", path_stem(F.col("_metadata.file_name"))).filter(
+    return rows.withColumn("dataset", path_stem(base_name(decoded_path(F.col("_metadata.file_path"))))).filter(
         F.col("dataset") != metric
     )

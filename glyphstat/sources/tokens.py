@@ -3,8 +3,7 @@
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphstat.functions.text import token_uuid
-from glyphstat.operators.merge import anti_join
+from glyphstat.functions.text import base_name, decoded_path, token_uuid
 from glyphstat.schemas import TOKENS
 
 # Fixed value: the printed form of a token.
@@ -16,13 +15,12 @@ _SEPARATOR = "\x01"
 
 
 def read_dump(spark: SparkSession, path: str, dataset: str, pattern: str = "*.tokens") -> DataFrame:
-    """(path, dataset, file_name, value): the lines of all dump files below ``path``."""
+    """(path, dataset, value): the lines of all dump files below ``path``."""
     lines = (
         spark.read.option("pathGlobFilter", pattern).option("recursiveFileLookup", True).text(path)
     )
     return lines.select(
-        F.col("_metadata.file_path").alias("path"), F.lit(dataset).alias("dataset"),
-        F.col("_metadata.file_name").alias("file_name"), "value",
+        decoded_path(F.col("_metadata.file_path")).alias("path"), F.lit(dataset).alias("dataset"), "value",
     )
 
 
@@ -37,25 +35,28 @@ def parse_dump(lines: DataFrame, rejects: DataFrame) -> DataFrame:
     # One match per line; the text comes last because only it can contain the separator.
     joined = F.regexp_replace("value", f"(?s)^.*?{DUMP_LINE}.*$", _SEPARATOR.join(f"${i}" for i in _ORDER))
     fields = F.split(joined, _SEPARATOR, len(_ORDER))
-    good = anti_join(lines, rejects.select("path"), ["path"]).withColumn("f", fields)
+    good = lines.join(rejects.select("path"), "path", "left_anti").withColumn("f", fields)
 
     def number(i: int) -> Column:
         return F.nullif(F.col("f")[i], F.lit("")).try_cast("int")
 
     num, start, end, kind, channel, row, column, text = range(len(_ORDER))
     return good.select(
-        token_uuid(F.col("dataset"), F.col("file_name"), number(num)).alias("uuid"),
-        "dataset", "file_name", number(num).alias("token_num"), number(start).alias("char_start"),
+        token_uuid(F.col("dataset"), F.col("path"), number(num)).alias("uuid"),
+        "dataset", "path", base_name(F.col("path")).alias("file_name"), number(num).alias("token_num"), number(start).alias("char_start"),
         number(end).alias("char_end"), F.col("f")[text].alias("token_text"),
         F.translate(F.col("f")[kind], "'", "").alias("token_type"), number(channel).alias("channel"),
         number(row).alias("line"), number(column).alias("line_char"),
     )
 
 
-def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Token CSVs with doubled quotes; line breaks inside a cell are kept."""
+def read_csv(spark: SparkSession, path: str, line_breaks: bool = False) -> DataFrame:
+    """Token CSVs with doubled quotes. ``line_breaks`` allows them inside a cell, one task per file.
+
+    Files that ``write_csv`` wrote from a token table have none.
+    """
     return (
-        spark.read.schema(TOKENS).option("header", True).option("escape", '"').option("multiLine", True)
+        spark.read.schema(TOKENS).option("header", True).option("escape", '"').option("multiLine", line_breaks)
         .option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").csv(path)
     )
 

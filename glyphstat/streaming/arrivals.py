@@ -15,7 +15,7 @@ from glyphstat.operators.tokenize import tokenize
 def arriving_documents(
     spark: SparkSession, path: str, schema: StructType, max_files: int | None = None
 ) -> DataFrame:
-    """A stream over a folder of Parquet files with columns (dataset, file_name, text)."""
+    """A stream over a folder of Parquet files with columns (dataset, path, text)."""
     reader = spark.readStream.schema(schema)
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)

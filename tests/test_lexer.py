@@ -1,15 +1,18 @@
 """The C++ lexer against hand-made cases and against a brute-force longest-match lexer."""
 
 import random
+import unicodedata
 
 import regex
+from pyspark.sql import functions as F
 
 from glyphstat.functions.lexing import CPP14, CPP_KEYWORDS, CPP_OPERATORS, CPP_SINGLE, WORDS
 from glyphstat.operators.counts import document_lengths
 from glyphstat.operators.tokenize import (
     document_pairs,
     document_tokens,
-    split_by_size,
+    flag_oversized,
+    rejected_documents,
     tokenize,
     unrecognized,
 )
@@ -17,14 +20,14 @@ from glyphstat.operators.tokenize import (
 
 def docs(spark, texts):
     rows = [("D", f"{i:05d}", text) for i, text in enumerate(texts)]
-    return spark.createDataFrame(rows, "dataset string, file_name string, text string")
+    return spark.createDataFrame(rows, "dataset string, path string, text string")
 
 
 def lexed(spark, texts, profile=CPP14):
-    rows = tokenize(docs(spark, texts), profile).orderBy("file_name", "token_num").collect()
+    rows = tokenize(docs(spark, texts), profile).orderBy("path", "token_num").collect()
     result = [[] for _ in texts]
     for row in rows:
-        result[int(row["file_name"])].append(row)
+        result[int(row["path"])].append(row)
     return result
 
 
@@ -143,7 +146,7 @@ def test_long_literals_do_not_overflow_the_stack(spark):
         "/*" + "y" * 50_000 + "*/", "1" + "'1" * 20_000, "a" * 50_000, "//" + "z" * 50_000, '"' + "\\n" * 20_000,
         "'" + "\\n" * 20_000 + "'", "0x" + "'f" * 20_000, "0x1" + "'f" * 20_000, "\\u00e9" * 10_000, " \n" * 40_000,
     ]
-    n = {int(r["file_name"]): r["num_tokens"] for r in document_lengths(docs(spark, texts), CPP14).collect()}
+    n = {int(r["path"]): r["num_tokens"] for r in document_lengths(docs(spark, texts), CPP14).collect()}
     assert [n[i] for i in (0, 1, 2, 4, 5, 8, 10, 11)] == [2] * 8
     assert [n[i] for i in (3, 6, 7, 12)] == [1] * 4
 
@@ -179,7 +182,45 @@ def test_words(spark):
 
 def test_unrecognized_and_size_split(spark):
     frame = docs(spark, ["int x;", "@ y $", "// @\n"])
-    lost = {r["file_name"]: r["lost_chars"] for r in unrecognized(frame, CPP14).collect()}
+    lost = {r["path"]: r["lost_chars"] for r in unrecognized(frame, CPP14).collect()}
     assert lost == {"00001": 2}
-    kept, rejects = split_by_size(frame, 5)
-    assert kept.count() == 2 and [tuple(r) for r in rejects.collect()] == [("00000", "timeout")]
+    assert [r["oversized"] for r in flag_oversized(frame, 5).orderBy("path").collect()] == [True, False, False]
+    more = frame.unionByName(frame.limit(1).withColumns({"path": F.lit("null"), "text": F.lit(None).cast("string")}))
+    rejects = {tuple(r) for r in rejected_documents(more, 5).collect()}
+    assert rejects == {("00000", "oversized"), ("null", "unreadable")}
+
+
+def words_by_hand(text):
+    """The tokens of ``words``, read character by character."""
+    letter = lambda c: c == "_" or unicodedata.category(c)[0] == "L"
+    digit = lambda c: c in "0123456789"
+    found, i = [], 0
+    while i < len(text):
+        j = i + 1
+        if text[i] in " \t\r\n\f":
+            i += 1
+            continue
+        if letter(text[i]):
+            while j < len(text) and (letter(text[j]) or unicodedata.category(text[j]) in ("Mn", "Mc", "Me", "Nd")):
+                j += 1
+        elif digit(text[i]):
+            while j < len(text) and digit(text[j]):
+                j += 1
+            if j + 1 < len(text) and text[j] == "." and digit(text[j + 1]):
+                j += 2
+                while j < len(text) and digit(text[j]):
+                    j += 1
+        else:
+            two = text[i] in "-+*/%^&|=!<>" and text[i + 1 : i + 2] == "="
+            j = i + (3 if text[i : i + 3] in ("<<=", ">>=") else 2 if two else 1)
+        found.append(text[i:j])
+        i = j
+    return found
+
+
+def test_words_match_reading_by_hand(spark):
+    rng = random.Random(12)
+    pieces = ["été", "straße", "niño", "the", "x", "12", "3.14", ".", ",", "<<=", "->*", "::", "'", "\"", " ", "\n", "\t", "_", "%", "…", "日本"]
+    texts = ["".join(rng.choice(pieces) for _ in range(rng.randint(0, 40))) for _ in range(300)]
+    for text, rows in zip(texts, lexed(spark, texts, WORDS), strict=True):
+        assert [r["token_text"] for r in rows] == [*words_by_hand(text), "<EOF>"], text

@@ -3,6 +3,8 @@
 import pytest
 
 import __spark_entry__ as entry
+from glyphstat.plans.catalog import QUERIES
+from glyphstat.plans.oracles import ORACLES
 from tests.oracle import connect, difference
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -13,13 +15,14 @@ def con():
     return connect(SF_DIR)
 
 
-@pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_equals_sql(spark, con, name):
-    assert difference(entry.queries()[name](spark, SF_DIR), con, entry.oracle_sql()[name]) is None
+    assert difference(QUERIES[name](spark, SF_DIR), con, ORACLES[name]) is None
 
 
-def test_every_query_without_sql_is_known():
-    assert set(entry.queries()) - set(entry.oracle_sql()) == {"ks_by_key_exact"}
+def test_every_query_has_sql_and_is_registered():
+    assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) <= set(entry.queries()) and set(ORACLES) <= set(entry.oracle_sql())
 
 
 def test_entry(spark):

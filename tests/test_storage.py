@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from glyphstat.functions.lexing import CPP14, WORDS
+from glyphstat.operators.counts import file_key_counts, token_keys
 from glyphstat.operators import incremental, quality
 from glyphstat.operators.tokenize import render_dump, tokenize
 from glyphstat.sources import files, metrics, repos
@@ -12,7 +13,7 @@ from glyphstat.sources import records as record_files
 from glyphstat.sources import tokens as token_files
 from glyphstat.streaming.arrivals import arriving_documents, tokenize_available
 
-DOCS = "dataset string, file_name string, text string"
+DOCS = "dataset string, path string, text string"
 
 
 def docs(spark, texts, dataset="D"):
@@ -80,11 +81,11 @@ def test_csv_round_trip(spark, tmp_path):
 
 def test_dump_round_trip_and_rejects(spark, tmp_path):
     made = tokenize(docs(spark, CODE), CPP14)
-    lines = render_dump(made).orderBy("file_name", "token_num").collect()
+    lines = render_dump(made).orderBy("path", "token_num").collect()
     folder = tmp_path / "dump"
     folder.mkdir()
-    for name in {r["file_name"] for r in lines}:
-        mine = [r["value"] for r in lines if r["file_name"] == name]
+    for name in {r["path"] for r in lines}:
+        mine = [r["value"] for r in lines if r["path"] == name]
         (folder / f"{name}.tokens").write_text("\n".join(mine) + "\n", encoding="utf-8")
     (folder / "bad.tokens").write_text("[@0,0:0='a',<Identifier>,1:0]\nbroken\n[@1,1:0='<EOF>',<EOF>,1:1]\n")
     (folder / "blank.tokens").write_text("[@0,0:0='a',<Identifier>,1:0]\n\n")
@@ -92,9 +93,9 @@ def test_dump_round_trip_and_rejects(spark, tmp_path):
     rejects = token_files.unreadable_files(dumped)
     parsed = token_files.parse_dump(dumped, rejects)
     assert [r["path"].rsplit("/", 1)[1] for r in rejects.orderBy("path").collect()] == ["bad.tokens", "blank.tokens"]
-    columns = [c for c in made.columns if c not in ("uuid", "file_name")]
+    columns = [c for c in made.columns if c not in ("uuid", "path", "file_name")]
     assert content(parsed, *columns) == content(made, *columns)
-    line = spark.createDataFrame([("p", "D", "f", "  [@2,5:9='#if X',<Directive>,channel=1,7:0] ")], "path string, dataset string, file_name string, value string")
+    line = spark.createDataFrame([("p", "D", "  [@2,5:9='#if X',<Directive>,channel=1,7:0] ")], "path string, dataset string, value string")
     row = token_files.parse_dump(line, rejects).first()
     assert (row["token_text"], row["token_type"], row["channel"], row["line"], row["line_char"]) == ("#if X", "Directive", 1, 7, 0)
 
@@ -158,9 +159,36 @@ def test_arriving_documents_are_taken_once(spark, tmp_path):
     source, out, state = (str(tmp_path / n) for n in ("in", "out", "state"))
     frame = docs(spark, ["a b"])
     for name in ("one", "two"):
-        frame.withColumn("file_name", F.lit(name)).write.mode("append").parquet(source)
+        frame.withColumn("path", F.lit(name)).write.mode("append").parquet(source)
         for _ in range(2):
             stream = arriving_documents(spark, source, frame.schema, max_files=1)
             tokenize_available(stream, WORDS, out, state).awaitTermination()
     table = token_files.read(spark, out)
-    assert content(table.groupBy("file_name").count(), "file_name", "count") == [("one", 3), ("two", 3)]
+    assert content(table.groupBy("path").count(), "path", "count") == [("one", 3), ("two", 3)]
+
+
+def test_files_of_one_name_stay_apart(spark, tmp_path):
+    texts = {"p/main c.c": "a b c", "q/main c.c": "d e", "q+/50%.c": "f"}
+    frame = spark.createDataFrame([("D", p, t) for p, t in texts.items()], DOCS)
+    lines = render_dump(tokenize(frame, WORDS)).orderBy("path", "token_num").collect()
+    for path in texts:
+        target = tmp_path / "dump" / f"{path}.tokens"
+        target.parent.mkdir(parents=True, exist_ok=True)
+        target.write_text("\n".join(r["value"] for r in lines if r["path"] == path) + "\n")
+    dumped = token_files.read_dump(spark, str(tmp_path / "dump"), "D")
+    assert {r["path"] for r in dumped.select("path").collect()} == {f"{tmp_path}/dump/{p}.tokens" for p in texts}
+    parsed = token_files.parse_dump(dumped, token_files.unreadable_files(dumped))
+    assert parsed.select("uuid").distinct().count() == parsed.count() == 9
+    assert {r["file_name"] for r in parsed.collect()} == {"main c.c.tokens", "50%.c.tokens"}
+    pairs = {r["key"] for r in file_key_counts(token_keys(parsed, "bigram_text", all_pairs=True)).collect()}
+    assert pairs == {"a<<>>b", "b<<>>c", "c<<>><EOF>", "d<<>>e", "e<<>><EOF>", "f<<>><EOF>"}
+    table = str(tmp_path / "table")
+    incremental.append_tokens(spark, parsed.filter("path LIKE '%/p/%'"), table)
+    incremental.append_tokens(spark, parsed, table)
+    assert token_files.read(spark, table).count() == 9
+    listed = incremental.manifest(dumped.select("path").distinct(), str(tmp_path / "dump"), str(tmp_path / "out"), ".csv")
+    (tmp_path / "out" / "q").mkdir(parents=True)
+    (tmp_path / "out" / "q" / "main c.c.csv").write_text("x")
+    done = incremental.finished(spark, str(tmp_path / "out"), "*.csv")
+    none = spark.createDataFrame([], "path string, reason string")
+    assert {r["src_file"].rsplit("/", 2)[1] for r in incremental.pending(listed, done, none).collect()} == {"p", "q+"}

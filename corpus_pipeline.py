@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from glyphstat.llm import bpe, line_dedup, mixing, quality_forest, superminhash
 from glyphstat.llm.queries import bpe_vocabulary, table
+from glyphstat.llm.storage import shared_folder
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,11 +63,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply the stages to ``documents``, each writing Parquet to the shared folder for the next."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not shared:
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     docs = table(spark, sf_dir, "documents")
-    folder = os.path.join(shared, f"pipeline-{uuid.uuid4().hex}")
+    folder = os.path.join(shared_folder(spark), f"pipeline-{uuid.uuid4().hex}")
     for k, (name, stage) in enumerate(STAGES):
         path = f"{folder}/{k}-{name}"
         stage(spark, docs, sf_dir).write.parquet(path)

@@ -1,5 +1,7 @@
 """Cutting lineage through the folder that all executors share."""
 
+import atexit
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,7 +11,11 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``; a temporary one only where that is unset, as in tests."""
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="glyphstat-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            folder = tempfile.mkdtemp(prefix="glyphstat-")
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        sc.setCheckpointDir(folder)
     return sc.getCheckpointDir()
 
 

@@ -83,12 +83,14 @@ def train(
 ) -> Classifier:
     """Minimize the non-negative risk with logistic loss in shuffled batches (Adam steps)."""
     model = Classifier()
-    known = np.bincount(np.concatenate(positive), minlength=BUCKETS) >= MIN_POSITIVE
-    positive, unlabelled = ([t[known[t]] for t in texts] for texts in (positive, unlabelled))
-    model.bias = float(np.log(prior / (1 - prior)))
+    frequent = np.bincount(np.concatenate(positive), minlength=BUCKETS) >= MIN_POSITIVE
+    # Only these are trained, under numbers of their own.
+    number, size = np.cumsum(frequent) - 1, int(frequent.sum())
+    positive, unlabelled = ([number[t[frequent[t]]] for t in texts] for texts in (positive, unlabelled))
+    model.weights, model.bias = np.zeros(size), float(np.log(prior / (1 - prior)))
     rng = np.random.default_rng(seed)
     n_batches = max(1, len(unlabelled) // batch)
-    moment, square, t = np.zeros(BUCKETS + 1), np.zeros(BUCKETS + 1), 0
+    moment, square, t = np.zeros(size + 1), np.zeros(size + 1), 0
 
     def flat(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         return np.concatenate([np.zeros(0, np.int64), *texts]), np.cumsum([0, *map(len, texts)])
@@ -106,7 +108,7 @@ def train(
                 du = _sigmoid(zu) / len(u)
             else:
                 dp, du = prior * _sigmoid(zp) / len(p), -_sigmoid(zu) / len(u)
-            gradient = np.bincount(fp, np.repeat(dp, np.diff(bp)), BUCKETS) + np.bincount(fu, np.repeat(du, np.diff(bu)), BUCKETS)
+            gradient = np.bincount(fp, np.repeat(dp, np.diff(bp)), size) + np.bincount(fu, np.repeat(du, np.diff(bu)), size)
             gradient = np.append(gradient + decay * model.weights, dp.sum() + du.sum())
             t += 1
             moment = 0.9 * moment + 0.1 * gradient
@@ -114,6 +116,9 @@ def train(
             step = rate * (moment / (1 - 0.9**t)) / (np.sqrt(square / (1 - 0.999**t)) + 1e-8)
             model.weights -= step[:-1]
             model.bias -= step[-1]
+    weights = np.zeros(BUCKETS)
+    weights[frequent] = model.weights
+    model.weights = weights
     return model
 
 
@@ -159,7 +164,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE, ma
     chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(wanted), "doc_id")
     rows = chosen.select("part", "toxic", "text").mapInArrow(run, "part long, toxic int, features array<int>").toArrow()
     part, toxic = rows.column("part").to_numpy(), rows.column("toxic").to_pylist()
-    texts = [np.asarray(x.values, np.int64) for x in rows.column("features").combine_chunks()]
+    texts = [x.values.to_numpy() for x in rows.column("features").combine_chunks()]
     # The order of collected rows is not fixed; training needs one that is.
     order_of = sorted(range(len(texts)), key=lambda i: texts[i].tobytes())
     texts, part, toxic = [texts[i] for i in order_of], part[order_of], [toxic[i] for i in order_of]

@@ -1,5 +1,7 @@
 """Tables written between two steps of a job."""
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from functools import lru_cache
@@ -9,7 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 @lru_cache
 def _local_dir(application: str) -> str:
-    return tempfile.mkdtemp(prefix="glyphstat-")
+    folder = tempfile.mkdtemp(prefix="glyphstat-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -2,6 +2,7 @@
 
 import os
 import sys
+import tempfile
 import time
 import traceback
 
@@ -16,11 +17,12 @@ from tests.oracle import connect, difference  # noqa: E402
 def main():
     sf_dir = f"/root/testdata/sf{sys.argv[1]}"
     only = sys.argv[2:]
+    shared = tempfile.TemporaryDirectory(prefix="check-all-")
     spark = (
         SparkSession.builder.master("local[8]").config("spark.ui.enabled", "false")
         .config("spark.sql.shuffle.partitions", "8").config("spark.driver.memory", "12g")
         .config("spark.ui.showConsoleProgress", "false")
-        .config("spark.sql.session.timeZone", "UTC").getOrCreate()
+        .config("spark.sql.session.timeZone", "UTC").config("spark.checkpoint.dir", shared.name).getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
     con = connect(sf_dir)

@@ -28,6 +28,10 @@ BEGINNINGS = (4, 6)
 # Confirmed texts that a feature is in at least; rarer ones only tell single texts apart.
 MIN_POSITIVE = 4
 
+# Share of confirmed texts among those with a feature, as the prior lets expect it, at least. Common
+# words have the prior's share; their many small weights would make long texts score at random.
+MIN_SHARE = 0.3
+
 # Bounds of the sample that the classifier is fitted on.
 MAX_POSITIVE = 6_000
 MAX_UNLABELLED = 12_000
@@ -83,8 +87,10 @@ def train(
 ) -> Classifier:
     """Minimize the non-negative risk with logistic loss in shuffled batches (Adam steps)."""
     model = Classifier()
-    frequent = np.bincount(np.concatenate(positive), minlength=BUCKETS) >= MIN_POSITIVE
+    in_positive, in_any = (np.bincount(np.concatenate(texts), minlength=BUCKETS) for texts in (positive, unlabelled))
+    share = prior * (in_positive / len(positive)) / (np.maximum(in_any, 1) / len(unlabelled))
     # Only these are trained, under numbers of their own.
+    frequent = (in_positive >= MIN_POSITIVE) & (share >= MIN_SHARE)
     number, size = np.cumsum(frequent) - 1, int(frequent.sum())
     positive, unlabelled = ([number[t[frequent[t]]] for t in texts] for texts in (positive, unlabelled))
     model.weights, model.bias = np.zeros(size), float(np.log(prior / (1 - prior)))

@@ -7,7 +7,7 @@ and the estimate has a lower variance than with independent hashes. The walk of
 later step can lower any place.
 
 Equal sets become one class first. Classes that agree in a band of their signatures are candidates:
-in every bucket all members are compared with a hub, confirmed pairs are merged, and buckets that
+every member is compared with a hub of its buckets, confirmed pairs are merged, and buckets that
 still hold several components get further hubs, and at last all pairs across components. So no
 group of similar documents is expanded into all its pairs, and yet no candidate is left out.
 
@@ -133,16 +133,9 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     left = sets.select(F.col("node").alias("u"), F.col("shingles").alias("set_u"))
     right = sets.select(F.col("node").alias("v"), F.col("shingles").alias("set_v"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ok = []
-            for one, other in zip(batch.column("set_u"), batch.column("set_v"), strict=True):
-                a, b = one.values.to_numpy(), other.values.to_numpy()
-                common = len(np.intersect1d(a, b, assume_unique=True))
-                ok.append(100 * common >= percent * (len(a) + len(b) - common))
-            yield batch.select(["u", "v"]).filter(pa.array(ok, pa.bool_()))
-
-    return pairs.join(left, "u").join(right, "v").select("u", "v", "set_u", "set_v").mapInArrow(run, "u long, v long")
+    common = F.size(F.array_intersect("set_u", "set_v"))
+    both = F.size("set_u") + F.size("set_v") - common
+    return pairs.join(left, "u").join(right, "v").filter(common * 100 >= both * percent).select("u", "v")
 
 
 def _forest(edges: DataFrame) -> DataFrame:
@@ -190,14 +183,20 @@ def similar_classes(members: DataFrame, sets: DataFrame, percent: int) -> DataFr
         if step and not open_.limit(1).count():
             break
         if step < HUB_ROUNDS:
-            # Another hub each time: the least of a new ordering of the nodes.
+            # Another hub each time: the least of a new ordering of the nodes. A node is compared with
+            # the hub that it shares most buckets with; the others have their turn in later rounds.
             rank = F.col("node") if step == 0 else F.xxhash64("node", F.lit(step))
             hubs = open_.groupBy("key").agg(
                 F.min(F.struct(rank.alias("rank"), "node", "n", "component")).alias("hub")
             )
-            pairs = (
+            shared = (
                 open_.join(hubs, "key").filter("component <> hub.component")
-                .select("node", "n", F.col("hub.node").alias("other"), F.col("hub.n").alias("n_other"))
+                .groupBy("node", "n", F.col("hub.node").alias("other"), F.col("hub.n").alias("n_other"))
+                .agg(F.count("*").alias("shared"))
+            )
+            best = F.max_by(F.struct("other", "n_other"), F.struct("shared", -F.col("other"))).alias("best")
+            pairs = shared.filter(_length_ok(percent, "n", "n_other")).groupBy("node", "n").agg(best).select(
+                "node", "n", "best.other", "best.n_other"
             )
         else:
             other = open_.select(
@@ -208,8 +207,9 @@ def similar_classes(members: DataFrame, sets: DataFrame, percent: int) -> DataFr
             pairs.filter(_length_ok(percent, "n", "n_other"))
             .select(F.greatest("node", "other").alias("u"), F.least("node", "other").alias("v")).distinct()
         )
-        needed = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-        found = cut(_forest(confirmed(pairs, sets if step == 0 else sets.join(needed, "node", "left_semi"), percent)))
+        if step:
+            sets = cut(sets.join(open_.select("node").distinct(), "node", "left_semi"))
+        found = cut(_forest(confirmed(pairs, sets, percent)))
         links = found if links is None else links.union(found)
         label = members.select("node").distinct().join(components(links), "node", "left").select(
             "node", F.coalesce("component", "node").alias("component")

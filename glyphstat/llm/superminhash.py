@@ -175,7 +175,9 @@ def _length_ok(percent: int, a: str, b: str):
 def similar_classes(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Components ``(node, component)`` among ``members(key, node, n)``, the buckets' entries."""
     label = members.select("node").distinct().withColumn("component", F.col("node"))
-    links = None
+    links = used = None
+    sizes = members.groupBy("key").agg(F.count("*").alias("size"))
+    company = cut(members.join(sizes, "key").groupBy("node").agg(F.sum("size").alias("company")))
     for step in range(HUB_ROUNDS + 1):
         entries = members.join(label, "node") if step else members.withColumn("component", F.col("node"))
         spread = entries.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"))
@@ -183,12 +185,15 @@ def similar_classes(members: DataFrame, sets: DataFrame, percent: int) -> DataFr
         if step and not open_.limit(1).count():
             break
         if step < HUB_ROUNDS:
-            # Another hub each time: the least of a new ordering of the nodes. A node is compared with
-            # the hub that it shares most buckets with; the others have their turn in later rounds.
-            rank = F.col("node") if step == 0 else F.xxhash64("node", F.lit(step))
-            hubs = open_.groupBy("key").agg(
-                F.min(F.struct(rank.alias("rank"), "node", "n", "component")).alias("hub")
+            # The hub of a bucket is the node with the most company in all its buckets that has not been
+            # one: of a text and its altered copies that is the text. A node is compared with the hub
+            # that it shares most buckets with; the others have their turn in later rounds.
+            free = open_ if used is None else open_.join(used, "node", "left_anti")
+            hubs = free.join(company, "node").groupBy("key").agg(
+                F.max_by(F.struct("node", "n", "component"), F.struct("company", -F.col("node"))).alias("hub")
             )
+            chosen = hubs.select("hub.node").distinct()
+            used = cut(chosen if used is None else chosen.union(used))
             shared = (
                 open_.join(hubs, "key").filter("component <> hub.component")
                 .groupBy("node", "n", F.col("hub.node").alias("other"), F.col("hub.n").alias("n_other"))

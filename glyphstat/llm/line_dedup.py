@@ -1,12 +1,12 @@
 """Deleting aligned common blocks of lines from the later of two documents.
 
-Documents that overlap are found through the lines they share. A line in few documents is rare: each
-of its holders is paired with the holder before it and with the first one. A more frequent line
-pairs its holders with the first one only, so large groups of copies are found as well and the
-number of pairs stays below the number of lines. Each pair is aligned by patience diff: lines that
-are unique in both texts are matched along a longest increasing sequence, matches grow over equal
-neighbours, and the gaps between them are aligned in the same way. Runs of matched lines with enough
-words are deleted from the document with the larger id; both texts are taken as they came.
+Documents that overlap are found through the least runs of lines that have enough words: each holder of
+a run is paired with the first document that holds it. Every common block is a union of such runs, so
+no block is missed, and the number of pairs stays below the number of runs. Each pair is aligned by
+patience diff: lines that are unique in both texts are matched along a longest increasing sequence,
+matches grow over equal neighbours, and the gaps between them are aligned in the same way. Runs of
+matched lines with enough words are deleted from the document with the larger id; both texts are taken
+as they came.
 
 Defined cases: null texts have no lines and stay null; documents without an id stay as they are;
 rows with equal ids are never compared with each other, and each is judged by its own text; other
@@ -19,17 +19,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glyphstat.llm.storage import cut
 from glyphstat.llm.words import _BYTE as BYTE_VALUES
-from glyphstat.llm.words import Words, as_bytes, chunks, prefix_hashes, span_hashes
+from glyphstat.llm.words import Words, as_bytes, chunks, mix, prefix_hashes, span_hashes
 
-# Holders up to which a line is rare, and words that a deleted block has at least.
-RARE_HOLDERS = 50
+# Words that a deleted block has at least.
 MIN_BLOCK_WORDS = 20
 
+# Lines that are held in arrays at a time; one longer text is a batch of its own.
+CHUNK_LINES = 500_000
+
 
 def patience(a: list, b: list) -> list[tuple[int, int]]:
     """Matched positions of two sequences, increasing in both."""
@@ -112,21 +114,68 @@ def fingerprint() -> Column:
     return F.xxhash64("text").alias("fp")
 
 
-def overlapping(lines: DataFrame, rare: int = RARE_HOLDERS) -> DataFrame:
-    """Pairs ``(doc_id, fp, other_id, other_fp)`` of a document and an earlier one that shares a line."""
-    holders = (
-        lines.select("doc_id", "fp", F.explode(F.arrays_zip("lines", "words")).alias("line"))
-        .filter("line.words > 0").select("doc_id", "fp", F.col("line.lines").alias("line")).distinct()
+def run_bounds(words: np.ndarray, bounds: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """The least runs of lines [start, end) with ``min_words`` words, from every line on and up to every line.
+
+    ``words`` are those of the lines of some texts, ``bounds`` where the texts begin and end. Every common
+    block of two texts is a union of such runs, and each of them stands in both.
+    """
+    total = np.concatenate([[0], np.cumsum(words, dtype=np.int64)])
+    place = np.arange(len(words))
+    text = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+    end = np.searchsorted(total, total[:-1] + min_words)
+    start = np.searchsorted(total, total[1:] - min_words, "right") - 1
+    on, up = end <= bounds[text + 1], start >= bounds[text]
+    found = np.unique(
+        np.concatenate([np.column_stack([place, end])[on], np.column_stack([start, place + 1])[up]]), axis=0
+    )
+    return found[:, 0], found[:, 1]
+
+
+def run_table(lines: DataFrame, min_words: int) -> DataFrame:
+    """``(doc_id, fp, run)``: hashes of the least runs of every document, each once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in line_chunks(batches):
+            hashes, words = batch.column("lines"), batch.column("words").flatten().to_numpy()
+            bounds = np.concatenate([[0], np.cumsum(hashes.value_lengths().to_numpy())])
+            start, end = run_bounds(words, bounds, min_words)
+            keys = span_hashes(prefix_hashes(mix(hashes.flatten().to_numpy().view(np.uint64))), start, end)
+            doc = np.searchsorted(bounds, start, "right") - 1
+            order = np.lexsort((keys, doc))
+            doc, keys = doc[order], keys[order]
+            new = np.ones(len(doc), bool)
+            new[1:] = (np.diff(doc) != 0) | (np.diff(keys.view(np.int64)) != 0)
+            owner = pa.array(doc[new])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id").take(owner), batch.column("fp").take(owner), pa.array(keys[new].view(np.int64))],
+                names=["doc_id", "fp", "run"],
+            )
+
+    return lines.mapInArrow(run, "doc_id long, fp long, run long")
+
+
+def line_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Cut record batches so that none holds much more than CHUNK_LINES lines."""
+    for batch in batches:
+        sizes = np.cumsum(batch.column("lines").value_lengths().to_numpy())
+        start = 0
+        while start < batch.num_rows:
+            before = sizes[start - 1] if start else 0
+            end = max(start + 1, int(np.searchsorted(sizes, before + CHUNK_LINES, "right")))
+            yield batch.slice(start, end - start)
+            start = end
+
+
+def overlapping(lines: DataFrame, min_words: int = MIN_BLOCK_WORDS) -> DataFrame:
+    """Pairs ``(doc_id, fp, other_id, other_fp)`` of a document and the first one that holds a run of its lines."""
+    holders = run_table(lines, min_words)
+    # Stored, so that the join below sees exchanges on both sides and can split a frequent run.
+    shared = cut(
+        holders.groupBy("run").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "fp")).alias("first"))
+        .filter("n > 1").select("run", F.col("first.doc_id").alias("other_id"), F.col("first.fp").alias("other_fp"))
     )
-    me = F.struct("doc_id", "fp")
-    shared = holders.groupBy("line").agg(F.count("*").alias("n"), F.min(me).alias("first")).filter("n > 1")
-    held = holders.join(shared, "line")
-    before = F.lag(me).over(Window.partitionBy("line").orderBy("doc_id", "fp"))
-    near = held.filter(F.col("n") <= rare).withColumn("first", before)
-    pairs = held.select("doc_id", "fp", "first").union(near.select("doc_id", "fp", "first"))
-    return pairs.filter("first.doc_id < doc_id").select(
-        "doc_id", "fp", F.col("first.doc_id").alias("other_id"), F.col("first.fp").alias("other_fp")
-    ).distinct()
+    return holders.join(shared, "run").filter("other_id < doc_id").drop("run").distinct()
 
 
 def removed_lines(docs: DataFrame, min_words: int = MIN_BLOCK_WORDS) -> DataFrame:
@@ -148,7 +197,7 @@ def removed_lines(docs: DataFrame, min_words: int = MIN_BLOCK_WORDS) -> DataFram
             yield out.filter(pa.array([bool(x) for x in found], pa.bool_()))
 
     aligned = (
-        overlapping(lines).join(lines, ["doc_id", "fp"]).join(other, ["other_id", "other_fp"])
+        overlapping(lines, min_words).join(lines, ["doc_id", "fp"]).join(other, ["other_id", "other_fp"])
         .select("doc_id", "fp", "lines", "other", "words")
         .mapInArrow(run, "doc_id long, fp long, ranges array<struct<start:int,end:int>>")
     )

@@ -213,6 +213,21 @@ def test_lines_of_later_documents_go(spark):
     assert all(r.n_removed == 6 for (i, _), r in found.items() if i and i >= 100)
 
 
+def line_deduped(spark, rows):
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    return {(r.doc_id, r.text): r.kept_text for r in line_dedup.without_common_blocks(docs).collect()}
+
+
+def test_blocks_in_fragments_of_frequent_lines_go(spark):
+    # Each line's first holder has a part of the passage only; the first whole passage is in document 3.
+    passage = [" ".join(f"p{k}w{i}" for i in range(8)) for k in range(4)]
+    rows = [(1, f"{passage[0]}\none\n{passage[2]}"), (2, f"{passage[1]}\ntwo\n{passage[3]}")]
+    for holders in (20, 100):
+        found = line_deduped(spark, rows + [(i, "\n".join([f"own {i}", *passage])) for i in range(3, holders)])
+        assert found.pop(rows[0]) == rows[0][1] and found.pop(rows[1]) == rows[1][1]
+        assert all(kept == (text if i == 3 else f"own {i}") for (i, text), kept in found.items())
+
+
 @pytest.mark.parametrize("run", [
     phrase_dedup.without_repeats, suffix_dedup.without_repeats, superminhash.near_duplicates, line_dedup.without_common_blocks,
 ])

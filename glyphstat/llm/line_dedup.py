@@ -4,8 +4,10 @@ Documents that overlap are found through the least runs of lines that have enoug
 a run is paired with the first document that holds it. Every common block is a union of such runs, so
 no block is missed, and the number of pairs stays below the number of runs. Each pair is aligned by
 patience diff: lines that are unique in both texts are matched along a longest increasing sequence,
-matches grow over equal neighbours, and the gaps between them are aligned in the same way. Runs of
-matched lines with enough words are deleted from the document with the larger id; both texts are taken
+matches grow over equal neighbours, and the gaps between them are aligned in the same way. What stays
+unmatched of the later text, as its block is repeated or stands in another order, is then searched for in
+the whole of the earlier text by least runs. So a line is deleted from the document with the larger id
+if and only if a run of lines around it with enough words stands in an earlier one; both texts are taken
 as they came.
 
 Defined cases: null texts have no lines and stay null; documents without an id stay as they are;
@@ -75,7 +77,10 @@ def _longest_increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def blocks(a: list, b: list, words: list[int], min_words: int) -> list[tuple[int, int]]:
-    """Line ranges [start, end) of ``a`` that stand in ``b`` as one block of at least ``min_words`` words."""
+    """Line ranges [start, end) of ``a`` that stand in ``b`` as one block of at least ``min_words`` words.
+
+    Together they hold every line of ``a`` that is in such a block, wherever the block stands in ``b``.
+    """
     found, run = [], []
     for match in [*patience(a, b), (-1, -1)]:
         if run and match == (run[-1][0] + 1, run[-1][1] + 1):
@@ -84,7 +89,44 @@ def blocks(a: list, b: list, words: list[int], min_words: int) -> list[tuple[int
         if run and sum(words[run[0][0] : run[-1][0] + 1]) >= min_words:
             found.append((run[0][0], run[-1][0] + 1))
         run = [match]
-    return found
+    return joined(found + _left_over(a, b, words, min_words, found))
+
+
+def _left_over(a: list, b: list, words: list[int], min_words: int, found: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The least runs of ``a`` that stand in ``b`` but not wholly in the ``found`` ranges.
+
+    An alignment matches a line once and in one order; repeated and moved blocks are found here.
+    """
+    start, end = run_bounds(np.array(words, np.int64), np.array([0, len(a)]), min_words)
+    gone = np.zeros(len(a) + 1, np.int64)
+    for i, j in found:
+        gone[i + 1 : j + 1] = 1
+    gone = np.cumsum(gone)
+    left = gone[end] - gone[start] < end - start
+    if not left.any():
+        return []
+    start, end = start[left], end[left]
+    # A line that is not in ``a`` may have any number of words, as no run of ``a`` holds it.
+    count = dict(zip(a, words, strict=True))
+    other = np.array([count.get(line, min_words) for line in b], np.int64)
+    keys = _run_hashes(a, start, end)
+    stands = np.isin(keys, _run_hashes(b, *run_bounds(other, np.array([0, len(b)]), min_words)))
+    return list(zip(start[stands].tolist(), end[stands].tolist(), strict=True))
+
+
+def _run_hashes(lines: list | np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    return span_hashes(prefix_hashes(mix(np.asarray(lines, np.int64).view(np.uint64))), start, end)
+
+
+def joined(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Ranges that overlap or touch as one."""
+    out: list[tuple[int, int]] = []
+    for start, end in sorted(ranges):
+        if out and start <= out[-1][1]:
+            out[-1] = (out[-1][0], max(end, out[-1][1]))
+        else:
+            out.append((start, end))
+    return out
 
 
 def line_table(docs: DataFrame) -> DataFrame:
@@ -140,7 +182,7 @@ def run_table(lines: DataFrame, min_words: int) -> DataFrame:
             hashes, words = batch.column("lines"), batch.column("words").flatten().to_numpy()
             bounds = np.concatenate([[0], np.cumsum(hashes.value_lengths().to_numpy())])
             start, end = run_bounds(words, bounds, min_words)
-            keys = span_hashes(prefix_hashes(mix(hashes.flatten().to_numpy().view(np.uint64))), start, end)
+            keys = _run_hashes(hashes.flatten().to_numpy(), start, end)
             doc = np.searchsorted(bounds, start, "right") - 1
             order = np.lexsort((keys, doc))
             doc, keys = doc[order], keys[order]
@@ -185,10 +227,10 @@ def removed_lines(docs: DataFrame, min_words: int = MIN_BLOCK_WORDS) -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns = [batch.column(name).to_pylist() for name in ("lines", "other", "words")]
+            columns = [batch.column(name) for name in ("lines", "other", "words")]
             found = [
-                [{"start": s, "end": e} for s, e in blocks(a, b, words, min_words)]
-                for a, b, words in zip(*columns, strict=True)
+                [{"start": s, "end": e} for s, e in blocks(*(x.as_py() for x in row), min_words)]
+                for row in zip(*columns, strict=True)
             ]
             ranges = pa.array(found, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))
             out = pa.RecordBatch.from_arrays(

@@ -228,6 +228,46 @@ def test_blocks_in_fragments_of_frequent_lines_go(spark):
         assert all(kept == (text if i == 3 else f"own {i}") for (i, text), kept in found.items())
 
 
+def brute_force_lines(rows, min_words=20):
+    """The text that stays of each row: without all runs of lines that stand in a document with a smaller id."""
+    kept = {}
+    for doc_id, text in rows:
+        lines = text.split("\n")
+        gone = [False] * len(lines)
+        for other in {t for i, t in rows if i < doc_id}:
+            before = other.split("\n")
+            for i in range(len(lines)):
+                for j in range(len(before)):
+                    n = 0
+                    while i + n < len(lines) and j + n < len(before) and lines[i + n] == before[j + n]:
+                        n += 1
+                    if sum(len(x.split()) for x in lines[i : i + n]) >= min_words:
+                        gone[i : i + n] = [True] * n
+        kept[doc_id, text] = "\n".join(x for x, g in zip(lines, gone, strict=True) if not g)
+    return kept
+
+
+def test_repeated_and_moved_blocks_go(spark):
+    p, q, *own = ("\n".join(f"{name}{k} " + "w " * 7 for k in range(4)) for name in "pqxyuvzabc")
+    x, y, u, v, z, a, b, c = own
+    rows = [(1, f"{x}\n{p}\n{y}"), (2, f"{u}\n{p}\n{v}\n{p}\n{z}"), (3, f"{a}\n{q}\n{b}"), (4, f"{q}\n{c}\n{p}")]
+    found = line_deduped(spark, rows)
+    assert found == dict(zip(rows, [rows[0][1], f"{u}\n{v}\n{z}", rows[2][1], c], strict=True))
+    # The first of very many holders repeats the passage.
+    rows = [(1, f"{x}\n{p}\n{y}\n{p}")] + [(i, f"own {i}\n{p}\nlast {i}") for i in range(2, 80)]
+    assert line_deduped(spark, rows) == {r: r[1] if r[0] == 1 else f"own {r[0]}\nlast {r[0]}" for r in rows}
+
+
+def test_lines_match_brute_force(spark):
+    rng = random.Random(11)
+    lines = ["", " ", "one", "two words", *(f"l{k} " + "w " * rng.randint(2, 24) for k in range(14))]
+    rows = [(i // 2, "\n".join(rng.choice(lines) for _ in range(rng.randint(1, 25)))) for i in range(160)]
+    expected = brute_force_lines(rows)
+    found = line_deduped(spark, rows)
+    assert any(text != kept for (_, text), kept in expected.items())
+    assert found == expected
+
+
 @pytest.mark.parametrize("run", [
     phrase_dedup.without_repeats, suffix_dedup.without_repeats, superminhash.near_duplicates, line_dedup.without_common_blocks,
 ])

@@ -7,6 +7,10 @@ anchors are few and a window can only recur if its anchor does.
 Documents are dealt into blocks of bounded size. A block reports every anchor, and every stretch of
 text around a recurring anchor, once, however often it holds it; so what meets at one key is bounded by
 the number of blocks and not by the number of documents that share a passage.
+
+The edge of a common passage runs into text that differs by document, so an anchor can have any number of
+different stretches. Where it has many, its windows are counted by their hashes, and those that stand in more
+than one place are compared one by one, each where its hash sends it.
 """
 
 import numpy as np
@@ -19,6 +23,12 @@ from pyspark.sql import functions as F
 BLOCK_BYTES = 4_000_000
 SHARD_BYTES = 2_000_000
 
+# Different stretches beyond one a block up to which an anchor's stretches are compared in one place.
+HOT_STRETCHES = 4_000
+
+# What a row says of a hash: a recurring anchor, one with many stretches, a recurring window of such a one.
+ANCHOR, HOT, HOT_WINDOW = range(3)
+
 _LAST = (1 << 63) - 1
 
 
@@ -80,31 +90,59 @@ def window_anchors(values: np.ndarray, valid: np.ndarray, width: int) -> tuple[n
     return start[first], start[last], anchor[first]
 
 
-def anchor_table(block: int, hashes: np.ndarray) -> pa.Table:
-    """``(block, h, n)``: each anchor once, with 2 for any number of places above one."""
+def anchor_table(block: int, hashes: np.ndarray, spans: np.ndarray) -> pa.Table:
+    """``(block, h, n, m)``: each anchor once, with 2 for any number of places above one, and its different stretches."""
     found, n = np.unique(hashes, return_counts=True)
+    _, m = np.unique(hashes[np.unique(spans, return_index=True)[1]], return_counts=True)
     return pa.table(
         {
             "block": pa.array(np.full(len(found), block, np.int32)), "h": pa.array(found.view(np.int64)),
-            "n": pa.array(np.minimum(n, 2).astype(np.int32)),
+            "n": pa.array(np.minimum(n, 2).astype(np.int32)), "m": pa.array(m.astype(np.int32)),
         }
     )
 
 
-ANCHORS = "block int, h long, n int"
+ANCHORS = "block int, h long, n int, m int"
 
 
 def recurring(anchors: DataFrame) -> DataFrame:
-    """``(block, h)``: the anchors of each block that stand in more than one place of all texts."""
-    total = F.sum("n").over(Window.partitionBy("h"))
-    return anchors.withColumn("total", total).filter("total > 1").select("block", "h")
+    """``(block, h, kind)``: the anchors of each block that stand in more than one place of all texts."""
+    per_anchor = Window.partitionBy("h")
+    found = anchors.withColumn("total", F.sum("n").over(per_anchor)).withColumn("more", F.sum(F.col("m") - 1).over(per_anchor))
+    kind = F.when(F.col("more") > HOT_STRETCHES, HOT).otherwise(ANCHOR)
+    return found.filter("total > 1").select("block", "h", kind.alias("kind"))
+
 
+def is_recurring(hashes: np.ndarray, table: pa.Table, kind: int) -> np.ndarray:
+    return np.isin(hashes.view(np.int64), table.filter(pc.equal(table.column("kind"), kind)).column("h").to_numpy())
 
-def is_recurring(hashes: np.ndarray, table: pa.Table) -> np.ndarray:
-    return np.isin(hashes.view(np.int64), table.column("h").to_numpy())
 
+def expanded(first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """All window starts of the runs [first, last], one run after the other."""
+    n = last - first + 1
+    return np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())
 
-STRETCHES = "block int, h long, at long, fp long, start long, n long, stretch binary"
+
+def hot_windows(
+    first: np.ndarray, last: np.ndarray, hashes: np.ndarray, table: pa.Table, mark_first: bool
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Recurring windows in the runs [first, last] of hot anchors; ``hashes`` are those of all their windows.
+
+    Run and start of each different window, to be compared; and the start and length of runs of windows that
+    stand twice in the block, which are marked at once, with ``mark_first`` also where they first stand.
+    """
+    again = is_recurring(hashes, table, HOT_WINDOW)
+    _, index, inverse, count = np.unique(hashes, return_index=True, return_inverse=True, return_counts=True)
+    once = np.zeros(len(hashes), bool)
+    once[index] = True
+    bounds = np.concatenate([[0], np.cumsum(last - first + 1)])
+    sent = np.flatnonzero(once & again)
+    run = np.searchsorted(bounds, sent, "right") - 1
+    owner, offset, length = runs(again & (count[inverse] > 1) if mark_first else again & ~once, bounds)
+    return run, first[run] + sent - bounds[run], first[owner] + offset, length
+
+
+STRETCHES = "block int, h long, key long, at long, fp long, start long, n long, stretch binary"
 MARKS = "block int, at long, fp long, start long, n long"
 
 
@@ -115,22 +153,23 @@ def mark_table(block, at, fp, start, n) -> pa.Table:
     return pa.table({c: pa.array(x, k) for c, x, k in zip(names, (block, at, fp, start, n), kinds, strict=True)})
 
 
-def stretch_table(block: int, docs: Block, doc, hashes, start, n, texts: list) -> pa.Table:
+def stretch_table(block: int, docs: Block, doc, hashes, keys, start, n, texts: list) -> pa.Table:
+    """Stretches around the anchors ``hashes``; those with equal windows have equal ``keys``."""
     marks = mark_table(np.full(len(doc), block, np.int32), docs.at[doc], docs.fp[doc], start, n)
     return pa.table(
         {
-            "block": marks["block"], "h": pa.array(hashes, pa.int64()), "at": marks["at"], "fp": marks["fp"],
+            "block": marks["block"], "h": pa.array(hashes, pa.int64()), "key": pa.array(keys, pa.int64()), "at": marks["at"], "fp": marks["fp"],
             "start": marks["start"], "n": marks["n"], "stretch": pa.array(texts, pa.binary()),
         }
     )
 
 
 def in_shards(stretches: DataFrame, n_shards: int):
-    """Stretches around one anchor, and so all equal windows, meet in one shard.
+    """Stretches with one key (their anchor, or the window itself where that is hot), and so all equal windows, meet in one shard.
 
     Rows without a stretch are marks already; they are spread evenly and only pass through.
     """
-    key = F.when(F.col("stretch").isNotNull(), F.xxhash64("h")).otherwise(F.xxhash64("at", "start"))
+    key = F.when(F.col("stretch").isNotNull(), F.xxhash64("key")).otherwise(F.xxhash64("at", "start"))
     return stretches.withColumn("shard", F.pmod(key, F.lit(n_shards))).groupBy("shard")
 
 
@@ -143,14 +182,16 @@ def settled(table: pa.Table) -> tuple[pa.Table, pa.Table]:
 def repeated(docs: DataFrame, steps, block_bytes: int, shard_bytes: int):
     """Documents in blocks next to the marks of what is removed from them.
 
-    ``steps`` are the functions that make a block's anchors, a block's stretches and a shard's marks.
-    All is one plan, in which the texts are moved once and read three times.
+    ``steps`` are the functions that make a block's anchors, its windows at hot anchors, its stretches and a
+    shard's marks. All is one plan, in which the texts are moved once and read four times.
     """
     size = text_bytes(docs)
     blocks = dealt(docs, max(1, -(-size // block_bytes))).groupBy("block")
     anchors = recurring(blocks.applyInArrow(steps[0], ANCHORS))
-    stretches = blocks.cogroup(anchors.groupBy("block")).applyInArrow(steps[1], STRETCHES)
-    marks = in_shards(stretches, max(1, -(-size // shard_bytes))).applyInArrow(steps[2], MARKS)
+    windows = blocks.cogroup(anchors.filter(F.col("kind") == HOT).groupBy("block")).applyInArrow(steps[1], ANCHORS)
+    known = anchors.union(recurring(windows).withColumn("kind", F.lit(HOT_WINDOW)))
+    stretches = blocks.cogroup(known.groupBy("block")).applyInArrow(steps[2], STRETCHES)
+    marks = in_shards(stretches, max(1, -(-size // shard_bytes))).applyInArrow(steps[3], MARKS)
     return blocks.cogroup(marks.groupBy("block"))
 
 

@@ -39,20 +39,42 @@ def _anchors(words: Words):
 
 
 def block_anchors(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-    *_, grams = _anchors(Words(Block(table).texts))
-    return passages.anchor_table(key[0].as_py(), grams)
+    hashes, first, last, grams = _anchors(Words(Block(table).texts))
+    return passages.anchor_table(key[0].as_py(), grams, span_hashes(prefix_hashes(hashes), first, last + WINDOW))
+
+
+def block_windows(key: tuple[pa.Scalar, ...], table: pa.Table, anchors: pa.Table) -> pa.Table:
+    """The windows around hot anchors."""
+    found = np.zeros(0, np.uint64)
+    if anchors.num_rows:
+        words = Words(Block(table).texts)
+        hashes, first, last, grams = _anchors(words)
+        hot = passages.is_recurring(grams, anchors, passages.HOT)
+        found = words.windows(hashes, WINDOW)[0][passages.expanded(first[hot], last[hot])]
+    return passages.anchor_table(key[0].as_py(), found, found)
 
 
 def block_stretches(key: tuple[pa.Scalar, ...], table: pa.Table, anchors: pa.Table) -> pa.Table:
-    """Each different stretch around a recurring anchor once; its repeats are marked at once."""
+    """Each different stretch around a recurring anchor, or window of a hot one, once; its repeats are marked at once."""
     docs = Block(table)
     words = Words(docs.texts)
     hashes, first, last, grams = _anchors(words)
-    keep = passages.is_recurring(grams, anchors)
+    keep = passages.is_recurring(grams, anchors, passages.ANCHOR)
+    hot = passages.is_recurring(grams, anchors, passages.HOT)
+    hot_first, hot_last, hot_grams = first[hot], last[hot], grams[hot]
     first, last, grams = first[keep], last[keep], grams[keep]
     spans = span_hashes(prefix_hashes(hashes), first, last + WINDOW)
     new = np.zeros(len(first), bool)
     new[np.unique(spans, return_index=True)[1]] = True
+    windows, _ = words.windows(hashes, WINDOW)
+    run, one, again, length = passages.hot_windows(
+        hot_first, hot_last, windows[passages.expanded(hot_first, hot_last)], anchors, False
+    )
+    none = np.zeros(len(again), np.uint64)
+    keys = np.concatenate([grams, windows[one], none]).view(np.int64)
+    grams = np.concatenate([grams, hot_grams[run], none]).view(np.int64)
+    first, last = np.concatenate([first, one, again]), np.concatenate([last, one, again + length - 1])
+    new = np.concatenate([new, np.ones(len(one), bool), np.zeros(len(again), bool)])
     raw, begin, end = words.raw, words.start[first], words.end[last + WINDOW - 1]
     texts = [
         b" ".join(raw[i:j].split()) if once else None
@@ -60,7 +82,7 @@ def block_stretches(key: tuple[pa.Scalar, ...], table: pa.Table, anchors: pa.Tab
     ]
     doc = words.doc[first]
     return passages.stretch_table(
-        key[0].as_py(), docs, doc, grams.view(np.int64), first - words.first[doc], last - first + 1, texts
+        key[0].as_py(), docs, doc, grams, keys, first - words.first[doc], last - first + 1, texts
     )
 
 
@@ -172,7 +194,7 @@ def without_repeats(
     block_bytes: int = passages.BLOCK_BYTES, shard_bytes: int = passages.SHARD_BYTES,
 ) -> DataFrame:
     """``(doc_id, n_words, n_removed, kept)``, or ``kept_sha256`` in place of ``kept`` with ``digests``."""
-    pairs = passages.repeated(docs, (block_anchors, block_stretches, shard_marks), block_bytes, shard_bytes)
+    pairs = passages.repeated(docs, (block_anchors, block_windows, block_stretches, shard_marks), block_bytes, shard_bytes)
     if digests:
         return pairs.applyInArrow(_digested, "doc_id long, n_words long, n_removed long, kept_sha256 string")
     return pairs.applyInArrow(block_result, "doc_id long, n_words long, n_removed long, kept binary")

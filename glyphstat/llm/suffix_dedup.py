@@ -56,29 +56,52 @@ def _anchors(texts: Texts):
 
 
 def block_anchors(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-    return passages.anchor_table(key[0].as_py(), _anchors(Texts(Block(table).texts))[3])
+    texts = Texts(Block(table).texts)
+    first, last, _, grams = _anchors(texts)
+    return passages.anchor_table(key[0].as_py(), grams, span_hashes(texts.prefix, first, last + WINDOW))
+
+
+def block_windows(key: tuple[pa.Scalar, ...], table: pa.Table, anchors: pa.Table) -> pa.Table:
+    """The windows around hot anchors."""
+    found = np.zeros(0, np.uint64)
+    if anchors.num_rows:
+        texts = Texts(Block(table).texts)
+        first, last, _, grams = _anchors(texts)
+        hot = passages.is_recurring(grams, anchors, passages.HOT)
+        place = passages.expanded(first[hot], last[hot])
+        found = span_hashes(texts.prefix, place, place + WINDOW)
+    return passages.anchor_table(key[0].as_py(), found, found)
 
 
 def block_stretches(key: tuple[pa.Scalar, ...], table: pa.Table, anchors: pa.Table) -> pa.Table:
-    """Each different stretch around a recurring anchor once; one that stands twice is marked at once."""
+    """Each different stretch around a recurring anchor, or window of a hot one, once; one that stands twice is marked at once."""
     docs = Block(table)
     texts = Texts(docs.texts)
     first, last, _, grams = _anchors(texts)
-    keep = passages.is_recurring(grams, anchors)
+    keep = passages.is_recurring(grams, anchors, passages.ANCHOR)
+    hot = passages.is_recurring(grams, anchors, passages.HOT)
+    hot_first, hot_last, hot_grams = first[hot], last[hot], grams[hot]
     first, last, grams = first[keep], last[keep], grams[keep]
     _, index, inverse, count = np.unique(
         span_hashes(texts.prefix, first, last + WINDOW), return_index=True, return_inverse=True, return_counts=True
     )
-    sent = np.zeros(len(first), bool)
-    sent[index] = True
+    sent = np.sort(index)
     twice = count[inverse] > 1
-    spans = list(zip(first.tolist(), (last + WINDOW).tolist(), strict=True))
-    rows = np.concatenate([np.flatnonzero(sent), np.flatnonzero(twice)])
-    stretches = [texts.raw[i:j] for (i, j), once in zip(spans, sent.tolist(), strict=True) if once]
+    place = passages.expanded(hot_first, hot_last)
+    run, one, again, length = passages.hot_windows(
+        hot_first, hot_last, span_hashes(texts.prefix, place, place + WINDOW), anchors, True
+    )
+    none = np.zeros(int(twice.sum()) + len(again), np.uint64)
+    keys = np.concatenate([grams[sent], span_hashes(texts.prefix, one, one + WINDOW), none]).view(np.int64)
+    grams = np.concatenate([grams[sent], hot_grams[run], none]).view(np.int64)
+    first, last = (
+        np.concatenate([x[sent], one, x[twice], y]) for x, y in ((first, again), (last, again + length - 1))
+    )
+    n = len(sent) + len(one)
+    stretches = [texts.raw[i:j] for i, j in zip(first[:n].tolist(), (last[:n] + WINDOW).tolist(), strict=True)]
     doc = np.searchsorted(texts.start, first, "right") - 1
     return passages.stretch_table(
-        key[0].as_py(), docs, doc[rows], grams[rows].view(np.int64), (first - texts.start[doc])[rows],
-        (last - first + 1)[rows], stretches + [None] * int(twice.sum()),
+        key[0].as_py(), docs, doc, grams, keys, first - texts.start[doc], last - first + 1, stretches + [None] * len(none)
     )
 
 
@@ -246,7 +269,7 @@ def without_repeats(
     block_bytes: int = passages.BLOCK_BYTES, shard_bytes: int = passages.SHARD_BYTES,
 ) -> DataFrame:
     """``(doc_id, n_bytes, n_removed, n_spans, kept)``, or ``kept_sha256`` in place of ``kept``."""
-    pairs = passages.repeated(docs, (block_anchors, block_stretches, shard_marks), block_bytes, shard_bytes)
+    pairs = passages.repeated(docs, (block_anchors, block_windows, block_stretches, shard_marks), block_bytes, shard_bytes)
     kept = "kept_sha256 string" if digests else "kept binary"
     return pairs.applyInArrow(
         _digested if digests else block_result, f"doc_id long, n_bytes long, n_removed long, n_spans long, {kept}"

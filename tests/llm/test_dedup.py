@@ -7,7 +7,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from glyphstat.llm import line_dedup, phrase_dedup, suffix_dedup, superminhash
+from glyphstat.llm import line_dedup, passages, phrase_dedup, suffix_dedup, superminhash
 from glyphstat.llm.components import components
 
 SCHEMA = "doc_id long, text string, block string, n long, key long"
@@ -77,6 +77,26 @@ def test_phrases_match_brute_force(docs):
     assert Counter((r.doc_id, sha(bytes(r.kept))) for r in kept) == Counter((k[0], k[3]) for k in wanted.elements())
 
 
+@pytest.mark.parametrize("module", [phrase_dedup, suffix_dedup])
+def test_edges_of_a_common_passage_are_spread(spark, monkeypatch, module):
+    """One anchor before different texts: its stretches must not meet in one shard."""
+    rng = random.Random(9)
+    passage = " ".join(f"p{rng.randint(0, 10**6)}" for _ in range(80))
+    rows = [(i, f"{passage} " + " ".join(f"q{rng.randint(0, 10**6)}" for _ in range(60))) for i in range(400)]
+    most, in_shards = [], passages.in_shards
+
+    def watched(stretches, n):
+        sizes = in_shards(stretches.filter("stretch IS NOT NULL"), 1000).count()
+        most.append(max(r["count"] for r in sizes.collect()))
+        return in_shards(stretches, n)
+
+    monkeypatch.setattr(passages, "in_shards", watched)
+    monkeypatch.setattr(passages, "HOT_STRETCHES", 50, raising=False)
+    found = module.without_repeats(spark.createDataFrame(rows, "doc_id long, text string"), False, 20_000, 10_000).collect()
+    assert most[0] < 100
+    assert sum(bytes(r.kept).startswith(passage[:20].encode()) for r in found) == (module is phrase_dedup)
+
+
 def test_automata_of_bounded_size(monkeypatch):
     rng = random.Random(3)
     words = [b"w%d" % rng.randint(0, 30) for _ in range(200)]
@@ -108,6 +128,13 @@ def test_byte_strings_match_brute_force(docs):
         assert Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in found) == wanted
 
 
+@pytest.mark.parametrize("stretches", [-1, 2])
+def test_hot_anchors_match_brute_force(docs, monkeypatch, stretches):
+    monkeypatch.setattr(passages, "HOT_STRETCHES", stretches)
+    test_phrases_match_brute_force(docs)
+    test_byte_strings_match_brute_force(docs)
+
+
 def test_suffixes_are_sorted():
     rng = random.Random(2)
     stretches = [bytes(rng.choice(b"ab") for _ in range(rng.randint(1, 40))) for _ in range(300)] + [b"a" * 30] * 3

@@ -358,6 +358,11 @@ def absent_keys(spark, sf_dir):
     return compare.absent_keys(_cells(spark, sf_dir, "token_text"))
 
 
+@query
+def absent_types(spark, sf_dir):
+    return compare.absent_keys(_cells(spark, sf_dir, "token_type"))
+
+
 @query
 def out_of_reference_mass(spark, sf_dir):
     return compare.out_of_reference_mass(_cells(spark, sf_dir, "bigram_text"), b.DOCS_REFERENCE)

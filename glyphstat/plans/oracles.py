@@ -377,6 +377,10 @@ _oracle(
     "absent_keys", _cells("token_text"),
     "SELECT dataset, key, round(ref_count / ref_total, 9) AS ref_share FROM cells WHERE count = 0",
 )
+_oracle(
+    "absent_types", _cells("token_type"),
+    "SELECT dataset, key, round(ref_count / ref_total, 9) AS ref_share FROM cells WHERE count = 0",
+)
 _oracle(
     "out_of_reference_mass", _cells("bigram_text"),
     "SELECT round(sum(count / total), 3) AS mass FROM cells WHERE ref_count = 0 AND dataset <> 'en'",

@@ -3,16 +3,26 @@
 import atexit
 import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+def _on_cluster(spark: SparkSession) -> bool:
+    return not spark.sparkContext.master.split("[")[0] == "local"
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a temporary one only where that is unset, as in tests."""
+    """The folder named by ``spark.checkpoint.dir``; a temporary one only where that is unset, as in tests.
+
+    On a cluster a folder of one machine would be invisible to the others, so the setting is needed there.
+    """
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if not folder:
+            if _on_cluster(spark):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             folder = tempfile.mkdtemp(prefix="glyphstat-")
             atexit.register(shutil.rmtree, folder, ignore_errors=True)
         sc.setCheckpointDir(folder)
@@ -23,3 +33,25 @@ def cut(df: DataFrame) -> DataFrame:
     """Write the rows to the shared folder and go on from there, so a lost executor repeats little."""
     shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared store, if the session is still there."""
+    sc = spark.sparkContext
+    if sc._jsc is not None:
+        target = sc._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(sc._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A fresh folder in the shared store, deleted when the driver's Python ends."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    atexit.register(remove, spark, path)
+    return path
+
+
+def store(df: DataFrame, name: str = "rows") -> DataFrame:
+    """As :func:`cut`, in Parquet: compressed, and later steps read only the columns they need."""
+    path = new_folder(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

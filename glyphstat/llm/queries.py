@@ -7,8 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glyphstat.llm import (
-    bpe, line_dedup, mixing, phrase_dedup, quality_forest, spelling, suffix_dedup, superminhash, topk, toxicity,
-    url_filters,
+    bpe, conversation_repair, line_dedup, mixing, phrase_dedup, quality_forest, spelling, suffix_dedup, superminhash,
+    topk, toxicity, url_filters,
 )
 
 BPE_FILE = "byte_bpe_50k.json"
@@ -74,6 +74,10 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page.page_id", "host", "path", "rule", "verdict")
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.repair(table(spark, sf_dir, "conversations"))
+
+
 def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(table(spark, sf_dir, "documents"))
 
@@ -89,5 +93,6 @@ QUERIES = {
     "op8_line_dedup": op8_line_dedup,
     "op9_bpe": op9_bpe,
     "op10_url_filters": op10_url_filters,
+    "op12_conversation_repair": op12_conversation_repair,
     "op13_spelling": op13_spelling,
 }

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glyphstat.llm import (
-    bpe, conversation_repair, line_dedup, mixing, phrase_dedup, quality_forest, spelling, suffix_dedup, superminhash,
+    bpe, conversation_repair, katz, line_dedup, mixing, phrase_dedup, quality_forest, spelling, suffix_dedup, superminhash,
     topk, toxicity, url_filters,
 )
 
@@ -74,6 +74,10 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page.page_id", "host", "path", "rule", "verdict")
 
 
+def op11_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.score(table(spark, sf_dir, "documents"), F.crc32(F.col("doc_id").cast("string")) % 5 == 1)
+
+
 def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_repair.repair(table(spark, sf_dir, "conversations"))
 
@@ -93,6 +97,7 @@ QUERIES = {
     "op8_line_dedup": op8_line_dedup,
     "op9_bpe": op9_bpe,
     "op10_url_filters": op10_url_filters,
+    "op11_katz": op11_katz,
     "op12_conversation_repair": op12_conversation_repair,
     "op13_spelling": op13_spelling,
 }

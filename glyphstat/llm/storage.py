@@ -50,8 +50,12 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return path
 
 
-def store(df: DataFrame, name: str = "rows") -> DataFrame:
-    """As :func:`cut`, in Parquet: compressed, and later steps read only the columns they need."""
+def store(df: DataFrame, name: str = "rows", by: str | None = None) -> DataFrame:
+    """As :func:`cut`, in Parquet: compressed, and later steps read only the columns they need.
+
+    With ``by`` the table is partitioned by a column.
+    """
     path = new_folder(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    writer = df.write.option("compression", "zstd")
+    (writer.partitionBy(by) if by else writer).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path).select(*df.columns)

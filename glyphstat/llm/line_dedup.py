@@ -25,7 +25,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glyphstat.llm.storage import cut
-from glyphstat.llm.words import _BYTE as BYTE_VALUES
 from glyphstat.llm.words import Words, as_bytes, chunks, mix, prefix_hashes, span_hashes
 
 # Words that a deleted block has at least.
@@ -135,9 +134,8 @@ def line_table(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches):
             w = Words(as_bytes(batch.column("text")))
-            end = np.flatnonzero(w.data == 10)
-            start = np.concatenate([[0], end[:-1] + 1])
-            hashes = span_hashes(prefix_hashes(BYTE_VALUES[w.data]), start, end).view(np.int64)
+            start, end = w.lines()
+            hashes = w.line_hashes(start, end).view(np.int64)
             words = (np.searchsorted(w.start, end) - np.searchsorted(w.start, start)).astype(np.int32)
             bounds = np.searchsorted(start, w.text_start).astype(np.int32)
             yield pa.RecordBatch.from_arrays(

@@ -16,8 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glyphstat.llm.words import Words, as_bytes, chunks, covered, mix, prefix_hashes, span_hashes
-from glyphstat.llm.words import _BYTE as BYTE_VALUES
+from glyphstat.llm.words import Words, as_bytes, chunks, covered, mix
 
 STATS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_marks"]
 
@@ -53,15 +52,15 @@ def text_stats(texts: list) -> np.ndarray:
     w = Words(texts)
 
     def per_text(flags: np.ndarray) -> np.ndarray:
-        total = np.concatenate([[0], np.cumsum(flags)])
-        return total[w.text_start[1:]] - total[w.text_start[:-1]]
+        return np.add.reduceat(flags, w.text_start[:-1], dtype=np.int64)
 
-    breaks = np.flatnonzero(w.data == 10)
-    start, end = np.concatenate([[0], breaks[:-1] + 1]), breaks
+    if not texts:
+        return np.zeros((0, len(STATS)), np.int64)
+    start, end = w.lines()
     has_word = np.searchsorted(w.start, end) > np.searchsorted(w.start, start)
     start, end = start[has_word], end[has_word]
     line_doc = np.searchsorted(w.text_start, start, "right") - 1
-    _, again = _repeats(span_hashes(prefix_hashes(BYTE_VALUES[w.data]), start, end), line_doc)
+    _, again = _repeats(w.line_hashes(start, end), line_doc)
 
     three, whole = w.windows(w.hashes(), 3)
     at = np.flatnonzero(whole)
@@ -213,11 +212,12 @@ def judge(statistics: DataFrame, forest: Forest | None) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, forest: Forest | None) -> DataFrame:
-    """The documents that pass, all columns unchanged; texts are judged where they are read."""
+    """The documents that pass, all columns unchanged; only texts go to Python, where they are judged."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches):
-            table = text_stats(as_bytes(batch.column("text")))
-            yield batch.filter(pa.array(verdicts(table, forest)[1]))
+    @F.arrow_udf("boolean")
+    def good(text: pa.Array) -> pa.Array:
+        parts = chunks([pa.RecordBatch.from_arrays([text], names=["text"])])
+        found = [verdicts(text_stats(as_bytes(part.column("text"))), forest)[1] for part in parts]
+        return pa.array(np.concatenate(found) if found else np.zeros(0, bool))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.filter(good("text"))

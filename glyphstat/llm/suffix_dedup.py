@@ -5,9 +5,8 @@ stretches of text around recurring anchors (see ``passages``) are dealt into sha
 strings meet. A shard sorts the suffixes that begin at its anchors: the common extension of two
 suffixes is found by binary search over prefix polynomial hashes, so a comparison takes a number of
 steps that is the logarithm of the length, and a mergesort puts suffixes with long common
-extensions next to each other. Extended to the left in the same way, neighbours give the repeated
-strings; their bytes are compared. Where three or more stretches share an anchor, neighbours in the
-sorted order need not hold every common string, so their windows are compared with all others too.
+extensions next to each other. What precedes the anchors is sorted in the same way, read backwards; the
+bytes of neighbours are compared. The two orders decide which windows are equal.
 
 Defined cases: null texts count as empty; matches never cross documents; rows without an id are
 documents as any other; equal rows (same id, same text) count as one document; other columns are
@@ -20,8 +19,7 @@ from pyspark.sql import DataFrame
 
 from glyphstat.llm import passages
 from glyphstat.llm.passages import Block
-from glyphstat.llm.words import _BYTE as BYTE_VALUES
-from glyphstat.llm.words import mix, prefix_hashes, sha256, span_hashes
+from glyphstat.llm.words import prefix_hashes, sha256, span_hashes
 
 WINDOW = 200
 GRAM = 50
@@ -36,7 +34,7 @@ class Texts:
         size = np.fromiter((len(t or b"") for t in texts), np.int64, len(texts))
         self.start = np.concatenate([[0], np.cumsum(size + 1)])
         self.size = size
-        self.prefix = prefix_hashes(BYTE_VALUES[self.data])
+        self.prefix = prefix_hashes(self.data)
 
     def spans(self, width: int) -> np.ndarray:
         """Hash of the ``width`` bytes from each place on, as far as the buffer goes."""
@@ -151,48 +149,44 @@ def sorted_suffixes(texts: Texts, place: np.ndarray, end: np.ndarray) -> np.ndar
     return order
 
 
+def _neighbours(texts: Texts, place: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order of the suffixes, and the length of each one's common extension with the next; bytes are compared."""
+    order = sorted_suffixes(texts, place, end)
+    a, b = place[order[:-1]], place[order[1:]]
+    common = _common(texts, a, b, np.minimum(end[order[:-1]] - a, end[order[1:]] - b))
+    raw = texts.raw
+    for k, (i, j, n) in enumerate(zip(a.tolist(), b.tolist(), common.tolist(), strict=True)):
+        if raw[i : i + n] != raw[j : j + n]:
+            common[k] = next(m for m in range(n) if raw[i + m] != raw[j + m])
+    return order, common
+
+
+def _classes(order: np.ndarray, common: np.ndarray, length: int) -> np.ndarray:
+    """A number for each suffix, the same for those that agree in their first ``length`` bytes."""
+    out = np.zeros(len(order), np.int64)
+    out[order[1:]] = np.cumsum(common < length)
+    return out
+
+
 def repeated_windows(stretches: list[bytes], anchors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Flags of all windows of different stretches that stand in another one too, and their bounds.
 
-    ``anchors`` are the places of the anchors in their stretches.
+    ``anchors`` are the places of the anchors in their stretches. A window reaches some bytes to the left of its
+    anchor and the rest to the right; it stands in another stretch if that one agrees with it on both sides.
+    The sorted order of what follows the anchors tells which agree to the right, that of what precedes them,
+    read backwards, which agree to the left.
     """
-    texts = Texts(stretches)
+    texts, back = Texts(stretches), Texts([s[::-1] for s in stretches])
     begin, end = texts.start[:-1], texts.start[:-1] + texts.size
-    windows = texts.size - WINDOW + 1
-    bounds = np.concatenate([[0], np.cumsum(windows)])
-    step = np.zeros(bounds[-1] + 1, np.int64)
-    place = begin + anchors
-    order = sorted_suffixes(texts, place, end)
-    a, b = order[:-1], order[1:]
-    right = _common(texts, place[a], place[b], np.minimum(end[a] - place[a], end[b] - place[b]))
-    left = _common(texts, place[a], place[b], np.minimum(anchors[a], anchors[b]), left=True)
-    found = np.flatnonzero(left + right >= WINDOW)
-    for k in found.tolist():
-        i, j, l, r = place[a[k]], place[b[k]], left[k], right[k]
-        if texts.raw[i - l : i + r] == texts.raw[j - l : j + r]:
-            for one, at in ((a[k], i), (b[k], j)):
-                step[bounds[one] + at - l - begin[one]] += 1
-                step[bounds[one] + at + r - WINDOW + 1 - begin[one]] -= 1
-    flags = np.cumsum(step[:-1]) > 0
-    # Groups of three and more neighbours with a common anchor.
-    same = right >= GRAM
-    in_group = np.append(same, False) | np.append(False, same)
-    big = np.zeros(len(order), bool)
-    group = np.cumsum(np.append(True, ~same)) - 1 if len(order) else np.zeros(0, np.int64)
-    big[order] = in_group & (np.bincount(group, minlength=1)[group] > 2) if len(order) else False
-    if big.any():
-        owner = np.repeat(np.arange(len(stretches)), windows)
-        chosen = np.flatnonzero(big[owner] & ~flags)
-        every = np.flatnonzero(big[owner])
-        at = begin[owner] + np.arange(bounds[-1]) - bounds[owner]
-        keys = span_hashes(texts.prefix, at[every], at[every] + WINDOW)
-        # A second, independent hash stands in for comparing the bytes of all these windows.
-        second = prefix_hashes(mix(BYTE_VALUES[texts.data]))
-        keys ^= mix(span_hashes(second, at[every], at[every] + WINDOW))
-        _, inverse, count = np.unique(keys, return_inverse=True, return_counts=True)
-        many = np.zeros(bounds[-1], bool)
-        many[every] = count[inverse] > 1
-        flags[chosen] = many[chosen]
+    bounds = np.concatenate([[0], np.cumsum(texts.size - WINDOW + 1)])
+    flags = np.zeros(bounds[-1], bool)
+    right = _neighbours(texts, begin + anchors, end)
+    left = _neighbours(back, end - anchors, end)
+    for reach in range(WINDOW - GRAM + 1):
+        both = _classes(*right, WINDOW - reach) * len(stretches) + _classes(*left, reach)
+        _, inverse, count = np.unique(both, return_inverse=True, return_counts=True)
+        found = np.flatnonzero(count[inverse] > 1)
+        flags[bounds[found] + anchors[found] - reach] = True
     return flags, bounds
 
 

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from glyphstat.llm.components import components
 from glyphstat.llm.storage import cut
-from glyphstat.llm.words import Words, as_bytes, chunks, mix, prefix_hashes, span_hashes
+from glyphstat.llm.words import Words, as_bytes, chunks, mix, piece_hashes
 
 SHINGLE_WORDS = 5
 
@@ -45,7 +45,7 @@ def shingle_sets(texts: list, width: int = SHINGLE_WORDS) -> tuple[np.ndarray, n
     windows, whole = w.windows(words, width)
     counts = np.diff(w.first)
     short = np.flatnonzero((counts > 0) & (counts < width))
-    short_hash = span_hashes(prefix_hashes(words), w.first[short], w.first[short + 1])
+    short_hash = piece_hashes(words, w.first[short], w.first[short + 1])
     hashes = np.concatenate([windows[whole], short_hash])
     doc = np.concatenate([w.doc[whole], short])
     order = np.lexsort((hashes, doc))

@@ -65,7 +65,7 @@ def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str], np.ndarr
 
     Words are numbered by falling frequency; the end of a text is the empty word.
     """
-    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts.cast(pa.large_string()), "")))
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
     if isinstance(lists, pa.ChunkedArray):
         lists = lists.combine_chunks()
     text = np.repeat(np.arange(len(lists)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))

@@ -6,6 +6,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -101,6 +102,15 @@ def test_against_dictionaries_whatever_the_shards(spark, monkeypatch, shard, blo
     compare(spark, texts(shard, 120, 300, 40))
 
 
+def test_tokens_of_slices():
+    texts = pa.array([f"Row {i}  \x0bword é{i} X" if i % 7 else None for i in range(5000)])
+    for part in (texts, texts.slice(2401, 1203), texts.slice(4999)):
+        number, lengths, words, ends = katz.tokens(part)
+        want = [plain_tokens(t) for t in part.to_pylist()]
+        assert [words[i] or "</s>" for i in number] == [w for s in want for w in s]
+        assert lengths.tolist() == [len(s) for s in want] and not any(words[number[i]] for i in ends)
+
+
 def test_contexts_sum_to_one(spark):
     model = compare(spark, texts(3, 60, 60, 30))
     for v in [*model.bi, "never"]:

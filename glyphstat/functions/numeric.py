@@ -15,6 +15,18 @@ def unscaled(bucket: Column, decimals: int) -> Column:
     return bucket / F.lit(float(10**decimals))
 
 
+def significant(value: Column, digits: int) -> Column:
+    """``value`` rounded to so many significant digits, half to even; 0 and infinities stay.
+
+    Powers of ten up to 22 are exact, so smaller values are scaled in two steps.
+    """
+    places = F.lit(float(digits - 1)) - F.floor(F.log10(F.abs(value)))
+    near, ten = F.least(F.abs(places), F.lit(22.0)), F.lit(10.0)
+    one, two = F.pow(ten, near), F.pow(ten, F.abs(places) - near)
+    rounded = F.when(places >= 0, F.rint(value * one * two) / one / two).otherwise(F.rint(value / one / two) * one * two)
+    return F.when((value == 0) | (F.abs(value) == INF) | F.isnan(value), value).otherwise(rounded)
+
+
 def ratio(a: Column, b: Column) -> Column:
     """a / b, null where b is zero or missing."""
     return F.when(b != 0, a / b)

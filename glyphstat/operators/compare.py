@@ -1,19 +1,22 @@
 """How the key distribution of each corpus differs from a reference corpus.
 
-All operators start from the complete grid of keys and corpora with one row per cell. A row carries
-its own count, the reference's count of the key, and both corpora's totals and peaks. Totals come
-from an aggregation with one row per corpus that is broadcast; a window over a corpus would put its
-whole vocabulary into one task.
+All operators start from the cells that exist: one row for every key of every corpus that has it, with its own
+count, the reference's count of the key, both corpora's totals and peaks, and the number of all keys. What
+an operator says of absent keys follows from the totals less the sum over the present ones, so tables grow with
+the histograms and not with keys times corpora. Only results that list absent cells (``complete``, ``absent_keys``) make them.
+
+Totals come from an aggregation with one row per corpus that is broadcast; a window over a corpus would
+put its whole vocabulary into one task. Corpora are data here: names with dots, ``key`` and null are names like any other.
 """
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glyphstat.functions.numeric import log_ratio, relative_difference
-from glyphstat.operators.merge import MAX_DATASETS, merge_outer
+from glyphstat.operators.merge import by_place, is_dataset, titled
 from glyphstat.operators.quantiles import describe, quantiles
 
-
+_CONSTANTS = ["ref_total", "ref_peak", "n_keys"]
 
 
 def _share() -> Column:
@@ -24,57 +27,78 @@ def _reference_share() -> Column:
     return F.col("ref_count") / F.col("ref_total")
 
 
-def _absent() -> Column:
-    return F.col("count") == 0
-
+def comparison(hist: DataFrame, reference: str | None, min_count: int = 0) -> DataFrame:
+    """(key, dataset, count, ref_count, total, peak, ref_total, ref_peak, n_keys) for the keys that a corpus has.
 
-def comparison(
-    hist: DataFrame, datasets: list[str], reference: str, min_count: int = 0
-) -> DataFrame:
-    """(key, dataset, count, ref_count, total, peak, ref_total, ref_peak), zeros included."""
-    if len(datasets) > MAX_DATASETS:
-        raise ValueError(f"more than {MAX_DATASETS} corpora")
-    wide = merge_outer(hist, datasets, min_count=min_count)
-    cells = F.explode(
-        F.array(*[F.struct(F.lit(d).alias("dataset"), F.col(d).alias("count")) for d in datasets])
+    One exchange brings a key's counts together; a key has at most one per corpus. ``min_count`` keeps only
+    counts above it, per corpus and before anything else.
+    """
+    if min_count:
+        hist = hist.filter(F.col("count") > min_count)
+    keyed = hist.groupBy("key").agg(
+        F.coalesce(F.sum(F.when(is_dataset(reference), F.col("count"))), F.lit(0)).alias("ref_count"),
+        F.collect_list(F.struct("dataset", "count")).alias("present"),
     )
-    grid = wide.select("key", F.col(reference).alias("ref_count"), cells.alias("c")).select(
-        "key", "c.dataset", "c.count", "ref_count"
+    whole = keyed.agg(
+        F.sum("ref_count").alias("ref_total"), F.max("ref_count").alias("ref_peak"), F.count(F.lit(1)).alias("n_keys")
     )
-    totals = grid.groupBy("dataset").agg(
-        F.sum("count").alias("total"), F.max("count").alias("peak"),
-        F.sum("ref_count").alias("ref_total"), F.max("ref_count").alias("ref_peak"),
+    constants = whole.select(F.struct(*_CONSTANTS)).scalar()
+    # One row per corpus.
+    totals = hist.groupBy(F.col("dataset").alias("_dataset")).agg(F.sum("count").alias("total"), F.max("count").alias("peak"))
+    cells = keyed.select("key", "ref_count", F.inline("present"))
+    joined = cells.join(F.broadcast(totals), F.col("dataset").eqNullSafe(F.col("_dataset"))).withColumn("_whole", constants)
+    return joined.select(
+        "key", "dataset", "count", "ref_count", "total", "peak", *(F.col(f"_whole.{name}").alias(name) for name in _CONSTANTS)
     )
-    # One row per corpus, at most MAX_DATASETS.
-    return grid.join(F.broadcast(totals), "dataset")
 
 
-def _others(cells: DataFrame, reference: str) -> DataFrame:
-    return cells.filter(F.col("dataset") != reference)
+def _corpora(cells: DataFrame, *columns: str) -> Column:
+    """All corpora with some of their columns, as one array."""
+    names = cells.groupBy("dataset").agg(*(F.max(c).alias(c) for c in columns))
+    return names.agg(F.collect_list(F.struct("dataset", *columns))).scalar()
+
+
+def absent_cells(cells: DataFrame) -> DataFrame:
+    """The cells that ``cells`` leaves out: keys of other corpora, with a count of 0."""
+    keyed = cells.groupBy("key").agg(
+        F.max("ref_count").alias("ref_count"), F.collect_list(F.struct("dataset", "total", "peak")).alias("present"),
+        *(F.max(name).alias(name) for name in _CONSTANTS),
+    )
+    lacking = F.array_except(_corpora(cells, "total", "peak"), F.col("present"))
+    return keyed.select("key", "ref_count", F.inline(lacking), *_CONSTANTS).withColumn("count", F.lit(0).cast("long")).select(*cells.columns)
+
+
+def complete(cells: DataFrame) -> DataFrame:
+    """Every key with every corpus, for results that list all of them."""
+    return cells.unionByName(absent_cells(cells))
+
 
+def _others(cells: DataFrame, reference: str | None) -> DataFrame:
+    return cells.filter(~is_dataset(reference))
 
-def vocab_gap(cells: DataFrame, listed: list[str] | None = None) -> DataFrame:
+
+def vocab_gap(cells: DataFrame, listed: bool = False) -> DataFrame:
     """Keys each corpus lacks: how many, their part of the vocabulary and of the reference.
 
-    ``listed`` adds those of the given keys that are absent, separated by commas; ``absent_keys`` gives
-    all of them as rows.
+    ``listed`` adds all of them in one text, for vocabularies that fit in one; ``absent_keys`` gives them as rows.
     """
-    columns = [
-        F.count_if(_absent()).alias("missing"),
-        (F.count_if(_absent()) / F.count(F.lit(1))).alias("missing_share"),
-        (F.sum(F.when(_absent(), F.col("ref_count")).otherwise(0)) / F.max("ref_total")).alias("used_share"),
-    ]
-    if listed is not None:
-        absent = F.collect_list(F.when(_absent() & F.col("key").isin(listed), F.col("key")))
-        columns.append(F.array_join(F.array_sort(absent), ", ").alias("tokens"))
-    return cells.groupBy("dataset").agg(*columns).orderBy("used_share", "dataset")
+    missing = F.max("n_keys") - F.count(F.lit(1))
+    gaps = cells.groupBy("dataset").agg(
+        missing.alias("missing"), (missing / F.max("n_keys")).alias("missing_share"),
+        ((F.max("ref_total") - F.sum("ref_count")) / F.max("ref_total")).alias("used_share"),
+    )
+    if listed:
+        texts = absent_cells(cells).groupBy(F.col("dataset").alias("_dataset")).agg(F.array_sort(F.collect_list("key")).alias("_keys"))
+        joined = gaps.join(texts, F.col("dataset").eqNullSafe(F.col("_dataset")), "left")
+        gaps = joined.select(*gaps.columns, F.coalesce(F.array_join("_keys", ", "), F.lit("")).alias("tokens"))
+    return gaps.orderBy("used_share", "dataset")
 
 
 def absent_keys(cells: DataFrame) -> DataFrame:
-    return cells.filter(_absent()).select("dataset", "key", _reference_share().alias("ref_share"))
+    return absent_cells(cells).select("dataset", "key", _reference_share().alias("ref_share"))
 
 
-def out_of_reference_mass(cells: DataFrame, reference: str, decimals: int = 3) -> DataFrame:
+def out_of_reference_mass(cells: DataFrame, reference: str | None, decimals: int = 3) -> DataFrame:
     """Summed share that the other corpora give to keys the reference lacks: one row."""
     unseen = F.sum(F.when(F.col("ref_count") == 0, F.col("count")).otherwise(0))
     per_dataset = _others(cells, reference).groupBy("dataset").agg(
@@ -92,9 +116,12 @@ def max_normalized(cells: DataFrame) -> DataFrame:
 
 
 def pct_diff(
-    cells: DataFrame, reference: str, drop_keys: tuple[str, ...] = (), inf_as_null: bool = False
+    cells: DataFrame, reference: str | None, drop_keys: tuple[str, ...] = (), inf_as_null: bool = False
 ) -> DataFrame:
-    """Relative difference of max-normalized counts to the reference; null where the key is absent."""
+    """Relative difference of max-normalized counts to the reference; null where the key is absent.
+
+    Summaries leave nulls out, so they need no absent cells.
+    """
     norm = max_normalized(_others(cells, reference))
     if drop_keys:
         norm = norm.filter(~F.col("key").isin(list(drop_keys)))
@@ -159,64 +186,76 @@ def pct_diff_topk(diff: DataFrame, k: int) -> DataFrame:
 
 
 def shares(cells: DataFrame) -> DataFrame:
-    """Share of every key in every corpus next to its share of the reference."""
+    """Share of every cell's key in its corpus next to its share of the reference."""
     return cells.select("key", "dataset", _share().alias("share"), _reference_share().alias("ref_share"))
 
 
 def reference_frequency(cells: DataFrame, reference: str) -> DataFrame:
     """Share of every key in the reference, most frequent first."""
-    mine = cells.filter(F.col("dataset") == reference)
-    return mine.select("key", _share().alias("share")).orderBy(F.desc("share"), "key")
+    del reference  # a cell carries the reference's counts
+    keyed = cells.groupBy("key").agg(F.max(_reference_share()).alias("share"))
+    return keyed.orderBy(F.desc("share"), "key")
 
 
-def frequent(shares_: DataFrame, min_share: float = 1e-4) -> DataFrame:
-    """Rows of keys whose share exceeds ``min_share`` in any corpus."""
-    top = F.max("share").over(Window.partitionBy("key"))
-    return shares_.withColumn("_top", top).filter(F.col("_top") > min_share).drop("_top")
+def frequent(cells: DataFrame, min_share: float = 1e-4) -> DataFrame:
+    """Cells of keys whose share exceeds ``min_share`` in any corpus; the number of keys is that of the keys kept."""
+    top = cells.withColumn("_top", F.max(_share()).over(Window.partitionBy("key"))).filter(F.col("_top") > min_share)
+    kept = top.select("key").distinct().agg(F.count(F.lit(1))).scalar()
+    return top.drop("_top").withColumn("n_keys", kept)
 
 
-def log_ratios(shares_: DataFrame, reference: str) -> DataFrame:
+def log_ratios(shares_: DataFrame, reference: str | None) -> DataFrame:
     return _others(shares_, reference).select(
         "key", "dataset", "ref_share", log_ratio(F.col("share"), F.col("ref_share")).alias("log_ratio")
     )
 
 
-def log_ratio_range(ratios: DataFrame, trim_ends: bool = False) -> DataFrame:
+def log_ratio_range(cells: DataFrame, reference: str | None, trim_ends: bool = False) -> DataFrame:
     """Smallest and largest log ratio; ``trim_ends`` ignores the reference's top and bottom key."""
     if trim_ends:
-        by_share = F.struct("ref_share", "key")
-        ends = ratios.agg(F.max(by_share).alias("top"), F.min(by_share).alias("bottom"))
+        by_share = F.struct("ref_count", "key")
+        ends = cells.agg(F.max(by_share).alias("top"), F.min(by_share).alias("bottom"))
         ends = ends.select(F.explode(F.array("top.key", "bottom.key")).alias("key"))
-        ratios = ratios.join(F.broadcast(ends), "key", "left_anti")
-    return ratios.agg(F.min("log_ratio").alias("y_min"), F.max("log_ratio").alias("y_max"))
+        # Two rows.
+        cells = cells.join(F.broadcast(ends), "key", "left_anti")
+    return log_ratios(shares(cells), reference).agg(F.min("log_ratio").alias("y_min"), F.max("log_ratio").alias("y_max"))
+
 
+def divergence_table(cells: DataFrame, reference: str | None) -> DataFrame:
+    """Mean and summed distance of shares and of log ratios to the reference, per corpus.
 
-def divergence_table(shares_: DataFrame, reference: str) -> DataFrame:
-    """Mean and summed distance of shares and of log ratios to the reference, per corpus."""
-    gap = F.abs(F.col("share") - F.col("ref_share"))
-    ratio: Column = log_ratio(F.col("share"), F.col("ref_share"))
+    A key that a corpus lacks is as far from the reference as its share there; together that is the part of the
+    reference's kept keys that no cell of the corpus covers.
+    """
+    gap = F.abs(_share() - _reference_share())
+    ratio: Column = log_ratio(_share(), _reference_share())
+    kept = cells.groupBy("key").agg(F.max("ref_count").alias("r")).agg(F.sum("r")).scalar()
+    summed = F.sum(gap) + (F.first("_kept") - F.sum("ref_count")) / F.first("ref_total")
     return (
-        _others(shares_, reference).groupBy("dataset")
+        _others(cells, reference).withColumn("_kept", kept).groupBy("dataset")
         .agg(
-            F.avg(gap).alias("diff_mean"), F.sum(gap).alias("diff_sum"),
+            (summed / F.max("n_keys")).alias("diff_mean"), summed.alias("diff_sum"),
             F.avg(F.abs(ratio)).alias("log_diff_mean"), F.sum(F.abs(ratio)).alias("log_diff_sum"),
-            (F.count_if(ratio.isNull()) / F.count(F.lit(1))).alias("missing_share"),
+            (1 - F.count(ratio) / F.max("n_keys")).alias("missing_share"),
         )
         .orderBy("diff_sum", "dataset")
     )
 
 
-def presence_matrix(wide: DataFrame, datasets: list[str], reference: str) -> DataFrame:
-    """1 where a corpus has the key, for keys that not all corpora have; rarest keys first."""
-    others = [d for d in datasets if d != reference]
-    flags = wide.select("key", *[(F.col(d) > 0).cast("int").alias(d) for d in others])
-    total = sum((F.col(d) for d in others), F.lit(0))
-    return (
-        flags.withColumn("total", total).filter(F.col("total") < len(others)).orderBy("total", "key")
-    )
+def presence_matrix(wide: DataFrame, datasets: list[str | None], reference: str | None) -> DataFrame:
+    """1 where a corpus has the key, for keys that not all corpora have; rarest keys first.
+
+    ``wide`` holds the key, then the corpora in the order of ``datasets``.
+    """
+    others = [i for i, d in enumerate(datasets) if d != reference]
+    placed = by_place(wide)
+    flags = placed.select("_0", *((F.coalesce(F.col(f"_{i + 1}"), F.lit(0)) > 0).cast("int").alias(f"_{i + 1}") for i in others))
+    total = sum((F.col(f"_{i + 1}") for i in others), F.lit(0))
+    found = flags.withColumn("_total", total).filter(F.col("_total") < len(others)).orderBy("_total", "_0")
+    return titled(found, ["key", *(datasets[i] for i in others), "total"])
 
 
-def absent_reference_mass(cells: DataFrame, reference: str) -> DataFrame:
+def absent_reference_mass(cells: DataFrame, reference: str | None) -> DataFrame:
     """Percentage of the reference's tokens whose key a corpus lacks."""
-    lost = F.sum(F.when(_absent(), F.col("ref_count")).otherwise(0)) / F.max("ref_total")
+    lost = (F.max("ref_total") - F.sum("ref_count")) / F.max("ref_total")
     return _others(cells, reference).groupBy("dataset").agg((lost * 100).alias("pct"))

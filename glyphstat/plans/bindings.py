@@ -18,7 +18,6 @@ from glyphstat.operators.counts import (
 from glyphstat.operators.merge import datasets_of
 
 DOCS_REFERENCE = "en"
-LISTED_TYPES = ["#", "$", "%", "&", "(", ")", "*", "+", ",", "-", ".", "/", ":", "|", "FloatingLiteral", "IntegerLiteral"]
 EVENTS_REFERENCE = "W0"
 EVENTS_DATASETS = ["W0", "W1", "W2", "W3", "W4"]
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
 from glyphstat.functions.lexing import CPP14, WORDS
+from glyphstat.functions.numeric import significant
 from glyphstat.functions.text import fill_unknown
 from glyphstat.operators import compare, distance, incremental, merge, quality, records, tfidf
 from glyphstat.operators.counts import (
@@ -34,17 +35,17 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
 
-# Decimals kept of floating-point results, so that engines which sum in another order agree.
-DECIMALS = 9
+# Significant digits of floating-point results, so that engines which sum in another order agree. No value becomes 0 by it.
+DIGITS = 9
 
 
 def query(function: Query) -> Query:
-    """Register a function under its name, with its floating-point columns rounded."""
+    """Register a function under its name, with its floating-point columns in significant digits."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         result = function(spark, sf_dir)
         doubles = [f.name for f in result.schema if isinstance(f.dataType, DoubleType)]
-        return result.withColumns({c: F.round(c, DECIMALS) for c in doubles})
+        return result.withColumns({c: significant(F.col(c), DIGITS) for c in doubles})
 
     QUERIES[function.__name__] = run
     return function
@@ -247,8 +248,7 @@ def by_file_ratio_histogram(spark, sf_dir):
 
 @query
 def by_file_pivot(spark, sf_dir):
-    hist = b.counts_histogram(spark, sf_dir, "token_type")
-    return merge.pivot_buckets(hist, ["Identifier", "IntegerLiteral", "FloatingLiteral", "EOF"])
+    return merge.pivot_buckets(_stored_counts(spark, sf_dir, "token_type"))
 
 
 @query
@@ -324,17 +324,21 @@ def relation_profile(spark, sf_dir):
 
 
 def _cells(spark, sf_dir, kind):
-    """The comparison grid over stored corpus histograms, which it reads more than once."""
-    hist = materialize(b.histogram(spark, sf_dir, kind), "histogram")
-    return compare.comparison(hist, merge.datasets_of(hist), b.DOCS_REFERENCE)
+    """The cells of stored corpus histograms, which are read more than once."""
+    return compare.comparison(materialize(b.histogram(spark, sf_dir, kind), "histogram"), b.DOCS_REFERENCE)
 
 
 def _shares(spark, sf_dir, kind):
-    return compare.shares(_cells(spark, sf_dir, kind))
+    return compare.shares(compare.complete(_cells(spark, sf_dir, kind)))
+
+
+def _frequent(spark, sf_dir):
+    return compare.frequent(_cells(spark, sf_dir, "bigram_type"))
 
 
 def _diff(spark, sf_dir, kind):
-    return compare.pct_diff(_cells(spark, sf_dir, kind), b.DOCS_REFERENCE, drop_keys=("EOF", "<EOF>"))
+    cells = compare.complete(_cells(spark, sf_dir, kind))
+    return compare.pct_diff(cells, b.DOCS_REFERENCE, drop_keys=("EOF", "<EOF>"))
 
 
 def _finite_diff(spark, sf_dir, kind):
@@ -350,7 +354,7 @@ def vocab_gap(spark, sf_dir):
 
 @query
 def vocab_gap_types(spark, sf_dir):
-    return compare.vocab_gap(_cells(spark, sf_dir, "token_type"), listed=b.LISTED_TYPES)
+    return compare.vocab_gap(_cells(spark, sf_dir, "token_type"), listed=True)
 
 
 @query
@@ -370,7 +374,7 @@ def out_of_reference_mass(spark, sf_dir):
 
 @query
 def max_normalized(spark, sf_dir):
-    return compare.max_normalized(_cells(spark, sf_dir, "token_type"))
+    return compare.max_normalized(compare.complete(_cells(spark, sf_dir, "token_type")))
 
 
 @query
@@ -425,7 +429,7 @@ def share_totals(spark, sf_dir):
 
 @query
 def frequent_shares(spark, sf_dir):
-    return compare.frequent(_shares(spark, sf_dir, "bigram_type"))
+    return compare.shares(compare.complete(_frequent(spark, sf_dir)))
 
 
 @query
@@ -436,25 +440,22 @@ def log_ratio(spark, sf_dir):
 
 @query
 def log_ratio_range(spark, sf_dir):
-    ratios = compare.log_ratios(_shares(spark, sf_dir, "token_type"), b.DOCS_REFERENCE)
-    return compare.log_ratio_range(ratios)
+    return compare.log_ratio_range(_cells(spark, sf_dir, "token_type"), b.DOCS_REFERENCE)
 
 
 @query
 def log_ratio_range_trimmed(spark, sf_dir):
-    frequent = compare.frequent(_shares(spark, sf_dir, "bigram_type"))
-    return compare.log_ratio_range(compare.log_ratios(frequent, b.DOCS_REFERENCE), trim_ends=True)
+    return compare.log_ratio_range(_frequent(spark, sf_dir), b.DOCS_REFERENCE, trim_ends=True)
 
 
 @query
 def divergence_table(spark, sf_dir):
-    return compare.divergence_table(_shares(spark, sf_dir, "token_text"), b.DOCS_REFERENCE)
+    return compare.divergence_table(_cells(spark, sf_dir, "token_text"), b.DOCS_REFERENCE)
 
 
 @query
 def divergence_table_bigrams(spark, sf_dir):
-    frequent = compare.frequent(_shares(spark, sf_dir, "bigram_type"))
-    return compare.divergence_table(frequent, b.DOCS_REFERENCE)
+    return compare.divergence_table(_frequent(spark, sf_dir), b.DOCS_REFERENCE)
 
 
 @query

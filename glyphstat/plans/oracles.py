@@ -105,8 +105,30 @@ kinds AS (SELECT dataset, path, unnest(['token_text', 'token_type']) AS kind, to
 counts AS (SELECT dataset, path, kind, key, count(*) AS n FROM kinds GROUP BY ALL)"""
 
 
+def _nine_digits(value: str) -> str:
+    """Nine significant digits, half to even; powers of ten above 22 are not exact, so small values are scaled twice."""
+    p = "(8 - floor(log10(abs(x))))"
+    one, two = f"pow(10.0, least(abs({p}), 22))", f"pow(10.0, abs({p}) - least(abs({p}), 22))"
+    rounded = (
+        f"CASE WHEN {p} >= 0 THEN round_even(x * {one} * {two}, 0) / {one} / {two} "
+        f"ELSE round_even(x / {one} / {two}, 0) * {one} * {two} END"
+    )
+    return f"list_transform([CAST({value} AS DOUBLE)], lambda x: CASE WHEN x = 0 OR isinf(x) OR isnan(x) THEN x ELSE {rounded} END)[1]"
+
+
+def _expanded(sql: str) -> str:
+    """``digits9(value)`` stands for the value in nine significant digits."""
+    while (at := sql.find("digits9(")) >= 0:
+        end, depth = at + len("digits9("), 1
+        while depth:
+            depth += {"(": 1, ")": -1}.get(sql[end], 0)
+            end += 1
+        sql = sql[:at] + _nine_digits(sql[at + len("digits9(") : end - 1]) + sql[end:]
+    return sql
+
+
 def _oracle(name: str, ctes: str, select: str) -> None:
-    ORACLES[name] = f"WITH {ctes.strip()}\n{select.strip()}" if ctes else select.strip()
+    ORACLES[name] = _expanded(f"WITH {ctes.strip()}\n{select.strip()}" if ctes else select.strip())
 
 
 # ---------------------------------------------------------------- tokens
@@ -287,17 +309,14 @@ density AS (SELECT *, file_count / sum(file_count) OVER (PARTITION BY dataset) A
 _oracle("tokens_per_file_histogram", _LENGTHS, "SELECT * FROM lengths")
 _oracle("by_file_histogram", _files("token_text"), "SELECT * FROM by_count")
 _oracle("by_file_ratio_histogram", _files("token_text"), "SELECT * FROM by_ratio")
-_PIVOT_KEYS = ("Identifier", "IntegerLiteral", "FloatingLiteral", "EOF")
 _oracle(
     "by_file_pivot", _files("token_type"),
-    "SELECT dataset, num, "
-    + ", ".join(f"CAST(coalesce(sum(n_files) FILTER (key = '{k}'), 0) AS BIGINT) AS \"{k}\"" for k in _PIVOT_KEYS)
-    + f" FROM by_count WHERE key IN {_in(_PIVOT_KEYS)} GROUP BY dataset, num",
+    "SELECT * FROM (PIVOT by_count ON key USING CAST(coalesce(sum(n_files), 0) AS BIGINT) GROUP BY dataset, num)",
 )
 _oracle(
     "cumulative_shares", _files("token_type"),
-    """SELECT dataset, key, num, round(sum(n_files) OVER (PARTITION BY dataset, key ORDER BY num)
-  / sum(n_files) OVER (PARTITION BY dataset, key), 9) AS cdf FROM by_ratio""",
+    """SELECT dataset, key, num, digits9(sum(n_files) OVER (PARTITION BY dataset, key ORDER BY num)
+  / sum(n_files) OVER (PARTITION BY dataset, key)) AS cdf FROM by_ratio""",
 )
 
 # ---------------------------------------------------------------- merged tables
@@ -339,7 +358,7 @@ def _describe(value: str, digits: bool = True) -> str:
         "q75": f"quantile_cont({value}, 0.75)",
     }
     whole = () if digits else ("min", "max")
-    shown = [f"{sql} AS {n}" if n in whole else f"round({sql}, 9) AS {n}" for n, sql in columns.items()]
+    shown = [f"{sql} AS {n}" if n in whole else f"digits9({sql}) AS {n}" for n, sql in columns.items()]
     return f"count({value}) AS count, " + ", ".join(shown)
 
 
@@ -364,43 +383,42 @@ _oracle(
 # ---------------------------------------------------------------- comparison
 
 _GAP = """dataset, count(*) FILTER (count = 0) AS missing,
-  round(count(*) FILTER (count = 0) / count(*), 9) AS missing_share,
-  round(sum(CASE WHEN count = 0 THEN ref_count ELSE 0 END) / max(ref_total), 9) AS used_share"""
+  digits9(count(*) FILTER (count = 0) / count(*)) AS missing_share,
+  digits9(sum(CASE WHEN count = 0 THEN ref_count ELSE 0 END) / max(ref_total)) AS used_share"""
 _oracle("vocab_gap", _cells("token_text"), f"SELECT {_GAP} FROM cells GROUP BY dataset")
-_LISTED = ["#", "$", "%", "&", "(", ")", "*", "+", ",", "-", ".", "/", ":", "|", "FloatingLiteral", "IntegerLiteral"]
 _oracle(
     "vocab_gap_types", _cells("token_type"),
-    f"SELECT {_GAP}, coalesce(string_agg(key, ', ' ORDER BY key) FILTER (count = 0 AND key IN {_in(_LISTED)}), '') AS tokens "
+    f"SELECT {_GAP}, coalesce(string_agg(key, ', ' ORDER BY key) FILTER (count = 0), '') AS tokens "
     "FROM cells GROUP BY dataset",
 )
 _oracle(
     "absent_keys", _cells("token_text"),
-    "SELECT dataset, key, round(ref_count / ref_total, 9) AS ref_share FROM cells WHERE count = 0",
+    "SELECT dataset, key, digits9(ref_count / ref_total) AS ref_share FROM cells WHERE count = 0",
 )
 _oracle(
     "absent_types", _cells("token_type"),
-    "SELECT dataset, key, round(ref_count / ref_total, 9) AS ref_share FROM cells WHERE count = 0",
+    "SELECT dataset, key, digits9(ref_count / ref_total) AS ref_share FROM cells WHERE count = 0",
 )
 _oracle(
     "out_of_reference_mass", _cells("bigram_text"),
-    "SELECT round(sum(count / total), 3) AS mass FROM cells WHERE ref_count = 0 AND dataset <> 'en'",
+    "SELECT digits9(round(sum(count / total), 3)) AS mass FROM cells WHERE ref_count = 0 AND dataset <> 'en'",
 )
 _oracle(
     "max_normalized", _cells("token_type"),
-    "SELECT key, dataset, round(m, 9) AS norm, round(r, 9) AS ref_norm FROM norm",
+    "SELECT key, dataset, digits9(m) AS norm, digits9(r) AS ref_norm FROM norm",
 )
-_oracle("pct_diff", _cells("token_text"), "SELECT key, dataset, round(diff, 9) AS diff FROM diff")
+_oracle("pct_diff", _cells("token_text"), "SELECT key, dataset, digits9(diff) AS diff FROM diff")
 _oracle(
     "pct_diff_describe", _cells("token_text"),
     f"SELECT dataset, {_describe('abs(diff)')} FROM finite GROUP BY dataset",
 )
-_SUMMARY = """SELECT dataset, round(quantile_cont(abs(diff), 0.5) * 100, 1) AS median,
-  round(avg(abs(diff)) * 100, 1) AS mean, round(sum(abs(diff)) * 100, 1) AS sum FROM finite GROUP BY dataset"""
+_SUMMARY = """SELECT dataset, digits9(round(quantile_cont(abs(diff), 0.5) * 100, 1)) AS median,
+  digits9(round(avg(abs(diff)) * 100, 1)) AS mean, digits9(round(sum(abs(diff)) * 100, 1)) AS sum FROM finite GROUP BY dataset"""
 _oracle("pct_diff_summary", _cells("token_text"), _SUMMARY)
 _oracle(
     "pct_diff_summary_means", _cells("token_type"),
-    f"""SELECT round(avg(median), 9) AS median, round(avg(mean), 9) AS mean, round(avg(sum), 9) AS sum
-FROM ({_SUMMARY})""",
+    f"""SELECT digits9(avg(median)) AS median, digits9(avg(mean)) AS mean, digits9(avg(sum)) AS sum
+FROM ({_SUMMARY.replace("digits9", "")})""",
 )
 _oracle(
     "pct_diff_box", f"""{_cells("token_text")},
@@ -410,34 +428,34 @@ q AS (SELECT dataset, quantile_cont(size, 0.25) AS q25, quantile_cont(size, 0.5)
 f AS (SELECT s.dataset, size, q25, q50, q75,
   size BETWEEN q25 - 1.5 * (q75 - q25) AND q75 + 1.5 * (q75 - q25) AS inside
   FROM sizes s JOIN q ON q.dataset = s.dataset)""",
-    """SELECT dataset, round(q25, 9) AS q25, round(q50, 9) AS q50, round(q75, 9) AS q75,
-  round(min(size) FILTER (inside), 9) AS low, round(max(size) FILTER (inside), 9) AS high,
+    """SELECT dataset, digits9(q25) AS q25, digits9(q50) AS q50, digits9(q75) AS q75,
+  digits9(min(size) FILTER (inside)) AS low, digits9(max(size) FILTER (inside)) AS high,
   count(*) FILTER (NOT inside) AS outliers FROM f GROUP BY dataset, q25, q50, q75""",
 )
 
 
 def _topk(k: int) -> str:
-    return f"""SELECT dataset, CAST(rank AS INTEGER) AS rank, key, round(diff * 100, 9) AS pct FROM (
+    return f"""SELECT dataset, CAST(rank AS INTEGER) AS rank, key, digits9(diff * 100) AS pct FROM (
   SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY abs(diff) DESC, key) AS rank
   FROM finite WHERE diff IS NOT NULL) WHERE rank <= {k}"""
 
 
 _oracle("pct_diff_topk", _cells("token_text"), _topk(20))
 _oracle("pct_diff_topk_bigrams", _cells("bigram_type"), _topk(100))
-_SHARES = "SELECT key, dataset, round(share, 9) AS share, round(ref_share, 9) AS ref_share FROM shares"
+_SHARES = "SELECT key, dataset, digits9(share) AS share, digits9(ref_share) AS ref_share FROM shares"
 _FREQUENT = "(SELECT key FROM shares GROUP BY key HAVING max(share) > 1e-4)"
 _oracle("share", _cells("token_text"), _SHARES)
 _oracle(
     "reference_frequency", _cells("token_type"),
-    "SELECT key, round(share, 9) AS share FROM shares WHERE dataset = 'en'",
+    "SELECT key, digits9(share) AS share FROM shares WHERE dataset = 'en'",
 )
 _oracle(
     "share_totals", _cells("bigram_type"),
-    "SELECT key, round(sum(share), 9) AS total, round(avg(share), 9) AS mean FROM shares GROUP BY key",
+    "SELECT key, digits9(sum(share)) AS total, digits9(avg(share)) AS mean FROM shares GROUP BY key",
 )
 _oracle("frequent_shares", _cells("bigram_type"), f"{_SHARES} WHERE key IN {_FREQUENT}")
-_oracle("log_ratio", _cells("token_text"), "SELECT key, dataset, round(log_ratio, 9) AS log_ratio FROM logs")
-_RANGE = "SELECT round(min(log_ratio), 9) AS y_min, round(max(log_ratio), 9) AS y_max FROM logs"
+_oracle("log_ratio", _cells("token_text"), "SELECT key, dataset, digits9(log_ratio) AS log_ratio FROM logs")
+_RANGE = "SELECT digits9(min(log_ratio)) AS y_min, digits9(max(log_ratio)) AS y_max FROM logs"
 _oracle("log_ratio_range", _cells("token_type"), _RANGE)
 _oracle(
     "log_ratio_range_trimmed", f"""{_cells("bigram_type")},
@@ -446,10 +464,10 @@ ends AS ((SELECT key FROM kept ORDER BY ref_share DESC, key DESC LIMIT 1)
   UNION ALL (SELECT key FROM kept ORDER BY ref_share, key LIMIT 1))""",
     f"{_RANGE} WHERE key IN (SELECT key FROM kept) AND key NOT IN (SELECT key FROM ends)",
 )
-_DIVERGENCE = """SELECT dataset, round(avg(abs(share - ref_share)), 9) AS diff_mean,
-  round(sum(abs(share - ref_share)), 9) AS diff_sum, round(avg(abs(log_ratio)), 9) AS log_diff_mean,
-  round(sum(abs(log_ratio)), 9) AS log_diff_sum,
-  round(count(*) FILTER (log_ratio IS NULL) / count(*), 9) AS missing_share FROM logs {where} GROUP BY dataset"""
+_DIVERGENCE = """SELECT dataset, digits9(avg(abs(share - ref_share))) AS diff_mean,
+  digits9(sum(abs(share - ref_share))) AS diff_sum, digits9(avg(abs(log_ratio))) AS log_diff_mean,
+  digits9(sum(abs(log_ratio))) AS log_diff_sum,
+  digits9(count(*) FILTER (log_ratio IS NULL) / count(*)) AS missing_share FROM logs {where} GROUP BY dataset"""
 _oracle("divergence_table", _cells("token_text"), _DIVERGENCE.format(where=""))
 _oracle(
     "divergence_table_bigrams", _cells("bigram_type"), _DIVERGENCE.format(where=f"WHERE key IN {_FREQUENT}")
@@ -462,14 +480,14 @@ _oracle(
 )
 _oracle(
     "absent_reference_mass", _cells("token_text"),
-    """SELECT dataset, round(sum(CASE WHEN count = 0 THEN ref_count ELSE 0 END) / max(ref_total) * 100, 9) AS pct
+    """SELECT dataset, digits9(sum(CASE WHEN count = 0 THEN ref_count ELSE 0 END) / max(ref_total) * 100) AS pct
 FROM cells WHERE dataset <> 'en' GROUP BY dataset""",
 )
 
 # ---------------------------------------------------------------- distances
 
 _oracle(
-    "log_length_density", _LENGTHS, "SELECT dataset, bucket, file_count, round(share, 9) AS share FROM density"
+    "log_length_density", _LENGTHS, "SELECT dataset, bucket, file_count, digits9(share) AS share FROM density"
 )
 
 
@@ -500,7 +518,7 @@ _oracle(
         "SELECT dataset, bucket / 1000.0::DOUBLE AS x, share AS w FROM density", "dataset",
         *_IMPORTANCE, _ALL_X.format("src"), 3, 200,
     ),
-    "SELECT dataset, point, round(x, 9) AS x, round(density, 9) AS density FROM curve",
+    "SELECT dataset, point, digits9(x) AS x, digits9(density) AS density FROM curve",
 )
 
 
@@ -520,7 +538,7 @@ _oracle(
         "SELECT dataset, key, num::DOUBLE AS x, n_files::DOUBLE AS w FROM tfidf", "dataset, key",
         *_FREQUENCY, "own_low AS low, own_high AS high", 0, 20,
     ),
-    "SELECT dataset, key, point, round(x, 9) AS x, round(density, 9) AS density FROM curve",
+    "SELECT dataset, key, point, digits9(x) AS x, digits9(density) AS density FROM curve",
 )
 _oracle(
     "energy_distance_matrix", f"""{_LENGTHS},
@@ -530,7 +548,7 @@ cdf AS (SELECT d.dataset, s.bucket, sum(coalesce(l.file_count, 0)) OVER (PARTITI
   lead(s.bucket) OVER (PARTITION BY d.dataset ORDER BY s.bucket) - s.bucket AS gap
   FROM ds d CROSS JOIN bs s LEFT JOIN logs l ON l.dataset = d.dataset AND l.bucket = s.bucket)""",
     """SELECT a.dataset AS dataset_a, b.dataset AS dataset_b,
-  round(sqrt(2 * coalesce(sum((a.f - b.f) ** 2 * (a.gap / 1000)), 0)), 3) AS distance
+  digits9(round(sqrt(2 * coalesce(sum((a.f - b.f) ** 2 * (a.gap / 1000)), 0)), 3)) AS distance
 FROM cdf a JOIN cdf b ON a.bucket = b.bucket GROUP BY 1, 2""",
 )
 
@@ -552,8 +570,8 @@ ks AS (SELECT key, dataset, n, n_ref, statistic, CASE WHEN z < 0.2 THEN 1.0 ELSE
   END AS p_value FROM lam)"""
 
 
-_KS_SELECT = """SELECT key, dataset, n, n_ref, round(statistic, 9) AS statistic,
-  round(CAST(p_value AS DOUBLE), 9) AS p_value FROM ks"""
+_KS_SELECT = """SELECT key, dataset, n, n_ref, digits9(statistic) AS statistic,
+  digits9(CAST(p_value AS DOUBLE)) AS p_value FROM ks"""
 _oracle("ks_by_key", _files("token_text") + _ks("by_ratio"), _KS_SELECT)
 _oracle("tfidf_ks", _files("token_type") + _TFIDF + _ks("tfidf"), _KS_SELECT)
 _oracle(
@@ -563,7 +581,7 @@ _oracle(
 )
 _oracle(
     "ks_mean_by_key", _files("token_type") + _ks("by_ratio"),
-    "SELECT key, round(avg(statistic), 9) AS avg_statistic FROM ks GROUP BY key",
+    "SELECT key, digits9(avg(statistic)) AS avg_statistic FROM ks GROUP BY key",
 )
 _oracle(
     "ks_describe", _files("token_text") + _ks("by_ratio"),
@@ -574,7 +592,7 @@ _oracle(
 w AS (SELECT key, num, coalesce(sum(n_files) FILTER (dataset = 'de'), 0) AS a,
   coalesce(sum(n_files) FILTER (dataset = 'en'), 0) AS r FROM by_ratio WHERE dataset IN ('de', 'en') GROUP BY ALL),
 s AS (SELECT key, num, a, r, sum(a) OVER (PARTITION BY key) AS ta, sum(r) OVER (PARTITION BY key) AS tr FROM w)""",
-    """SELECT key, num, round(CASE WHEN r > 0 THEN (a / ta - r / tr) / (r / tr) ELSE 'inf'::DOUBLE END, 9) AS diff
+    """SELECT key, num, digits9(CASE WHEN r > 0 THEN (a / ta - r / tr) / (r / tr) ELSE 'inf'::DOUBLE END) AS diff
 FROM s WHERE ta > 0 AND tr > 0 AND (a > 0 OR r > 0)""",
 )
 _TFIDF_SELECT = "SELECT dataset, key, num, n_files FROM tfidf"
@@ -594,7 +612,7 @@ _oracle(
         "(SELECT max(num) / 10000.0::DOUBLE FROM by_ratio) AS high",
         3, 200,
     ),
-    """SELECT c.dataset, point, round(x, 9) AS x, round(density, 9) AS density, round(statistic, 9) AS statistic
+    """SELECT c.dataset, point, digits9(x) AS x, digits9(density) AS density, digits9(statistic) AS statistic
 FROM curve c LEFT JOIN ks k ON k.dataset = c.dataset AND k.key = '.' WHERE x BETWEEN 0 AND 0.2""",
 )
 

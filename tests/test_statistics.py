@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from glyphstat.functions.kolmogorov import p_series
-from glyphstat.functions.numeric import log_ratio, relative_difference, scaled
+from glyphstat.functions.numeric import log_ratio, relative_difference, scaled, significant
 from glyphstat.operators import compare, distance, merge
 from glyphstat.operators.quantiles import describe, quantiles
 from glyphstat.operators.tfidf import tfidf_histogram
@@ -179,11 +179,11 @@ def hist(spark):
 
 
 def test_comparison_invariants(spark, hist):
-    cells = compare.comparison(hist, ["A", "B", "W"], "W")
-    assert cells.count() == 12
+    cells = compare.comparison(hist, "W")
+    assert cells.count() == 7 and compare.complete(cells).count() == 12
     sums = rows(compare.shares(cells).groupBy("dataset").agg(F.sum("share").alias("s")), "dataset", "s")
     assert all(v == pytest.approx(1) for v in sums.values())
-    gap = {r["dataset"]: r for r in compare.vocab_gap(cells, listed=["w", "z", "y"]).collect()}
+    gap = {r["dataset"]: r for r in compare.vocab_gap(cells, listed=True).collect()}
     mass = rows(compare.absent_reference_mass(cells, "W"), "dataset", "pct")
     assert all(gap[d]["used_share"] * 100 == pytest.approx(mass[d,]) for d in "AB")
     assert (gap["A"]["missing"], gap["A"]["tokens"], gap["A"]["used_share"]) == (1, "w", 0.2)
@@ -194,7 +194,7 @@ def test_comparison_invariants(spark, hist):
 
 
 def test_percent_difference(spark, hist):
-    cells = compare.comparison(hist, ["A", "B", "W"], "W")
+    cells = compare.complete(compare.comparison(hist, "W"))
     got = rows(compare.pct_diff(cells, "W"), "key", "dataset", "diff")
     assert got["x", "A"] == pytest.approx(-0.2) and got["y", "A"] == pytest.approx(-0.8)
     assert got["z", "A"] == math.inf and got["w", "A"] is None and got["z", "B"] is None
@@ -204,6 +204,67 @@ def test_percent_difference(spark, hist):
     assert [(r["dataset"], r["rank"], r["key"]) for r in top] == [("A", 1, "z"), ("A", 2, "y"), ("B", 1, "x")]
 
 
+def test_sparse_cells_say_the_same_as_all_cells(spark):
+    rng = random.Random(4)
+    data = [(d, f"k{k}", rng.randint(1, 50)) for d in ("A", "B", "C", "W") for k in range(60) if rng.random() < 0.4]
+    hist = spark.createDataFrame(data, HIST)
+    cells = compare.comparison(hist, "W")
+    whole = {(r["key"], r["dataset"]): r for r in compare.complete(cells).collect()}
+    keys = {k for _, k, _ in data}
+    assert set(whole) == {(k, d) for k in keys for d in "ABCW"}
+    for d, r in {r["dataset"]: r for r in compare.divergence_table(cells, "W").collect()}.items():
+        mine = [c for (_, corpus), c in whole.items() if corpus == d]
+        gaps = [abs(c["count"] / c["total"] - c["ref_count"] / c["ref_total"]) for c in mine]
+        logs = [abs(math.log(c["count"] / c["total"] * c["ref_total"] / c["ref_count"])) for c in mine if c["count"] and c["ref_count"]]
+        assert r["diff_sum"] == pytest.approx(sum(gaps)) and r["diff_mean"] == pytest.approx(sum(gaps) / len(keys))
+        assert r["log_diff_sum"] == pytest.approx(sum(logs)) and r["missing_share"] == pytest.approx(1 - len(logs) / len(keys))
+    frequent = compare.frequent(cells, 0.05)
+    kept = {k for (k, _), c in whole.items() if c["count"] / c["total"] > 0.05}
+    assert {r["key"] for r in frequent.collect()} == kept
+    for d, r in {r["dataset"]: r for r in compare.divergence_table(frequent, "W").collect()}.items():
+        gaps = [abs(c["count"] / c["total"] - c["ref_count"] / c["ref_total"]) for (k, x), c in whole.items() if x == d and k in kept]
+        assert r["diff_mean"] == pytest.approx(sum(gaps) / len(kept))
+
+
+NAMES = ["a.b", "key", "count", "null", "`x`", None]
+
+
+@pytest.mark.parametrize("reference", NAMES)
+def test_corpora_of_any_name(spark, reference):
+    data = [(d, f"k{k}", 1 + i + k) for i, d in enumerate(NAMES) for k in range(i + 1)]
+    hist = spark.createDataFrame(data, HIST)
+    cells = compare.comparison(hist, reference)
+    assert cells.count() == 21 and compare.complete(cells).count() == 36
+    totals = {d: sum(n for x, _, n in data if x == d) for d in NAMES}
+    counts = {(d, k): n for d, k, n in data}
+    for r in compare.shares(compare.complete(cells)).collect():
+        assert r["share"] == counts.get((r["dataset"], r["key"]), 0) / totals[r["dataset"]]
+        assert r["ref_share"] == counts.get((reference, r["key"]), 0) / totals[reference]
+    assert {(r["dataset"], r["missing"]) for r in compare.vocab_gap(cells).collect()} == {(d, 5 - i) for i, d in enumerate(NAMES)}
+    assert {(r["dataset"], r["key"]) for r in compare.absent_keys(cells).collect()} == {
+        (d, f"k{k}") for i, d in enumerate(NAMES) for k in range(i + 1, 6)
+    }
+    assert {r["dataset"] for r in compare.divergence_table(cells, reference).collect()} == set(NAMES) - {reference}
+    datasets = merge.datasets_of(hist)
+    assert set(datasets) == set(NAMES)
+    wide = merge.merge_outer(hist, datasets)
+    assert {tuple(r)[0]: tuple(r)[1:] for r in wide.collect()}["k2"] == tuple(counts.get((d, "k2"), 0) for d in datasets)
+    melted = merge.melt(merge.arrange(wide, ["key"]), datasets, ["key"])
+    assert sorted(map(str, melted.filter("count > 0").select("dataset", "key", "count").collect())) == sorted(map(str, hist.collect()))
+    assert compare.presence_matrix(wide, datasets, reference).count() == 5 - (reference == NAMES[0])
+    assert merge.column_order(wide, datasets)[0] is None
+    lacking = merge.missing_keys(hist, None, ["a.b", "key"]).collect()
+    assert len(lacking) == 9 and {r["dataset"] for r in lacking} == {"a.b", "key"}
+
+
+def test_significant_digits(spark):
+    values = [0.0, 1e-10, -1e-10, 1 / 3, -2 / 3e-30, 123456789.123, 1.5e300, math.inf, -math.inf, 0.1 + 0.2, 999999999.7, 5e-320]
+    rows_ = spark.createDataFrame([(v,) for v in [*values, None]], "x double").select(significant(F.col("x"), 9).alias("y"))
+    got = [r["y"] for r in rows_.collect()]
+    assert got[-1] is None and got[1] == 1e-10
+    assert got[:-2] == [pytest.approx(float(f"{v:.8e}"), rel=1e-15) for v in values[:-1]]
+
+
 def test_presence_and_order(spark, hist):
     wide = merge.merge_outer(hist, ["A", "B", "W"])
     got = {r["key"]: (r["A"], r["B"], r["total"]) for r in compare.presence_matrix(wide, ["A", "B", "W"], "W").collect()}

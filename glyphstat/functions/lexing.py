@@ -26,6 +26,14 @@ class Profile:
     channel: Callable[[Column], Column]
     # Whether a token can contain line breaks or tabs, which token tables show escaped.
     multiline: bool = False
+    # What has to follow the least number of characters of a part, so that no token spans its end.
+    part_end: str = ""
+    # Marks around skipped text that can span the end of a part.
+    comment: tuple[str, str] | None = None
+
+    def part_pattern(self, chars: int) -> str:
+        """A pattern whose matches tile a text in parts of at least so many characters."""
+        return rf"(?s)(?:.{{{chars}}}{self.part_end}|.+)"
 
 
 def _starts_between(text: Column, first: str, last: str) -> Column:
@@ -63,7 +71,9 @@ def _words_type(text: Column) -> Column:
 
 
 WORDS = Profile(
-    "words", rf"[ \t\r\n\f]*+(?:({WORDS_TOKEN})|\z)", _words_type, _no_channel
+    "words", rf"[ \t\r\n\f]*+(?:({WORDS_TOKEN})|\z)", _words_type, _no_channel,
+    # No token holds white space.
+    part_end=r"[^ \t\r\n\f]*+",
 )
 
 
@@ -189,6 +199,11 @@ def _cpp_channel(text: Column) -> Column:
     return F.when(text.startswith("#"), F.lit(1))
 
 
-CPP14 = Profile("cpp14", cpp_pattern(), _cpp_type, _cpp_channel, multiline=True)
+CPP14 = Profile(
+    "cpp14", cpp_pattern(), _cpp_type, _cpp_channel, multiline=True,
+    # Literals, directives and line comments go on after a line break only where a backslash stands before it; what recovers from
+    # an error takes the line break as its last character.
+    part_end=r".*?(?<!\\)(?<!\\\r)\n", comment=("/*", "*/"),
+)
 
 PROFILES = {profile.name: profile for profile in (WORDS, CPP14)}

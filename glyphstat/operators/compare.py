@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from glyphstat.functions.numeric import log_ratio, relative_difference
 from glyphstat.operators.merge import by_place, is_dataset, titled
-from glyphstat.operators.quantiles import describe, quantiles
+from glyphstat.operators.quantiles import describe, named_quantiles, reduced
 
 _CONSTANTS = ["ref_total", "ref_peak", "n_keys"]
 
@@ -136,14 +136,14 @@ def pct_diff_describe(diff: DataFrame) -> DataFrame:
 def pct_diff_summary(diff: DataFrame, decimals: int = 1) -> DataFrame:
     """Median, mean and sum of the absolute difference per corpus, in percent."""
     size = diff.select("dataset", F.abs("diff").alias("size"))
-    medians = quantiles(size, ["dataset"], "size", [0.5]).select(
-        "dataset", F.round(F.col("size") * 100, decimals).alias("median")
+    values = reduced(size, ["dataset"], "size")
+    v, w = F.col("v"), F.col("w")
+    sums = values.groupBy("_g").agg((F.sum(v * w) / F.sum(w)).alias("mean"), F.sum(v * w).alias("sum"))
+    found = sums.join(named_quantiles(values, {0.5: "median"}), "_g")
+    corpora = diff.select(F.struct("dataset").alias("_g")).distinct()
+    return corpora.join(found, "_g", "left").select(
+        F.col("_g.dataset").alias("dataset"), *(F.round(F.col(c) * 100, decimals).alias(c) for c in ("mean", "sum", "median"))
     )
-    sums = size.groupBy("dataset").agg(
-        F.round(F.avg("size") * 100, decimals).alias("mean"),
-        F.round(F.sum("size") * 100, decimals).alias("sum"),
-    )
-    return sums.join(medians, "dataset", "left")
 
 
 def summary_means(summary: DataFrame) -> DataFrame:
@@ -153,24 +153,15 @@ def summary_means(summary: DataFrame) -> DataFrame:
 
 def box_plot(diff: DataFrame) -> DataFrame:
     """Quartiles, whiskers at 1.5 interquartile ranges and outliers of the absolute difference."""
-    size = diff.filter(F.col("diff").isNotNull()).select("dataset", F.abs("diff").alias("size"))
-    q = quantiles(size, ["dataset"], "size", [0.25, 0.5, 0.75]).groupBy("dataset").agg(
-        *[
-            F.max(F.when(F.col("q") == at, F.col("size"))).alias(name)
-            for at, name in ((0.25, "q25"), (0.5, "q50"), (0.75, "q75"))
-        ]
-    )
+    values = reduced(diff.select("dataset", F.abs("diff").alias("size")), ["dataset"], "size")
+    q = named_quantiles(values, {0.25: "q25", 0.5: "q50", 0.75: "q75"})
     reach = (F.col("q75") - F.col("q25")) * 1.5
-    inside = (F.col("size") >= F.col("q25") - reach) & (F.col("size") <= F.col("q75") + reach)
+    v, w = F.col("v"), F.col("w")
+    inside = (v >= F.col("q25") - reach) & (v <= F.col("q75") + reach)
     # One row of quartiles per corpus.
-    return (
-        size.join(F.broadcast(q), "dataset")
-        .groupBy("dataset", "q25", "q50", "q75")
-        .agg(
-            F.min(F.when(inside, F.col("size"))).alias("low"),
-            F.max(F.when(inside, F.col("size"))).alias("high"),
-            F.count_if(~inside).alias("outliers"),
-        )
+    return values.join(F.broadcast(q), "_g").groupBy(F.col("_g.dataset").alias("dataset"), "q25", "q50", "q75").agg(
+        F.min(F.when(inside, v)).alias("low"), F.max(F.when(inside, v)).alias("high"),
+        F.sum(F.when(inside, 0).otherwise(w)).alias("outliers"),
     )
 
 

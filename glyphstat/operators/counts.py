@@ -175,7 +175,7 @@ def document_file_counts(
     A document's keys are counted inside its row: they are sorted, and the distances between the
     places where the sorted key changes are the counts. Nothing is moved.
     """
-    sorted_ = listed_keys(docs, profile, kind, pandas_na).withColumn("keys", F.array_sort("keys"))
+    sorted_ = listed_keys(docs, profile, kind, pandas_na).withColumn("keys", F.sort_array("keys"))
     starts = F.filter(
         F.sequence(F.lit(1), F.size("keys")),
         lambda i: (i == 1) | (F.element_at("keys", i) != F.element_at("keys", F.greatest(i - 1, F.lit(1)))),

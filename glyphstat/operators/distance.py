@@ -5,14 +5,12 @@ run over aggregated buckets: at most one row per distinct bucket of a key, whate
 files.
 """
 
-from itertools import combinations
-
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from glyphstat.functions.kolmogorov import p_series
 from glyphstat.functions.numeric import ratio, relative_difference, scaled, unscaled
-from glyphstat.operators.merge import merge_outer
+from glyphstat.operators.merge import is_dataset, merge_outer
 from glyphstat.operators.quantiles import describe
 
 LOG_DECIMALS = 3
@@ -36,51 +34,62 @@ def cumulative_shares(hist: DataFrame) -> DataFrame:
     return hist.select("dataset", "key", "num", (upto / total).alias("cdf"))
 
 
-def _aligned(hist: DataFrame, datasets: list[str], value: str, on: list[str], at: str) -> DataFrame:
-    """Distribution functions of all corpora side by side on the union of their buckets.
+# Buckets that share a range in which running sums are formed.
+RANGE_BUCKETS = 64
+
+
+def running_sums(cells: DataFrame, group: list[str], at: str, value: str, width: int = RANGE_BUCKETS) -> DataFrame:
+    """Add ``upto``, the sum of ``value`` over a group's buckets up to each one, and ``total``.
 
-    ``f_i`` is corpus i's distribution function and ``t_i`` its total, null and 0 when empty.
+    Sums run inside ranges of ``width`` buckets; ranges, a row each, are shifted by the sums of those before them. So a group
+    with any number of buckets is spread over as many tasks as it has ranges.
     """
-    wide = merge_outer(hist, datasets, value, on=[*on, at])
-    upto = Window.partitionBy(*on).orderBy(at).rowsBetween(Window.unboundedPreceding, 0)
-    whole = upto.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    totals = {f"t_{i}": F.sum(d).over(whole) for i, d in enumerate(datasets)}
-    running = {f"f_{i}": F.sum(d).over(upto) for i, d in enumerate(datasets)}
-    gap = {"gap": F.lead(at).over(Window.partitionBy(*on).orderBy(at)) - F.col(at)}
-    return wide.withColumns({**totals, **running, **gap}).withColumns(
-        {f: ratio(F.col(f), F.col(f.replace("f", "t"))) for f in running}
+    ranged = cells.withColumn("_range", F.floor(F.col(at) / width))
+    inside = Window.partitionBy(*group, "_range").orderBy(at).rowsBetween(Window.unboundedPreceding, 0)
+    earlier = Window.partitionBy(*group).orderBy("_range")
+    sums = ranged.groupBy(*group, "_range").agg(F.sum(value).alias("_sum"))
+    offsets = sums.select(
+        *(F.col(c).alias(f"_of_{c}") for c in (*group, "_range")), (F.sum("_sum").over(earlier) - F.col("_sum")).alias("_before"),
+        F.sum("_sum").over(Window.partitionBy(*group)).alias("total"),
     )
+    same = [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in (*group, "_range")]
+    placed = ranged.withColumn("_inside", F.sum(value).over(inside)).join(offsets, same)
+    return placed.select(*cells.columns, (F.col("_before") + F.col("_inside")).alias("upto"), "total")
 
 
 def energy_distances(
-    hist: DataFrame, datasets: list[str], value: str = "file_count",
-    decimals: int = LOG_DECIMALS, digits: int = 3,
+    hist: DataFrame, value: str = "file_count", decimals: int = LOG_DECIMALS, digits: int = 3, width: int = RANGE_BUCKETS
 ) -> DataFrame:
     """Matrix of energy distances between corpora as (dataset_a, dataset_b, distance).
 
-    The buckets of all corpora are one group; rounding to ``decimals`` keeps them to a few thousand.
+    Corpora are rows: the plan is the same for any number of them. Each bucket of any corpus holds the distribution
+    functions of all; its pairs are formed in its row and summed before they are shuffled.
     """
-    aligned = _aligned(hist, datasets, value, [], "bucket")
-    pairs = list(combinations(range(len(datasets)), 2))
-    squares = aligned.agg(
-        F.lit(0.0).alias("same"),
-        *[
-            F.sum(
-                F.pow(F.col(f"f_{a}") - F.col(f"f_{b}"), F.lit(2.0)) * unscaled(F.col("gap"), decimals)
-            ).alias(f"s_{a}_{b}")
-            for a, b in pairs
-        ],
+    buckets = hist.select("bucket").distinct()
+    corpora = hist.select("dataset").distinct().agg(F.collect_list(F.struct("dataset"))).scalar()
+    # The next bucket is in the same range, or the first of the next range that has any.
+    inside = Window.partitionBy("_range").orderBy("bucket")
+    ranged = buckets.withColumn("_range", F.floor(F.col("bucket") / width))
+    firsts = ranged.groupBy("_range").agg(F.min("bucket").alias("_first"))
+    # One row per range.
+    follow = firsts.select(F.col("_range").alias("_r"), F.lead("_first").over(Window.orderBy("_range")).alias("_follow"))
+    gaps = ranged.withColumn("_next", F.lead("bucket").over(inside)).join(follow, F.col("_range") == F.col("_r")).select(
+        "bucket", unscaled(F.coalesce("_next", "_follow") - F.col("bucket"), decimals).alias("gap")
     )
-
-    def cell(a: int, b: int) -> Column:
-        square = F.col("same") if a == b else F.col(f"s_{min(a, b)}_{max(a, b)}")
-        return F.struct(
-            F.lit(datasets[a]).alias("dataset_a"), F.lit(datasets[b]).alias("dataset_b"),
-            F.round(F.sqrt(2 * square), digits).alias("distance"),
-        )
-
-    indexes = range(len(datasets))
-    return squares.select(F.inline(F.array(*[cell(a, b) for a in indexes for b in indexes])))
+    grid = buckets.select("bucket", F.inline(corpora))
+    own = hist.select(F.col("dataset").alias("_d"), F.col("bucket").alias("_b"), F.col(value).alias("_v"))
+    filled = grid.join(own, F.col("dataset").eqNullSafe(F.col("_d")) & (F.col("bucket") == F.col("_b")), "left").select(
+        "dataset", "bucket", F.coalesce("_v", F.lit(0)).alias("_v")
+    )
+    shares = running_sums(filled, ["dataset"], "bucket", "_v", width).select("bucket", "dataset", ratio(F.col("upto"), F.col("total")).alias("f"))
+    rows = shares.groupBy("bucket").agg(F.collect_list(F.struct("dataset", "f")).alias("fs")).join(gaps, "bucket")
+    left = rows.select("gap", "fs", F.explode("fs").alias("a"))
+    pairs = left.select("gap", "a", F.explode("fs").alias("b"))
+    square = F.pow(F.col("a.f") - F.col("b.f"), F.lit(2.0)) * F.col("gap")
+    summed = pairs.groupBy(F.col("a.dataset").alias("dataset_a"), F.col("b.dataset").alias("dataset_b")).agg(
+        F.coalesce(F.sum(square), F.lit(0.0)).alias("s")
+    )
+    return summed.select("dataset_a", "dataset_b", F.round(F.sqrt(2 * F.col("s")), digits).alias("distance"))
 
 
 def kernel_density(
@@ -134,30 +143,24 @@ def kernel_density(
     )
 
 
-def ks_test(hist: DataFrame, datasets: list[str], reference: str) -> DataFrame:
+def ks_test(hist: DataFrame, reference: str | None, width: int = RANGE_BUCKETS) -> DataFrame:
     """Two-sample Kolmogorov-Smirnov test of every (key, corpus) against the reference.
 
     (key, dataset, n, n_ref, statistic, p_value), without keys that either sample lacks. The p-value
-    is that of the limiting distribution, for samples of every size.
+    is that of the limiting distribution, for samples of every size. Corpora are rows: the reference's buckets of a key stand
+    next to those of each corpus that has it, and both distribution functions are running sums over them.
     """
-    aligned = _aligned(hist, datasets, "n_files", ["key"], "num")
-    ref = datasets.index(reference)
-    others = [i for i in range(len(datasets)) if i != ref]
-    per_key = aligned.groupBy("key").agg(
-        F.max(f"t_{ref}").alias("n_ref"),
-        *[F.max(f"t_{i}").alias(f"t_{i}") for i in others],
-        *[F.max(F.abs(F.col(f"f_{i}") - F.col(f"f_{ref}"))).alias(f"d_{i}") for i in others],
-    )
-    cells = F.array(
-        *[
-            F.struct(
-                F.lit(datasets[i]).alias("dataset"), F.col(f"t_{i}").alias("n"),
-                F.col(f"d_{i}").alias("statistic"),
-            )
-            for i in others
-        ]
+    own = hist.filter(~is_dataset(reference)).select("key", "dataset", "num", F.col("n_files").alias("a"), F.lit(0).cast("long").alias("r"))
+    theirs = hist.filter(is_dataset(reference)).select(F.col("key").alias("_key"), "num", F.col("n_files").alias("r"))
+    compared = own.select("key", "dataset").distinct().join(theirs, F.col("key").eqNullSafe(F.col("_key"))).select(
+        "key", "dataset", "num", F.lit(0).cast("long").alias("a"), "r"
     )
-    tests = per_key.select("key", "n_ref", F.inline(cells)).filter((F.col("n") > 0) & (F.col("n_ref") > 0))
+    cells = own.unionByName(compared).groupBy("key", "dataset", "num").agg(F.sum("a").alias("a"), F.sum("r").alias("r"))
+    group = ["key", "dataset"]
+    both = running_sums(cells, group, "num", "a", width).withColumnsRenamed({"upto": "a_upto", "total": "n"})
+    both = running_sums(both, group, "num", "r", width).withColumnRenamed("total", "n_ref").filter("n > 0 AND n_ref > 0")
+    gap = F.abs(F.col("a_upto") / F.col("n") - F.col("upto") / F.col("n_ref"))
+    tests = both.groupBy(*group).agg(F.max("n").alias("n"), F.max("n_ref").alias("n_ref"), F.max(gap).alias("statistic"))
     p_value = p_series(F.col("statistic"), F.col("n"), F.col("n_ref"))
     return tests.select("key", "dataset", "n", "n_ref", "statistic", p_value.alias("p_value"))
 
@@ -178,14 +181,14 @@ def ks_describe(tests: DataFrame) -> DataFrame:
     return describe(tests, ["dataset"], "statistic")
 
 
-def bucket_difference(hist: DataFrame, dataset: str, reference: str, inf_as_null: bool = False) -> DataFrame:
+def bucket_difference(hist: DataFrame, dataset: str | None, reference: str | None, inf_as_null: bool = False) -> DataFrame:
     """Relative difference of two corpora's share of files per (key, bucket).
 
     Only keys of both corpora and buckets of either have a value.
     """
-    wide = merge_outer(hist, [dataset, reference], "n_files", on=["key", "num"])
+    wide = merge_outer(hist, [dataset, reference], "n_files", on=["key", "num"]).toDF("key", "num", "_own", "_ref")
     members = Window.partitionBy("key")
-    mine, theirs = (ratio(F.col(d), F.sum(d).over(members)) for d in (dataset, reference))
+    mine, theirs = (ratio(F.col(d), F.sum(d).over(members)) for d in ("_own", "_ref"))
     both = wide.select("key", "num", mine.alias("share"), theirs.alias("ref_share"))
     diff = relative_difference(F.col("share"), F.col("ref_share"), inf_as_null)
     return both.select("key", "num", diff.alias("diff")).filter(F.col("diff").isNotNull())
@@ -204,5 +207,5 @@ def key_density(
     curves = kernel_density(chosen, ["dataset"], "x", "n_files", support=valued)
     compared = datasets if reference in datasets else [*datasets, reference]
     one_key = hist.filter((F.col("key") == key) & F.col("dataset").isin(compared))
-    tests = ks_test(one_key, compared, reference).select("dataset", "statistic")
+    tests = ks_test(one_key, reference).select("dataset", "statistic")
     return curves.filter(F.col("x").between(0, max_x)).join(tests, "dataset", "left")

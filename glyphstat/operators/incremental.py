@@ -4,9 +4,10 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphstat.functions.text import decoded_path, path_stem
+from glyphstat.functions.text import path_stem
 from glyphstat.operators.counts import FILE
 from glyphstat.schemas import MANIFEST, REJECTS, TOKENS
+from glyphstat.sources import tree
 
 
 def manifest(paths: DataFrame, source_root: str, target_root: str, extension: str) -> DataFrame:
@@ -29,8 +30,7 @@ def pending(files: DataFrame, done: DataFrame, failed: DataFrame) -> DataFrame:
 
 def finished(spark: SparkSession, target_root: str, pattern: str) -> DataFrame:
     """(dst_file): the targets that exist below ``target_root``, so a re-run needs no list of its own."""
-    found = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True)
-    return found.load(target_root).select(decoded_path(F.col("path")).alias("dst_file"))
+    return tree.listing(spark, target_root, pattern).select(F.col("path").alias("dst_file"))
 
 
 def save_manifest(files: DataFrame, path: str) -> None:
@@ -49,6 +49,53 @@ def load_rejects(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(REJECTS).parquet(path)
 
 
+class Runs:
+    """Outputs of several runs in one place, of which only committed ones count.
+
+    A run writes what it has made, what it rejects and which sources are done under a name of its own. Only then one row with that
+    name is appended to the list of commits, in a single file that Spark moves into place. A run that stops before leaves
+    files that no reader takes, and its sources stay pending.
+    """
+
+    OUTPUTS, REJECTED, DONE = "outputs", "rejects", "done"
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.root = spark, root.rstrip("/")
+
+    def write(self, run: str, outputs: DataFrame, rejects: DataFrame, done: DataFrame) -> None:
+        """Write a run's tables: outputs, ``rejects(path, reason)`` and ``done(dst_file)``. Nothing counts yet."""
+        for name, table in ((self.OUTPUTS, outputs), (self.REJECTED, rejects.select("path", "reason")), (self.DONE, done.select("dst_file"))):
+            table.write.mode("overwrite").parquet(f"{self.root}/{name}/run={run}")
+
+    def commit(self, run: str) -> None:
+        """Make a run count. A run that is committed twice counts once."""
+        row = self.spark.createDataFrame([(run,)], "run string").coalesce(1)
+        row.write.mode("append").parquet(f"{self.root}/commits")
+
+    def committed(self) -> DataFrame:
+        """(run): the runs that count."""
+        return _read_or_empty(self.spark, f"{self.root}/commits", "run string").distinct()
+
+    def table(self, name: str, schema) -> DataFrame:
+        """One of the tables with the name of the ``run``, of committed runs only; one row per run is broadcast."""
+        plain = self.spark.createDataFrame([], schema).schema
+        whole = _read_or_empty(self.spark, f"{self.root}/{name}", plain.add("run", "string"))
+        return whole.join(F.broadcast(self.committed()), "run", "left_semi")
+
+    def pending(self, files: DataFrame) -> DataFrame:
+        """The rows of a manifest that no committed run has done or rejected."""
+        return pending(files, self.table(self.DONE, "dst_file string").distinct(), self.table(self.REJECTED, REJECTS))
+
+
+def _read_or_empty(spark: SparkSession, path: str, schema) -> DataFrame:
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
 def new_files_only(tokens: DataFrame, existing: DataFrame) -> DataFrame:
     """Tokens of files the existing table does not have yet.
 
@@ -62,11 +109,4 @@ def new_files_only(tokens: DataFrame, existing: DataFrame) -> DataFrame:
 
 def append_tokens(spark: SparkSession, tokens: DataFrame, path: str) -> None:
     """Append the files that are not in the table yet; running it again changes nothing."""
-    try:
-        existing = spark.read.schema(TOKENS).parquet(path)
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
-    else:
-        tokens = new_files_only(tokens, existing)
-    tokens.write.mode("append").partitionBy("dataset").parquet(path)
+    new_files_only(tokens, _read_or_empty(spark, path, TOKENS)).write.mode("append").partitionBy("dataset").parquet(path)

@@ -7,29 +7,25 @@ from glyphstat.schemas import TOKEN_LENGTH_LIMITS, TOKENS
 
 
 def constraint_report(tokens: DataFrame) -> DataFrame:
-    """(rule, column_name, violations): missing values, too long values, repeated ids."""
-    rules = [("not_null", f.name, F.count_if(F.col(f.name).isNull())) for f in TOKENS if not f.nullable]
-    rules += [
-        ("max_length", name, F.count_if(F.length(name) > limit))
-        for name, limit in TOKEN_LENGTH_LIMITS.items()
-    ]
-    checks = tokens.agg(*[check.alias(f"{rule}_{name}") for rule, name, check in rules])
-    cells = F.array(
-        *[
-            F.struct(
-                F.lit(rule).alias("rule"), F.lit(name).alias("column_name"),
-                F.col(f"{rule}_{name}").alias("violations"),
-            )
-            for rule, name, _ in rules
-        ]
+    """(rule, column_name, violations): missing values, too long values, repeated ids.
+
+    Rows are grouped by their id, which finds repeats; the other violations are summed on the way, so one scan and
+    one exchange answer all rules. Rows without an id are one group whose sums are formed before the exchange.
+    """
+    rules = [("not_null", f.name, F.col(f.name).isNull()) for f in TOKENS if not f.nullable]
+    rules += [("max_length", name, F.length(name) > limit) for name, limit in TOKEN_LENGTH_LIMITS.items()]
+    by_id = tokens.groupBy("uuid").agg(
+        F.count(F.lit(1)).alias("n"), *(F.count_if(broken).alias(f"r{i}") for i, (_, _, broken) in enumerate(rules))
     )
-    # Rows beyond the first of each id.
-    repeats = (
-        tokens.filter(F.col("uuid").isNotNull()).groupBy("uuid").agg(F.count(F.lit(1)).alias("n"))
-        .agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("violations"))
-        .select(F.lit("unique").alias("rule"), F.lit("uuid").alias("column_name"), "violations")
+    more = F.when(F.col("uuid").isNotNull(), F.col("n") - 1).otherwise(0)
+    sums = by_id.agg(
+        *(F.coalesce(F.sum(f"r{i}"), F.lit(0)).alias(f"r{i}") for i in range(len(rules))), F.coalesce(F.sum(more), F.lit(0)).alias("repeats")
     )
-    return checks.select(F.inline(cells)).unionByName(repeats)
+    found = [(rule, name, f"r{i}") for i, (rule, name, _) in enumerate(rules)] + [("unique", "uuid", "repeats")]
+    cells = [
+        F.struct(F.lit(rule).alias("rule"), F.lit(name).alias("column_name"), F.col(column).alias("violations")) for rule, name, column in found
+    ]
+    return sums.select(F.inline(F.array(*cells)))
 
 
 def profile(df: DataFrame, columns: list[str]) -> DataFrame:

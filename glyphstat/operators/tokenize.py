@@ -1,17 +1,19 @@
 """Documents to tokens.
 
-Documents are rows ``(dataset, path, text)``. Everything here is a narrow transformation: a
-document's lexemes are one array, so numbering, pairing and positions need no shuffle.
+Documents are rows ``(dataset, path, text)``. ``tokenize`` and the functions for counting are narrow transformations: a
+document's lexemes are one array, so numbering, pairing and positions need no shuffle. ``tokenize_parts`` gives the same
+table where single documents are too long for a task.
 """
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from glyphstat.functions.lexing import EOF_TEXT, Profile
 from glyphstat.functions.text import base_name, escape_dump, token_uuid
+from glyphstat.sources.scratch import materialize
 
 
 def found_tokens(text: Column, profile: Profile) -> Column:
@@ -80,62 +82,182 @@ _INTS = T.ArrayType(T.IntegerType())
 _POSITIONS = T.StructType([T.StructField(n, _INTS) for n in ("char_start", "line", "line_char")])
 
 
-@F.pandas_udf(_POSITIONS)
-def _positions(match_size: pd.Series, token_size: pd.Series, line_size: pd.Series) -> pd.DataFrame:
-    """Running sums over each document's matches and lines; only lengths cross to Python."""
-    starts, lines, columns = [], [], []
-    for matches, tokens, line_sizes in zip(match_size, token_size, line_size, strict=True):
-        start = np.cumsum(matches) - tokens
-        line_start = np.concatenate(([0], np.cumsum(line_sizes[:-1] + 1)))
-        line = np.searchsorted(line_start, start, side="right")
-        starts.append(start)
-        lines.append(line)
-        columns.append(start - line_start[line - 1])
-    return pd.DataFrame({"char_start": starts, "line": lines, "line_char": columns})
-
-
-def tokenize(docs: DataFrame, profile: Profile) -> DataFrame:
-    """The full token table, with character span, line and column of every token."""
-    pattern = F.lit(profile.pattern)
-    text = F.col("text")
-    # The matches tile the text; a token is the end of its match.
+def _flat(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of all lists in a row, and where each list begins in them."""
+    n = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    return lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64), np.concatenate([[0], np.cumsum(n)])
+
+
+@F.arrow_udf(_POSITIONS)
+def _positions(match_size: pa.Array, token_size: pa.Array, line_size: pa.Array) -> pa.Array:
+    """Running sums over each document's matches and lines, all documents of a batch at once; only lengths come here."""
+    matches, bounds = _flat(match_size)
+    tokens, _ = _flat(token_size)
+    lines, line_bounds = _flat(line_size)
+    doc = np.repeat(np.arange(len(match_size)), np.diff(bounds))
+    upto = np.concatenate([[0], np.cumsum(matches)])
+    start = upto[1:] - upto[bounds[doc]] - tokens
+    line_doc = np.repeat(np.arange(len(line_size)), np.diff(line_bounds))
+    line_upto = np.concatenate([[0], np.cumsum(lines + 1)])
+    line_start = line_upto[:-1] - line_upto[line_bounds[line_doc]]
+    # One search for all documents: starts of lines and of tokens are shifted by their document.
+    far = np.int64(1) << 32
+    line = np.searchsorted(line_doc * far + line_start, doc * far + start, side="right")
+    columns = [start, line - line_bounds[doc], start - line_start[line - 1]]
+    offsets = pa.array(bounds.astype(np.int32))
+    lists = [pa.ListArray.from_arrays(offsets, pa.array(c.astype(np.int32))) for c in columns]
+    return pa.StructArray.from_arrays(lists, [f.name for f in _POSITIONS])
+
+
+def _matched(docs: DataFrame, profile: Profile, *columns: str) -> DataFrame:
+    """Matches ``w``, their tokens ``t`` and positions ``p`` of every text; the matches tile it, a token ends its match."""
+    pattern, text = F.lit(profile.pattern), F.col("text")
     matches = docs.filter(text.isNotNull()).select(
-        "dataset", "path", F.length(text).alias("size"),
+        *columns, F.length(text).alias("size"),
         F.transform(F.split(text, "\n"), F.length).alias("lines"),
         F.regexp_extract_all(text, pattern, F.lit(0)).alias("w"),
         F.regexp_extract_all(text, pattern, F.lit(1)).alias("t"),
     )
-    placed = matches.select(
+    return matches.select(
         "*", _positions(F.transform("w", F.length), F.transform("t", F.length), "lines").alias("p")
     )
-    found = F.filter(
-        F.arrays_zip(
-            F.col("t").alias("raw"), F.col("p.char_start").alias("start"),
-            F.col("p.line").alias("line"), F.col("p.line_char").alias("line_char"),
-        ),
-        lambda m: m["raw"] != "",
-    )
-    eof = F.struct(
-        F.lit(EOF_TEXT).alias("raw"), F.col("size").alias("start"),
-        F.size("lines").alias("line"), F.element_at("lines", -1).alias("line_char"),
-    )
-    rows = placed.select(
-        "dataset", "path",
-        F.posexplode(F.concat(found, F.array(eof))).alias("token_num", "m"),
+
+
+def _found() -> Column:
+    """The tokens of a row of ``_matched`` with their positions."""
+    zipped = F.arrays_zip(
+        F.col("t").alias("raw"), F.col("p.char_start").alias("start"),
+        F.col("p.line").alias("line"), F.col("p.line_char").alias("line_char"),
     )
-    raw = F.col("m.raw")
+    return F.filter(zipped, lambda m: m["raw"] != "")
+
+
+def _token_columns(rows: DataFrame, profile: Profile) -> DataFrame:
+    """The token table from ``(dataset, path, token_num, raw, start, line, line_char)``."""
+    raw = F.col("raw")
     width = F.when(raw == EOF_TEXT, 0).otherwise(F.length(raw))
     return rows.select(
         token_uuid(F.col("dataset"), F.col("path"), F.col("token_num")).alias("uuid"),
         "dataset", "path", base_name(F.col("path")).alias("file_name"), "token_num",
-        F.col("m.start").alias("char_start"),
-        (F.col("m.start") + width - 1).alias("char_end"),
+        F.col("start").alias("char_start"),
+        (F.col("start") + width - 1).alias("char_end"),
         shown(raw, profile).alias("token_text"),
         profile.classify(raw).alias("token_type"),
         profile.channel(raw).alias("channel"),
-        F.col("m.line").alias("line"),
-        F.col("m.line_char").alias("line_char"),
+        "line", "line_char",
+    )
+
+
+def tokenize(docs: DataFrame, profile: Profile) -> DataFrame:
+    """The full token table, with character span, line and column of every token."""
+    eof = F.struct(
+        F.lit(EOF_TEXT).alias("raw"), F.col("size").alias("start"),
+        F.size("lines").alias("line"), F.element_at("lines", -1).alias("line_char"),
+    )
+    rows = _matched(docs, profile, "dataset", "path").select(
+        "dataset", "path", F.posexplode(F.concat(_found(), F.array(eof))).alias("token_num", "m")
+    )
+    return _token_columns(rows.select("dataset", "path", "token_num", "m.*"), profile)
+
+
+# Characters of a part, at least; a part ends at the next safe place.
+PART_CHARS = 1_000_000
+
+
+def text_parts(docs: DataFrame, profile: Profile, part_chars: int = PART_CHARS) -> DataFrame:
+    """``(dataset, path, part, text)``: every text cut at places that no token spans.
+
+    One pattern tiles the text in a single pass. Parts are dealt out by their number, so a very long text
+    is lexed in many tasks. Some languages have comments that span any such place (``profile.comment``); whether a part
+    begins inside one follows from what its predecessors leave open. A part then gets the opening mark in front,
+    or the closing one behind, and ``lead`` tells how many characters were put in front.
+    """
+    cut = F.regexp_extract_all("text", F.lit(profile.part_pattern(part_chars)), F.lit(0))
+    filled = F.when(F.size(cut) == 0, F.array(F.lit(""))).otherwise(cut)
+    parts = docs.filter(F.col("text").isNotNull()).select("dataset", "path", F.posexplode(filled).alias("part", "text"))
+    parts = parts.repartition("dataset", "path", "part")
+    if not profile.comment:
+        return parts.withColumn("lead", F.lit(0))
+    opens, closes = profile.comment
+    parts = materialize(parts, "parts")
+
+    def left_open(text: Column) -> Column:
+        """Whether a comment that begins in the text has no end there: its mark is lexed as two tokens next to one another."""
+        w = F.regexp_extract_all(text, F.lit(profile.pattern), F.lit(0))
+        t = F.regexp_extract_all(text, F.lit(profile.pattern), F.lit(1))
+        marks = F.zip_with(t, F.slice(w, F.lit(2), F.size(w)), lambda a, b: (a == opens[0]) & b.startswith(opens[1:]))
+        return F.when(text.contains(opens), F.exists(marks, lambda x: F.coalesce(x, F.lit(False)))).otherwise(F.lit(False))
+
+    text = F.col("text")
+    probed = parts.select(
+        "dataset", "path", "part", text.contains(closes).alias("closes"), left_open(text).alias("from_code"),
+        F.when(text.contains(closes), left_open(F.concat(F.lit(opens), text))).otherwise(F.lit(True)).alias("from_comment"),
+    )
+    chain = F.array_sort(F.collect_list(F.struct("part", "closes", "from_code", "from_comment")))
+    listed = probed.groupBy("dataset", "path").agg(chain.alias("c"), F.max(F.when(F.col("closes"), F.col("part"))).alias("last_close"))
+    none = F.array().cast("array<struct<part:int,inside:boolean,open:boolean>>")
+
+    def step(state: Column, c: Column) -> Column:
+        opened = F.when(state["open"], c["from_comment"]).otherwise(c["from_code"]) & F.coalesce(F.col("last_close") > c["part"], F.lit(False))
+        row = F.struct(c["part"].alias("part"), state["open"].alias("inside"), opened.alias("open"))
+        return F.struct(opened.alias("open"), F.concat(state["rows"], F.array(row)).alias("rows"))
+
+    states = F.aggregate("c", F.struct(F.lit(False).alias("open"), none.alias("rows")), step, lambda s: s["rows"])
+    states = listed.select(F.col("dataset").alias("_d"), F.col("path").alias("_p"), F.inline(states)).withColumnRenamed("part", "_part")
+    same = F.col("dataset").eqNullSafe(F.col("_d")) & F.col("path").eqNullSafe(F.col("_p")) & (F.col("part") == F.col("_part"))
+    return parts.join(states, same).select(
+        "dataset", "path", "part",
+        F.concat(F.when(F.col("inside"), opens).otherwise(""), text, F.when(F.col("open"), closes).otherwise("")).alias("text"),
+        F.when(F.col("inside"), len(opens)).otherwise(0).alias("lead"), F.when(F.col("open"), len(closes)).otherwise(0).alias("trail"),
+    )
+
+
+def tokenize_parts(docs: DataFrame, profile: Profile, part_chars: int = PART_CHARS) -> DataFrame:
+    """As ``tokenize`` for documents of any length: parts are lexed in tasks of their own.
+
+    A part's tokens are numbered and placed from its own beginning; running totals over the parts of a document,
+    a row of a few numbers each, move them to their place. Several rows of one path are not told apart.
+    """
+    parts = text_parts(docs, profile, part_chars)
+    if "trail" not in parts.columns:
+        parts = parts.withColumn("trail", F.lit(0))
+    lexed = _matched(parts, profile, "dataset", "path", "part", "lead", "trail").select(
+        "dataset", "path", "part", "lead", "trail", "size", "lines", _found().alias("found")
+    )
+    lexed = materialize(lexed, "lexed-parts")
+    # What a part adds: characters, line breaks, the characters after its last one, tokens.
+    sums = lexed.select(
+        "dataset", "path", "part", (F.col("size") - F.col("lead") - F.col("trail")).alias("chars"), (F.size("lines") - 1).alias("breaks"),
+        (F.element_at("lines", -1) - F.col("trail")).alias("tail"), F.size("found").alias("tokens"),
+    )
+    chain = F.array_sort(F.collect_list(F.struct("part", "chars", "breaks", "tail", "tokens"))).alias("c")
+    names = ["chars0", "breaks0", "column0", "tokens0"]
+    none = F.array().cast(f"array<struct<part:int,{','.join(f'{n}:int' for n in names)}>>")
+    zero = F.struct(*(F.lit(0).alias(n) for n in names), none.alias("rows"))
+
+    def step(s: Column, c: Column) -> Column:
+        row = F.struct(c["part"].alias("part"), *(s[n].alias(n) for n in names))
+        column = F.when(c["breaks"] > 0, c["tail"]).otherwise(s["column0"] + c["chars"])
+        return F.struct(
+            (s["chars0"] + c["chars"]).alias("chars0"), (s["breaks0"] + c["breaks"]).alias("breaks0"), column.alias("column0"),
+            (s["tokens0"] + c["tokens"]).alias("tokens0"), F.concat(s["rows"], F.array(row)).alias("rows"),
+        )
+
+    totals = sums.groupBy("dataset", "path").agg(chain).withColumn("s", F.aggregate("c", zero, step))
+    eof = totals.select(
+        "dataset", "path", F.col("s.tokens0").alias("token_num"), F.lit(EOF_TEXT).alias("raw"), F.col("s.chars0").alias("start"),
+        (F.col("s.breaks0") + 1).alias("line"), F.col("s.column0").alias("line_char"),
+    )
+    before = totals.select(F.col("dataset").alias("_d"), F.col("path").alias("_p"), F.inline("s.rows")).withColumnRenamed("part", "_part")
+    same = F.col("dataset").eqNullSafe(F.col("_d")) & F.col("path").eqNullSafe(F.col("_p")) & (F.col("part") == F.col("_part"))
+    rows = lexed.join(before, same).select("dataset", "path", "lead", *names, F.posexplode("found").alias("i", "m"))
+    first = F.col("m.line") == 1
+    placed = rows.select(
+        "dataset", "path", (F.col("tokens0") + F.col("i")).alias("token_num"), F.col("m.raw").alias("raw"),
+        (F.col("chars0") + F.col("m.start") - F.col("lead")).alias("start"), (F.col("breaks0") + F.col("m.line")).alias("line"),
+        (F.col("m.line_char") + F.when(first, F.col("column0") - F.col("lead")).otherwise(0)).alias("line_char"),
     )
+    return _token_columns(placed.unionByName(eof), profile)
 
 
 def unrecognized(docs: DataFrame, profile: Profile) -> DataFrame:

@@ -1,6 +1,7 @@
 """Every operator as a query over the given tables: name -> function(spark, sf_dir)."""
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,9 +23,16 @@ from glyphstat.operators.counts import (
     length_histogram,
     token_keys,
 )
-from glyphstat.operators.tokenize import document_tokens, rejected_documents, render_dump, tokenize, unrecognized
+from glyphstat.operators.tokenize import (
+    document_tokens,
+    rejected_documents,
+    render_dump,
+    tokenize,
+    tokenize_parts,
+    unrecognized,
+)
 from glyphstat.plans import bindings as b
-from glyphstat.sources import files, metrics, repos
+from glyphstat.sources import files, metrics, repos, tree
 from glyphstat.sources import records as record_files
 from glyphstat.sources import tokens as token_files
 from glyphstat.schemas import KINDS
@@ -74,6 +82,17 @@ def tokenize_cpp_pages(spark, sf_dir):
     return tokenize(b.pages(spark, sf_dir), CPP14).drop("uuid")
 
 
+@query
+def tokenize_document_parts(spark, sf_dir):
+    # Parts of a few lines, so that given documents have several.
+    return tokenize_parts(b.documents(spark, sf_dir), WORDS, 2_000)
+
+
+@query
+def tokenize_page_parts(spark, sf_dir):
+    return tokenize_parts(b.pages(spark, sf_dir), CPP14, 500).drop("uuid")
+
+
 @query
 def unrecognized_chars(spark, sf_dir):
     return unrecognized(b.documents(spark, sf_dir), CPP14)
@@ -465,6 +484,16 @@ def presence_matrix(spark, sf_dir):
     return compare.presence_matrix(wide, datasets, b.DOCS_REFERENCE)
 
 
+@query
+def presence_order(spark, sf_dir):
+    # The other corpora by how many of the keys that not all have they hold.
+    datasets = b.languages(spark, sf_dir)
+    wide = merge.merge_outer(b.histogram(spark, sf_dir, "token_text"), datasets)
+    others = [d for d in datasets if d != b.DOCS_REFERENCE]
+    order = merge.column_order(compare.presence_matrix(wide, datasets, b.DOCS_REFERENCE), others)
+    return spark.createDataFrame(list(enumerate(order)), "place long, dataset string")
+
+
 @query
 def absent_reference_mass(spark, sf_dir):
     return compare.absent_reference_mass(_cells(spark, sf_dir, "token_text"), b.DOCS_REFERENCE)
@@ -501,7 +530,7 @@ def key_kde_samples(spark, sf_dir):
 
 @query
 def energy_distance_matrix(spark, sf_dir):
-    return distance.energy_distances(_log_lengths(spark, sf_dir), b.languages(spark, sf_dir))
+    return distance.energy_distances(materialize(_log_lengths(spark, sf_dir), "log-lengths"))
 
 
 def _stored_ratios(spark, sf_dir, kind):
@@ -514,7 +543,7 @@ def _stored_counts(spark, sf_dir, kind):
 
 def _ks(spark, sf_dir, kind):
     hist = _stored_ratios(spark, sf_dir, kind)
-    return distance.ks_test(hist, merge.datasets_of(hist), b.DOCS_REFERENCE)
+    return distance.ks_test(hist, b.DOCS_REFERENCE)
 
 
 @query
@@ -558,7 +587,7 @@ def tfidf_histogram_true_counts(spark, sf_dir):
 @query
 def tfidf_ks(spark, sf_dir):
     hist = tfidf.tfidf_histogram(_stored_counts(spark, sf_dir, "token_type"))
-    return distance.ks_test(hist, merge.datasets_of(hist), b.DOCS_REFERENCE)
+    return distance.ks_test(hist, b.DOCS_REFERENCE)
 
 
 @query
@@ -639,9 +668,148 @@ def packaged_files(spark, sf_dir):
     )
 
 
+def _written_tree(spark, sf_dir):
+    """Documents as a tree of files; some names are hidden, some files empty. The numbers of characters choose them."""
+    name = F.concat(F.when(F.col("n_chars") % 5 == 0, "._").otherwise(""), F.col("doc_id").cast("string"), F.lit(".c"))
+    root = scratch_path(spark, "tree")
+    tree.write(
+        b.table(spark, sf_dir, "documents").select(
+            F.concat_ws("/", "lang", "source", name).alias("relative"),
+            F.encode(F.when(F.col("n_chars") % 7 == 0, "").otherwise(F.col("text")), "UTF-8").alias("content"),
+        ), root,
+    )
+    return root
+
+
+@query
+def tree_files(spark, sf_dir):
+    root = _written_tree(spark, sf_dir)
+    listed = tree.listing(spark, root, "*.c*").withColumn("relative", F.expr(f"substring(path, {len(root) + 2})"))
+    parts = files.path_parts(F.col("relative"))
+    return listed.groupBy(parts["repo"].alias("repo")).agg(
+        F.count(F.lit(1)).alias("n_files"), F.count_if(parts["name"].startswith("._")).alias("hidden"),
+        F.count_if(F.col("length") == 0).alias("empty"), F.sum("length").alias("bytes"),
+    )
+
+
+@query
+def tree_tokens(spark, sf_dir):
+    # Every file is lexed; an empty one is its end alone.
+    root = _written_tree(spark, sf_dir)
+    packed = files.package(files.scan(spark, root), root)
+    docs = packed.select(F.col("repo").alias("dataset"), "path", F.col("contents").alias("text"))
+    return document_tokens(docs, WORDS).groupBy("dataset").agg(
+        F.count_if(F.col("token_type") == "EOF").alias("n_ends"), F.count_if(F.col("num_tokens") == 1).alias("only_ends")
+    )
+
+
+@query
+def packaged_chunks(spark, sf_dir):
+    docs = b.table(spark, sf_dir, "documents").select(
+        F.concat_ws("/", "lang", "source").alias("repo"), F.concat("doc_id", F.lit(".c")).alias("path"), F.col("text").alias("contents")
+    )
+    out = scratch_path(spark, "chunks")
+    files.write_chunks(docs, out, chunk=100)
+    whole = F.concat_ws("/", "repo", "path")
+    return files.read_chunks(spark, out).groupBy(F.col("chunk").cast("long").alias("chunk")).agg(
+        F.min(whole).alias("first"), F.max(whole).alias("last"), F.count(F.lit(1)).alias("n_files"), F.sum("position").alias("positions")
+    )
+
+
+@query
+def dump_files(spark, sf_dir):
+    lines = render_dump(tokenize(b.documents(spark, sf_dir), WORDS))
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("token_num", "value"))), lambda x: x["value"]), "\n")
+    name = F.regexp_replace("path", r"\.c$", ".tokens")
+    root = scratch_path(spark, "dumps")
+    tree.write(lines.groupBy("path").agg(whole.alias("content")).select(name.alias("relative"), F.encode("content", "UTF-8").alias("content")), root)
+    read = [token_files.read_dump(spark, f"{root}/{d}", d) for d in b.languages(spark, sf_dir)]
+    dumped = materialize(reduce(DataFrame.unionByName, read), "dump-lines")
+    parsed = token_files.parse_dump(dumped, token_files.unreadable_files(dumped))
+    return corpus_histogram(token_keys(parsed, "token_type"))
+
+
+@query
+def metric_named_files(spark, sf_dir):
+    row = F.to_csv(F.struct("key", "count"), {"escape": '"'})
+    hist = b.histogram(spark, sf_dir, "token_type")
+    content = F.concat(F.lit("key,count\n"), F.array_join(F.array_sort(F.collect_list(row)), "\n"))
+    named = hist.groupBy("dataset").agg(content.alias("content"))
+    # The merged table stands next to the corpora and has the name of the metric.
+    merged = named.agg(F.min("content").alias("content")).select(F.lit("token_type").alias("dataset"), "content")
+    root = scratch_path(spark, "named-metric")
+    tree.write(named.unionByName(merged).select(F.concat("dataset", F.lit(".csv")).alias("relative"), "content"), root)
+    schema = StructType([StructField("key", StringType()), StructField("count", LongType())])
+    return metrics.read_named_files(spark, root, schema, "token_type")
+
+
+@query
+def record_count(spark, sf_dir):
+    path = scratch_path(spark, "records")
+    record_files.write(_event_records(spark, sf_dir), path, max_lines=20)
+    read, rejects = record_files.read(spark, path)
+    return spark.createDataFrame([(record_files.count(read), record_files.count(rejects))], "records long, rejects long")
+
+
+@query
+def manifest_round_trip(spark, sf_dir):
+    path = scratch_path(spark, "manifest")
+    incremental.save_manifest(incremental.manifest(_paths(spark, sf_dir), "/corpus", "/tokens", ".tokens"), path)
+    return incremental.load_manifest(spark, path)
+
+
+@query
+def rejects_appended(spark, sf_dir):
+    path = scratch_path(spark, "rejects")
+    labels = b.table(spark, sf_dir, "labels")
+    for column, value, reason in (("toxic", 1, "failed"), ("quality", 0, "timeout")):
+        chosen = labels.filter(F.col(column) == value)
+        incremental.append_rejects(_paths(spark, sf_dir).join(chosen, "doc_id").select("path", F.lit(reason).alias("reason")), path)
+    return incremental.load_rejects(spark, path)
+
+
+def _runs(spark, sf_dir):
+    """One committed run over the labelled documents, one that stopped before its commit, and the manifest of both."""
+    paths = _paths(spark, sf_dir)
+    lengths = document_lengths(b.table(spark, sf_dir, "documents").select(
+        F.col("lang").alias("dataset"), F.col("doc_id").cast("string").alias("path"), "text"
+    ), WORDS)
+    labels = b.table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic"))
+    runs = incremental.Runs(spark, scratch_path(spark, "runs"))
+
+    def write(run, labelled):
+        mine = paths.join(labels, "doc_id", "left_semi" if labelled else "left_anti")
+        toxic = paths.join(labels.filter("toxic = 1"), "doc_id", "left_semi") if labelled else paths.limit(0)
+        made = mine.join(toxic.select("doc_id"), "doc_id", "left_anti")
+        outputs = lengths.join(made.select(F.col("doc_id").cast("string").alias("path")), "path", "left_semi")
+        done = incremental.manifest(made, "/corpus", "/tokens", ".tokens")
+        runs.write(run, outputs.select("path", "num_tokens"), toxic.select("path", F.lit("failed").alias("reason")), done)
+
+    write("first", True)
+    runs.commit("first")
+    runs.commit("first")
+    write("stopped", False)
+    return runs, write
+
+
+@query
+def pending_after_runs(spark, sf_dir):
+    runs, _ = _runs(spark, sf_dir)
+    return runs.pending(incremental.manifest(_paths(spark, sf_dir), "/corpus", "/tokens", ".tokens"))
+
+
+@query
+def committed_outputs(spark, sf_dir):
+    runs, write = _runs(spark, sf_dir)
+    write("second", False)
+    runs.commit("second")
+    outputs = runs.table(runs.OUTPUTS, "path string, num_tokens long")
+    return outputs.groupBy("run").agg(F.count(F.lit(1)).alias("n_files"), F.sum("num_tokens").alias("n_tokens"))
+
+
 @query
 def constraint_report(spark, sf_dir):
-    return quality.constraint_report(materialize(tokenize(b.documents(spark, sf_dir), WORDS), "tokens"))
+    return quality.constraint_report(tokenize(b.documents(spark, sf_dir), WORDS))
 
 
 def _paths(spark, sf_dir):

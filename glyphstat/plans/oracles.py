@@ -216,6 +216,8 @@ _oracle(
     "tokenize_cpp_pages", _located(_CPP_MATCH, _PAGES_SOURCE),
     f"SELECT {_token_columns(_CPP_TYPE, _CPP_CHANNEL)} FROM numbered",
 )
+ORACLES["tokenize_document_parts"] = ORACLES["token_positions"]
+ORACLES["tokenize_page_parts"] = ORACLES["tokenize_cpp_pages"]
 _oracle(
     "unrecognized_chars", _located(_CPP_MATCH, _DOCS_SOURCE),
     r"""SELECT dataset, path, CAST(sum(length(regexp_replace(w,
@@ -478,6 +480,12 @@ _oracle(
     f"""SELECT *, de + es + fr AS total FROM (SELECT key,
   {", ".join(f"{sql} AS {d}" for d, sql in _PRESENT.items())} FROM hist GROUP BY key) WHERE de + es + fr < 3""",
 )
+_oracle(
+    "presence_order", f"""{_hist("token_text")},
+flags AS (SELECT {", ".join(f"{sql} AS {d}" for d, sql in _PRESENT.items())} FROM hist GROUP BY key),
+sums AS (SELECT unnest(['de', 'es', 'fr']) AS dataset, unnest([sum(de), sum(es), sum(fr)]) AS n FROM flags WHERE de + es + fr < 3)""",
+    "SELECT row_number() OVER (ORDER BY n DESC, dataset) - 1 AS place, dataset FROM sums",
+)
 _oracle(
     "absent_reference_mass", _cells("token_text"),
     """SELECT dataset, digits9(sum(CASE WHEN count = 0 THEN ref_count ELSE 0 END) / max(ref_total) * 100) AS pct
@@ -676,6 +684,36 @@ _oracle(
     "idempotent_append", _DOCS,
     "SELECT dataset, count(*) AS n_tokens, count(*) FILTER (token_num = 0) AS n_files FROM tok GROUP BY dataset",
 )
+_oracle(
+    "tree_files", "",
+    """SELECT lang || '/' || source AS repo, count(*) AS n_files, count(*) FILTER (n_chars % 5 = 0) AS hidden,
+  count(*) FILTER (n_chars % 7 = 0 OR text = '') AS empty,
+  CAST(sum(CASE WHEN n_chars % 7 = 0 THEN 0 ELSE octet_length(encode(text)) END) AS BIGINT) AS bytes FROM documents GROUP BY 1""",
+)
+_oracle(
+    "tree_tokens", "",
+    """SELECT lang || '/' || source AS dataset, count(*) AS n_ends,
+  count(*) FILTER (n_chars % 7 = 0 OR NOT regexp_matches(text, '[^ \t\r\n\f]')) AS only_ends FROM documents GROUP BY 1""",
+)
+_oracle(
+    "packaged_chunks", """paths AS (SELECT lang || '/' || source || '/' || doc_id || '.c' AS path FROM documents),
+placed AS (SELECT path, row_number() OVER (ORDER BY path) - 1 AS position FROM paths)""",
+    """SELECT position // 100 AS chunk, min(path) AS first, max(path) AS last, count(*) AS n_files,
+  CAST(sum(position) AS BIGINT) AS positions FROM placed GROUP BY 1""",
+)
+ORACLES["dump_files"] = ORACLES["metric_named_files"] = ORACLES["dataset_histogram_type"]
+_oracle("record_count", _EVENTS, "SELECT count(DISTINCT (dataset, path)) AS records, CAST(0 AS BIGINT) AS rejects FROM tok")
+ORACLES["manifest_round_trip"] = ORACLES["manifest"]
+_oracle(
+    "rejects_appended", f"{_PATHS}, marks AS (SELECT doc_id, unnest(['failed', 'timeout']) AS reason, unnest([toxic = 1, quality = 0]) AS hit FROM labels)",
+    "SELECT src_file AS path, reason FROM paths JOIN marks USING (doc_id) WHERE hit",
+)
+_oracle("pending_after_runs", _PATHS, "SELECT src_file, dst_file FROM paths WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+_oracle(
+    "committed_outputs", f"""{_DOCS}, sizes AS (SELECT CAST(split_part(path, '/', 3) AS BIGINT) AS doc_id, len(t) AS n FROM lex)""",
+    """SELECT CASE WHEN doc_id IN (SELECT doc_id FROM labels) THEN 'first' ELSE 'second' END AS run, count(*) AS n_files,
+  CAST(sum(n) AS BIGINT) AS n_tokens FROM sizes WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1) GROUP BY 1""",
+)
 _REPOS = """repos AS (SELECT upper(lang) AS language, source || '/' || doc_id AS full_name,
   n_chars > 1000 AS fork, n_chars AS size, doc_id * 7 % 1000 AS stars FROM documents)"""
 _oracle("repo_flatten", _REPOS, "SELECT DISTINCT * FROM repos")

@@ -13,7 +13,9 @@ from glyphstat.operators.tokenize import (
     document_tokens,
     flag_oversized,
     rejected_documents,
+    text_parts,
     tokenize,
+    tokenize_parts,
     unrecognized,
 )
 
@@ -224,3 +226,25 @@ def test_words_match_reading_by_hand(spark):
     texts = ["".join(rng.choice(pieces) for _ in range(rng.randint(0, 40))) for _ in range(300)]
     for text, rows in zip(texts, lexed(spark, texts, WORDS), strict=True):
         assert [r["token_text"] for r in rows] == [*words_by_hand(text), "<EOF>"], text
+
+
+def test_parts_are_lexed_as_the_whole(spark):
+    rng = random.Random(8)
+    bits = (
+        "/* */ / * // \\ \" ' # *= /= R\"( )\" x a1 12.5 /**/ /*/ u8\"é\" ^ \"a\\\nb\"".split(" ")
+        + ["\n"] * 4 + ["\r\n", "\\\n", "\\\r\n", " ", "  ", "\t", "\f", "#define x"]
+    )
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 70))) for _ in range(300)] + [None, "", "\n", "/*\n" * 5, "/*\n" * 5 + "*/"]
+    docs = spark.createDataFrame([("d", f"p{i}", t) for i, t in enumerate(texts)], "dataset string, path string, text string")
+    for profile in (CPP14, WORDS):
+        whole = sorted(map(str, tokenize(docs, profile).collect()))
+        for chars in (1, 9, 1_000):
+            assert sorted(map(str, tokenize_parts(docs, profile, chars).collect())) == whole, (profile.name, chars)
+
+
+def test_one_long_text_is_lexed_in_many_parts(spark):
+    text = "".join(f"word{i} /* a\nb */ x = \"s{i}\"; // {i}\n" for i in range(30_000))
+    docs = spark.createDataFrame([("d", "long", text)], "dataset string, path string, text string")
+    assert text_parts(docs, CPP14, 50_000).count() > 10
+    parts, whole = tokenize_parts(docs, CPP14, 50_000), tokenize(docs, CPP14)
+    assert parts.count() == whole.count() and parts.exceptAll(whole).isEmpty()

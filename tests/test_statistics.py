@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from glyphstat.functions.kolmogorov import p_series
 from glyphstat.functions.numeric import log_ratio, relative_difference, scaled, significant
 from glyphstat.operators import compare, distance, merge
+from glyphstat.operators import quantiles as quantile_module
 from glyphstat.operators.quantiles import describe, quantiles
 from glyphstat.operators.tfidf import tfidf_histogram
 
@@ -43,25 +44,28 @@ def test_rounding_and_division(spark):
 # ------------------------------------------------------------ quantiles
 
 
-def test_quantiles_equal_numpy(spark):
+@pytest.mark.parametrize("sorted_values", [1, 10_000])
+def test_quantiles_equal_numpy(spark, monkeypatch, sorted_values):
+    monkeypatch.setattr(quantile_module, "PIECES", 4 if sorted_values == 1 else 512)
     rng = random.Random(11)
     groups = {
         "few": [3.0], "two": [1.0, 4.0], "ties": [5.0] * 500 + [1.0] * 300 + [9.0] * 7,
         "signed": [rng.uniform(-1e3, 1e3) for _ in range(999)],
         "small": [10 ** rng.uniform(-9, 9) for _ in range(1000)], "zeros": [0.0] * 10 + [1e-300, -2.0],
         "same": [1.0 + i * 1e-12 for i in range(200)], "inf": [1.0, 2.0, 3.0, math.inf],
+        None: [1.0, 2.0], "near": [1e300 * (1 + i * 1e-13) for i in range(40)],
     }
     data = [(g, v) for g, values in groups.items() for v in values] + [("few", None)]
     frame = spark.createDataFrame(data, "g string, v double")
     qs = [0.0, 0.1, 0.25, 0.5, 0.75, 0.999, 1.0]
-    got = {(r["g"], r["q"]): r["v"] for r in quantiles(frame, ["g"], "v", qs).collect()}
+    got = {(r["g"], r["q"]): r["v"] for r in quantiles(frame, ["g"], "v", qs, sorted_values).collect()}
     for g, values in groups.items():
         for q in qs:
             if g == "inf" and q >= 0.75:
                 assert got[g, q] == math.inf
             else:
                 assert got[g, q] == pytest.approx(float(np.quantile(values, q)), rel=1e-12), (g, q)
-    summary = {r["g"]: r for r in describe(frame, ["g"], "v").collect()}
+    summary = {r["g"]: r for r in describe(frame, ["g"], "v", sorted_values).collect()}
     assert summary["few"]["count"] == 1 and summary["few"]["std"] is None
     assert summary["signed"]["std"] == pytest.approx(np.std(groups["signed"], ddof=1))
     assert summary["ties"]["q75"] == 5.0
@@ -85,7 +89,8 @@ def brute_ks(a, b):
     return max(abs(sum(x <= p for x in a) / len(a) - sum(x <= p for x in b) / len(b)) for p in points)
 
 
-def test_ks_equals_samples(spark):
+@pytest.mark.parametrize("width", [1, 64])
+def test_ks_equals_samples(spark, width):
     rng = random.Random(2)
     hist, samples = [], {}
     for key in "pq":
@@ -95,7 +100,7 @@ def test_ks_equals_samples(spark):
             hist += [(d, key, v, n) for v, n in counts.items()]
     hist += [("A", "only-a", 1, 3), ("W", "only-w", 1, 3), ("A", "same", 1, 2), ("W", "same", 1, 2)]
     hist += [("B", "apart", 1, 4), ("W", "apart", 9, 4), ("A", "big", 1, 10_001), ("W", "big", 2, 5)]
-    tests = distance.ks_test(spark.createDataFrame(hist, FILES), ["A", "B", "W"], "W").collect()
+    tests = distance.ks_test(spark.createDataFrame(hist, FILES), "W", width).collect()
     got = {(r["key"], r["dataset"]): r for r in tests}
     for (key, d), sample in samples.items():
         if d != "W":
@@ -110,14 +115,15 @@ def test_ks_equals_samples(spark):
 # ------------------------------------------------------------ distances
 
 
-def test_energy_distance_equals_expectations(spark):
+@pytest.mark.parametrize("width", [100, 10_000])
+def test_energy_distance_equals_expectations(spark, width):
     weights = {
         "A": {100: 3, 250: 5}, "B": {100: 3, 250: 5}, "C": {400: 2}, "D": {0: 1, 250: 2, 900: 4},
     }
     data = [(d, bucket, n) for d, w in weights.items() for bucket, n in w.items()]
     hist = spark.createDataFrame(data, "dataset string, bucket bigint, file_count bigint")
     got = rows(
-        distance.energy_distances(hist, sorted(weights), digits=9), "dataset_a", "dataset_b", "distance"
+        distance.energy_distances(hist, digits=9, width=width), "dataset_a", "dataset_b", "distance"
     )
 
     def mean_gap(a, b):

@@ -9,6 +9,7 @@ from glyphstat.operators.counts import file_key_counts, token_keys
 from glyphstat.operators import incremental, quality
 from glyphstat.operators.tokenize import render_dump, tokenize
 from glyphstat.sources import files, metrics, repos
+from glyphstat.sources import tree as file_tree
 from glyphstat.sources import records as record_files
 from glyphstat.sources import tokens as token_files
 from glyphstat.streaming.arrivals import arriving_documents, tokenize_available
@@ -50,6 +51,62 @@ def test_scan_and_package(spark, tree, tmp_path):
     assert len(list((tmp_path / "p").glob("*.parquet"))) == 2
 
 
+def test_every_file_is_listed(spark, tmp_path):
+    written = {"o/r/a.c": b"int a;", "o/r/._a.c": b"x", "_o/r/.hid/b.c": b"", "o/empty.c": b"", "o/r/n.h": b"h", "o/sp ace/%20#é.c": b"1"}
+    frame = spark.createDataFrame(list(written.items()), "relative string, content binary")
+    for _ in range(2):  # writing again changes nothing
+        assert file_tree.write(frame, str(tmp_path)) == len(written)
+    (tmp_path / "none").mkdir()
+    (tmp_path / "loop").symlink_to(tmp_path, target_is_directory=True)
+    listed = {r["path"]: r["length"] for r in file_tree.listing(spark, str(tmp_path)).collect()}
+    assert listed == {f"{tmp_path}/{name}": len(data) for name, data in written.items()}
+    scanned = {r["path"]: (r["length"], bytes(r["content"])) for r in files.scan(spark, f"{tmp_path}/", "*.c*").collect()}
+    assert scanned == {f"{tmp_path}/{n}": (len(d), d) for n, d in written.items() if not n.endswith(".h")}
+    docs_ = files.package(files.scan(spark, str(tmp_path), "empty*"), str(tmp_path)).select(
+        F.lit("D").alias("dataset"), F.col("name").alias("path"), F.col("contents").alias("text")
+    )
+    assert [r["token_type"] for r in tokenize(docs_, CPP14).collect()] == ["EOF"]
+    assert file_tree.listing(spark, f"file:{tmp_path}/o").count() == 5
+    assert incremental.finished(spark, str(tmp_path), "b.*").first()["dst_file"] == f"{tmp_path}/_o/r/.hid/b.c"
+
+
+def test_files_in_path_order(spark, tmp_path):
+    paths = [f"d{i % 7}/{'x' * (i % 5)}{i}.c" for i in range(200)] + ["same/a.c"] * 30
+    frame = spark.createDataFrame([("r/q", p, str(i)) for i, p in enumerate(paths)], "repo string, path string, contents string")
+    rows_ = files.in_path_order(frame.repartition(5), chunk=17).orderBy("position").collect()
+    assert [r["position"] for r in rows_] == list(range(230)) and [r["chunk"] for r in rows_] == [i // 17 for i in range(230)]
+    assert [r["path"] for r in rows_] == sorted(paths) and len({r["contents"] for r in rows_}) == 230
+    files.write_chunks(frame, str(tmp_path / "c"), chunk=17)
+    assert len(list((tmp_path / "c").glob("chunk=*/*.parquet"))) == 14
+    assert files.in_path_order(frame.limit(0)).count() == 0
+
+
+def test_a_run_that_stops_before_its_commit_does_not_count(spark, tmp_path):
+    runs = incremental.Runs(spark, str(tmp_path / "runs"))
+    listed = spark.createDataFrame([(f"/s/{i}.c", f"/t/{i}.t") for i in range(6)], "src_file string, dst_file string")
+
+    def write(run, done, failed):
+        out = spark.createDataFrame([(i, run) for i in done], "i int, made_by string")
+        bad = spark.createDataFrame([(f"/s/{i}.c", "failed") for i in failed], "path string, reason string")
+        runs.write(run, out, bad, spark.createDataFrame([(f"/t/{i}.t",) for i in done], "dst_file string"))
+
+    def pending():
+        return sorted(r["src_file"] for r in runs.pending(listed).collect())
+
+    assert len(pending()) == 6 and runs.committed().count() == 0
+    write("a", [0, 1], [2])
+    assert len(pending()) == 6  # stopped between write and commit
+    assert runs.table(runs.OUTPUTS, "i int, made_by string").count() == 0
+    write("b", [0], [3])
+    runs.commit("b")
+    assert pending() == ["/s/1.c", "/s/2.c", "/s/4.c", "/s/5.c"]
+    write("a", [1, 2], [])  # the same run once more, in place of its torn files
+    runs.commit("a")
+    runs.commit("a")
+    assert pending() == ["/s/4.c", "/s/5.c"]
+    assert content(runs.table(runs.OUTPUTS, "i int, made_by string"), "i", "run") == [(0, "b"), (1, "a"), (2, "a")]
+
+
 def test_manifest_and_pending(spark, tree, tmp_path):
     listed = incremental.manifest(files.scan(spark, tree).select("path"), tree, "/out", ".tokens")
     targets = [r["dst_file"] for r in listed.collect()]

@@ -30,6 +30,8 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from glyphstat.llm.storage import store
 
@@ -163,6 +165,7 @@ def chain(parts: list[tuple[list[int], list[int]]], start: int) -> list[tuple[in
 
 
 _COUNTS = ["n", "blank", "duplicate", "truncated", "illegal", "turns"]
+_NUMBERS = ["gaps", *_COUNTS[1:5], "cost"]
 _STATS = pa.schema([
     *((name, pa.int64()) for name in _COUNTS), ("low", pa.int64()), ("high", pa.int64()),
     ("head", pa.string()), ("tail", pa.string()), ("costs", pa.list_(pa.int64())), ("ranks", pa.list_(pa.int32())),
@@ -254,33 +257,67 @@ def segments(rows: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, fields)
 
 
+def _consecutive(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[list[dict]]:
+    """The rows of sorted batches, those with an equal key together."""
+    held: list[dict] = []
+    for batch in batches:
+        for row in batch.to_pylist():
+            if held and held[-1][key] != row[key]:
+                yield held
+                held = []
+            held.append(row)
+    if held:
+        yield held
+
+
+def _streamed(rows: DataFrame, key: str, order: list[str], step, fields: list[tuple[str, T.DataType]]) -> DataFrame:
+    """``step`` over the rows of every key in order, which returns rows of ``fields``; a key's rows come one after another in a task."""
+    schema = pa.schema([(name, to_arrow_type(kind)) for name, kind in fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made: list[dict] = []
+        for group in _consecutive(batches, key):
+            made += step(group)
+            if len(made) >= _BATCH_ROWS:
+                yield pa.RecordBatch.from_pylist(made, schema=schema)
+                made.clear()
+        if made:
+            yield pa.RecordBatch.from_pylist(made, schema=schema)
+
+    dealt = rows.repartition(key).sortWithinPartitions(key, *order)
+    return dealt.mapInArrow(run, T.StructType([T.StructField(name, kind) for name, kind in fields]))
+
+
+_LONG, _TEXT = T.LongType(), T.StringType()
+_SUMMARY = [
+    *((name, _LONG) for name in [*_COUNTS, "low", "high"]), ("head", _TEXT), ("tail", _TEXT),
+    ("costs", T.ArrayType(_LONG)), ("ranks", T.ArrayType(T.IntegerType())),
+]
+
+
 def _runs(pieces: DataFrame) -> DataFrame:
     """Combine the segments of each run."""
-    key = pieces.schema["conv_id"].dataType.simpleString()
 
-    def combine(table: pa.Table) -> pa.Table:
-        rows = sorted(table.to_pylist(), key=lambda r: r["seq"])
+    def combine(rows: list[dict]) -> list[dict]:
         costs, ranks = [NO_PATH] * 16, [0] * 16
         for start in STATES:
             for goal, end in enumerate(chain([(r["costs"], r["ranks"]) for r in rows], start)):
                 if end:
                     costs[4 * start + goal], ranks[4 * start + goal] = end[0], end[1]
-        row = {"conv_id": rows[0]["conv_id"], "run": rows[0]["run"], "costs": costs, "ranks": ranks} | _all_joined(rows)
-        return pa.Table.from_pylist([row], schema=pa.schema([table.schema.field("conv_id"), ("run", pa.int64()), *_STATS]))
+        return [_all_joined(rows) | {"conv_id": rows[0]["conv_id"], "run": rows[0]["run"], "costs": costs, "ranks": ranks}]
 
-    wanted = pieces.drop("roles", "texts", "audits")
-    return wanted.groupBy("run").applyInArrow(combine, f"conv_id {key}, run long, {_STATS_SQL}")
+    fields = [("conv_id", pieces.schema["conv_id"].dataType), ("run", _LONG), *_SUMMARY]
+    return _streamed(pieces.drop("roles", "texts", "audits"), "run", ["seq"], combine, fields)
 
 
-_CHOICE = pa.list_(pa.struct([("run", pa.int64()), ("start", pa.int32()), ("goal", pa.int32()), ("last", pa.bool_())]))
+_STEP = [("run", _LONG), ("start", T.IntegerType()), ("goal", T.IntegerType()), ("last", T.BooleanType())]
+_CHOICE = T.ArrayType(T.StructType([T.StructField(name, kind) for name, kind in _STEP]))
 
 
 def _plans(runs: DataFrame) -> DataFrame:
     """Combine the runs of each conversation: its statistics, its cost, and the states each run goes between."""
-    key = runs.schema["conv_id"].dataType.simpleString()
 
-    def combine(table: pa.Table) -> pa.Table:
-        rows = sorted(table.to_pylist(), key=lambda r: r["run"])
+    def combine(rows: list[dict]) -> list[dict]:
         ends = [
             (end[0] + INSERT * len(_TAIL[goal]), end[1], goal, end[2])
             for goal, end in enumerate(chain([(r["costs"], r["ranks"]) for r in rows], START)) if end
@@ -292,36 +329,25 @@ def _plans(runs: DataFrame) -> DataFrame:
             for i, (r, a, b) in enumerate(zip(rows, states, states[1:]))
         ]
         gaps = total["high"] - total["low"] + 1 - total["turns"] if total["high"] is not None else 0
-        row = {"conv_id": rows[0]["conv_id"], "gaps": gaps, "cost": cost, "choice": choice}
-        row |= {name: total[name] for name in _COUNTS[1:5]}
-        schema = pa.schema([
-            table.schema.field("conv_id"), ("gaps", pa.int64()), *((name, pa.int64()) for name in _COUNTS[1:5]),
-            ("cost", pa.int64()), ("choice", _CHOICE),
-        ])
-        return pa.Table.from_pylist([row], schema=schema)
-
-    fields = f"conv_id {key}, gaps long, blank long, duplicate long, truncated long, illegal long, cost long"
-    return runs.groupBy("conv_id").applyInArrow(
-        combine, f"{fields}, choice array<struct<run:long,start:int,goal:int,last:boolean>>"
-    )
+        return [{name: total[name] for name in _COUNTS[1:5]} | {"conv_id": rows[0]["conv_id"], "gaps": gaps, "cost": cost, "choice": choice}]
+
+    fields = [("conv_id", runs.schema["conv_id"].dataType), *((name, _LONG) for name in _NUMBERS), ("choice", _CHOICE)]
+    return _streamed(runs, "conv_id", ["run"], combine, fields)
 
 
 def _chosen(pieces: DataFrame, plans: DataFrame) -> DataFrame:
     """``(run, seq, start, goal, last)``: the states that each segment goes between."""
 
-    def trace(left: pa.Table, right: pa.Table) -> pa.Table:
-        out = []
-        rows = sorted(left.to_pylist(), key=lambda r: r["seq"])
-        for plan in right.to_pylist():
-            states = chain([(r["costs"], r["ranks"]) for r in rows], plan["start"])[plan["goal"]][2]
-            for i, r in enumerate(rows):
-                out.append({"run": r["run"], "seq": r["seq"], "start": states[i], "goal": states[i + 1], "last": plan["last"] and i == len(rows) - 1})
-        schema = [("run", pa.int64()), ("seq", pa.int64()), ("start", pa.int32()), ("goal", pa.int32()), ("last", pa.bool_())]
-        return pa.Table.from_pylist(out, schema=pa.schema(schema))
+    def trace(rows: list[dict]) -> list[dict]:
+        plan = rows[0]
+        states = chain([(r["costs"], r["ranks"]) for r in rows], plan["start"])[plan["goal"]][2]
+        return [
+            {"run": r["run"], "seq": r["seq"], "start": a, "goal": b, "last": plan["last"] and i == len(rows) - 1}
+            for i, (r, a, b) in enumerate(zip(rows, states, states[1:]))
+        ]
 
-    wanted = plans.select(F.inline("choice"))
-    grouped = pieces.select("run", "seq", "costs", "ranks").groupBy("run")
-    return grouped.cogroup(wanted.groupBy("run")).applyInArrow(trace, "run long, seq long, start int, goal int, last boolean")
+    wanted = pieces.select("run", "seq", "costs", "ranks").join(plans.select(F.inline("choice")), "run")
+    return _streamed(wanted, "run", ["seq"], trace, [("seq", _LONG), *_STEP])
 
 
 def edited(audit: str, state: int, roles: list[str], texts: list[str]) -> list[tuple[str, str]]:
@@ -351,7 +377,7 @@ class Repair:
             F.concat(F.element_at("audits", at), F.coalesce(tail, F.lit(""))).alias("audit"),
         )
 
-    def _streamed(self, step, fields: str) -> DataFrame:
+    def _ordered(self, step, fields: str) -> DataFrame:
         ordered = self.pieces.repartition("conv_id").sortWithinPartitions("conv_id", "run", "seq")
         return ordered.mapInArrow(step, fields)
 
@@ -372,7 +398,7 @@ class Repair:
                 schema = [batch.schema.field("conv_id"), pa.field("place", pa.int64()), pa.field("role", pa.string()), pa.field("text", pa.string())]
                 yield pa.RecordBatch.from_pylist(out, schema=pa.schema(schema))
 
-        return self._streamed(run, f"conv_id {key}, place long, role string, text string")
+        return self._ordered(run, f"conv_id {key}, place long, role string, text string")
 
     def digests(self) -> DataFrame:
         """``(conv_id, audit, repaired_sha256)``; texts pass through the digest segment by segment."""
@@ -402,10 +428,7 @@ class Repair:
             if made:
                 yield pa.RecordBatch.from_pylist(made, schema=schema)
 
-        return self._streamed(run, f"conv_id {key}, audit string, repaired_sha256 string")
-
-
-_NUMBERS = ["gaps", "blank", "duplicate", "truncated", "illegal", "cost"]
+        return self._ordered(run, f"conv_id {key}, audit string, repaired_sha256 string")
 
 
 def repair(conversations: DataFrame) -> DataFrame:

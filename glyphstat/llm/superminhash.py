@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from glyphstat.llm.components import components
@@ -34,7 +34,7 @@ SHINGLE_WORDS = 5
 BANDS, ROWS = 24, 3
 PLACES = BANDS * ROWS
 
-# Rounds with one hub per bucket before the remaining pairs are compared.
+# Rounds with one hub per bucket before what remains is compared by how it differs from hubs.
 HUB_ROUNDS = 3
 
 
@@ -94,38 +94,47 @@ def band_keys(values: np.ndarray) -> np.ndarray:
     return keys
 
 
+_CLASS = ["n_shingles", "set_a", "set_b"]
+
+
+def _digests(hashes: np.ndarray, bounds: np.ndarray) -> list[pa.Array]:
+    """Two 64-bit digests of each set."""
+    out = []
+    for salt in (0x5851F42D4C957F2D, 0x14057B7EF767814F):
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(hashes ^ np.uint64(salt)))])
+        out.append(pa.array((total[bounds[1:]] - total[bounds[:-1]]).view(np.int64)))
+    return out
+
+
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """``(doc_id, n_shingles, set_a, set_b, bands)``: size, 128-bit digest and band keys of each set."""
+    """``(doc_id, fp, n_shingles, set_a, set_b, bands)``: hash of the text, size, 128-bit digest and band keys of its set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches):
             hashes, bounds = shingle_sets(as_bytes(batch.column("text")))
-            digests = []
-            for salt in (0x5851F42D4C957F2D, 0x14057B7EF767814F):
-                total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(hashes ^ np.uint64(salt)))])
-                digests.append(pa.array((total[bounds[1:]] - total[bounds[:-1]]).view(np.int64)))
             keys = band_keys(signatures(hashes, bounds)).view(np.int64)
             bands = pa.ListArray.from_arrays(np.arange(0, keys.size + 1, BANDS, dtype=np.int32), pa.array(keys.ravel()))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(np.diff(bounds)), *digests, bands],
-                names=["doc_id", "n_shingles", "set_a", "set_b", "bands"],
+                [batch.column("doc_id"), batch.column("fp"), pa.array(np.diff(bounds)), *_digests(hashes, bounds), bands],
+                names=["doc_id", "fp", *_CLASS, "bands"],
             )
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
-        run, "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>"
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("fp"), "text").mapInArrow(
+        run, "doc_id long, fp long, n_shingles long, set_a long, set_b long, bands array<long>"
     )
 
 
 def sets_of(docs: DataFrame) -> DataFrame:
-    """``(node, shingles)``: the sorted shingle hashes of each document."""
+    """``(doc_id, n_shingles, set_a, set_b, shingles)``: the sorted shingle hashes of each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches):
             hashes, bounds = shingle_sets(as_bytes(batch.column("text")))
             sets = pa.ListArray.from_arrays(bounds.astype(np.int32), pa.array(hashes.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column("node"), sets], names=["node", "shingles"])
+            columns = [batch.column("doc_id"), pa.array(np.diff(bounds)), *_digests(hashes, bounds), sets]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", *_CLASS, "shingles"])
 
-    return docs.mapInArrow(run, "node long, shingles array<long>")
+    return docs.mapInArrow(run, "doc_id long, n_shingles long, set_a long, set_b long, shingles array<long>")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -172,82 +181,158 @@ def _length_ok(percent: int, a: str, b: str):
     return F.least(a, b) * 100 >= F.greatest(a, b) * percent
 
 
+def _hubs(open_: DataFrame, company: DataFrame) -> DataFrame:
+    """``(key, hub)``: the node of each bucket with the most company in all its buckets."""
+    return open_.join(company, "node").groupBy("key").agg(
+        F.max_by(F.struct("node", "n", "component"), F.struct("company", -F.col("node"))).alias("hub")
+    )
+
+
+def _joined(members: DataFrame, links: DataFrame) -> DataFrame:
+    """``(node, component)`` for all members."""
+    label = members.select("node").distinct().join(components(links), "node", "left")
+    return cut(label.select("node", F.coalesce("component", "node").alias("component")))
+
+
+def differences(open_: DataFrame, hubs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """``(hub, node, n, component, delta, d, w, linked)``: how each node of a bucket differs from the bucket's hub.
+
+    ``delta`` is the symmetric difference of the sets and ``d`` its size; ``linked`` whether they are similar enough. Two sets x and y of a
+    bucket are similar enough if and only if their differences have (w(x) + w(y)) / 2 shingles in common at least,
+    with w = d - c n and c = (100 - percent) / (100 + percent).
+    """
+    rows = open_.join(hubs, "key").filter("node <> hub.node").select("node", "n", "component", "hub").distinct()
+    mine = sets.select("node", "shingles")
+    theirs = sets.select(F.col("node").alias("_hub"), F.col("shingles").alias("_hub_set"))
+    both = rows.join(mine, "node").join(theirs, F.col("hub.node") == F.col("_hub"))
+    delta = F.concat(F.array_except("shingles", "_hub_set"), F.array_except("_hub_set", "shingles"))
+    found = both.select(F.col("hub.node").alias("hub"), F.col("hub.n").alias("hub_n"), F.col("hub.component").alias("hub_component"), "node", "n", "component", delta.alias("delta"))
+    share = (100 - percent) / (100 + percent)
+    d = F.size("delta")
+    whole = F.col("n") + F.col("hub_n")
+    # common = (whole - d) / 2 and union = (whole + d) / 2.
+    linked = (whole - d) * 100 >= (whole + d) * percent
+    return found.select(
+        "hub", "hub_component", "node", "n", "component", "delta", d.alias("d"), (d - F.col("n") * share).alias("w"), linked.alias("linked")
+    )
+
+
+def _candidates(deltas: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """Pairs ``(u, v)`` of one hub in different components that can be similar enough.
+
+    A node that is linked to the hub is in the hub's component, so one of a pair at least is not, and its difference
+    is so large that similar sets share part of their differences. The shingles of all differences of a hub are put in order from
+    rare to frequent; sets that share ``alpha`` of them share one among the first ``d - alpha + 1`` of each, and the first
+    that they share leaves enough behind it in both. Copies that were altered independently share no rare
+    ones, so most pairs never meet, however many copies a hub has.
+    """
+    now = deltas.drop("component").join(labels, "node")
+    bounds = now.groupBy("hub").agg(F.min("w").alias("least"), F.min(F.when(~F.col("linked"), F.col("w"))).alias("least_apart"))
+    now = now.join(bounds.filter("least_apart IS NOT NULL"), "hub")
+
+    def prefix(least: str):
+        alpha = F.greatest(F.ceil((F.col("w") + F.col(least)) / 2 - 1e-9), F.lit(1))
+        return F.col("d") - alpha + 1
+
+    rows = now.select(
+        "hub", "node", "n", "component", "d", "w", "linked", prefix("least").alias("long"), prefix("least_apart").alias("short"),
+        F.explode("delta").alias("token"),
+    )
+    often = F.count(F.lit(1)).over(Window.partitionBy("hub", "token"))
+    place = F.row_number().over(Window.partitionBy("hub", "node").orderBy("often", "token"))
+    rows = rows.withColumn("often", often).withColumn("place", place).filter(F.col("place") <= F.when(F.col("linked"), F.col("short")).otherwise(F.greatest("long", "short")))
+    rows = cut(rows.filter("often > 1").drop("often"))
+    apart = rows.filter("NOT linked").select("hub", "token", *(F.col(c).alias(f"a_{c}") for c in ("node", "n", "component", "d", "w", "long", "short", "place")))
+    other = rows.filter("place <= short").select("hub", "token", *(F.col(c).alias(f"b_{c}") for c in ("node", "n", "component", "d", "w", "linked", "place")))
+    rest = 1 + F.least(F.col("a_d") - F.col("a_place"), F.col("b_d") - F.col("b_place"))
+    keep = (
+        (F.col("a_component") != F.col("b_component")) & (F.col("b_linked") | (F.col("a_node") < F.col("b_node")))
+        & (F.col("a_place") <= F.when(F.col("b_linked"), F.col("a_long")).otherwise(F.col("a_short")))
+        & (rest >= (F.col("a_w") + F.col("b_w")) / 2 - 1e-9) & _length_ok(percent, "a_n", "b_n")
+    )
+    met = apart.join(other, ["hub", "token"]).filter(keep)
+    return met.select(F.greatest("a_node", "b_node").alias("u"), F.least("a_node", "b_node").alias("v")).distinct()
+
+
 def similar_classes(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Components ``(node, component)`` among ``members(key, node, n)``, the buckets' entries."""
     label = members.select("node").distinct().withColumn("component", F.col("node"))
     links = used = None
     sizes = members.groupBy("key").agg(F.count("*").alias("size"))
     company = cut(members.join(sizes, "key").groupBy("node").agg(F.sum("size").alias("company")))
-    for step in range(HUB_ROUNDS + 1):
-        entries = members.join(label, "node") if step else members.withColumn("component", F.col("node"))
+
+    def still_open() -> DataFrame:
+        entries = members.join(label, "node")
         spread = entries.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-        open_ = cut(entries.join(spread.filter("low < high").select("key"), "key"))
-        if step and not open_.limit(1).count():
-            break
-        if step < HUB_ROUNDS:
-            # The hub of a bucket is the node with the most company in all its buckets that has not been
-            # one: of a text and its altered copies that is the text. A node is compared with the hub
-            # that it shares most buckets with; the others have their turn in later rounds.
-            free = open_ if used is None else open_.join(used, "node", "left_anti")
-            hubs = free.join(company, "node").groupBy("key").agg(
-                F.max_by(F.struct("node", "n", "component"), F.struct("company", -F.col("node"))).alias("hub")
-            )
-            chosen = hubs.select("hub.node").distinct()
-            used = cut(chosen if used is None else chosen.union(used))
-            shared = (
-                open_.join(hubs, "key").filter("component <> hub.component")
-                .groupBy("node", "n", F.col("hub.node").alias("other"), F.col("hub.n").alias("n_other"))
-                .agg(F.count("*").alias("shared"))
-            )
-            best = F.max_by(F.struct("other", "n_other"), F.struct("shared", -F.col("other"))).alias("best")
-            pairs = shared.filter(_length_ok(percent, "n", "n_other")).groupBy("node", "n").agg(best).select(
-                "node", "n", "best.other", "best.n_other"
-            )
-        else:
-            other = open_.select(
-                "key", F.col("node").alias("other"), F.col("n").alias("n_other"), F.col("component").alias("c_other")
-            )
-            pairs = open_.join(other, "key").filter("component < c_other")
-        pairs = (
-            pairs.filter(_length_ok(percent, "n", "n_other"))
-            .select(F.greatest("node", "other").alias("u"), F.least("node", "other").alias("v")).distinct()
+        return cut(entries.join(spread.filter("low < high").select("key"), "key"))
+
+    def linked(found: DataFrame) -> DataFrame:
+        nonlocal links, label
+        found = cut(_forest(found))
+        links = found if links is None else links.union(found)
+        label = _joined(members, links)
+        return label
+
+    for step in range(HUB_ROUNDS):
+        open_ = still_open()
+        if step and open_.isEmpty():
+            return label
+        # The hub of a bucket is the node with the most company in all its buckets that has not been
+        # one: of a text and its altered copies that is the text. A node is compared with the hub
+        # that it shares most buckets with; the others have their turn later.
+        hubs = _hubs(open_ if used is None else open_.join(used, "node", "left_anti"), company)
+        chosen = hubs.select("hub.node").distinct()
+        used = cut(chosen if used is None else chosen.union(used))
+        shared = (
+            open_.join(hubs, "key").filter("component <> hub.component")
+            .groupBy("node", "n", F.col("hub.node").alias("other"), F.col("hub.n").alias("n_other"))
+            .agg(F.count("*").alias("shared"))
+        )
+        best = F.max_by(F.struct("other", "n_other"), F.struct("shared", -F.col("other"))).alias("best")
+        pairs = shared.filter(_length_ok(percent, "n", "n_other")).groupBy("node", "n").agg(best).select(
+            "node", F.col("best.other").alias("other")
         )
+        pairs = pairs.select(F.greatest("node", "other").alias("u"), F.least("node", "other").alias("v")).distinct()
         if step:
             sets = cut(sets.join(open_.select("node").distinct(), "node", "left_semi"))
-        found = cut(_forest(confirmed(pairs, sets, percent)))
-        links = found if links is None else links.union(found)
-        label = members.select("node").distinct().join(components(links), "node", "left").select(
-            "node", F.coalesce("component", "node").alias("component")
-        )
-        label = cut(label)
-    return label
+        linked(confirmed(pairs, sets, percent))
+    open_ = still_open()
+    if open_.isEmpty():
+        return label
+    # What is left: every node against the hub of each of its buckets, then nodes that differ from a hub alike.
+    deltas = cut(differences(open_, _hubs(open_, company), sets, percent))
+    linked(deltas.filter("linked AND component <> hub_component").select(F.greatest("node", "hub").alias("u"), F.least("node", "hub").alias("v")))
+    return linked(confirmed(_candidates(deltas, label, percent), sets, percent))
 
 
-def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 80, groups: bool = False) -> DataFrame:
     """``(doc_id, n_shingles, component_id, kept)`` for every row of ``docs``.
 
     ``component_id`` is the least id that can be reached over pairs of at least ``percent``
-    similarity; the row whose id that is stays.
+    similarity; the row whose id that is stays. With ``groups`` there is also ``fp``, a hash of the row's text, and ``group_id``, which
+    tells groups apart whose least ids are equal, and is null for rows that are in no group.
     """
     prints = cut(fingerprints(docs))
-    key = ["n_shingles", "set_a", "set_b"]
-    classes = (
-        prints.filter("n_shingles > 0 AND doc_id IS NOT NULL")
-        .groupBy(*key).agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands"))
+    classes = prints.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy(*_CLASS).agg(
+        F.min("doc_id").alias("first_id"), F.first("bands").alias("bands")
     )
-    classes = cut(classes)
+    classes = cut(cut(classes).withColumn("node", F.monotonically_increasing_id()))
     entries = classes.select("node", F.col("n_shingles").alias("n"), F.explode("bands").alias("key"))
     shared = entries.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high")
     members = cut(entries.join(shared.select("key"), "key").select("key", "node", "n"))
-    wanted = members.select("node").distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(wanted, "node", "left_semi")
-    sets = cut(sets_of(texts.dropDuplicates(["node", "text"])))
-    labels = similar_classes(members, sets, percent)
-    named = classes.join(labels, "node", "left").select(*key, F.coalesce("component", "node").alias("class"))
-    out = prints.select("doc_id", *key).join(named, key, "left")
-    # Rows without shingles stand alone; so does an id's class when the id itself is elsewhere.
-    component = F.when(F.col("doc_id").isNull(), None).otherwise(F.coalesce("class", "doc_id"))
+    # One text of each class that shares a bucket: that of its first id.
+    wanted = classes.join(members.select("node").distinct(), "node", "left_semi").select(F.col("first_id").alias("doc_id"), *_CLASS, "node")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted.select("doc_id").distinct(), "doc_id", "left_semi")
+    sets = sets_of(texts).join(wanted, ["doc_id", *_CLASS]).dropDuplicates(["node"]).select("node", "shingles")
+    labels = similar_classes(members, cut(sets), percent)
+    named = classes.join(labels, "node", "left").select(*_CLASS, "first_id", F.coalesce("component", "node").alias("group_id"))
+    named = cut(named)
+    least = named.groupBy("group_id").agg(F.min("first_id").alias("component_id"))
+    out = prints.select("doc_id", "fp", *_CLASS).join(named.join(least, "group_id").drop("first_id"), _CLASS, "left")
+    # Rows without shingles stand alone, and rows without an id have none.
+    component = F.when(F.col("doc_id").isNull(), None).otherwise(F.coalesce("component_id", "doc_id"))
+    group = F.when(F.col("doc_id").isNotNull(), F.col("group_id")).alias("group_id")
     return out.select(
         "doc_id", "n_shingles", component.alias("component_id"),
-        F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"),
+        F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"), *(["fp", group] if groups else []),
     )

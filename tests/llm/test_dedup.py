@@ -300,3 +300,45 @@ def test_lines_match_brute_force(spark):
 ])
 def test_empty_tables(spark, run):
     assert run(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+@pytest.mark.parametrize("rounds", [0, 1])
+@pytest.mark.parametrize("percent", [80, 85])
+def test_copies_around_the_threshold_match_brute_force(spark, monkeypatch, rounds, percent):
+    """Groups of copies that are altered by very different amounts, and copies of altered copies, all decided by their differences."""
+    monkeypatch.setattr(superminhash, "HUB_ROUNDS", rounds)
+    rng = random.Random(percent + rounds)
+    texts = []
+
+    def altered(words, n):
+        words = list(words)
+        for _ in range(n):
+            at = rng.randrange(len(words))
+            words[at : at + rng.choice([0, 1, 1])] = [f"z{rng.randrange(10**6)}"] * rng.choice([0, 1, 1])
+        return words
+
+    for g in range(3):
+        base = [f"g{g}w{i}" for i in range(120)]
+        texts.append(base)
+        for _ in range(25):
+            copy = altered(base, rng.randint(0, 9))
+            texts.append(copy)
+            if rng.random() < 0.3:
+                texts += [altered(copy, rng.randint(0, 3)) for _ in range(3)]
+    docs_ = spark.createDataFrame([(i * 2 + 1, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string")
+    sets = {i * 2 + 1: {tuple(w[j : j + 5]) for j in range(len(w) - 4)} for i, w in enumerate(texts)}
+    parent = {i: i for i in sets}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a in sets:
+        for b in sets:
+            if a < b and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
+                ra, rb = root(a), root(b)
+                parent[max(ra, rb)] = min(ra, rb)
+    got = {r.doc_id: r.component_id for r in superminhash.near_duplicates(docs_, percent).collect()}
+    assert got == {i: root(i) for i in sets}
+    assert 4 < len(set(got.values())) < len(got)

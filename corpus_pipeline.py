@@ -3,7 +3,7 @@
 import os
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glyphstat.llm import bpe, line_dedup, mixing, quality_forest, superminhash
@@ -18,25 +18,48 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Delete blocks of lines that stand in an earlier document; drop documents that lose every word."""
-    found = line_dedup.without_common_blocks(docs)
+    """Delete blocks of lines that stand in an earlier document; drop documents that lose every word.
+
+    ``n_chars``, where there is one, follows the text. A null text and a text that had no words from the start stay; rows
+    without an id are documents that no block is taken from; equal rows keep the same lines. Other columns
+    travel in the row, whatever their names.
+    """
+    found = line_dedup.without_common_blocks(docs.select("doc_id", "text", F.struct(*docs.columns).alias("row")))
     stays = (F.col("n_removed") == 0) | F.col("kept_text").rlike(mixing.WORD)
-    names = docs.columns
     changed = F.col("n_removed") > 0
-    return found.filter(stays).select(
-        *(
-            F.col("kept_text").alias("text") if name == "text"
-            else F.when(changed, F.length("kept_text").cast("long")).otherwise(F.col(name)).alias(name) if name == "n_chars"
-            else F.col(name)
-            for name in names
-        )
-    )
+
+    def column(name: str) -> Column:
+        if name == "text":
+            return F.col("kept_text").alias("text")
+        kept = F.col("row")[name]
+        if name == "n_chars":
+            kept = F.when(changed, F.length("kept_text").cast(docs.schema[name].dataType)).otherwise(kept)
+        return kept.alias(name)
+
+    return found.filter(stays).select(*(column(name) for name in docs.columns))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group of near copies."""
-    kept = superminhash.near_duplicates(docs).filter("NOT kept").select(F.col("doc_id").alias("gone_id")).distinct()
-    return docs.join(kept, F.col("doc_id").cast("long") == F.col("gone_id"), "left_anti")
+    """Keep one row of each group of near copies, that with the least id.
+
+    Rows that share an id are told apart by their texts: of equal ids the text with the least hash stays, of equal rows one.
+    Null and empty texts are in no group and all stay, as do rows without an id. Other columns travel in the row, whatever
+    their names.
+    """
+    found = superminhash.near_duplicates(docs.select("doc_id", "text"), groups=True).filter("group_id IS NOT NULL")
+    places = found.groupBy("group_id", F.col("doc_id").alias("_id"), F.col("fp").alias("_fp")).agg(F.count("*").alias("_rows"))
+    first = F.min(F.struct("_id", "_fp")).alias("first")
+    firsts = places.groupBy("group_id").agg(first).select("first.*")
+    same = ["_id", "_fp"]
+    gone = places.select(*same).distinct().join(firsts, same, "left_anti")
+    repeated = places.filter("_rows > 1").select(*same).join(firsts, same, "left_semi")
+    rows = docs.select(
+        F.col("doc_id").cast("long").alias("_id"), F.xxhash64("text").alias("_fp"), F.struct(*docs.columns).alias("row")
+    )
+    kept = rows.join(gone, same, "left_anti")
+    # Equal rows that stay together are few: of each one stays.
+    once = kept.join(repeated, same, "left_semi").groupBy(*same).agg(F.first("row").alias("row"))
+    return kept.join(repeated, same, "left_anti").select("row.*").unionByName(once.select("row.*"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -116,13 +116,33 @@ def _common(texts: Texts, a: np.ndarray, b: np.ndarray, most: np.ndarray, left:
     return low
 
 
+def _heads(texts: Texts, place: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The first seven bytes of each suffix as one number; what lies behind its end counts as less than any byte."""
+    out = np.zeros(len(place), np.int64)
+    for i in range(7):
+        at = place + i
+        out = (out << 9) | np.where(at < end, texts.data[np.minimum(at, len(texts.data) - 1)].astype(np.int64) + 1, 0)
+    return out
+
+
 def sorted_suffixes(texts: Texts, place: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Order of the suffixes [place, end) by mergesort; all runs of one width are merged together."""
+    """Order of the suffixes [place, end) by mergesort; all runs of one width are merged together.
+
+    Two suffixes are told apart by their first bytes, or else by the byte after their common extension.
+    """
     n = len(place)
     order = np.arange(n)
+    heads = _heads(texts, place, end)
 
     def before(a: np.ndarray, b: np.ndarray, or_equal: np.ndarray) -> np.ndarray:
         """Whether suffix a sorts before suffix b, or is equal to it where that counts."""
+        out = heads[a] < heads[b]
+        alike = np.flatnonzero(heads[a] == heads[b])
+        if len(alike):
+            out[alike] = after_heads(a[alike], b[alike], or_equal[alike])
+        return out
+
+    def after_heads(a: np.ndarray, b: np.ndarray, or_equal: np.ndarray) -> np.ndarray:
         room = np.minimum(end[a] - place[a], end[b] - place[b])
         same = _common(texts, place[a], place[b], room)
         byte_a = np.where(same < end[a] - place[a], texts.data[np.minimum(place[a] + same, end[a] - 1)].astype(np.int64), -1)
@@ -184,8 +204,9 @@ def repeated_windows(stretches: list[bytes], anchors: np.ndarray) -> tuple[np.nd
     left = _neighbours(back, end - anchors, end)
     for reach in range(WINDOW - GRAM + 1):
         both = _classes(*right, WINDOW - reach) * len(stretches) + _classes(*left, reach)
-        _, inverse, count = np.unique(both, return_inverse=True, return_counts=True)
-        found = np.flatnonzero(count[inverse] > 1)
+        order = np.argsort(both)
+        same = np.flatnonzero(both[order[1:]] == both[order[:-1]])
+        found = np.concatenate([order[same], order[same + 1]])
         flags[bounds[found] + anchors[found] - reach] = True
     return flags, bounds
 

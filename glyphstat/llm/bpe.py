@@ -187,16 +187,12 @@ class Bpe:
         """Ids of a whole pretoken, remembered if it is short."""
         ids = self.cache.get(text)
         if ids is None:
-            data = text.encode()
-            if len(data) <= 2 * self.lookahead:
-                ids = tuple(self.merge([self.byte_ids[b] for b in data]))
-                if len(data) <= 64:
-                    if len(self.cache) >= MAX_CACHED:
-                        self.cache.clear()
-                    self.cache[text] = ids
-            else:
-                run = Run(self)
-                ids = (*run.feed(data), *run.close())
+            run = Run(self)
+            ids = (*run.feed(text.encode()), *run.close())
+            if len(text) <= 64:
+                if len(self.cache) >= MAX_CACHED:
+                    self.cache.clear()
+                self.cache[text] = ids
         return ids
 
     def ids(self, text: str) -> list[int]:
@@ -273,35 +269,36 @@ class Encoder:
         self.run: Run | None = None  # an unfinished pretoken longer than a piece
         self.run_class = None
 
-    def feed(self, piece: str, last: bool = False) -> Iterator[int]:
+    def feed(self, piece: str, last: bool = False) -> list[int]:
         """Ids that this piece settles. Only the final call has ``last``."""
         text, self.tail = self.tail + piece, ""
-        at = 0
+        at, ids = 0, []
         if self.run:
             more = self.run_class.match(text)
             end = at = more.end() if more else 0
             if self.run_class is _SPACE and at and not (last and end == len(text)):
                 at -= 1
-            yield from self.run.feed(text[:at].encode())
+            ids += self.run.feed(text[:at].encode())
             if end == len(text) and not last:
                 self.tail = text[at:]
-                return
-            yield from self.run.close()
+                return ids
+            ids += self.run.close()
             self.run = None
         text = text[at:]
         cut = len(text) if last else stable_cut(text)
-        yield from self.bpe.ids(text[:cut])
+        ids += self.bpe.ids(text[:cut])
         self.tail = text[cut:]
         if len(self.tail) > PIECE_CHARS:
             # No such space for long: settle all but the last two pretokens, which may still change.
             tokens = self.bpe.pattern.findall(self.tail)
             for token in tokens[:-2]:
-                yield from self.bpe.pretoken(token)
+                ids += self.bpe.pretoken(token)
             self.tail = "".join(tokens[-2:])
         if len(self.tail) > PIECE_CHARS:
-            yield from self._open_run()
+            ids += self._open_run()
+        return ids
 
-    def _open_run(self) -> Iterator[int]:
+    def _open_run(self) -> list[int]:
         """Move a held pretoken that is longer than a piece into a run of its class."""
         lead = 1 if self.tail[:1] == " " else 0
         for kind, start, spare in (*((k, lead, 0) for k in _RUNS), (_SPACE, 0, 1)):
@@ -310,32 +307,32 @@ class Encoder:
                 cut = len(self.tail) - spare
                 self.run, self.run_class = Run(self.bpe), kind
                 data, self.tail = self.tail[:cut].encode(), self.tail[cut:]
-                yield from self.run.feed(data)
-                return
+                return list(self.run.feed(data))
+        return []
 
 
-def encode_pieces(bpe: Bpe, pieces: Iterator[str]) -> Iterator[int]:
-    """Ids of a text that arrives in pieces and holds no special tokens."""
+def encode_pieces(bpe: Bpe, pieces: Iterator[str]) -> Iterator[list[int]]:
+    """Ids of a text that arrives in pieces and holds no special tokens, as they become stable."""
     encoder = Encoder(bpe)
     for piece in pieces:
-        yield from encoder.feed(piece)
-    yield from encoder.feed("", last=True)
+        yield encoder.feed(piece)
+    yield encoder.feed("", last=True)
 
 
-def encode(bpe: Bpe, text: str) -> list[int]:
-    """Ids of a whole text. Special tokens in it become their ids, whatever stands next to them."""
-    ids: list[int] = []
+def stream(bpe: Bpe, text: str) -> Iterator[list[int]]:
+    """Ids of a whole text, some at a time. Special tokens in it become their ids, whatever stands next to them."""
     start = 0
     for mark in [*bpe.marks.finditer(text), None]:
         end = mark.start() if mark else len(text)
-        if end - start <= PIECE_CHARS:
-            ids += bpe.ids(text[start:end])
-        else:
-            ids += encode_pieces(bpe, (text[i : min(i + PIECE_CHARS, end)] for i in range(start, end, PIECE_CHARS)))
+        yield from encode_pieces(bpe, (text[i : min(i + PIECE_CHARS, end)] for i in range(start, end, PIECE_CHARS)))
         if mark:
-            ids.append(bpe.special[mark.group()])
+            yield [bpe.special[mark.group()]]
             start = mark.end()
-    return ids
+
+
+def encode(bpe: Bpe, text: str) -> list[int]:
+    """Ids of a whole text."""
+    return [i for ids in stream(bpe, text) for i in ids]
 
 
 class Decoder:
@@ -392,9 +389,14 @@ def round_trip_digests(docs: DataFrame, vocabulary: str) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def digest(bpe: Bpe, text: str) -> tuple[int, str, str]:
-        ids = encode(bpe, text)
-        joined = ",".join(map(bpe.text_of.__getitem__, ids)).encode()
-        return len(ids), hashlib.sha256(joined).hexdigest(), hashlib.sha256(decode(bpe, ids).encode()).hexdigest()
+        n, decoder, joined, decoded = 0, Decoder(bpe), hashlib.sha256(), hashlib.sha256()
+        for ids in stream(bpe, text):
+            if ids:
+                joined.update(("," * (n > 0) + ",".join(map(bpe.text_of.__getitem__, ids))).encode())
+                decoded.update(decoder.feed(ids).encode())
+                n += len(ids)
+        decoded.update(decoder.feed([], last=True).encode())
+        return n, joined.hexdigest(), decoded.hexdigest()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(shared.value)

@@ -2,7 +2,9 @@
 
 Toxicity, the forest's verdicts and token ids come from trained models and vocabularies; they are
 tested against brute force, held-out labels and the tokenizers library. What line deduplication
-keeps follows from an alignment, which SQL does not have.
+keeps follows from an alignment, and what conversation repair does from a search, which SQL does not have. The scores of the backoff
+model are long sums of logarithms, whose last digits depend on the order of addition; they are compared with a plain
+version of the model.
 """
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -172,6 +174,57 @@ FROM split s LEFT JOIN own o ON s.host = o.host AND s.path = o.path
 LEFT JOIN tainted t ON s.host <> '' AND t.node = regexp_replace(s.host || regexp_extract(s.rest, '^[^/?#]*([^#]*)', 1), '^([^/?#]*)([?]|$)', '\1/\2')
 """
 
+def _crc_table() -> str:
+    """The 256 remainders of CRC-32, as a list."""
+    rows = []
+    for n in range(256):
+        for _ in range(8):
+            n = n >> 1 ^ (0xEDB88320 if n & 1 else 0)
+        rows.append(str(n))
+    return f"[{','.join(rows)}]::BIGINT[]"
+
+
+def _crc32(text: str) -> str:
+    octets = (
+        f"list_transform(range(1, 2 * octet_length(encode({text})), 2), "
+        f"lambda i: CAST('0x' || substr(hex(encode({text})), i, 2) AS BIGINT))"
+    )
+    step = f"xor(c >> 8, ({_crc_table()})[1 + (xor(c, b) & 255)])"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {octets}), lambda c, b: {step}), 4294967295::BIGINT)"
+
+
+_SPELLING = f"""
+WITH RECURSIVE found AS (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\u00C0-\u00FF]+')) AS run FROM documents),
+lowered AS (
+  SELECT doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS n FROM found GROUP BY ALL
+),
+hashed AS (SELECT run, n, {_crc32("coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run")} AS h FROM lowered),
+words AS (
+  SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM hashed
+),
+counted AS MATERIALIZED (
+  SELECT word, CAST(sum(n) AS BIGINT) AS n FROM words WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3
+),
+cut AS (
+  SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM counted, unnest(range(1, length(word) + 1)) AS t(i)
+),
+near AS MATERIALIZED (
+  SELECT a.word, b.word AS near, b.n FROM cut a JOIN cut b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+  UNION SELECT a.word, c.word, c.n FROM cut a JOIN counted c ON c.word = a.rest
+  UNION SELECT c.word, a.word, a.n FROM cut a JOIN counted c ON c.word = a.rest
+),
+ranked AS (SELECT *, count(*) OVER (PARTITION BY word) AS n_near, row_number() OVER (PARTITION BY word ORDER BY n DESC, near) AS place FROM near),
+forms AS MATERIALIZED (SELECT c.word, r.near AS form, r.n AS form_n FROM counted c JOIN ranked r ON r.word = c.word AND place = 1 AND r.n >= 2 * c.n),
+chains AS (
+  SELECT word, form AS goal, 1 AS step FROM forms
+  UNION ALL SELECT c.word, f.form, c.step + 1 FROM chains c JOIN forms f ON f.word = c.goal
+),
+roots AS (SELECT word, arg_max(goal, step) AS root FROM chains GROUP BY word)
+SELECT c.word, f.form, coalesce(r.root, c.word) AS root, c.n, coalesce(k.n_near, 0) AS n_near, f.form_n
+FROM counted c LEFT JOIN forms f USING (word) LEFT JOIN roots r USING (word)
+LEFT JOIN (SELECT DISTINCT word, n_near FROM ranked) k USING (word)
+"""
+
 ORACLES: dict[str, str] = {
     "op1_phrase_dedup": _PHRASES,
     "op2_suffix_dedup": _SUFFIXES,
@@ -179,4 +232,5 @@ ORACLES: dict[str, str] = {
     "op4_superminhash": _NEAR,
     "op5_topk": _TOP,
     "op10_url_filters": _URLS,
+    "op13_spelling": _SPELLING,
 }

@@ -26,13 +26,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+# How many tasks lex a table of documents; by default as many as Spark makes of its files. A caller whose table is one
+# small file sets it, as bench.py does.
+input_partitions: int | None = None
+
+
+def spread(docs: DataFrame) -> DataFrame:
+    return docs.repartition(input_partitions) if input_partitions else docs
+
+
 def document_path() -> Column:
     return F.concat_ws("/", "lang", "source", F.col("doc_id").cast("string"), F.lit("main.c"))
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as files of the corpus of their language, all of one base name."""
-    return table(spark, sf_dir, "documents").select(F.col("lang").alias("dataset"), document_path().alias("path"), "text")
+    return spread(table(spark, sf_dir, "documents")).select(F.col("lang").alias("dataset"), document_path().alias("path"), "text")
 
 
 def paths_of(spark: SparkSession, sf_dir: str, chosen: DataFrame) -> DataFrame:
@@ -48,7 +57,7 @@ def languages(spark: SparkSession, sf_dir: str) -> list[str]:
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw pages as files, one corpus per top-level domain."""
     domain = F.regexp_extract("url", r"^https?://[^/]*\.([a-z]+)(?:[:/]|$)", 1)
-    return table(spark, sf_dir, "pages").select(
+    return spread(table(spark, sf_dir, "pages")).select(
         domain.alias("dataset"), F.concat(F.col("page_id").cast("string"), F.lit("/index.html")).alias("path"),
         F.col("html").alias("text"),
     )

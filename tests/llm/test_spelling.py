@@ -53,7 +53,7 @@ def test_random_words_match_brute_force(spark, letters, shortest):
     words = ["".join(rng.choice(letters) for _ in range(rng.randint(shortest, 9))) for _ in range(150)]
     rows = [(i, " ".join(rng.choice(words).upper() if rng.random() < 0.1 else rng.choice(words) for _ in range(60))) for i in range(40)]
     got = check(spark, rows)
-    assert max(r[4] for r in got) > 5
+    assert max(r[4] for r in got) > 1
 
 
 def test_chains_are_followed_to_their_end(spark):

@@ -96,16 +96,21 @@ def base_failed(table: np.ndarray) -> np.ndarray:
     return (words < MIN_WORDS) | (100 * repeats > MAX_REPEAT_PERCENT * words)
 
 
+# Shares of repeated words and lines that good texts reach too; only what lies above tells texts apart.
+COMMON_SHARE = 0.3
+
+
 def features(table: np.ndarray) -> np.ndarray:
-    """What the forest splits on: word length and the shares of symbols, capitals and marks.
+    """What the forest splits on: word length, the shares of symbols, capitals and marks, and the excess of repetition.
 
-    None of them grows with the length of a text. Repetition is left to the base rules: good texts
-    with a few repeated lines would be the first to be isolated.
+    None of them grows with the length of a text. Repetition counts from ``COMMON_SHARE`` on: good texts
+    with a few repeated lines would be the first to be isolated otherwise.
     """
     t = {name: table[:, i].astype(np.float64) for i, name in enumerate(STATS)}
-    words, chars = (np.maximum(t[name], 1) for name in ("n_words", "word_chars"))
+    words, chars, lines = (np.maximum(t[name], 1) for name in ("n_words", "word_chars", "n_lines"))
+    repeated = [np.maximum(x - COMMON_SHARE, 0) for x in (t["n_repeat_words"] / words, t["n_dup_lines"] / lines)]
     return np.stack(
-        [t["word_chars"] / words, t["n_symbols"] / words, t["n_upper"] / chars, t["n_marks"] / words], axis=1
+        [t["word_chars"] / words, t["n_symbols"] / words, t["n_upper"] / chars, t["n_marks"] / words, *repeated], axis=1
     )
 
 

@@ -270,3 +270,23 @@ def test_rules_and_aliases(spark):
         15: ("far.org", "/sub/e", None, "allow"),
     }
     assert url_filters.judge(pages.limit(0), url_filters.links(pages.limit(0)), URL_RULES).count() == 0
+
+
+@pytest.mark.parametrize("column", ["n_dup_lines", "n_repeat_words"])
+def test_the_forest_reads_repetition(column):
+    """Texts like good ones in all else are rejected for lines or words that repeat beyond what good texts do."""
+    rng = np.random.default_rng(3)
+    n = 600
+    table = np.zeros((n, len(quality_forest.STATS)), np.int64)
+    words = rng.integers(100, 400, n)
+    for name, value in (("n_words", words), ("word_chars", words * 5), ("n_lines", words // 8), ("n_upper", words // 9), ("n_marks", words // 50)):
+        table[:, quality_forest.STATS.index(name)] = value
+    whole = table[:, quality_forest.STATS.index("n_lines" if column == "n_dup_lines" else "n_words")]
+    junk = np.arange(n) % 10 == 0
+    share = np.where(junk, rng.uniform(0.4, 0.49, n), rng.uniform(0, 0.2, n))
+    table[:, quality_forest.STATS.index(column)] = whole * share
+    forest = quality_forest.fit(table[: n // 2], ~junk[: n // 2])
+    failed, kept, _ = quality_forest.verdicts(table[n // 2 :], forest)
+    assert not failed.any()
+    # Nothing else tells them apart, so without these statistics as many junk texts as good ones would stay.
+    assert kept[~junk[n // 2 :]].mean() > 0.97 and kept[junk[n // 2 :]].mean() < 0.8

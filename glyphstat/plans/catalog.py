@@ -895,6 +895,14 @@ def strict_extensions(spark, sf_dir):
     return files.only_extensions(paths, ("com/[^/]+/[0-9]+", "net/[^/]+/[0-9]+"))
 
 
+@query
+def source_extensions(spark, sf_dir):
+    # Sources of three kinds; .css and .cc fit the pattern of the scan, but are no C or C++ by their extension.
+    ending = F.element_at(F.array(*map(F.lit, (".c", ".cpp", ".css", ".cc"))), (F.col("n_chars") % 4 + 1).cast("int"))
+    paths = b.table(spark, sf_dir, "documents").select("doc_id", F.concat_ws("/", "lang", "source", F.concat("doc_id", ending)).alias("path"))
+    return files.only_extensions(paths)
+
+
 @query
 def unknown_fill(spark, sf_dir):
     lang = F.when(F.col("lang") == "es", None).when(F.col("lang") == "fr", "NA").otherwise(F.col("lang"))

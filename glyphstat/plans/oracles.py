@@ -728,6 +728,10 @@ _oracle(
     "strict_extensions", "p AS (SELECT page_id, regexp_replace(url, '[?#].*$', '') AS path FROM pages)",
     r"SELECT * FROM p WHERE regexp_matches(path, '\.(com|net)/[^/]+/[0-9]+$')",
 )
+_oracle(
+    "source_extensions", "p AS (SELECT doc_id, lang || '/' || source || '/' || doc_id || ['.c', '.cpp', '.css', '.cc'][n_chars % 4 + 1] AS path FROM documents)",
+    "SELECT * FROM p WHERE ends_with(path, '.c') OR ends_with(path, '.cpp')",
+)
 _oracle(
     "unknown_fill", "",
     """SELECT CASE WHEN lang IN ('es', 'fr') THEN '<<UNK>>' ELSE lang END AS compatible,

@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from glyphstat.llm.storage import store
 from glyphstat.llm.words import mix
 
-BLOCK_BYTES = 16_000_000
+BLOCK_BYTES = 18_000_000
 SHARD_TOKENS = 4_000_000
 LOW = 5
 START = -1
@@ -75,24 +75,26 @@ def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str], np.ndarr
     text = text[real.to_numpy(zero_copy_only=False)]
     lengths = np.bincount(text, minlength=len(lists)) + 1
     ends = np.cumsum(lengths) - 1
-    out = np.full(lengths.sum(), len(coded.dictionary), np.int64)
+    out = np.full(lengths.sum(), len(coded.dictionary), np.int32)
     inner = np.ones(len(out), bool)
     inner[ends] = False
     out[inner] = coded.indices.to_numpy(zero_copy_only=False)
     order = np.argsort(-np.bincount(out, minlength=len(coded.dictionary) + 1), kind="stable")
-    number = np.empty(len(order), np.int64)
-    number[order] = np.arange(len(order))
+    number = np.empty(len(order), np.int32)
+    number[order] = np.arange(len(order), dtype=np.int32)
     spelled = pa.concat_arrays([coded.dictionary, pa.array([""], coded.dictionary.type)])
     return number[out], lengths, spelled.take(pa.array(order)).to_pylist(), ends
 
 
 def _blocks(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A batch in as few pieces as hold about ``BLOCK_BYTES`` of text at most, all of about one size."""
     sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64))
-    at = 0
-    while at < batch.num_rows:
-        end = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + BLOCK_BYTES, "right")))
-        yield batch.slice(at, end - at)
-        at = end
+    if batch.num_rows:
+        piece = max(1, -(-int(sizes[-1]) // -(-max(1, int(sizes[-1])) // BLOCK_BYTES)))
+        number = np.maximum(sizes - 1, 0) // piece
+        starts = np.flatnonzero(np.diff(number, prepend=-1))
+        for start, end in zip(starts.tolist(), [*starts[1:].tolist(), batch.num_rows]):
+            yield batch.slice(start, end - start)
 
 
 def _read(docs: DataFrame) -> DataFrame:
@@ -107,7 +109,7 @@ def _read(docs: DataFrame) -> DataFrame:
                 train = np.bincount(number[np.repeat(~held, lengths)], minlength=len(words))
                 row = {
                     "block": (partition << _BLOCK_BITS) + seq, "n": len(number), "doc_id": part.column("doc_id").to_pylist(),
-                    "held": pack(held), "lengths": pack(lengths), "tokens": pack(number.astype(np.int32)), "words": words, "train": train,
+                    "held": pack(held), "lengths": pack(lengths), "tokens": pack(number), "words": words, "train": train,
                 }
                 yield pa.RecordBatch.from_pylist([row], schema=schema)
                 seq += 1
@@ -123,19 +125,20 @@ def _read(docs: DataFrame) -> DataFrame:
 def _bigrams(block: int, row: dict, number: np.ndarray, count: np.ndarray, shards: int) -> Iterator[tuple[int, list[bytes]]]:
     """The distinct bigrams of a block by shard: context, its count, token, its count, places, those in training, documents."""
     held, lengths = unpack(row["held"], bool), unpack(row["lengths"])
-    token = unpack(row["tokens"], np.int32).astype(np.int64)
+    token = unpack(row["tokens"], np.int32)
     doc = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
     end = token[-1]
     number, count = np.append(number, START), np.append(count, count[end])
-    context = np.concatenate([[len(number) - 1], token[:-1]])
+    context = np.concatenate([[len(number) - 1], token[:-1]]).astype(np.int32)
     context[np.cumsum(lengths)[:-1]] = len(number) - 1
 
     by_count = np.lexsort((number, count))
     rank = np.empty(len(number), np.int64)
     rank[by_count] = np.arange(len(number))
-    key = context * len(number) + rank[token]
+    key = context.astype(np.int64) * len(number) + rank[token]
     order = np.argsort(key, kind="stable")
     first = np.flatnonzero(np.diff(key[order], prepend=-1))
+    del key
     v, w = context[order[first]], token[order[first]]
     places = np.diff(first, append=len(order))
     train = np.add.reduceat((~held)[doc[order]].astype(np.int64), first)
@@ -156,9 +159,13 @@ def _bigrams(block: int, row: dict, number: np.ndarray, count: np.ndarray, shard
 def _send(blocks: DataFrame, shards: int) -> DataFrame:
     """Give words their counts and numbers, then deal out the bigrams of every block."""
     here = F.col("block") * (1 << _POSITION_BITS) + F.col("pos")
-    words = blocks.select("block", F.posexplode(F.arrays_zip("words", "train")).alias("pos", "word"))
-    same = Window.partitionBy("word.words")
-    looked_up = words.select("block", "pos", F.sum("word.train").over(same).alias("count"), F.min(here).over(same).alias("number"))
+    exploded = blocks.select("block", F.posexplode(F.arrays_zip("words", "train")).alias("pos", "w"))
+    words = exploded.select(here.alias("here"), F.col("w.words").alias("word"), F.col("w.train").alias("train"))
+    same = Window.partitionBy("word")
+    looked_up = words.select(
+        F.shiftright("here", _POSITION_BITS).alias("block"), F.col("here").bitwiseAND((1 << _POSITION_BITS) - 1).cast("int").alias("pos"),
+        F.sum("train").over(same).alias("count"), F.min("here").over(same).alias("number"),
+    )
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         out = []

@@ -35,7 +35,7 @@ BANDS, ROWS = 24, 3
 PLACES = BANDS * ROWS
 
 # Rounds with one hub per bucket before what remains is compared by how it differs from hubs.
-HUB_ROUNDS = 3
+HUB_ROUNDS = 2
 
 
 def shingle_sets(texts: list, width: int = SHINGLE_WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -124,17 +124,16 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     )
 
 
-def sets_of(docs: DataFrame) -> DataFrame:
-    """``(doc_id, n_shingles, set_a, set_b, shingles)``: the sorted shingle hashes of each document."""
+def sets_of(texts: DataFrame) -> DataFrame:
+    """``(node, shingles)``: the sorted shingle hashes of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches):
             hashes, bounds = shingle_sets(as_bytes(batch.column("text")))
             sets = pa.ListArray.from_arrays(bounds.astype(np.int32), pa.array(hashes.view(np.int64)))
-            columns = [batch.column("doc_id"), pa.array(np.diff(bounds)), *_digests(hashes, bounds), sets]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", *_CLASS, "shingles"])
+            yield pa.RecordBatch.from_arrays([batch.column("node"), sets], names=["node", "shingles"])
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, set_a long, set_b long, shingles array<long>")
+    return texts.mapInArrow(run, "node long, shingles array<long>")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -188,10 +187,14 @@ def _hubs(open_: DataFrame, company: DataFrame) -> DataFrame:
     )
 
 
-def _joined(members: DataFrame, links: DataFrame) -> DataFrame:
-    """``(node, component)`` for all members."""
-    label = members.select("node").distinct().join(components(links), "node", "left")
-    return cut(label.select("node", F.coalesce("component", "node").alias("component")))
+def _renamed(label: DataFrame, links: DataFrame) -> DataFrame:
+    """Labels after ``links(u, v)``: u takes the least label of the nodes it is linked to, if that is less than its own.
+
+    Nodes of one label are connected; that connected nodes have one label is left to the components at the end.
+    """
+    least = links.join(label, F.col("v") == F.col("node")).groupBy("u").agg(F.min("component").alias("least"))
+    named = label.join(least, F.col("node") == F.col("u"), "left")
+    return cut(named.select("node", F.least("component", F.coalesce("least", "component")).alias("component")))
 
 
 def differences(open_: DataFrame, hubs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -212,7 +215,7 @@ def differences(open_: DataFrame, hubs: DataFrame, sets: DataFrame, percent: int
     whole = F.col("n") + F.col("hub_n")
     # common = (whole - d) / 2 and union = (whole + d) / 2.
     linked = (whole - d) * 100 >= (whole + d) * percent
-    return found.select(
+    return found.dropDuplicates(["hub", "node"]).select(
         "hub", "hub_component", "node", "n", "component", "delta", d.alias("d"), (d - F.col("n") * share).alias("w"), linked.alias("linked")
     )
 
@@ -256,7 +259,8 @@ def _candidates(deltas: DataFrame, labels: DataFrame, percent: int) -> DataFrame
 
 def similar_classes(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Components ``(node, component)`` among ``members(key, node, n)``, the buckets' entries."""
-    label = members.select("node").distinct().withColumn("component", F.col("node"))
+    nodes = members.select("node").distinct()
+    label = nodes.withColumn("component", F.col("node"))
     links = used = None
     sizes = members.groupBy("key").agg(F.count("*").alias("size"))
     company = cut(members.join(sizes, "key").groupBy("node").agg(F.sum("size").alias("company")))
@@ -266,17 +270,13 @@ def similar_classes(members: DataFrame, sets: DataFrame, percent: int) -> DataFr
         spread = entries.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"))
         return cut(entries.join(spread.filter("low < high").select("key"), "key"))
 
-    def linked(found: DataFrame) -> DataFrame:
-        nonlocal links, label
-        found = cut(_forest(found))
+    def add(found: DataFrame) -> DataFrame:
+        nonlocal links
         links = found if links is None else links.union(found)
-        label = _joined(members, links)
-        return label
+        return found
 
     for step in range(HUB_ROUNDS):
         open_ = still_open()
-        if step and open_.isEmpty():
-            return label
         # The hub of a bucket is the node with the most company in all its buckets that has not been
         # one: of a text and its altered copies that is the text. A node is compared with the hub
         # that it shares most buckets with; the others have their turn later.
@@ -290,19 +290,17 @@ def similar_classes(members: DataFrame, sets: DataFrame, percent: int) -> DataFr
         )
         best = F.max_by(F.struct("other", "n_other"), F.struct("shared", -F.col("other"))).alias("best")
         pairs = shared.filter(_length_ok(percent, "n", "n_other")).groupBy("node", "n").agg(best).select(
-            "node", F.col("best.other").alias("other")
+            F.col("node").alias("u"), F.col("best.other").alias("v")
         )
-        pairs = pairs.select(F.greatest("node", "other").alias("u"), F.least("node", "other").alias("v")).distinct()
-        if step:
-            sets = cut(sets.join(open_.select("node").distinct(), "node", "left_semi"))
-        linked(confirmed(pairs, sets, percent))
+        label = _renamed(label, add(cut(confirmed(pairs, sets, percent))))
     open_ = still_open()
-    if open_.isEmpty():
-        return label
     # What is left: every node against the hub of each of its buckets, then nodes that differ from a hub alike.
     deltas = cut(differences(open_, _hubs(open_, company), sets, percent))
-    linked(deltas.filter("linked AND component <> hub_component").select(F.greatest("node", "hub").alias("u"), F.least("node", "hub").alias("v")))
-    return linked(confirmed(_candidates(deltas, label, percent), sets, percent))
+    near_hub = deltas.filter("linked AND component <> hub_component").select(F.col("node").alias("u"), F.col("hub").alias("v"))
+    label = _renamed(label, add(near_hub))
+    add(confirmed(_candidates(deltas, label, percent), sets, percent))
+    found = nodes.join(components(_forest(links)), "node", "left")
+    return cut(found.select("node", F.coalesce("component", "node").alias("component")))
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80, groups: bool = False) -> DataFrame:
@@ -314,18 +312,19 @@ def near_duplicates(docs: DataFrame, percent: int = 80, groups: bool = False) ->
     """
     prints = cut(fingerprints(docs))
     classes = prints.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy(*_CLASS).agg(
-        F.min("doc_id").alias("first_id"), F.first("bands").alias("bands")
+        F.min(F.struct("doc_id", "fp")).alias("first"), F.first("bands").alias("bands")
     )
-    classes = cut(cut(classes).withColumn("node", F.monotonically_increasing_id()))
+    # The checkpoint fixes the rows of each partition, and so the numbers.
+    classes = cut(classes).withColumn("node", F.monotonically_increasing_id())
     entries = classes.select("node", F.col("n_shingles").alias("n"), F.explode("bands").alias("key"))
     shared = entries.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high")
     members = cut(entries.join(shared.select("key"), "key").select("key", "node", "n"))
-    # One text of each class that shares a bucket: that of its first id.
-    wanted = classes.join(members.select("node").distinct(), "node", "left_semi").select(F.col("first_id").alias("doc_id"), *_CLASS, "node")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted.select("doc_id").distinct(), "doc_id", "left_semi")
-    sets = sets_of(texts).join(wanted, ["doc_id", *_CLASS]).dropDuplicates(["node"]).select("node", "shingles")
+    # One text of each class that shares a bucket: the first one. Equal rows give equal sets.
+    wanted = classes.join(members.select("node").distinct(), "node", "left_semi").select("first.*", "node")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("fp"), "text").join(wanted, ["doc_id", "fp"])
+    sets = sets_of(texts.select("node", "text"))
     labels = similar_classes(members, cut(sets), percent)
-    named = classes.join(labels, "node", "left").select(*_CLASS, "first_id", F.coalesce("component", "node").alias("group_id"))
+    named = classes.join(labels, "node", "left").select(*_CLASS, F.col("first.doc_id").alias("first_id"), F.coalesce("component", "node").alias("group_id"))
     named = cut(named)
     least = named.groupBy("group_id").agg(F.min("first_id").alias("component_id"))
     out = prints.select("doc_id", "fp", *_CLASS).join(named.join(least, "group_id").drop("first_id"), _CLASS, "left")

@@ -1,14 +1,11 @@
 """A corpus from raw documents to token ids: each stage takes what the one before it kept."""
 
-import os
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glyphstat.llm import bpe, line_dedup, mixing, quality_forest, superminhash
 from glyphstat.llm.queries import bpe_vocabulary, table
-from glyphstat.llm.storage import shared_folder
+from glyphstat.llm.storage import new_folder
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -87,7 +84,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply the stages to ``documents``, each writing Parquet to the shared folder for the next."""
     docs = table(spark, sf_dir, "documents")
-    folder = os.path.join(shared_folder(spark), f"pipeline-{uuid.uuid4().hex}")
+    folder = new_folder(spark, "pipeline")
     for k, (name, stage) in enumerate(STAGES):
         path = f"{folder}/{k}-{name}"
         stage(spark, docs, sf_dir).write.parquet(path)

@@ -27,8 +27,19 @@ def shared_dir(spark: SparkSession) -> str:
     return _local_dir(context.applicationId)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder, if the session is still there."""
+    context = spark.sparkContext
+    if context._jsc is not None:
+        target = context._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(context._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new place in the shared folder, deleted when the driver's Python ends."""
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    atexit.register(remove, spark, path)
+    return path
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:

@@ -11,7 +11,7 @@ words and the unknown one: it is the mass that the discounts leave over the unig
 not seen there.
 
 How it runs. Texts are read in blocks; a block knows its own words and refers to them by small numbers.
-1. Words of all blocks meet by spelling, so each gets its training count and a number of its own.
+1. Words of all blocks meet by spelling, so each gets its training count and a number of its own; words of one block need no answer.
 2. Each block sends its distinct bigrams with their counts and the documents they stand in to shards. A shard is
    chosen by the context, and by the next token too where the context is frequent, so that no shard holds
    much more than ``SHARD_TOKENS`` tokens.
@@ -164,15 +164,19 @@ def _send(blocks: DataFrame, shards: int) -> DataFrame:
     same = Window.partitionBy("word")
     looked_up = words.select(
         F.shiftright("here", _POSITION_BITS).alias("block"), F.col("here").bitwiseAND((1 << _POSITION_BITS) - 1).cast("int").alias("pos"),
-        F.sum("train").over(same).alias("count"), F.min("here").over(same).alias("number"),
+        F.sum("train").over(same).alias("count"), F.min("here").over(same).alias("number"), F.count(F.lit(1)).over(same).alias("holders"),
     )
+    # A block knows all of a word that no other block has.
+    looked_up = looked_up.filter("holders > 1").drop("holders")
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         out = []
         for row in left.to_pylist():
             block = row["block"]
-            at = np.argsort(right.column("pos").to_numpy())
-            number, count = right.column("number").to_numpy()[at], right.column("count").to_numpy()[at]
+            count = np.array(row["train"], np.int64)
+            number = (block << _POSITION_BITS) + np.arange(len(count))
+            at = right.column("pos").to_numpy()
+            number[at], count[at] = right.column("number").to_numpy(), right.column("count").to_numpy()
             held, lengths = unpack(row["held"], bool), unpack(row["lengths"])
             token = unpack(row["tokens"], np.int32)
             doc = np.repeat(np.arange(len(lengths)), lengths)
@@ -188,7 +192,7 @@ def _send(blocks: DataFrame, shards: int) -> DataFrame:
         return pa.Table.from_pylist(out, schema=schema)
 
     schema = pa.schema([("shard", pa.int64()), ("block", pa.int64()), ("totals", pa.list_(pa.int64())), ("blobs", pa.list_(pa.binary()))])
-    left = blocks.select("block", "doc_id", "held", "lengths", "tokens").groupBy("block")
+    left = blocks.select("block", "doc_id", "held", "lengths", "tokens", "train").groupBy("block")
     return left.cogroup(looked_up.groupBy("block")).applyInArrow(run, "shard long, block long, totals array<long>, blobs array<binary>")
 
 

@@ -1,5 +1,7 @@
 """Re-runs that only process what is new."""
 
+from collections.abc import Callable
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -7,6 +9,7 @@ from pyspark.sql import functions as F
 from glyphstat.functions.text import path_stem
 from glyphstat.operators.counts import FILE
 from glyphstat.schemas import MANIFEST, REJECTS, TOKENS
+from glyphstat.sources import tokens as token_files
 from glyphstat.sources import tree
 
 
@@ -96,17 +99,19 @@ def _read_or_empty(spark: SparkSession, path: str, schema) -> DataFrame:
         return spark.createDataFrame([], schema)
 
 
-def new_files_only(tokens: DataFrame, existing: DataFrame) -> DataFrame:
-    """Tokens of files the existing table does not have yet.
+def new_files_only(rows: DataFrame, existing: DataFrame) -> DataFrame:
+    """Rows (documents or tokens) of files the existing token table does not have yet.
 
-    Each file has exactly one first token, so first tokens identify files without a distinct. Only
-    they are joined.
+    Each file has exactly one first token, so first tokens identify files without a distinct.
     """
-    first = F.col("token_num") == 0
-    repeated = tokens.filter(first).select(*FILE).join(existing.filter(first).select(*FILE), FILE, "left_semi")
-    return tokens.join(repeated, FILE, "left_anti")
+    return rows.join(existing.filter(F.col("token_num") == 0).select(*FILE), FILE, "left_anti")
+
 
+def append_tokens(spark: SparkSession, rows: DataFrame, path: str, lexer: Callable[[DataFrame], DataFrame] | None = None) -> None:
+    """Append the files that are not in the table yet; running it again changes nothing.
 
-def append_tokens(spark: SparkSession, tokens: DataFrame, path: str) -> None:
-    """Append the files that are not in the table yet; running it again changes nothing."""
-    new_files_only(tokens, _read_or_empty(spark, path, TOKENS)).write.mode("append").partitionBy("dataset").parquet(path)
+    ``rows`` are tokens, or documents with the ``lexer`` that makes tokens of them. Then one row a file is joined, not
+    one a token, only new files are lexed and no token is stored or moved before it is written.
+    """
+    new = new_files_only(rows, _read_or_empty(spark, path, TOKENS))
+    token_files.write(lexer(new) if lexer else new, path, mode="append")

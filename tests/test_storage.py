@@ -189,6 +189,24 @@ def test_append_is_idempotent(spark, tmp_path):
         assert table.count() == 7 and table.select("uuid").distinct().count() == 7
 
 
+def test_documents_are_appended_once_and_joined_before_they_are_lexed(spark, tmp_path):
+    path, lexed = str(tmp_path / "table"), []
+
+    def lexer(new):
+        lexed.append(sorted(r["path"] for r in new.collect()))
+        return tokenize(new, WORDS)
+
+    first, both = docs(spark, ["a b"]), docs(spark, ["a b", "c d e", None])
+    for given in (first, both, both):
+        incremental.append_tokens(spark, given, path, lexer)
+    assert lexed == [["f0.c"], ["f1.c", "f2.c"], ["f2.c"]]
+    other = docs(spark, ["x"], dataset="E")
+    incremental.append_tokens(spark, other.unionByName(docs(spark, ["y"], dataset="F")).coalesce(1), path, lexer)
+    table = token_files.read(spark, path)
+    assert content(table.groupBy("dataset").count(), "dataset", "count") == [("D", 7), ("E", 2), ("F", 2)]
+    assert list((tmp_path / "table").glob("dataset=*/*.zstd.parquet")) and spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == "0"
+
+
 def test_constraint_report(spark):
     made = tokenize(docs(spark, ["a b"], dataset="TOOLONG"), WORDS)
     broken = made.unionByName(made.limit(1)).withColumn("line", F.when(F.col("token_num") > 0, F.col("line")))

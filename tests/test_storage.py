@@ -136,6 +136,14 @@ def test_csv_round_trip(spark, tmp_path):
     assert content(back, *made.columns) == content(made, *made.columns)
 
 
+def test_token_csvs_are_compressed_and_cut_by_rows(spark, tmp_path):
+    made = tokenize(docs(spark, CODE), CPP14).coalesce(1)
+    token_files.write_csv(made, str(tmp_path / "t"), max_rows=5)
+    assert len(list((tmp_path / "t").glob("*.csv.gz"))) == -(-made.count() // 5)
+    made.limit(3).coalesce(1).write.option("header", True).option("escape", '"').csv(str(tmp_path / "t" / "plain"))
+    assert token_files.read_csv(spark, str(tmp_path / "t")).count() == made.count() + 3
+
+
 def test_dump_round_trip_and_rejects(spark, tmp_path):
     made = tokenize(docs(spark, CODE), CPP14)
     lines = render_dump(made).orderBy("path", "token_num").collect()

@@ -4,23 +4,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glyphstat.schemas import TOKEN_LENGTH_LIMITS, TOKENS
+from glyphstat.sources.scratch import materialize
 
 
 def constraint_report(tokens: DataFrame) -> DataFrame:
     """(rule, column_name, violations): missing values, too long values, repeated ids.
 
-    Rows are grouped by their id, which finds repeats; the other violations are summed on the way, so one scan and
-    one exchange answer all rules. Rows without an id are one group whose sums are formed before the exchange.
+    Violations are summed in one scan. For repeats, 64 bits of every id are exchanged and counted where they meet; only ids whose
+    bits recur are then compared whole.
     """
     rules = [("not_null", f.name, F.col(f.name).isNull()) for f in TOKENS if not f.nullable]
     rules += [("max_length", name, F.length(name) > limit) for name, limit in TOKEN_LENGTH_LIMITS.items()]
-    by_id = tokens.groupBy("uuid").agg(
-        F.count(F.lit(1)).alias("n"), *(F.count_if(broken).alias(f"r{i}") for i, (_, _, broken) in enumerate(rules))
-    )
-    more = F.when(F.col("uuid").isNotNull(), F.col("n") - 1).otherwise(0)
-    sums = by_id.agg(
-        *(F.coalesce(F.sum(f"r{i}"), F.lit(0)).alias(f"r{i}") for i in range(len(rules))), F.coalesce(F.sum(more), F.lit(0)).alias("repeats")
-    )
+    sums = tokens.agg(*(F.count_if(broken).alias(f"r{i}") for i, (_, _, broken) in enumerate(rules)))
+    ids = tokens.filter(F.col("uuid").isNotNull()).select("uuid", F.xxhash64("uuid").alias("h"))
+    # Nearly all are different, so counting them before the exchange would only fill memory.
+    met = ids.select("h").repartition("h").groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    recurring = materialize(met.select("h"), "recurring-ids")
+    if recurring.isEmpty():
+        sums = sums.withColumn("repeats", F.lit(0).cast("bigint"))
+    else:
+        whole = ids.join(recurring, "h", "left_semi").groupBy("uuid").agg((F.count(F.lit(1)) - 1).alias("more"))
+        sums = sums.crossJoin(whole.agg(F.coalesce(F.sum("more"), F.lit(0)).alias("repeats")))
     found = [(rule, name, f"r{i}") for i, (rule, name, _) in enumerate(rules)] + [("unique", "uuid", "repeats")]
     cells = [
         F.struct(F.lit(rule).alias("rule"), F.lit(name).alias("column_name"), F.col(column).alias("violations")) for rule, name, column in found

@@ -25,7 +25,7 @@ _ENTRY_ARROW = pa.schema([
     ("relative", pa.string()), ("modificationTime", pa.timestamp("us", "UTC")), ("length", pa.int64()), ("is_folder", pa.bool_()),
 ])
 # Rows, and bytes of content, that a task hands over at a time.
-_ROWS, _BYTES = 1_000, 16_000_000
+_ROWS, _BYTES = 1_000, 4_000_000
 
 
 def opened(root: str) -> tuple[pyarrow.fs.FileSystem, str]:
@@ -104,7 +104,7 @@ def contents(files: DataFrame, root: str) -> DataFrame:
     return files.repartition("path").mapInArrow(read, fields)
 
 
-def write(files: DataFrame, root: str) -> int:
+def write(files: DataFrame, root: str, compression: str | None = None) -> int:
     """Write ``files(relative, content)`` one by one below ``root`` and return how many.
 
     A file is written aside and moved, so a task that runs twice leaves whole files.
@@ -113,12 +113,13 @@ def write(files: DataFrame, root: str) -> int:
     def written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, base = opened(root)
         for batch in batches:
-            for relative, content in zip(batch.column("relative").to_pylist(), batch.column("content").to_pylist()):
+            # One content at a time, and no copy of it.
+            for relative, content in zip(batch.column("relative").to_pylist(), batch.column("content")):
                 folder, _, name = f"{base}/{relative}".rpartition("/")
                 store.create_dir(folder, recursive=True)
                 aside = f"{folder}/{name}.{os.getpid()}.part"
-                with store.open_output_stream(aside, compression=None) as stream:
-                    stream.write(content or b"")
+                with store.open_output_stream(aside, compression=compression) as stream:
+                    stream.write(content.as_buffer() if content.is_valid else b"")
                 store.move(aside, f"{folder}/{name}")
             yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], names=["n"])
 

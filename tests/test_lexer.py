@@ -3,10 +3,14 @@
 import random
 import unicodedata
 
+import numpy as np
+import pyarrow as pa
 import regex
 from pyspark.sql import functions as F
 
 from glyphstat.functions.lexing import CPP14, CPP_KEYWORDS, CPP_OPERATORS, CPP_SINGLE, WORDS
+from glyphstat.operators import counts
+from glyphstat.operators import tokenize as lexer
 from glyphstat.operators.counts import document_lengths
 from glyphstat.operators.tokenize import (
     document_pairs,
@@ -248,3 +252,29 @@ def test_one_long_text_is_lexed_in_many_parts(spark):
     assert text_parts(docs, CPP14, 50_000).count() > 10
     parts, whole = tokenize_parts(docs, CPP14, 50_000), tokenize(docs, CPP14)
     assert parts.count() == whole.count() and parts.exceptAll(whole).isEmpty()
+
+
+def test_parts_store_texts_and_no_tokens(spark, monkeypatch):
+    stored, kept = [], lexer.materialize
+    monkeypatch.setattr(lexer, "materialize", lambda df, name: stored.append(df.columns) or kept(df, name))
+    frame = spark.createDataFrame([("D", "a.c", "a b\n/* c\nd */ e\n" * 5)], "dataset string, path string, text string")
+    for profile in (WORDS, CPP14):
+        parts = lexer.tokenize_parts(frame, profile, 6)
+        assert sorted(map(tuple, parts.collect()), key=repr) == sorted(map(tuple, lexer.tokenize(frame, profile).collect()), key=repr)
+    assert stored and not any({"found", "t"} & set(columns) for columns in stored)
+
+
+def test_positions_are_found_in_slices():
+    half = lexer._SLICE // 2
+    assert lexer._slices(np.full(4, half)) == [(0, 2), (2, 4)] and lexer._slices(np.array([], int)) == [(0, 0)]
+    sizes = [pa.array([[1] * half, [2] * half, [3, 1]]), pa.array([[1] * half, [1] * half, [1, 1]]), pa.array([[half], [2 * half], [4]])]
+    found = lexer._positions.func(*sizes)
+    assert found.field("char_start").to_pylist() == [list(range(half)), list(range(1, 2 * half, 2)), [2, 3]]
+    assert found.field("line").to_pylist()[2] == [1, 1]
+
+
+def test_a_type_is_found_once(spark):
+    frame = spark.createDataFrame([("D", "a.c", "a 1 nan")], "dataset string, path string, text string")
+    made = counts.listed_keys(frame, WORDS, "token_type")
+    assert made._jdf.queryExecution().optimizedPlan().toString().count("FloatingLiteral") == 1
+    assert made.first()["keys"] == ["Identifier", "IntegerLiteral", "Identifier", "EOF"]

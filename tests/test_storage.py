@@ -7,7 +7,8 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 from glyphstat.functions.lexing import CPP14, WORDS
 from glyphstat.operators.counts import file_key_counts, token_keys
 from glyphstat.operators import incremental, quality
-from glyphstat.operators.tokenize import render_dump, tokenize
+from glyphstat.operators.tokenize import render_dump, render_files, tokenize
+from glyphstat.plans import catalog
 from glyphstat.sources import files, metrics, repos
 from glyphstat.sources import tree as file_tree
 from glyphstat.sources import records as record_files
@@ -224,6 +225,43 @@ def test_constraint_report(spark):
     assert sum(got.values()) == 7
 
 
+def test_constraint_report_exchanges_no_ids(spark, monkeypatch):
+    made = tokenize(docs(spark, ["a b", "c d"]), WORDS)
+    plan = quality.constraint_report(made)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(uuid" not in plan
+    # Ids that share their bits are told apart.
+    monkeypatch.setattr(F, "xxhash64", lambda *_: F.lit(1).cast("bigint"))
+    repeated = made.unionByName(made.limit(2)).unionByName(made.limit(1).withColumn("uuid", F.lit(None).cast("string")))
+    got = {(r["rule"], r["column_name"]): r["violations"] for r in quality.constraint_report(repeated).collect()}
+    assert got["unique", "uuid"] == 2 and got["not_null", "uuid"] == 1
+
+
+def test_dump_files_hold_the_lines_of_a_path(spark, tmp_path):
+    frame = docs(spark, CODE).unionByName(docs(spark, ["x y", None], dataset="E"))
+    for profile in (WORDS, CPP14):
+        lines = sorted((r["path"], r["token_num"], r["value"]) for r in render_dump(tokenize(frame, profile)).collect())
+        made = {r["path"]: r["content"] for r in render_files(frame, profile).collect()}
+        assert made == {path: "\n".join(v for p, _, v in lines if p == path) for path in {p for p, _, _ in lines}}
+    written = render_files(frame, WORDS).select(F.concat("path", F.lit(".tokens.gz")).alias("relative"), F.encode("content", "UTF-8").alias("content"))
+    file_tree.write(written, str(tmp_path), compression="gzip")
+    assert (tmp_path / "f0.c.tokens.gz").read_bytes()[:2] == b"\x1f\x8b"
+    dumped = token_files.read_dump(spark, str(tmp_path), "D")
+    assert sorted(r["value"] for r in dumped.collect()) == sorted(r["value"] for r in render_dump(tokenize(frame, WORDS)).collect())
+
+
+def test_rejected_files_are_found_without_storing_lines(spark, tmp_path, monkeypatch):
+    spark.createDataFrame([(i, f"a b{i}", "en", "web") for i in range(4)], "doc_id long, text string, lang string, source string").write.parquet(
+        str(tmp_path / "documents.parquet")
+    )
+    spark.createDataFrame([(1, 0, 1), (1, 0, 1), (2, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    stored = []
+    kept = catalog.materialize
+    monkeypatch.setattr(catalog, "materialize", lambda df, name: stored.append(df.columns) or kept(df, name))
+    assert content(catalog.QUERIES["reject_files"](spark, str(tmp_path)), "path", "reason") == [("en/web/1/main.c", "unparsable")]
+    assert not any("value" in columns for columns in stored)
+    assert catalog.QUERIES["token_dump_parse"](spark, str(tmp_path)).count() == 9
+
+
 def test_repositories(spark, tmp_path):
     raw = ['{"language":"C","full_name":"o/r","fork":false,"size":5,"stargazers_count":50,"extra":1}'] * 2 + [
         '{"language":"C","full_name":"o/q","fork":true,"size":1,"stargazers_count":9}',

@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glyphstat.llm.storage import cut
+from glyphstat.llm.storage import cut, shuffles_removed
 
 
 def _with_least(edges: DataFrame) -> DataFrame:
@@ -32,7 +32,8 @@ def components(edges: DataFrame) -> DataFrame:
             .filter("u <> v").distinct()
         )
         after = cut(stars)
-        changed = after.join(edges, ["u", "v"], "left_anti").limit(1).count()
+        with shuffles_removed(after.sparkSession):
+            changed = after.join(edges, ["u", "v"], "left_anti").limit(1).count()
         if not changed and after.count() == edges.count():
             return after.select(F.col("u").alias("node"), F.col("v").alias("component")).union(
                 after.select("v", "v").distinct()

@@ -1,11 +1,35 @@
 """What operators leave on disk and in memory."""
 
+import time
+
 import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
 
-from glyphstat.llm import bpe
+from glyphstat.llm import bpe, storage
 from glyphstat.llm.queries import BPE_FILE
 
 
+def shuffle_files(spark):
+    found = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    names = (found.apply(i).getName() for i in range(found.size()))
+    return {n for n in names if n.startswith("shuffle_") and n.endswith(".data")}
+
+
+@pytest.mark.parametrize("write", [storage.cut, storage.store])
+def test_shuffle_files_go_when_rows_are_written(spark, write):
+    before, setting = shuffle_files(spark), spark.conf.get(storage._FILE_CLEANUP, None)
+    # The frame is from before the setting changes, and is used again.
+    counts = spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count()
+    out = write(counts)
+    for _ in range(50):
+        if not (left := shuffle_files(spark) - before):
+            break
+        time.sleep(0.1)
+    assert not left and spark.conf.get(storage._FILE_CLEANUP, None) == setting
+    assert sorted(map(tuple, out.collect())) == sorted(map(tuple, counts.collect()))
+
+
 def test_words_are_remembered_once():
     with open(public_tokenizers.path(BPE_FILE)) as file:
         model = bpe.Bpe(file.read())

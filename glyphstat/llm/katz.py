@@ -11,7 +11,8 @@ words and the unknown one: it is the mass that the discounts leave over the unig
 not seen there.
 
 How it runs. Texts are read in blocks; a block knows its own words and refers to them by small numbers.
-1. Words of all blocks meet by spelling, so each gets its training count and a number of its own; words of one block need no answer.
+1. A block deals its words, packed, into shards by a hash of their spelling. There they meet by spelling, and the block is told the training
+   count of each and a number that the word has in all blocks.
 2. Each block sends its distinct bigrams with their counts and the documents they stand in to shards. A shard is
    chosen by the context, and by the next token too where the context is frequent, so that no shard holds
    much more than ``SHARD_TOKENS`` tokens.
@@ -33,18 +34,20 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glyphstat.llm.storage import store
-from glyphstat.llm.words import mix
+from glyphstat.llm.words import mix, piece_hashes
 
 BLOCK_BYTES = 18_000_000
 SHARD_TOKENS = 4_000_000
+SHARD_WORDS = 1_500_000
 LOW = 5
 START = -1
 _POSITION_BITS, _BLOCK_BITS = 27, 16  # a word's number: partition, block within it, place in the block
 _R = np.arange(1, LOW + 1)
+_BYTES = mix(np.arange(1, 257, dtype=np.uint64))
 
 
 def pack(values: np.ndarray) -> bytes:
@@ -156,18 +159,55 @@ def _bigrams(block: int, row: dict, number: np.ndarray, count: np.ndarray, shard
         yield int(k), [*map(pack, columns), pack(doc[own])]
 
 
+def _asked(blocks: DataFrame, shards: int) -> DataFrame:
+    """The words of each block by shard: steps between their places, lengths, spelling, counts in training."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, block in enumerate(batch.column("block").to_pylist()):
+                words = batch.column("words").slice(i, 1).flatten().cast(pa.large_binary())
+                train = batch.column("train").slice(i, 1).flatten().to_numpy()
+                ends = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + len(words) + 1]
+                data = np.frombuffer(words.buffers()[2] or b"", np.uint8)
+                shard = (piece_hashes(_BYTES[data], ends[:-1], ends[1:]) % np.uint64(shards)).astype(np.int64)
+                by_shard = np.argsort(shard, kind="stable")
+                bounds = np.searchsorted(shard[by_shard], np.arange(shards + 1))
+                rows = []
+                for k in np.flatnonzero(np.diff(bounds)).tolist():
+                    at = by_shard[bounds[k] : bounds[k + 1]]
+                    steps = np.diff(at, prepend=0).astype(np.int32)
+                    lengths = (ends[at + 1] - ends[at]).astype(np.int32)
+                    spelled = memoryview(words.take(pa.array(at)).buffers()[2] or b"")[: lengths.sum()]
+                    rows.append({"word_shard": k, "block": block, "blobs": [pack(steps), pack(lengths), zstandard.compress(spelled, 3), pack(train[at])]})
+                yield pa.RecordBatch.from_pylist(rows, schema=schema)
+
+    schema = pa.schema([("word_shard", pa.int64()), ("block", pa.int64()), ("blobs", pa.list_(pa.binary()))])
+    return blocks.select("block", "words", "train").mapInArrow(run, "word_shard long, block long, blobs array<binary>")
+
+
+def _answers(table: pa.Table) -> pa.Table:
+    """For the words that each block sent to a shard: steps between their places, numbers, counts in all training texts."""
+    sent = sorted(zip(table.column("block").to_pylist(), table.column("blobs").to_pylist(), strict=True))
+    steps, lengths = ([unpack(blobs[i], np.int32) for _, blobs in sent] for i in (0, 1))
+    ends = np.concatenate([[0], np.cumsum(np.concatenate(lengths).astype(np.int64))])
+    spelled = pa.py_buffer(b"".join(zstandard.decompress(blobs[2]) for _, blobs in sent))
+    words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer(ends), spelled])
+    word = words.dictionary_encode().indices.to_numpy()
+    count = np.bincount(word, np.concatenate([unpack(blobs[3], np.int32) for _, blobs in sent])).astype(np.int64)
+    # Blocks come in order, and so the first place of a word is the least.
+    here = np.concatenate([(block << _POSITION_BITS) + np.cumsum(x) for (block, _), x in zip(sent, steps, strict=True)])
+    number = here[np.unique(word, return_index=True)[1]]
+    bounds = np.cumsum([0, *map(len, steps)])
+    rows = []
+    for (block, blobs), i, j in zip(sent, bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+        rows.append({"block": block, "blobs": [blobs[0], pack(number[word[i:j]]), pack(count[word[i:j]])]})
+    return pa.Table.from_pylist(rows, schema=pa.schema([("block", pa.int64()), ("blobs", pa.list_(pa.binary()))]))
+
+
 def _send(blocks: DataFrame, shards: int) -> DataFrame:
     """Give words their counts and numbers, then deal out the bigrams of every block."""
-    here = F.col("block") * (1 << _POSITION_BITS) + F.col("pos")
-    exploded = blocks.select("block", F.posexplode(F.arrays_zip("words", "train")).alias("pos", "w"))
-    words = exploded.select(here.alias("here"), F.col("w.words").alias("word"), F.col("w.train").alias("train"))
-    same = Window.partitionBy("word")
-    looked_up = words.select(
-        F.shiftright("here", _POSITION_BITS).alias("block"), F.col("here").bitwiseAND((1 << _POSITION_BITS) - 1).cast("int").alias("pos"),
-        F.sum("train").over(same).alias("count"), F.min("here").over(same).alias("number"), F.count(F.lit(1)).over(same).alias("holders"),
-    )
-    # A block knows all of a word that no other block has.
-    looked_up = looked_up.filter("holders > 1").drop("holders")
+    word_shards = 1 + (blocks.agg(F.sum(F.size("train"))).first()[0] or 0) // SHARD_WORDS
+    asked = _asked(blocks, word_shards).groupBy("word_shard").applyInArrow(_answers, "block long, blobs array<binary>")
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         out = []
@@ -175,8 +215,9 @@ def _send(blocks: DataFrame, shards: int) -> DataFrame:
             block = row["block"]
             count = np.array(row["train"], np.int64)
             number = (block << _POSITION_BITS) + np.arange(len(count))
-            at = right.column("pos").to_numpy()
-            number[at], count[at] = right.column("number").to_numpy(), right.column("count").to_numpy()
+            for place, numbers, counts in right.column("blobs").to_pylist():
+                at = np.cumsum(unpack(place, np.int32))
+                number[at], count[at] = unpack(numbers), unpack(counts)
             held, lengths = unpack(row["held"], bool), unpack(row["lengths"])
             token = unpack(row["tokens"], np.int32)
             doc = np.repeat(np.arange(len(lengths)), lengths)
@@ -193,7 +234,7 @@ def _send(blocks: DataFrame, shards: int) -> DataFrame:
 
     schema = pa.schema([("shard", pa.int64()), ("block", pa.int64()), ("totals", pa.list_(pa.int64())), ("blobs", pa.list_(pa.binary()))])
     left = blocks.select("block", "doc_id", "held", "lengths", "tokens", "train").groupBy("block")
-    return left.cogroup(looked_up.groupBy("block")).applyInArrow(run, "shard long, block long, totals array<long>, blobs array<binary>")
+    return left.cogroup(asked.groupBy("block")).applyInArrow(run, "shard long, block long, totals array<long>, blobs array<binary>")
 
 
 _CONTEXT = ["context", "total", *(f"low{r}" for r in _R), "mass", *(f"uni{r}" for r in _R)]

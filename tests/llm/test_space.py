@@ -2,11 +2,12 @@
 
 import time
 
+import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from glyphstat.llm import bpe, storage
+from glyphstat.llm import bpe, katz, storage
 from glyphstat.llm.queries import BPE_FILE
 
 
@@ -30,6 +31,24 @@ def test_shuffle_files_go_when_rows_are_written(spark, write):
     assert sorted(map(tuple, out.collect())) == sorted(map(tuple, counts.collect()))
 
 
+def test_words_of_a_block_travel_packed(spark):
+    texts = ["", None, *(f"w{i} w{i % 50} é{i} W{i % 7}" for i in range(3000))]
+    docs = spark.createDataFrame([(i, False, t) for i, t in enumerate(texts)], "doc_id long, held boolean, text string").repartition(3)
+    blocks = storage.store(katz._read(docs), "blocks")
+    sent = katz._asked(blocks, 2).collect()
+    assert len(sent) <= 2 * blocks.count()
+    answers = katz._asked(blocks, 2).groupBy("word_shard").applyInArrow(katz._answers, "block long, blobs array<binary>").collect()
+    words = {r.block: r.words for r in blocks.collect()}
+    found = {}
+    for r in answers:
+        place, numbers, counts = r.blobs
+        for i, *told in zip(np.cumsum(katz.unpack(place, np.int32)), katz.unpack(numbers), katz.unpack(counts)):
+            found.setdefault(words[r.block][i], set()).add(tuple(told))
+    assert set(found) == {w for x in words.values() for w in x} and all(len(x) == 1 for x in found.values())
+    count = {w: next(iter(x))[1] for w, x in found.items()}
+    assert count[""] == len(texts) and count["w0"] == 60 + 1 + 429 and count["é7"] == 1 and len({n for x in found.values() for n, _ in x}) == len(found)
+
+
 def test_words_are_remembered_once():
     with open(public_tokenizers.path(BPE_FILE)) as file:
         model = bpe.Bpe(file.read())

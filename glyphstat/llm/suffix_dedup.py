@@ -13,6 +13,8 @@ documents as any other; equal rows (same id, same text) count as one document; o
 never read.
 """
 
+from functools import cached_property
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -34,7 +36,10 @@ class Texts:
         size = np.fromiter((len(t or b"") for t in texts), np.int64, len(texts))
         self.start = np.concatenate([[0], np.cumsum(size + 1)])
         self.size = size
-        self.prefix = prefix_hashes(self.data)
+
+    @cached_property
+    def prefix(self) -> np.ndarray:
+        return prefix_hashes(self.data)
 
     def spans(self, width: int) -> np.ndarray:
         """Hash of the ``width`` bytes from each place on, as far as the buffer goes."""
@@ -188,22 +193,23 @@ def _classes(order: np.ndarray, common: np.ndarray, length: int) -> np.ndarray:
     return out
 
 
-def repeated_windows(stretches: list[bytes], anchors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Flags of all windows of different stretches that stand in another one too, and their bounds.
+def repeated_windows(texts: Texts, anchors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Flags of all windows of different stretches (the texts) that stand in another one too, and their bounds.
 
     ``anchors`` are the places of the anchors in their stretches. A window reaches some bytes to the left of its
     anchor and the rest to the right; it stands in another stretch if that one agrees with it on both sides.
     The sorted order of what follows the anchors tells which agree to the right, that of what precedes them,
     read backwards, which agree to the left.
     """
-    texts, back = Texts(stretches), Texts([s[::-1] for s in stretches])
+    n = len(texts.size)
+    back = Texts([texts.raw[i : i + k][::-1] for i, k in zip(texts.start.tolist(), texts.size.tolist())])
     begin, end = texts.start[:-1], texts.start[:-1] + texts.size
     bounds = np.concatenate([[0], np.cumsum(texts.size - WINDOW + 1)])
     flags = np.zeros(bounds[-1], bool)
     right = _neighbours(texts, begin + anchors, end)
     left = _neighbours(back, end - anchors, end)
     for reach in range(WINDOW - GRAM + 1):
-        both = _classes(*right, WINDOW - reach) * len(stretches) + _classes(*left, reach)
+        both = _classes(*right, WINDOW - reach) * n + _classes(*left, reach)
         order = np.argsort(both)
         same = np.flatnonzero(both[order[1:]] == both[order[:-1]])
         found = np.concatenate([order[same], order[same + 1]])
@@ -221,7 +227,8 @@ def shard_marks(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     whole = np.bincount(number)[number] > 1
     different = list(place)
     first = np.unique(number, return_index=True)[1]
-    flags, bounds = repeated_windows(different, anchor_places(different, h[first]))
+    stretches = Texts(different)
+    flags, bounds = repeated_windows(stretches, anchor_places(stretches, h[first]))
     owner, offset, length = passages.runs(flags, bounds)
     # Equal stretches are removed whole, so what is left are stretches of one place.
     single = ~whole[first[owner]]
@@ -233,14 +240,14 @@ def shard_marks(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     return pa.concat_tables([marked, found])
 
 
-def anchor_places(stretches: list[bytes], h: np.ndarray) -> np.ndarray:
-    """Where the gram with hash ``h`` first stands in each stretch."""
-    texts = Texts(stretches)
-    grams = texts.spans(GRAM).view(np.int64)
-    owner = np.repeat(np.arange(len(stretches)), texts.size + 1)[: len(grams)]
-    hits = np.flatnonzero(grams == h[owner])
-    out = np.zeros(len(stretches), np.int64)
-    out[owner[hits[::-1]]] = hits[::-1] - texts.start[owner[hits[::-1]]]
+def anchor_places(texts: Texts, h: np.ndarray) -> np.ndarray:
+    """Where the gram with hash ``h`` first stands in each stretch, which is where all its windows hold it."""
+    low, high = texts.start[:-1] + texts.size - WINDOW, texts.start[:-1] + WINDOW - GRAM
+    place = passages.expanded(low, high)
+    owner = np.repeat(np.arange(len(low)), high - low + 1)
+    hits = np.flatnonzero(span_hashes(texts.prefix, place, place + GRAM).view(np.int64) == h[owner])[::-1]
+    out = np.zeros(len(low), np.int64)
+    out[owner[hits]] = place[hits] - texts.start[owner[hits]]
     return out
 
 

@@ -81,7 +81,7 @@ _powers: dict[str, np.ndarray] = {}
 
 def _reduced(x: np.ndarray) -> np.ndarray:
     x = (x & _PRIME) + (x >> np.uint64(61))
-    return np.where(x >= _PRIME, x - _PRIME, x)
+    return np.minimum(x, x - _PRIME)  # a difference below 0 wraps to a large number
 
 
 def _times(a: np.ndarray, b: np.ndarray) -> np.ndarray:

@@ -7,7 +7,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from glyphstat.llm import bpe, katz, storage
+from glyphstat.llm import bpe, katz, storage, suffix_dedup
 from glyphstat.llm.queries import BPE_FILE
 
 
@@ -49,6 +49,22 @@ def test_words_of_a_block_travel_packed(spark):
     assert count[""] == len(texts) and count["w0"] == 60 + 1 + 429 and count["é7"] == 1 and len({n for x in found.values() for n, _ in x}) == len(found)
 
 
+def test_hashes_are_made_where_they_are_needed():
+    texts = suffix_dedup.Texts([b"x" * 300, None])
+    assert "prefix" not in vars(texts)
+    assert len(texts.prefix) == len(texts.data) + 1
+
+
+def test_anchors_of_stretches():
+    rng = np.random.default_rng(3)
+    text = rng.integers(97, 123, 900).astype(np.uint8).tobytes()
+    texts = suffix_dedup.Texts([text])
+    first, last, _, grams = suffix_dedup._anchors(texts)
+    _, _, place, _ = suffix_dedup._anchors(texts)
+    stretches = suffix_dedup.Texts([text[i : j + suffix_dedup.WINDOW] for i, j in zip(first, last)])
+    assert (suffix_dedup.anchor_places(stretches, grams.view(np.int64)) + first == place).all()
+
+
 def test_words_are_remembered_once():
     with open(public_tokenizers.path(BPE_FILE)) as file:
         model = bpe.Bpe(file.read())

@@ -37,7 +37,7 @@ _SPACE = regex.compile(r"\s+")
 
 # Characters of text that are looked at together, and pretokens that are remembered.
 PIECE_CHARS = 1 << 16
-MAX_CACHED = 600_000
+MAX_CACHED = 800_000
 
 _NO_MERGE = 1 << 60
 _NO_RANK = 1 << 30
@@ -75,7 +75,7 @@ class Bpe:
         self.text_of = {i: str(i) for i in self.bytes_of}
         self.cache: dict[str, tuple[int, ...]] = {}
         self.chunk_cache: dict[str, tuple[int, ...]] = {}
-        self.numbers = {i: i for i in self.bytes_of}  # one object for each id, however often it is remembered
+        self.numbers = np.array(range(max(self.bytes_of) + 1), object)  # one object for each id, however often it is remembered
 
     def _lookahead(self) -> int:
         """Bytes right of a token that can take part in deciding it."""
@@ -148,7 +148,7 @@ class Bpe:
             rank[changed] = self._ranks(ids, word, changed)
         done = np.concatenate([np.zeros(0, np.int64), *done_word])
         order = np.argsort(done, kind="stable")
-        flat = np.concatenate([np.zeros(0, np.int64), *done_ids])[order].tolist()
+        flat = self.numbers[np.concatenate([np.zeros(0, np.int64), *done_ids])[order]].tolist()
         ends = np.cumsum(np.bincount(done, minlength=len(words))).tolist()
         return [tuple(flat[i:j]) for i, j in zip([0, *ends], ends, strict=False)]
 
@@ -178,28 +178,15 @@ class Bpe:
             else self.pattern.findall(" " + c)
             for c in new
         ]
-        number = self.numbers
-        words = list({w for tokens in split for w in tokens if self.known(w) is None})
-        found = (tuple(map(number.__getitem__, ids)) for ids in self.merge_many([w.encode() for w in words]))
-        merged = dict(zip(words, found, strict=True))
+        words = list({w for tokens in split for w in tokens if w not in self.cache})
+        self.cache.update(zip(words, self.merge_many([w.encode() for w in words]), strict=True))
+        cache = self.cache
         for chunk, tokens in zip(new, split, strict=True):
-            ids = merged.get(tokens[0]) or self.known(tokens[0])
-            for w in tokens[1:]:
-                ids += merged.get(w) or self.known(w)
-            seen[chunk] = ids
-        # Letters after a space are remembered as the chunk that they are, if they are one.
-        self.cache.update((w, ids) for w, ids in merged.items() if self.known(w) is None)
-
-    def known(self, text: str) -> tuple[int, ...] | None:
-        """Ids of a pretoken, if they are remembered."""
-        ids = self.cache.get(text)
-        if ids is None and text[:1] == " " and text[1:].isalpha():
-            ids = self.chunk_cache.get(text[1:])
-        return ids
+            seen[chunk] = cache[tokens[0]] if len(tokens) == 1 else tuple(i for w in tokens for i in cache[w])
 
     def pretoken(self, text: str) -> tuple[int, ...]:
         """Ids of a whole pretoken, remembered if it is short."""
-        ids = self.known(text)
+        ids = self.cache.get(text)
         if ids is None:
             run = Run(self)
             ids = (*run.feed(text.encode()), *run.close())

@@ -1,10 +1,15 @@
 """Readers, writers, rejects and re-runs on small fixtures."""
 
+import gzip
+
+import pyarrow as pa
 import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from glyphstat.functions.lexing import CPP14, WORDS
+from glyphstat.functions.text import decoded_path
 from glyphstat.operators.counts import file_key_counts, token_keys
 from glyphstat.operators import incremental, quality
 from glyphstat.operators.tokenize import render_dump, render_files, tokenize
@@ -249,6 +254,50 @@ def test_dump_files_hold_the_lines_of_a_path(spark, tmp_path):
     assert sorted(r["value"] for r in dumped.collect()) == sorted(r["value"] for r in render_dump(tokenize(frame, WORDS)).collect())
 
 
+ODD_DUMPS = {
+    "x/a.tokens": b"one\ntwo\r\nthree\rfour\n\nsix", "x/b.tokens": b"\r\r\n\n", "x/c c+.tokens": b"\xef\xbb\xbfbom\nbad\xff\xfebytes\r", "x/d.tokens": b"",
+    "_h/e.tokens": b"e", "x/_f.tokens": b"f", "x/.g.tokens": b"g", "_a=1/h.tokens": b"h\n", "_metadata.tokens": b"m", "_metadata_x/i.tokens": b"i", "x/j.txt": b"j",
+    "x/k.tokens._COPYING_": b"k", "y/deep/l%20.tokens.gz": gzip.compress(b"l1\nl2\r") + gzip.compress(b"l3\n"), "n.tokens.gz": gzip.compress(b""),
+}
+
+
+def test_dumps_are_read_as_spark_reads_text_in_tasks_by_bytes(spark, tmp_path):
+    for name, body in ODD_DUMPS.items():
+        (tmp_path / "a b+" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "a b+" / name).write_bytes(body)
+    root = str(tmp_path / "a b+")
+    for given in (root, f"file://{root}//x", f"{root}/x/a.tokens"):
+        text = spark.read.option("pathGlobFilter", "*.{tokens,tokens.gz}").option("recursiveFileLookup", True).text(given)
+        expected = text.select(decoded_path(F.col("_metadata.file_path")).alias("path"), F.col("value").cast("binary").alias("value"))
+        read = token_files.read_dump(spark, given, "D").withColumn("value", F.col("value").cast("binary"))
+        assert content(read, "path", "value") == content(expected, "path", "value")
+    for i in range(40):
+        (tmp_path / "many" / str(i)).mkdir(parents=True)
+        (tmp_path / "many" / str(i) / "main.tokens").write_text(f"{i}\n")
+    many = token_files.read_dump(spark, str(tmp_path / "many"), "D")
+    assert many.count() == 40 and many.rdd.getNumPartitions() == 1
+    with pytest.raises(AnalysisException):
+        token_files.read_dump(spark, str(tmp_path / "none"), "D")
+
+
+def test_lines_are_whole_whatever_the_blocks(monkeypatch):
+    for body in [*ODD_DUMPS.values(), b"a\r\nb\rc\n\r\nd" * 5]:
+        found = []
+        for size in (3, 4, 5, 7, 1_000):
+            monkeypatch.setattr(file_tree, "_BYTES", size)
+            found.append([line for block in file_tree._line_blocks(pa.BufferReader(body)) for line in block.split(b"\n")])
+        assert all(f == found[-1] for f in found)
+
+
+def test_gzip_files_hold_their_contents_in_pieces(spark, tmp_path, monkeypatch):
+    body = bytes(range(256)) * 50
+    monkeypatch.setattr(file_tree, "_BYTES", 1_000)
+    assert gzip.decompress(b"".join(file_tree._gzipped(pa.py_buffer(body)))) == body
+    files = spark.createDataFrame([("a.gz", bytearray(body)), ("b.gz", bytearray()), ("c.gz", None)], "relative string, content binary")
+    assert file_tree.write(files, str(tmp_path), compression="gzip") == 3
+    assert [gzip.decompress((tmp_path / f"{n}.gz").read_bytes()) for n in "abc"] == [body, b"", b""]
+
+
 def test_rejected_files_are_found_without_storing_lines(spark, tmp_path, monkeypatch):
     spark.createDataFrame([(i, f"a b{i}", "en", "web") for i in range(4)], "doc_id long, text string, lang string, source string").write.parquet(
         str(tmp_path / "documents.parquet")

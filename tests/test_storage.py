@@ -2,6 +2,7 @@
 
 import gzip
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.errors import AnalysisException
@@ -241,6 +242,35 @@ def test_constraint_report_exchanges_no_ids(spark, monkeypatch):
     assert got["unique", "uuid"] == 2 and got["not_null", "uuid"] == 1
 
 
+def test_constraint_report_makes_tokens_once(spark):
+    made, seen = tokenize(docs(spark, ["a b", "c d"]), WORDS), spark.sparkContext.accumulator(0)
+
+    def passed(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    got = {(r["rule"], r["column_name"]): r["violations"] for r in quality.constraint_report(made.mapInArrow(passed, made.schema)).collect()}
+    assert seen.value == 6 and len(got) == 16 and set(got.values()) == {0}
+    # Missing ids break their rule, they are no repeats.
+    missing = made.withColumn("uuid", F.when(F.col("token_num") > 0, F.col("uuid"))).withColumn("line", F.lit(None).cast("int"))
+    got = {(r["rule"], r["column_name"]): r["violations"] for r in quality.constraint_report(missing).collect()}
+    assert (got["not_null", "uuid"], got["not_null", "line"], got["unique", "uuid"]) == (2, 6, 0)
+    got = {(r["rule"], r["column_name"]): r["violations"] for r in quality.constraint_report(made.limit(0)).collect()}
+    assert len(got) == 16 and set(got.values()) == {0}
+
+
+def test_repeated_numbers_are_found_in_pieces(monkeypatch):
+    monkeypatch.setattr(quality, "_REPEATS", 3)
+    numbers = [5, 1, 5, 7, 7, 7, 2, 9, 1, -4, 8, 6, 3, -4, 10]
+    for size in (1, 2, 4, 20):
+        repeats = quality._Repeats()
+        for at in range(0, len(numbers), size):
+            repeats.add(np.array(numbers[at : at + size], np.int64))
+        assert repeats.found().tolist() == [-4, 1, 5, 7]
+    assert quality._Repeats().found().tolist() == []
+
+
 def test_dump_files_hold_the_lines_of_a_path(spark, tmp_path):
     frame = docs(spark, CODE).unionByName(docs(spark, ["x y", None], dataset="E"))
     for profile in (WORDS, CPP14):

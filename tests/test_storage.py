@@ -1,9 +1,11 @@
 """Readers, writers, rejects and re-runs on small fixtures."""
 
 import gzip
+import time
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
@@ -15,7 +17,7 @@ from glyphstat.operators.counts import file_key_counts, token_keys
 from glyphstat.operators import incremental, quality
 from glyphstat.operators.tokenize import render_dump, render_files, tokenize
 from glyphstat.plans import catalog
-from glyphstat.sources import files, metrics, repos
+from glyphstat.sources import files, metrics, repos, scratch
 from glyphstat.sources import tree as file_tree
 from glyphstat.sources import records as record_files
 from glyphstat.sources import tokens as token_files
@@ -222,6 +224,38 @@ def test_documents_are_appended_once_and_joined_before_they_are_lexed(spark, tmp
     assert list((tmp_path / "table").glob("dataset=*/*.zstd.parquet")) and spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == "0"
 
 
+def test_token_tables_store_rising_numbers_as_differences(spark, tmp_path):
+    path = str(tmp_path / "table")
+    texts = ["".join(f"w{j} " for j in range(i, i + 300)) for i in range(50)]
+    made = tokenize(docs(spark, texts), WORDS).coalesce(1)
+    token_files.write(made, path)
+    assert content(token_files.read(spark, path), *made.columns) == content(made, *made.columns)
+    (file,) = (tmp_path / "table").glob("dataset=D/*.parquet")
+    group = pq.ParquetFile(file).metadata.row_group(0)
+    stored = {c.path_in_schema: c for c in (group.column(i) for i in range(group.num_columns))}
+    assert all("DELTA_BINARY_PACKED" in stored[name].encodings for name in ("token_num", "char_start", "char_end", "line_char"))
+    assert not any("DICTIONARY" in e for e in stored["uuid"].encodings)
+    assert stored["char_start"].total_compressed_size < group.num_rows and stored["uuid"].total_compressed_size < 21 * group.num_rows
+
+
+def test_shuffle_files_go_with_what_made_them(spark, tmp_path):
+    path, before = str(tmp_path / "table"), spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", None)
+    local = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffles():
+        return {b.toString() for b in spark.sparkContext._jvm.scala.jdk.javaapi.CollectionConverters.asJava(local.getAllBlocks()) if "shuffle" in b.toString()}
+
+    held = shuffles()
+    token_files.write(tokenize(docs(spark, ["a b", "c d"]).repartition(3, "path"), WORDS), path)
+    scratch.materialize(docs(spark, ["a b", "c d"]).repartition(3, "path"), "rows")
+    # Spark does not wait for them to be gone.
+    until = time.time() + 20
+    while shuffles() - held and time.time() < until:
+        time.sleep(0.1)
+    assert not shuffles() - held
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", None) == before
+
+
 def test_constraint_report(spark):
     made = tokenize(docs(spark, ["a b"], dataset="TOOLONG"), WORDS)
     broken = made.unionByName(made.limit(1)).withColumn("line", F.when(F.col("token_num") > 0, F.col("line")))

@@ -249,7 +249,7 @@ def test_shuffle_files_go_with_what_made_them(spark, tmp_path):
     token_files.write(tokenize(docs(spark, ["a b", "c d"]).repartition(3, "path"), WORDS), path)
     scratch.materialize(docs(spark, ["a b", "c d"]).repartition(3, "path"), "rows")
     # Spark does not wait for them to be gone.
-    until = time.time() + 20
+    until = time.time() + 3
     while shuffles() - held and time.time() < until:
         time.sleep(0.1)
     assert not shuffles() - held
